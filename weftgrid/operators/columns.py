@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgrid.functions.rows import explode_column
+
 COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     "<=": operator.le, "<": operator.lt, "=": operator.eq,
     "!=": operator.ne, ">=": operator.ge, ">": operator.gt,
@@ -272,4 +274,4 @@ def from_cells(cells: DataFrame, qualifiers: Sequence[str]) -> DataFrame:
 
 def explode_lines(df: DataFrame, key: str, value: str) -> DataFrame:
     """One row per line of a ``(key, value)`` frame."""
-    return df.select(key, F.explode(F.split(F.col(value), "\n")).alias(value))
+    return explode_column(df, [key], F.split(F.col(value), "\n"), value)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgrid.functions.rows import explode_column
 from weftgrid.operators.features import idf_weight, term_counts
 from weftgrid.session import materialize
 
@@ -40,7 +41,7 @@ def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
     Order by ``word, key`` to lay the lists out one after the other.
     """
     words = F.array_distinct(words_of(F.col(text)))
-    return df.select(F.explode(words).alias("word"), key)
+    return explode_column(df, [key], words, "word").select("word", key)
 
 
 def posting_blocks(index: DataFrame, key: str, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -133,7 +134,7 @@ def similar_documents(df: DataFrame, key: str, text: str, min_similarity: float)
         .select("doc", "copies", "words", F.size("words").cast("bigint").alias("n")),
         "word-sets",
     )
-    words = sets.select("doc", "n", F.explode("words").alias("word"))
+    words = explode_column(sets, ["doc", "n"], F.col("words"), "word")
     frequency = words.groupBy("word").agg(F.count("*").alias("df"))
     # The window's partitions are single documents.
     rarest_first = Window.partitionBy("doc").orderBy("df", "word")

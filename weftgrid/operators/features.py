@@ -14,6 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgrid.functions.rows import explode_column
 from weftgrid.operators.ranking import global_rank
 from weftgrid.operators.text import preprocess
 
@@ -24,28 +25,22 @@ WORD2VEC_VOCABULARY = 10_000_000  # words whose vectors the driver is asked to h
 
 # --- term counts ------------------------------------------------------------
 
-def count_runs(tokens: Column) -> Column:
-    """``array<struct<term, tf>>`` of a *sorted* token array, counted inside the row."""
-    starts = F.filter(
-        F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1)),
-    )
-    return F.transform(
-        F.arrays_zip(starts.alias("at"), F.concat(F.slice(starts, 2, 1 << 30), F.array(F.size(tokens))).alias("end")),
-        lambda x: F.struct(F.get(tokens, x["at"]).alias("term"), (x["end"] - x["at"]).cast("bigint").alias("tf")),
-    )
-
-
 def term_counts(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Long ``(key, term, tf)`` of a token column; ``key`` must be unique. Counted in the row: no shuffle."""
-    ordered = df.select(key, F.sort_array(column).alias("_tokens"))
-    return ordered.select(key, F.inline(count_runs(F.col("_tokens"))))
+    """Long ``(key, term, tf)`` of a token column.
+
+    All tokens of a row are counted where the row is read, so the shuffle moves one
+    number per distinct term of a row, and none at all if the rows are already
+    partitioned by ``key``.  ``(key, term)`` spreads frequent terms and long texts alike.
+    """
+    terms = explode_column(df, [key], F.col(column), "term")
+    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(df: DataFrame, column: str) -> DataFrame:
-    """``(term, df)``: the number of rows a term occurs in."""
-    terms = df.select(F.explode(F.array_distinct(column)).alias("term"))
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(counts: DataFrame) -> DataFrame:
+    """``(term, df)`` of term counts: the number of rows a term occurs in."""
+    # The condition always holds. It keeps ``tf`` in this branch, so that a join with the
+    # counts reads the same shuffle instead of computing the terms again.
+    return counts.where("tf > 0").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf_weight(frequency: Column, documents: Column) -> Column:
@@ -55,13 +50,13 @@ def idf_weight(frequency: Column, documents: Column) -> Column:
 def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
     """Long ``(key, term, tf, df, weight)`` with weight = tf * ln((N + 1) / (df + 1)).
 
-    ``column`` holds tokens.  Terms are counted in the row and the document
-    frequencies are a dictionary with one row per term: the join broadcasts it while
-    it is small, else only the counts side can be skewed and is split.
+    ``column`` holds tokens.  The document frequencies come from the same counts and
+    are a dictionary with one row per term: the join broadcasts it while it is small,
+    else only the counts side can be skewed and is split.
     """
     documents = df.agg(F.count("*").alias("n")).scalar()
     counts = term_counts(df, key, column)
-    weighted = counts.join(document_frequency(df, column), "term")
+    weighted = counts.join(document_frequency(counts), "term")
     return weighted.select(
         key, "term", "tf", "df",
         (F.col("tf") * idf_weight(F.col("df").cast("double"), documents)).alias("weight"),
@@ -72,8 +67,8 @@ def top_terms(df: DataFrame, column: str, n: int) -> list[tuple[str, int]]:
     """The ``n`` most frequent terms with their document frequency (at most ``WIDE_LIMIT``)."""
     if n > WIDE_LIMIT:
         raise ValueError(f"at most {WIDE_LIMIT} term columns: use the long form")
-    terms = df.select(F.monotonically_increasing_id().alias("_id"), column).transform(term_counts, "_id", column)
-    best = terms.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    ids = df.select(F.monotonically_increasing_id().alias("_id"), column)
+    best = term_counts(ids, "_id", column).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
     return [(r["term"], r["df"]) for r in best.orderBy(F.desc("tf"), F.asc("term")).limit(n).collect()]
 
 
@@ -88,16 +83,14 @@ def tfidf_wide(df: DataFrame, column: str, n: int, tokens: bool = False) -> Data
     prepared = prepared if tokens else preprocess(prepared, "_tokens")
     chosen = top_terms(prepared, "_tokens", n)
     documents = prepared.count()
-    known = F.sort_array(F.filter("_tokens", lambda t: t.isin([term for term, _ in chosen])))
-    counted = prepared.withColumn("_tokens", known).withColumn(
-        "_tf", F.map_from_entries(count_runs(F.col("_tokens"))))
+    counted = prepared.withColumn("_known", F.filter("_tokens", lambda t: t.isin([term for term, _ in chosen])))
     columns = {}
     for term, frequency in chosen:
         name = f"term_{term}"
-        weight = F.coalesce(F.try_element_at("_tf", F.lit(term)), F.lit(0)) * idf_weight(
-            F.lit(float(frequency)), F.lit(documents))
+        tf = F.size("_known") - F.size(F.array_remove("_known", term))
+        weight = tf * idf_weight(F.lit(float(frequency)), F.lit(documents))
         columns[name] = F.coalesce(F.col(name), weight) if name in df.columns else weight
-    return counted.withColumns(columns).drop("_tokens", "_tf")
+    return counted.withColumns(columns).drop("_tokens", "_known")
 
 
 def _replace(df: DataFrame, column: str, made: str) -> DataFrame:
@@ -131,7 +124,7 @@ def word2vec(df: DataFrame, column: str, size: int = 2, min_count: int = 0, seed
     The fitted words and vectors live on the driver, so their number is counted
     first; raise ``min_count`` when a corpus has more than ``WORD2VEC_VOCABULARY``.
     """
-    words = df.select(F.explode(column).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = explode_column(df, [], F.col(column), "w").groupBy("w").agg(F.count("*").alias("n"))
     words = words.where(F.col("n") >= min_count).limit(WORD2VEC_VOCABULARY + 1).count()
     if words > WORD2VEC_VOCABULARY:
         raise ValueError(f"more than {WORD2VEC_VOCABULARY} words occur {min_count} times: raise min_count")

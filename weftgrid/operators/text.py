@@ -1,7 +1,7 @@
 """Text operators: tokens, stop words, stems, sentences, entity mentions, HTML and word counts.
 
-Every step up to the stems works inside the row, so it adds no shuffle.  NULL
-text counts as empty.
+Every step up to the stems works inside the row, so it adds no shuffle; all but
+the stems are native expressions.  NULL text counts as empty.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgrid.functions.rows import explode_column
 from weftgrid.functions.stemming import stem_tokens
 from weftgrid.functions.stopwords import ENGLISH
 
@@ -65,7 +66,7 @@ def preprocess(df: DataFrame, column: str) -> DataFrame:
 
 def explode_tokens(df: DataFrame, key: str, column: str) -> DataFrame:
     """Long form ``(key, pos, token)`` of a token column."""
-    return df.select(key, F.posexplode(column).alias("pos", "token"))
+    return explode_column(df, [key], F.col(column), "token", "pos")
 
 
 # --- sentences and mentions -------------------------------------------------
@@ -88,9 +89,9 @@ def entity_mentions(df: DataFrame, key: str, column: str, gazetteer: DataFrame)
     frequent mentions, which only the mention side can skew.
     """
     names = gazetteer.groupBy(F.lower("name").alias("_name")).agg(F.min("label").alias("label"))
-    sentences = df.select(key, F.posexplode(sentences_of(F.col(column))).alias("sentence", "_text"))
+    sentences = explode_column(df, [key], sentences_of(F.col(column)), "_text", "sentence")
     runs = F.regexp_extract_all("_text", F.lit(MENTION_PATTERN), F.lit(1))
-    mentions = sentences.select(key, "sentence", F.posexplode(runs).alias("position", "mention"))
+    mentions = explode_column(sentences, [key, "sentence"], runs, "mention", "position")
     labelled = mentions.join(names, F.lower("mention") == F.col("_name"), "left")
     return labelled.select(key, "sentence", "position", "mention", "label")
 
@@ -107,7 +108,7 @@ def html_to_text(df: DataFrame, column: str) -> DataFrame:
 
 def word_count(lines: DataFrame, column: str = "value") -> DataFrame:
     """``(word, count)`` of the words between single spaces; repeats are summed before the shuffle."""
-    words = lines.select(F.explode(F.split(column, " ")).alias("word"))
+    words = explode_column(lines, [], F.split(column, " "), "word")
     return words.groupBy("word").agg(F.count("*").alias("count"))
 
 

@@ -59,3 +59,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a scan of few files over all cores before expensive work in the row.
+
+    A scan with at least as many splits as there are cores is left alone, so large
+    inputs are not shuffled.  Meant for frames read straight from files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
