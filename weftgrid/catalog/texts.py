@@ -282,10 +282,10 @@ _SETS = """
          o AS (SELECT a.doc AS doc1, b.doc AS doc2, count(*) AS o FROM w a JOIN w b ON a.word = b.word AND a.doc < b.doc GROUP BY 1, 2)
     SELECT doc1, doc2, h1.copies AS copies1, h2.copies AS copies2,
            floor(o / sqrt((h1.n * h2.n)::DOUBLE) * 100) / 100 AS similarity
-    FROM o JOIN h h1 ON h1.doc = doc1 JOIN h h2 ON h2.doc = doc2 WHERE o / sqrt((h1.n * h2.n)::DOUBLE) >= 0.6
+    FROM o JOIN h h1 ON h1.doc = doc1 JOIN h h2 ON h2.doc = doc2 WHERE o / sqrt((h1.n * h2.n)::DOUBLE) >= 0.8
 """)
 def doc_similarity(spark, sf):
-    return docindex.similar_documents(_docs(spark, sf), "doc_id", "text", 0.6)
+    return docindex.similar_documents(_docs(spark, sf), "doc_id", "text", 0.8)
 
 
 @query(f"""

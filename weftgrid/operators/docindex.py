@@ -122,7 +122,8 @@ def similar_documents(df: DataFrame, key: str, text: str, min_similarity: float)
     * with words ordered from rare to frequent, two sets this similar share a word
       among the first ``n - ceil(t^2 n) + 1`` of each, so only those words are joined
       and frequent words hardly ever are;
-    * candidates whose sizes rule the similarity out are dropped in the join.
+    * pairs whose sizes, or whose count of shared rare words, rule the similarity out
+      are dropped before their word sets are compared.
     """
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity must be in (0, 1]")
@@ -138,15 +139,26 @@ def similar_documents(df: DataFrame, key: str, text: str, min_similarity: float)
     frequency = words.groupBy("word").agg(F.count("*").alias("df"))
     # The window's partitions are single documents.
     rarest_first = Window.partitionBy("doc").orderBy("df", "word")
+    kept = F.col("n") - F.ceil(F.lit(least) * F.col("n") - _SLACK) + 1
     prefix = (
         words.join(frequency, "word")
-        .withColumn("place", F.row_number().over(rarest_first))
-        .where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - _SLACK) + 1)
-        .select("doc", "n", "word")
+        .withColumns({"place": F.row_number().over(rarest_first), "kept": kept})
+        .where("place <= kept")
+        .withColumn("last", F.max(F.struct("df", "word")).over(Window.partitionBy("doc")))
+        .select("doc", "n", "word", (F.col("n") - F.col("kept")).alias("rest"), F.struct("last.df", "last.word").alias("last"))
+    )
+    one, two = (
+        prefix.select("word", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "rest", "last")]) for i in (1, 2)
     )
-    one, two = (prefix.select("word", F.col("doc").alias(f"doc{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
     sized = (F.col("n1") >= F.lit(least) * F.col("n2") - _SLACK) & (F.col("n2") >= F.lit(least) * F.col("n1") - _SLACK)
-    candidates = one.join(two, "word").where((F.col("doc1") < F.col("doc2")) & sized).select("doc1", "doc2").distinct()
+    shared = (
+        one.join(two, "word").where((F.col("doc1") < F.col("doc2")) & sized)
+        .groupBy("doc1", "doc2", "n1", "n2", "rest1", "rest2", "last1", "last2").agg(F.count("*").alias("in_prefix"))
+    )
+    # A shared word outside both prefixes lies behind the prefix that ends first.
+    at_most = F.col("in_prefix") + F.when(F.col("last1") <= F.col("last2"), F.col("rest1")).otherwise(F.col("rest2"))
+    needed = F.lit(min_similarity) * F.sqrt((F.col("n1") * F.col("n2")).cast("double")) - _SLACK
+    candidates = shared.where(at_most >= needed).select("doc1", "doc2")
 
     first, second = (
         sets.select(F.col("doc").alias(f"doc{i}"), F.col("copies").alias(f"copies{i}"), F.col("words").alias(f"words{i}"))

@@ -124,15 +124,15 @@ def _levels(df: DataFrame, rows: Sequence[str], cols: Sequence[str], aggregates:
 def unique_values(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value: str) -> DataFrame:
     """The distinct values of every cell and total, one row each: the form without a size limit."""
     keys = [*rows, *cols]
-    cells = _keyed(df, keys, {value: F.col(value)}).distinct()
+    cells = _keyed(df, keys, {"_value": F.col(value)}).distinct()
     sets = [list(s) for s in dict.fromkeys([(*rows, *cols), tuple(rows), tuple(cols), ()])]
     has_rows = F.grouping(rows[0]) == 0 if rows else F.lit(False)
     has_cols = F.grouping(cols[0]) == 0 if cols else F.lit(False)
     level = F.when(has_rows & has_cols, "cell").when(has_rows, "row").when(has_cols, "col").otherwise("total")
     # NULL is a value of its own here, so it must not look like the NULL of a grouping set.
-    boxed = cells.withColumn("_box", F.struct(value)).drop(value)
+    boxed = cells.select(*keys, F.struct("_value").alias("_box"))
     grouped = boxed.groupingSets([[*s, "_box"] for s in sets], *keys, "_box").agg(level.alias("level"))
-    return grouped.select(*keys, "level", F.col("_box")[value].alias("value"))
+    return grouped.select(*keys, "level", F.col("_box")["_value"].alias("value"))
 
 
 def _count_unique(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value: str) -> DataFrame:
