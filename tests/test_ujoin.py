@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import types as T
 
-from weftgrid.operators.ujoin import common_type, hot_key_hashes, match_count, ujoin, ujoin_all
+from weftgrid.operators.ujoin import common_type, key_profile, match_count, schema_difference, schema_union, shared_columns, ujoin, ujoin_all
 from weftgrid.sources.readers import empty_frame
 
 
@@ -31,6 +31,12 @@ def test_shared_then_disjoint_columns(spark, rows, abc, bcde):
     ], key=repr)
 
 
+def test_schema_sets_keep_order(abc, bcde):
+    assert shared_columns(abc, bcde) == ["b", "c"]
+    assert schema_union(abc, bcde) == list("abcde")
+    assert schema_difference(bcde, abc) == ["d", "e"]
+
+
 def test_null_keys_never_match(spark, rows):
     left = spark.createDataFrame([(1, "x", None), (2, "y", "k")], "a int, b string, c string")
     right = spark.createDataFrame([("x", None, 9), ("y", "k", 8)], "b string, c string, d int")
@@ -111,8 +117,10 @@ def test_hot_keys_take_their_own_branch_with_the_same_result(spark, rows, seed):
     frames = [spark.createDataFrame([tuple(r.values()) for r in side], schema.format(n)).repartition(4)
               for side, n in ((left, "a"), (right, "b"))]
     expected = sorted([(r["k"], r["j"], r.get("a"), r.get("b")) for r in brute_force(left, right, ["k", "j"])], key=repr)
-    assert rows(ujoin(*frames, split_hot_keys=False)) == expected
-    assert hot_key_hashes(*frames, ["k", "j"], 10)
+    assert rows(ujoin(*frames)) == rows(ujoin(*frames, profile=False)) == expected
+    hot, many_keyless = key_profile(*frames, ["k", "j"], 10)
+    assert hot and many_keyless
+    assert key_profile(*frames, ["k", "j"], 1000) == ([], False)
     assert rows(ujoin(*frames, hot_min_rows=10)) == expected
     counted = match_count(*frames).first()
     assert counted["total"] == len(expected)

@@ -246,6 +246,11 @@ def inverted_index(spark, sf):
     return docindex.inverted_index(_docs(spark, sf), "doc_id", "text")
 
 
+@query(f"SELECT doc_id, word, 1 AS present FROM ({_POSTINGS})")
+def binary_vectors(spark, sf):
+    return docindex.binary_vectors(_docs(spark, sf), "doc_id", "text")
+
+
 @query(f"""
     SELECT word, doc_id // 100 AS block, count(*) AS size, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS docs
     FROM ({_POSTINGS}) GROUP BY 1, 2

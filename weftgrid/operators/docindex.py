@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgrid.functions.rows import explode_column
-from weftgrid.operators.features import idf_weight, term_counts
+from weftgrid.operators.features import document_frequency, idf_weight
 from weftgrid.session import materialize
 
 BLOCK_SIZE = 1000     # documents per posting block
@@ -44,6 +44,11 @@ def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
     return explode_column(df, [key], words, "word").select("word", key)
 
 
+def binary_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, word, present)``: document vectors over the vocabulary, the ones only."""
+    return inverted_index(df, key, text).select(key, "word", F.lit(1).alias("present"))
+
+
 def posting_blocks(index: DataFrame, key: str, block_size: int = BLOCK_SIZE) -> DataFrame:
     """``(word, block, size, docs)``: posting lists cut into blocks of sorted documents.
 
@@ -67,12 +72,10 @@ def term_search(df: DataFrame, key: str, column: str, terms: Sequence[str]) -> D
 
     ``column`` holds tokens.  Only the query's terms leave the scan.
     """
-    terms = sorted(set(terms))
     documents = df.agg(F.count("*").alias("n")).scalar()
-    matching = df.select(key, F.filter(column, lambda t: t.isin(terms)).alias("_t")).where(F.size("_t") > 0)
-    counts = term_counts(matching, key, "_t")
-    # One row per query term.
-    frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
+    wanted = explode_column(df, [key], F.col(column), "term").where(F.col("term").isin(sorted(set(terms))))
+    counts = wanted.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    frequency = document_frequency(counts)  # one row per query term
     scored = counts.join(F.broadcast(frequency), "term").withColumn(
         "w", F.col("tf") * idf_weight(F.col("df").cast("double"), documents))
     return scored.groupBy(key).agg(F.count("*").alias("hits"), F.sum("w").alias("score"))

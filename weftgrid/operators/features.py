@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from weftgrid.functions.rows import explode_column
 from weftgrid.operators.ranking import global_rank
 from weftgrid.operators.text import preprocess
+from weftgrid.session import materialize
 
 VOCABULARY_LIMIT = 1 << 18   # CountVectorizer's own bound on the vocabulary
 WIDE_LIMIT = 1000            # most term columns of a wide form
 WORD2VEC_VOCABULARY = 10_000_000  # words whose vectors the driver is asked to hold
+WORD2VEC_TOKENS = 1_000_000  # tokens that make a training partition worth its merge
 
 
 # --- term counts ------------------------------------------------------------
@@ -118,16 +120,21 @@ def hashing_tf(df: DataFrame, column: str, buckets: int = VOCABULARY_LIMIT) -> D
 
 
 def word2vec(df: DataFrame, column: str, size: int = 2, min_count: int = 0, seed: int = 42,
-             partitions: int = 1) -> DataFrame:
+             partitions: int | None = None) -> DataFrame:
     """Replace tokens by the mean of their word vectors.
 
     The fitted words and vectors live on the driver, so their number is counted
     first; raise ``min_count`` when a corpus has more than ``WORD2VEC_VOCABULARY``.
+    Training is spread over ``partitions``: by default one per ``WORD2VEC_TOKENS``
+    tokens, up to the number of cores.
     """
     words = explode_column(df, [], F.col(column), "w").groupBy("w").agg(F.count("*").alias("n"))
-    words = words.where(F.col("n") >= min_count).limit(WORD2VEC_VOCABULARY + 1).count()
-    if words > WORD2VEC_VOCABULARY:
+    found = words.where(F.col("n") >= min_count).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).first()
+    if found["words"] > WORD2VEC_VOCABULARY:
         raise ValueError(f"more than {WORD2VEC_VOCABULARY} words occur {min_count} times: raise min_count")
+    if partitions is None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, min(cores, (found["tokens"] or 0) // WORD2VEC_TOKENS))
     model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions,
                      inputCol=column, outputCol=f"_{column}").fit(df)
     return _replace(model.transform(df), column, f"_{column}")
@@ -141,12 +148,13 @@ def lda(df: DataFrame, column: str, k: int = 5, iterations: int = 20, seed: int
 
     Returns the frame with the column replaced by its distribution vector, and rows
     ``(topic, rank, term, weight)`` with three terms per topic.  The model holds ``k``
-    weights per vocabulary entry, which is bounded.
+    weights per vocabulary entry, which is bounded.  Every iteration reads the count
+    vectors again, so they are written out once.
     """
     prepared = df if tokens else preprocess(df, column)
     counted, vocabulary = count_vectors(prepared, column, vocabulary_size)
     model = LDA(featuresCol=column, topicDistributionCol=f"_{column}", k=k, maxIter=iterations, seed=seed).fit(
-        counted.select(column))
+        materialize(counted.select(column), "count-vectors"))
     return _replace(model.transform(counted), column, f"_{column}"), _describe_topics(model, vocabulary)
 
 

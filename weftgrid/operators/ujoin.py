@@ -67,15 +67,18 @@ def _numeric_rank(dtype: T.DataType) -> int | None:
     return _NUMERIC_RANK.index(name) if name in _NUMERIC_RANK else None
 
 
-def ujoin(left: DataFrame, right: DataFrame, *, split_hot_keys: bool = True,
-          hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
+def ujoin(left: DataFrame, right: DataFrame, *, profile: bool = True, hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """u-join of two frames.
 
-    Rows with a NULL in any shared column cannot match, so they skip the shuffle.
-    Spark cannot split a skewed partition of a full outer join; when a key is so
-    frequent that it would fill one, its rows take a branch of their own
-    (see ``_join_hot``).  Finding such keys costs one pass over the key columns;
-    ``split_hot_keys=False`` leaves it out.
+    One full outer join does it, unless keys are so uneven that a task would drown:
+    Spark cannot split a skewed partition of a full outer join.  One pass over the
+    key columns (left out by ``profile=False``) looks for that and then
+
+    * rows with a NULL in a shared column, which cannot match and would all hash to
+      one place, skip the join;
+    * rows of very frequent keys take a branch that can be split (``_join_hot``).
+
+    The result does not depend on what the pass finds.
     """
     if not left.columns:
         return right
@@ -86,38 +89,44 @@ def ujoin(left: DataFrame, right: DataFrame, *, split_hot_keys: bool = True,
         return left.unionByName(right, allowMissingColumns=True)
 
     left, right = _widen(left, right, keys)
-    has_keys = reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
-    matchable = [side.where(has_keys) for side in (left, right)]
-    keyless = [side.where(~has_keys) for side in (left, right)
-               if any(side.schema[k].nullable for k in keys)]
-
+    hot, many_keyless = key_profile(left, right, keys, hot_min_rows) if profile else ([], True)
+    names = schema_union(left, right)
     parts = []
-    hot = hot_key_hashes(*matchable, keys, hot_min_rows) if split_hot_keys else []
+    if many_keyless and any(side.schema[k].nullable for side in (left, right) for k in keys):
+        has_keys = _has_keys(keys)
+        parts += [side.where(~has_keys) for side in (left, right)]
+        left, right = left.where(has_keys), right.where(has_keys)
     if hot:
         is_hot = F.xxhash64(*keys).isin(hot)
-        parts += _join_hot(*[side.where(is_hot) for side in matchable], keys)
-        matchable = [side.where(~is_hot) for side in matchable]
-    parts = [_outer(*matchable, keys), *parts, *keyless]
-    names = schema_union(left, right)
+        parts += _join_hot(left.where(is_hot), right.where(is_hot), keys)
+        left, right = left.where(~is_hot), right.where(~is_hot)
+    parts.insert(0, left.join(right, keys, "full"))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*names)
 
 
-def hot_key_hashes(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int) -> list[int]:
-    """Hashes of the keys that hold at least ``min_rows`` rows and a visible share of a side.
+def _has_keys(keys: Sequence[str]) -> Column:
+    return reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
 
-    The sketch has a fixed size, so the answer holds at most ``HOT_TRACKED``
-    numbers per side.  A colliding or missed key only changes which branch does
-    the work, never the result.
+
+def key_profile(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int) -> tuple[list[int], bool]:
+    """Hashes of the very frequent keys, and whether rows without a key are as many.
+
+    A key counts when it holds at least ``min_rows`` rows and a visible share of a
+    side.  The sketch has a fixed size, so at most ``HOT_TRACKED`` hashes per side
+    are found; a collision or a miss only changes which branch does the work.
     """
-    sides = [side.select(F.lit(i).alias("side"), F.xxhash64(*keys).alias("h")) for i, side in enumerate((left, right))]
+    key_hash = F.when(_has_keys(keys), F.xxhash64(*keys))
+    sides = [side.select(F.lit(i).alias("side"), key_hash.alias("h")) for i, side in enumerate((left, right))]
     found = sides[0].unionByName(sides[1]).groupBy("side").agg(
         F.count("*").alias("n"),
-        F.expr(f"approx_top_k(h, {HOT_TRACKED}, {HOT_SKETCH})").alias("top"),
+        F.count_if(F.col("h").isNull()).alias("keyless"),
+        F.expr(f"approx_top_k(h, {HOT_TRACKED}, {HOT_SKETCH}) FILTER (WHERE h IS NOT NULL)").alias("top"),
     ).collect()
-    return sorted({
-        item["item"] for row in found for item in row["top"]
+    hot = {
+        item["item"] for row in found for item in row["top"] or []
         if item["count"] >= max(min_rows, HOT_MIN_SHARE * row["n"])
-    })
+    }
+    return sorted(hot), any(row["keyless"] >= min_rows for row in found)
 
 
 def _widen(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -130,10 +139,6 @@ def _widen(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[Data
     )
 
 
-def _outer(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys), "full")
-
-
 def _join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
     """Full outer join of the hot rows, in parts Spark can spread.
 
