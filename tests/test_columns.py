@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgrid.operators import columns
 from weftgrid.operators.ranking import global_rank
+from weftgrid.session import materialize
 
 TEXTS = ["a,b,c,d", "q,w", "", ",", "x,,y,", "é,ü,ß", "none", None, "a;b,c", ",,,"]
 
@@ -149,3 +151,20 @@ def test_ranks_of_a_large_frame_equal_the_window(spark, rows):
     large = global_rank(df, order, "place", small_rows=100)
     assert "Window" not in large._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
     assert rows(small.select("id", "g", "place")) == rows(large.select("id", "g", "place"))
+
+
+def test_apply_takes_expressions_and_pandas_udfs(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n long, s string")
+
+    @F.pandas_udf("long")
+    def doubled(values: pd.Series) -> pd.Series:
+        return values * 2
+
+    assert [r["n"] for r in columns.apply(df, "n", doubled).orderBy("n").collect()] == [2, 4]
+    assert [r["s"] for r in columns.apply(df, "s", F.upper).orderBy("n").collect()] == ["A", "B"]
+
+
+def test_materialised_copies_keep_untyped_columns(spark, rows):
+    df = spark.createDataFrame([(1, "a")], "n int, s string").select("n", F.lit(None).alias("nothing"), "s")
+    copy = materialize(df, "copy")
+    assert copy.dtypes == df.dtypes and rows(copy) == rows(df)

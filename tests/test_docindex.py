@@ -20,6 +20,12 @@ def test_indexes(spark, rows):
     assert rows(index) == sorted([("b", "d1"), ("a", "d1"), ("a", "d2"), ("c", "d2"), ("", "d2"), ("b", "d2"), ("", "d3")], key=repr)
 
 
+def test_rows_of_one_key_share_their_postings(spark, rows):
+    df = spark.createDataFrame([("d", "a b"), ("d", "a c")], "doc string, t string")
+    assert rows(docindex.inverted_index(df, "doc", "t")) == [("a", "d"), ("b", "d"), ("c", "d")]
+    assert rows(docindex.binary_vectors(df, "doc", "t")) == [("d", "a", 1), ("d", "b", 1), ("d", "c", 1)]
+
+
 @pytest.mark.parametrize("kind", ["bigint", "string"])
 def test_posting_blocks_split_frequent_words(spark, kind):
     df = spark.range(500).selectExpr(f"cast(id AS {kind}) AS doc", "if(id % 2 = 0, 'hot even', 'hot') AS t")

@@ -128,3 +128,10 @@ def test_scales(spark):
     assert math.isclose(cells[("r", "2")][1], 300 / 7)
     by_row = pv.scale_cells(long, ["side"], ["lot"], "row").where("level = 'cell'")
     assert {r["heat"] for r in by_row.where("side = 'r'").collect()} == {0.0, 1.0}
+
+
+def test_sorted_grid(spark):
+    df = spark.createDataFrame([("k10", "x"), ("k9", "y"), ("k9", "x")], "side string, lot string")
+    ordered = pv.sort_keys(pv.pivot(df, ["side"], ["lot"]), ["side", "lot"], {"lot": ["y"]})
+    assert [(r["side"], r["lot"]) for r in ordered.collect()] == [
+        ("k9", "y"), ("k9", "x"), ("k9", None), ("k10", "x"), ("k10", None), (None, "y"), (None, "x"), (None, None)]

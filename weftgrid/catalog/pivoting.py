@@ -179,6 +179,17 @@ def pivot_derived(spark, sf):
     return _rounded(pv.pivot(events, ["event_type"], ["day"], "Sum", ["value"]), 2)
 
 
+@query("""
+    SELECT p_brand, p_type, CASE WHEN grouping(p_brand) = 0 AND grouping(p_type) = 0 THEN 'cell' WHEN grouping(p_brand) = 0 THEN 'row'
+           WHEN grouping(p_type) = 0 THEN 'col' ELSE 'total' END AS level, max(p_size)::DOUBLE AS value
+    FROM part GROUP BY GROUPING SETS ((p_brand, p_type), (p_brand), (p_type), ())
+""")
+def pivot_sorted(spark, sf):
+    """A grid in natural order of its row keys and listed order of its column keys."""
+    grid = pv.pivot(table(spark, sf, "part"), ["p_brand"], ["p_type"], "Maximum", ["p_size"])
+    return pv.sort_keys(grid, ["p_brand", "p_type"], {"p_type": ["STANDARD", "SMALL"]})
+
+
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice - l_extendedprice % 1000 AS bin FROM lineitem")
 def derive_bin(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", bin_down(F.col("l_extendedprice"), 1000).alias("bin"))

@@ -256,7 +256,7 @@ def binary_vectors(spark, sf):
     FROM ({_POSTINGS}) GROUP BY 1, 2
 """)
 def inverted_index_blocks(spark, sf):
-    index = docindex.inverted_index(_docs(spark, sf), "doc_id", "text")
+    index = docindex.inverted_index(_docs(spark, sf), "doc_id", "text", unique_key=True)
     blocks = docindex.posting_blocks(index, "doc_id", 100)
     return blocks.withColumn("docs", F.array_join("docs", ","))
 
@@ -339,6 +339,11 @@ def vector_cosine(spark, sf):
     return vectors.join(centres, "label").select("vec_id", "label", F.round(cosine, 6).alias("cosine"))
 
 
+@query("SELECT page_id, string_split(url, '/')[-1] AS name FROM pages")
+def base_names(spark, sf):
+    return table(spark, sf, "pages").select("page_id", docindex.base_name(F.col("url")).alias("name"))
+
+
 # --- pages --------------------------------------------------------------------------------
 
 @query("""

@@ -34,19 +34,21 @@ def forward_index(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.sort_array(F.array_distinct(words_of(F.col(text), fold=False))).alias("words"))
 
 
-def inverted_index(df: DataFrame, key: str, text: str) -> DataFrame:
+def inverted_index(df: DataFrame, key: str, text: str, unique_key: bool = False) -> DataFrame:
     """``(word, key)`` pairs: the posting lists in long form, which no frequent word can overfill.
 
-    Repeats are removed inside the row, so with a unique key nothing is shuffled.
-    Order by ``word, key`` to lay the lists out one after the other.
+    Repeats are removed inside the row; with ``unique_key`` that is all and nothing is
+    shuffled, otherwise rows of the same key are merged too.  Order by ``word, key`` to
+    lay the lists out one after the other.
     """
     words = F.array_distinct(words_of(F.col(text)))
-    return explode_column(df, [key], words, "word").select("word", key)
+    pairs = explode_column(df, [key], words, "word").select("word", key)
+    return pairs if unique_key else pairs.distinct()
 
 
 def binary_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, word, present)``: document vectors over the vocabulary, the ones only."""
-    return inverted_index(df, key, text).select(key, "word", F.lit(1).alias("present"))
+    return inverted_index(df, key, text).withColumn("present", F.lit(1)).select(key, "word", "present")
 
 
 def posting_blocks(index: DataFrame, key: str, block_size: int = BLOCK_SIZE) -> DataFrame:
@@ -114,7 +116,7 @@ def copy_groups(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def similar_documents(df: DataFrame, key: str, text: str, min_similarity: float) -> DataFrame:
-    """All pairs of distinct word sets whose cosine is at least ``min_similarity``.
+    """All pairs of distinct word sets whose cosine is at least ``min_similarity``; ``key`` must be unique.
 
     Rows ``(doc1, doc2, copies1, copies2, similarity)``, ``doc1 < doc2``, similarity cut to two
     decimals.  The result is exact and complete:
@@ -186,7 +188,7 @@ def similarity_matrix(df: DataFrame, key: str, text: str, limit: int = MATRIX_LI
     names = [r["k"] for r in df.select(F.col(key).cast("string").alias("k")).distinct().limit(limit + 1).collect()]
     if len(names) > limit:
         raise ValueError(f"more than {limit} documents: use similar_documents")
-    pairs = df.select(F.col(key).cast("string").alias("doc"), text).transform(inverted_index, "doc", text).distinct()
+    pairs = df.select(F.col(key).cast("string").alias("doc"), text).transform(inverted_index, "doc", text)
     sizes = F.broadcast(pairs.groupBy("doc").agg(F.count("*").alias("n")))  # at most ``limit`` rows
     shared = (
         pairs.select("word", F.col("doc").alias("doc1"))

@@ -7,14 +7,14 @@ grouping sets, never from the rows again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgrid.functions.numbers import num
-from weftgrid.functions.ordering import natural_order
+from weftgrid.functions.ordering import listed_order, natural_order
 
 WIDE_LIMIT = 200        # most column keys of a wide layout
 LIST_LIMIT = 10_000     # most distinct values a listed cell may hold
@@ -208,6 +208,16 @@ def _shown(totals: bool) -> Column:
     return F.lit(True) if totals else F.col("level") == "cell"
 
 
+def sort_keys(grid: DataFrame, keys: Sequence[str], listed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Order a grid by its keys: natural order, or the listed values of a key first; totals come last."""
+    order = []
+    for key in keys:
+        value = F.col(key)
+        order.append((value.isNull() | (value == "Totals")).asc())
+        order += listed_order(value, listed[key]) if listed and key in listed else natural_order(value)
+    return grid.orderBy(*order)
+
+
 def scale_cells(grid: DataFrame, rows: Sequence[str], cols: Sequence[str], scope: str = "all") -> DataFrame:
     """Heat and bar positions of a long grid's values.
 

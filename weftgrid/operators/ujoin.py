@@ -16,10 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HOT_TRACKED = 64        # most hot keys looked for per side
-HOT_SKETCH = 4096       # keys tracked by the heavy-hitter sketch
+from weftgrid.session import materialize
+
 HOT_MIN_ROWS = 5_000_000  # rows a key needs before it is worth its own branch
 HOT_MIN_SHARE = 0.002   # ... and its share of the side
+SKETCHES = 64           # heavy-hitter sketches per side, each for a range of key hashes
+SKETCH_KEYS = 64        # keys one sketch tracks
+SKETCH_TOP = 8          # most frequent keys read from one sketch
 
 _NUMERIC_RANK = ["tinyint", "smallint", "int", "bigint", "decimal", "float", "double"]
 
@@ -112,21 +115,22 @@ def key_profile(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows
     """Hashes of the very frequent keys, and whether rows without a key are as many.
 
     A key counts when it holds at least ``min_rows`` rows and a visible share of a
-    side.  The sketch has a fixed size, so at most ``HOT_TRACKED`` hashes per side
-    are found; a collision or a miss only changes which branch does the work.
+    side.  Each task sends a few sketches of fixed size, which different tasks merge,
+    and at most ``SKETCHES * SKETCH_TOP`` keys per side come back.  A collision or a
+    miss only changes which branch does the work.
     """
     key_hash = F.when(_has_keys(keys), F.xxhash64(*keys))
     sides = [side.select(F.lit(i).alias("side"), key_hash.alias("h")) for i, side in enumerate((left, right))]
-    found = sides[0].unionByName(sides[1]).groupBy("side").agg(
+    found = sides[0].unionByName(sides[1]).groupBy("side", F.pmod("h", F.lit(SKETCHES)).alias("sketch")).agg(
         F.count("*").alias("n"),
-        F.count_if(F.col("h").isNull()).alias("keyless"),
-        F.expr(f"approx_top_k(h, {HOT_TRACKED}, {HOT_SKETCH}) FILTER (WHERE h IS NOT NULL)").alias("top"),
+        F.expr(f"approx_top_k(h, {SKETCH_TOP}, {SKETCH_KEYS}) FILTER (WHERE h IS NOT NULL)").alias("top"),
     ).collect()
+    size = {i: sum(row["n"] for row in found if row["side"] == i) for i in (0, 1)}
     hot = {
         item["item"] for row in found for item in row["top"] or []
-        if item["count"] >= max(min_rows, HOT_MIN_SHARE * row["n"])
+        if item["count"] >= max(min_rows, HOT_MIN_SHARE * size[row["side"]])
     }
-    return sorted(hot), any(row["keyless"] >= min_rows for row in found)
+    return sorted(hot), any(row["sketch"] is None and row["n"] >= min_rows for row in found)
 
 
 def _widen(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -144,8 +148,8 @@ def _join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[Da
 
     The inner join's skewed partitions are split by adaptive execution on either
     side.  The unmatched rows come from anti joins against the distinct hot keys
-    of the other side: at most a few per tracked hash, so they are broadcast and
-    the rows themselves never move.
+    of the other side: about one per hash found, so they are broadcast and the rows
+    themselves never move.
     """
     left_keys, right_keys = (side.select(*keys).distinct() for side in (left, right))
     return [
@@ -161,20 +165,23 @@ def ujoin_all(frames: Mapping[str, DataFrame], **options) -> DataFrame:
     Frames that share columns, directly or through others, form a component.
     Within it the next frame is always one that shares a column with what is
     already joined: most shared columns first, then by name.  Components have
-    disjoint schemas and are unioned, in name order.
+    disjoint schemas and are unioned, best connected first.
+
+    A partial result is written out before the next join: looking at its keys and
+    splitting its rows must not run the joins before it again.
     """
-    waiting = dict(sorted(frames.items()))
-    waiting = {name: df for name, df in waiting.items() if df.columns}
+    waiting = {name: df for name, df in sorted(frames.items()) if df.columns}
     fused: list[DataFrame] = []
     while waiting:
         first = max(waiting, key=lambda name: _links(waiting[name], [d for n, d in waiting.items() if n != name]))
-        joined = waiting.pop(first)
+        joined, is_base = waiting.pop(first), True
         while True:
             linked = {name: len(shared_columns(joined, df)) for name, df in waiting.items()}
             if not any(linked.values()):
                 break
             name = max(linked, key=linked.get)
-            joined = ujoin(joined, waiting.pop(name), **options)
+            joined = ujoin(joined if is_base else materialize(joined, "u-join"), waiting.pop(name), **options)
+            is_base = False
         fused.append(joined)
     if not fused:
         return next(iter(frames.values()))

@@ -47,7 +47,7 @@ class Grid:
         return cls((_frame(source, spark),))
 
     def join(self, source: DataFrame | Mapping[str, Any], **options: Any) -> Grid:
-        """u-join another source."""
+        """u-join another source. After expensive steps, ``cut()`` first: the join looks at the keys beforehand."""
         other = _frame(source, self.spark)
         return self.step("join", lambda df: ujoin(df, other, **options))
 

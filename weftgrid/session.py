@@ -11,6 +11,8 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -57,8 +59,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     later use read only the columns it needs.  It is the caller's to delete.
     """
     path = shared_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # A column without a type has no values and no place in a file.
+    untyped = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]
+    stored = df.drop(*untyped)
+    stored.write.parquet(path)
+    copy = df.sparkSession.read.schema(stored.schema).parquet(path)
+    return copy.withColumns({name: F.lit(None) for name in untyped}).select(*df.columns) if untyped else copy
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgrid.operators.pivot import column_keys, pivot_wide
+from weftgrid.operators.pivot import pivot_wide, sort_keys
 from weftgrid.sources.readers import load_source
 
 
@@ -38,11 +38,15 @@ def write_word_counts(counts: DataFrame, path: str) -> str:
 
 def write_pivot_tsv(df: DataFrame, path: str, rows: Sequence[str], cols: Sequence[str], aggregator: str = "Count",
                     values: Sequence[str] = ()) -> str:
-    """Pivot cells as tab-separated text: row attributes, then one column per column key; a missing cell is empty."""
-    wide = pivot_wide(df, rows, cols, aggregator, values, column_keys(df, cols) if cols else None, totals=False)
+    """Pivot cells as tab-separated text in natural row order: row attributes, then one column per column key.
+
+    Without column attributes the value column is named after the aggregator.  A
+    missing cell is empty.
+    """
+    wide = pivot_wide(df, rows, cols, aggregator, values, totals=not cols)
     if not cols:
-        wide = pivot_wide(df, rows, cols, aggregator, values)
-    wide.write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", nullValue="")
+        wide = wide.where(F.col(rows[0]) != "Totals") if rows else wide
+    sort_keys(wide, rows).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", nullValue="")
     return path
 
 
