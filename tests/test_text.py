@@ -103,6 +103,16 @@ def test_wide_weights(docs):
         features.tfidf_wide(docs, "text", features.WIDE_LIMIT + 1)
 
 
+def test_token_columns_are_taken_as_they_are(docs):
+    tokens = text.preprocess(docs, "text")
+    wide = features.tfidf_wide(tokens, "text", 2)
+    assert wide.columns == ["doc_id", "text", "term_dog", "term_relat"]
+    assert wide.select("term_dog").collect() == features.tfidf_wide(docs, "text", 2).select("term_dog").collect()
+    vectors, vocabulary = features.tfidf_vectors(tokens, "text")
+    _, same = features.tfidf_vectors(docs, "text")
+    assert set(vocabulary) == set(same) and vectors.first()["text"].size == len(vocabulary)
+
+
 def test_wide_weights_fill_an_existing_column(docs):
     taken = docs.withColumn("term_dog", F.when(F.col("doc_id") == 0, F.lit(9.0)))
     found = {r["doc_id"]: r["term_dog"] for r in features.tfidf_wide(taken, "text", 1).collect()}

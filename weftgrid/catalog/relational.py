@@ -9,6 +9,7 @@ from weftgrid.catalog import query, table
 from weftgrid.functions.numbers import num
 from weftgrid.operators import columns
 from weftgrid.operators.features import label as label_column_op
+from weftgrid.operators.profile import describe_all
 from weftgrid.operators.ranking import global_rank
 from weftgrid.operators.ujoin import match_count, ujoin, ujoin_all
 from weftgrid.plans.grid import Grid, sample, sample_exact
@@ -282,11 +283,17 @@ def split_len_right(spark, sf):
 
 
 @query("""
-    SELECT name, type FROM (VALUES ('c_acctbal', 'double'), ('c_custkey', 'bigint'), ('c_mktsegment', 'string'),
-        ('c_name', 'string'), ('c_nationkey', 'int')) AS t(name, type) WHERE EXISTS (SELECT 1 FROM customer)
+    SELECT 'c_acctbal' AS name, 'double' AS type, count(c_acctbal) AS count FROM customer
+    UNION ALL SELECT 'c_custkey', 'bigint', count(c_custkey) FROM customer
+    UNION ALL SELECT 'c_mktsegment', 'string', count(c_mktsegment) FROM customer
+    UNION ALL SELECT 'c_name', 'string', count(c_name) FROM customer
+    UNION ALL SELECT 'c_nationkey', 'int', count(c_nationkey) FROM customer
 """)
 def schema_listing(spark, sf):
-    return columns.schema_listing(table(spark, sf, "customer"))
+    """Columns in name order with their types and how many values they hold."""
+    customers = table(spark, sf, "customer")
+    held = describe_all(customers).select(F.col("column").alias("name"), "count")
+    return columns.schema_listing(customers).join(held, "name").orderBy(F.lower("name"))
 
 
 # --- filters --------------------------------------------------------------------

@@ -145,7 +145,7 @@ def tfidf_stemmed(spark, sf):
 """)
 def tfidf_wide_topn(spark, sf):
     """One column per frequent term, listed as rows so that the schema does not depend on the data."""
-    wide = features.tfidf_wide(_filtered(spark, sf), "text", 20, tokens=True)
+    wide = features.tfidf_wide(_filtered(spark, sf), "text", 20)
     terms = [c for c in wide.columns if c.startswith("term_")]
     return wide.unpivot("doc_id", terms, "term", "weight").withColumn("weight", F.round("weight", 9))
 

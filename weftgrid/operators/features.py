@@ -13,6 +13,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, Hashi
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftgrid.functions.rows import explode_column
 from weftgrid.operators.ranking import global_rank
@@ -74,15 +75,18 @@ def top_terms(df: DataFrame, column: str, n: int) -> list[tuple[str, int]]:
     return [(r["term"], r["df"]) for r in best.orderBy(F.desc("tf"), F.asc("term")).limit(n).collect()]
 
 
-def tfidf_wide(df: DataFrame, column: str, n: int, tokens: bool = False) -> DataFrame:
+def _prepared(df: DataFrame, column: str) -> DataFrame:
+    """Text is preprocessed; a column of tokens is taken as it is."""
+    return df if isinstance(df.schema[column].dataType, T.ArrayType) else preprocess(df, column)
+
+
+def tfidf_wide(df: DataFrame, column: str, n: int) -> DataFrame:
     """Add ``term_<word>`` TF-IDF columns for the ``n`` most frequent terms; absent terms weigh 0.
 
-    The text column is kept.  With ``tokens`` the column already holds tokens,
-    otherwise it is preprocessed first.  The dictionary is small, so the weights are
+    The column, text or tokens, is kept.  The dictionary is small, so the weights are
     computed inside the row.  An existing column of that name is only filled where NULL.
     """
-    prepared = df.withColumn("_tokens", F.col(column))
-    prepared = prepared if tokens else preprocess(prepared, "_tokens")
+    prepared = _prepared(df.withColumn("_tokens", F.col(column)), "_tokens")
     chosen = top_terms(prepared, "_tokens", n)
     documents = prepared.count()
     counted = prepared.withColumn("_known", F.filter("_tokens", lambda t: t.isin([term for term, _ in chosen])))
@@ -107,8 +111,8 @@ def count_vectors(df: DataFrame, column: str, vocabulary_size: int = VOCABULARY_
 
 
 def tfidf_vectors(df: DataFrame, column: str, vocabulary_size: int = VOCABULARY_LIMIT) -> tuple[DataFrame, list[str]]:
-    """Preprocess a text column and replace it by its TF-IDF vector; also the vocabulary."""
-    counted, vocabulary = count_vectors(preprocess(df, column), column, vocabulary_size)
+    """Replace a text or token column by its TF-IDF vector; also the vocabulary."""
+    counted, vocabulary = count_vectors(_prepared(df, column), column, vocabulary_size)
     model = IDF(inputCol=column, outputCol=f"_{column}").fit(counted)
     return _replace(model.transform(counted), column, f"_{column}"), vocabulary
 
@@ -143,16 +147,15 @@ def word2vec(df: DataFrame, column: str, size: int = 2, min_count: int = 0, seed
 # --- topics -----------------------------------------------------------------
 
 def lda(df: DataFrame, column: str, k: int = 5, iterations: int = 20, seed: int = 42,
-        vocabulary_size: int = VOCABULARY_LIMIT, tokens: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Topic distribution of a text column and the topics' leading terms.
+        vocabulary_size: int = VOCABULARY_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """Topic distribution of a text or token column and the topics' leading terms.
 
     Returns the frame with the column replaced by its distribution vector, and rows
     ``(topic, rank, term, weight)`` with three terms per topic.  The model holds ``k``
     weights per vocabulary entry, which is bounded.  Every iteration reads the count
     vectors again, so they are written out once.
     """
-    prepared = df if tokens else preprocess(df, column)
-    counted, vocabulary = count_vectors(prepared, column, vocabulary_size)
+    counted, vocabulary = count_vectors(_prepared(df, column), column, vocabulary_size)
     model = LDA(featuresCol=column, topicDistributionCol=f"_{column}", k=k, maxIter=iterations, seed=seed).fit(
         materialize(counted.select(column), "count-vectors"))
     return _replace(model.transform(counted), column, f"_{column}"), _describe_topics(model, vocabulary)

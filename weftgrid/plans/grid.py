@@ -183,6 +183,9 @@ class Grid:
     def pivot(self, rows: list[str], cols: list[str], aggregator: str = "Count", values: tuple[str, ...] = ()) -> DataFrame:
         return pivot.pivot(self.df, rows, cols, aggregator, values)
 
+    def entities(self, key: str, column: str, gazetteer: DataFrame) -> DataFrame:
+        return text.entity_mentions(self.df, key, column, gazetteer)
+
     def search(self, key: str, column: str, terms: list[str]) -> DataFrame:
         return docindex.term_search(self.df, key, column, terms)
 
