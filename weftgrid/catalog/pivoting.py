@@ -160,15 +160,16 @@ def pivot_wide(spark, sf):
     return wide.withColumns({c: F.round(c, 2) for c in ("F", "O", "Totals")})
 
 
-@query("""
-    SELECT coalesce(user_id::VARCHAR, 'Totals') AS user_id, count(*) FILTER (event_type = 'click') AS click,
-           count(*) FILTER (event_type = 'purchase') AS purchase
-    FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id
+_EVENTS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query(f"""
+    SELECT user_id::VARCHAR AS user_id, {", ".join(f"count(*) FILTER (event_type = '{e}') AS {e}" for e in _EVENTS)}
+    FROM events GROUP BY user_id
 """)
 def pivot_wide_many_rows(spark, sf):
     """A wide grid of many rows over given column keys, cells only."""
-    events = table(spark, sf, "events").where(F.col("event_type").isin("click", "purchase"))
-    wide = pv.pivot_wide(events, ["user_id"], ["event_type"], "Count", column_values=["click", "purchase"], totals=False)
+    wide = pv.pivot_wide(table(spark, sf, "events"), ["user_id"], ["event_type"], "Count", column_values=_EVENTS, totals=False)
     return wide.na.fill(0)
 
 

@@ -194,6 +194,20 @@ def lda_terms(spark, sf):
     return topics.withColumn("weight", F.round("weight", 6))
 
 
+@query(f"""
+    WITH {_KEPT}, k AS (SELECT DISTINCT doc_id FROM kept)
+    SELECT documents.doc_id, 5 AS topics, CASE WHEN k.doc_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total
+    FROM documents LEFT JOIN k USING (doc_id)
+""")
+def lda_columns(spark, sf):
+    """One column per topic; the shares of a text add up to one."""
+    wide = features.topic_columns(_docs(spark, sf), "text")
+    topics = [c for c in wide.columns if c.startswith("topic__")]
+    shares = wide.unpivot("doc_id", topics, "topic", "share")
+    return shares.groupBy("doc_id").agg(
+        F.count_distinct("topic").cast("int").alias("topics"), F.round(F.sum("share"), 6).alias("total"))
+
+
 # --- sentences and mentions -------------------------------------------------------------
 
 _SENTENCES = """

@@ -268,8 +268,8 @@ def to_cells(df: DataFrame, row: str, family: str = "f1", columns: Sequence[str]
 
 
 def from_cells(cells: DataFrame, qualifiers: Sequence[str]) -> DataFrame:
-    """Cells back to one wide row per ``row`` key."""
-    return cells.groupBy("row").pivot("qualifier", list(qualifiers)).agg(F.first("value"))
+    """Cells back to one wide row per ``row`` key; of several values of a cell the greatest stays."""
+    return cells.groupBy("row").pivot("qualifier", list(qualifiers)).agg(F.max("value"))
 
 
 def explode_lines(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -199,5 +199,5 @@ def similarity_matrix(df: DataFrame, key: str, text: str, limit: int = MATRIX_LI
     similarity = truncate2(F.col("overlap") / F.sqrt((F.col("n1") * F.col("n2")).cast("double")))
     return (
         shared.select(F.col("doc1").alias("doc"), "doc2", similarity.alias("s"))
-        .groupBy("doc").pivot("doc2", sorted(names)).agg(F.first("s")).na.fill(0.0)
+        .groupBy("doc").pivot("doc2", sorted(names)).agg(F.max("s")).na.fill(0.0)
     )

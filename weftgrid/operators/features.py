@@ -19,6 +19,7 @@ from weftgrid.functions.rows import explode_column
 from weftgrid.operators.ranking import global_rank
 from weftgrid.operators.text import preprocess
 from weftgrid.session import materialize
+from weftgrid.sources.names import clean_names
 
 VOCABULARY_LIMIT = 1 << 18   # CountVectorizer's own bound on the vocabulary
 WIDE_LIMIT = 1000            # most term columns of a wide form
@@ -66,13 +67,15 @@ def tfidf(df: DataFrame, key: str, column: str) -> DataFrame:
     )
 
 
-def top_terms(df: DataFrame, column: str, n: int) -> list[tuple[str, int]]:
-    """The ``n`` most frequent terms with their document frequency (at most ``WIDE_LIMIT``)."""
+def top_terms(df: DataFrame, column: str, n: int) -> dict[str, int]:
+    """The ``n`` most frequent terms (at most ``WIDE_LIMIT``) with their document frequency."""
     if n > WIDE_LIMIT:
         raise ValueError(f"at most {WIDE_LIMIT} term columns: use the long form")
-    ids = df.select(F.monotonically_increasing_id().alias("_id"), column)
-    best = term_counts(ids, "_id", column).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
-    return [(r["term"], r["df"]) for r in best.orderBy(F.desc("tf"), F.asc("term")).limit(n).collect()]
+    totals = explode_column(df, [], F.col(column), "term").groupBy("term").agg(F.count("*").alias("tf"))
+    best = [r["term"] for r in totals.orderBy(F.desc("tf"), F.asc("term")).limit(n).collect()]
+    held = explode_column(df, [], F.array_distinct(column), "term").where(F.col("term").isin(best))
+    frequency = {r["term"]: r["df"] for r in held.groupBy("term").agg(F.count("*").alias("df")).collect()}
+    return {term: frequency[term] for term in best}
 
 
 def _prepared(df: DataFrame, column: str) -> DataFrame:
@@ -89,9 +92,9 @@ def tfidf_wide(df: DataFrame, column: str, n: int) -> DataFrame:
     prepared = _prepared(df.withColumn("_tokens", F.col(column)), "_tokens")
     chosen = top_terms(prepared, "_tokens", n)
     documents = prepared.count()
-    counted = prepared.withColumn("_known", F.filter("_tokens", lambda t: t.isin([term for term, _ in chosen])))
+    counted = prepared.withColumn("_known", F.filter("_tokens", lambda t: t.isin(list(chosen))))
     columns = {}
-    for term, frequency in chosen:
+    for term, frequency in chosen.items():
         name = f"term_{term}"
         tf = F.size("_known") - F.size(F.array_remove("_known", term))
         weight = tf * idf_weight(F.lit(float(frequency)), F.lit(documents))
@@ -173,12 +176,13 @@ def _describe_topics(model, vocabulary: Sequence[str], terms: int = 3) -> DataFr
 
 
 def topic_columns(df: DataFrame, column: str, k: int = 5, **options) -> DataFrame:
-    """Add one ``topic__w1_w2_w3`` column per topic; the text column is kept."""
+    """Add one ``topic__w1_w2_w3`` column per topic, numbered if topics share their words; the text is kept."""
     modelled, topics = lda(df.withColumn("_topics", F.col(column)), "_topics", k, **options)
     named = topics.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("terms"))
-    names = {r["topic"]: "topic__" + "_".join(t["term"] for t in r["terms"]) for r in named.collect()}
+    rows = sorted(named.collect(), key=lambda r: r["topic"])
+    names = clean_names(["topic__" + "_".join(t["term"] for t in r["terms"]) for r in rows])
     shares = vector_to_array(F.col("_topics"))
-    return modelled.withColumns({names[t]: shares[t] for t in sorted(names)}).drop("_topics")
+    return modelled.withColumns({name: shares[r["topic"]] for r, name in zip(rows, names, strict=True)}).drop("_topics")
 
 
 # --- labels -----------------------------------------------------------------
@@ -186,7 +190,8 @@ def topic_columns(df: DataFrame, column: str, k: int = 5, **options) -> DataFram
 def label_dictionary(df: DataFrame, column: str) -> DataFrame:
     """``(column, <column>_label)``: 0.0 for the most frequent value, ties in value order."""
     counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    ranked = global_rank(counts, [F.desc("_n"), F.asc(column)], "_rank")
+    # Ranking reads the counts more than once; the data should be counted only once.
+    ranked = global_rank(materialize(counts, "label-counts"), [F.desc("_n"), F.asc(column)], "_rank")
     return ranked.select(column, (F.col("_rank") - 1).cast("double").alias(f"{column}_label"))
 
 

@@ -201,7 +201,7 @@ def pivot_wide(df: DataFrame, rows: Sequence[str], cols: Sequence[str], aggregat
     column_key = F.when(F.col("level").isin("cell", "col"), F.concat_ws("-", *cols)).otherwise("Totals")
     row_keys = [F.coalesce(F.col(r), F.lit("Totals")).alias(r) for r in rows]
     spread = grid.select(*row_keys, column_key.alias("_key"), "value")
-    return spread.groupBy(*rows).pivot("_key", names + (["Totals"] if totals else [])).agg(F.first("value"))
+    return spread.groupBy(*rows).pivot("_key", names + (["Totals"] if totals else [])).agg(F.max("value"))
 
 
 def _shown(totals: bool) -> Column:
