@@ -126,6 +126,15 @@ def test_sort_spreads_a_frequent_value(spark):
     assert holders > 1
 
 
+def test_sorted_copies_are_all_there(spark, monkeypatch):
+    monkeypatch.setattr(columns, "RUN", 7)
+    df = spark.range(0, 1000, 1, 4).selectExpr("if(id % 3 = 0, null, id % 5) AS v", "'x' AS s")
+    ordered = [tuple(r) for r in columns.sort_copies(df, "v").collect()]
+    assert [r[0] for r in ordered] == sorted((r[0] for r in df.collect()), key=lambda v: (v is not None, v))
+    assert len(ordered) == 1000
+    assert columns.sort_copies(df, "v", ascending=False).first()["v"] == 4
+
+
 def test_sort_null_order(spark):
     df = spark.createDataFrame([(2,), (None,), (1,)], "n int")
     assert [r[0] for r in columns.sort(df, "n").collect()] == [None, 1, 2]

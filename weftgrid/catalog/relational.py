@@ -375,6 +375,13 @@ def sort_column(spark, sf):
     return columns.sort(orders, "o_orderpriority").drop("o_orderpriority")
 
 
+@query("SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+def sort_copies(spark, sf):
+    """The whole table in order, once its rows are reduced to a few that repeat."""
+    flags = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    return columns.sort_copies(flags, "l_returnflag", ascending=False)
+
+
 @query("""
     SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_orderkey, o_totalprice FROM orders
 """)

@@ -19,6 +19,7 @@ COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     "!=": operator.ne, ">=": operator.ge, ">": operator.gt,
 }
 LONG_LIST = 500  # an exclusion list beyond this joins instead of becoming literals
+RUN = 10_000     # copies of a row that are sorted as one
 
 
 # --- projection -------------------------------------------------------------
@@ -232,11 +233,29 @@ def sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
 
     Equal values would all land in one range partition, however many they are, so
     a hash of the row breaks ties: a frequent value then spreads over several.
+    Whole rows that repeat stay together; ``sort_copies`` is for frames of such rows.
     """
     if column not in df.columns:
         return df
-    key = F.col(column).asc() if ascending else F.col(column).desc()
-    return df.orderBy(key, F.xxhash64(*_hashable(df)))
+    return df.orderBy(_direction(column, ascending), F.xxhash64(*_hashable(df)))
+
+
+def sort_copies(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
+    """``sort`` for a frame in which few distinct rows repeat often.
+
+    Copies are counted before the shuffle and travel as runs of at most ``RUN``
+    rows, which are written out again after the sort.
+    """
+    run, size = F.col("_run"), F.col("_size")
+    counted = df.groupBy(*df.columns).agg(F.count("*").alias("_copies"))
+    runs = counted.withColumn("_run", F.explode(F.expr(f"sequence(0, (_copies - 1) div {RUN})")))
+    sized = runs.withColumn("_size", F.least(F.lit(RUN), F.col("_copies") - run * RUN))
+    ordered = sized.orderBy(_direction(column, ascending), F.xxhash64(*_hashable(df)), run)
+    return ordered.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), size))).select(*df.columns)
+
+
+def _direction(column: str, ascending: bool) -> Column:
+    return F.col(column).asc() if ascending else F.col(column).desc()
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
