@@ -20,6 +20,13 @@ def test_indexes(spark, rows):
     assert rows(index) == sorted([("b", "d1"), ("a", "d1"), ("a", "d2"), ("c", "d2"), ("", "d2"), ("b", "d2"), ("", "d3")], key=repr)
 
 
+def test_folded_words_are_stripped(spark):
+    texts = ["a\n b", "\n\ta\tb \n ", " \n", "", "X\n", "\r\nX Y\x0b", "a \n\n b", "\n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    expected = [[w.strip(" \t\n\x0b\f\r").lower() for w in t.split(" ")] for t in texts]
+    assert [r[0] for r in df.select(docindex.words_of(F.col("t"))).collect()] == expected
+
+
 def test_rows_of_one_key_share_their_postings(spark, rows):
     df = spark.createDataFrame([("d", "a b"), ("d", "a c")], "doc string, t string")
     assert rows(docindex.inverted_index(df, "doc", "t")) == [("a", "d"), ("b", "d"), ("c", "d")]

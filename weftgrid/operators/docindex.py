@@ -14,15 +14,17 @@ from weftgrid.session import materialize
 
 BLOCK_SIZE = 1000     # documents per posting block
 MATRIX_LIMIT = 200    # most documents of a similarity matrix
+WORD_EDGE = r"(?<=^| )[\s&&[^ ]]+|[\s&&[^ ]]+(?= |\z)"
 _SLACK = 1e-9         # widens the filters against rounding; the similarity itself is exact
 
 
 def words_of(text: Column, fold: bool = True) -> Column:
     """Words between single spaces; folded words are stripped and lower-cased."""
-    words = F.split(F.coalesce(text, F.lit("")), " ")
-    if not fold:
-        return words
-    return F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"^\s+|\s+$", "")))
+    text = F.coalesce(text, F.lit(""))
+    if fold:
+        # Strip all words at once: other white space next to a space or an end of the text.
+        text = F.regexp_replace(F.lower(text), WORD_EDGE, "")
+    return F.split(text, " ")
 
 
 def base_name(path: Column) -> Column:
@@ -110,7 +112,8 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def copy_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, doc)``: the representative (least key) of the documents with the same word set."""
-    sets = word_sets(df, key, text).select(key, "signature")
+    # The texts are read once; the signatures twice.
+    sets = materialize(word_sets(df, key, text).select(key, "signature"), "signatures")
     heads = sets.groupBy("signature").agg(F.min(key).alias("doc"))
     return sets.join(heads, "signature").select(key, "doc")
 
