@@ -22,3 +22,20 @@ def spark(tmp_path_factory):
 def rows():
     """Rows of a frame as a sorted list of tuples."""
     return lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+@pytest.fixture
+def forced_skew(spark):
+    """No broadcasts, and skew splitting at sizes a test can reach."""
+    changed = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k) for k in changed if spark.conf.get(k, None) is not None}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k in changed:
+        spark.conf.set(k, before[k]) if k in before else spark.conf.unset(k)

@@ -140,6 +140,17 @@ def test_labels_of_many_values(spark, monkeypatch):
     assert {tuple(r) for r in features.label(df, "v").collect()} == expected
 
 
+def test_join_with_the_dictionary_splits_a_frequent_value(spark, forced_skew):
+    """Labels join the data with one row per value: a value in a third of the rows is split."""
+    rows = spark.range(0, 30000, 1, 8).selectExpr(
+        "id", "if(id % 3 = 0, 0, id) AS v", "concat(md5(string(id)), md5(string(-id))) AS pad")
+    labelled = features.label(rows, "v").where("v_label >= 0")
+    found = labelled.collect()
+    assert len(found) == 30000
+    assert sum(r["v_label"] == 0.0 for r in found) == 10000
+    assert "skew=true" in labelled._jdf.queryExecution().executedPlan().toString()
+
+
 def test_word_vectors(docs):
     tokens = text.preprocess(docs, "text")
     vectors = features.word2vec(tokens, "text")
