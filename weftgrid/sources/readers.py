@@ -6,6 +6,7 @@ normalises the column names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -94,7 +95,7 @@ def empty_frame(spark: SparkSession) -> DataFrame:
 
 def typed_fields(lines: DataFrame, fields: Mapping[str, str], column: str = "value", sep: str = ",") -> DataFrame:
     """Split delimited lines into named, typed columns; a bad or missing field is NULL."""
-    parts = F.split(F.col(column), f"\\Q{sep}\\E")
+    parts = F.split(F.col(column), re.escape(sep))
     return lines.select(*[
         F.get(parts, F.lit(i)).try_cast(dtype).alias(name) for i, (name, dtype) in enumerate(fields.items())
     ])
