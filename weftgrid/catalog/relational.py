@@ -519,6 +519,38 @@ def recipe_replay(spark, sf):
     return trial.replay(orders).df.select("o_orderkey", "p1", "p2")
 
 
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
+def grid_reset(spark, sf):
+    """Steps forgotten by a reset leave the base as it was."""
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return Grid.load(orders).drop("o_totalprice").filter("o_orderstatus", "=", "F").reset().redo().df
+
+
+@query("""
+    SELECT coalesce(c_nationkey, s_nationkey) AS nationkey, customers, suppliers
+    FROM (SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY 1)
+    FULL OUTER JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey
+""")
+def grid_load_join(spark, sf):
+    """An empty grid adopts its first source; the next one is u-joined."""
+    counts = [
+        table(spark, sf, name).groupBy(F.col(f"{name[0]}_nationkey").alias("nationkey")).agg(F.count("*").alias(f"{name}s"))
+        for name in ("customer", "supplier")
+    ]
+    return Grid.empty(spark).join(counts[0]).join(counts[1]).df
+
+
+@query("""
+    SELECT TRUE AS all_match, count(*) >= 100 AS enough FROM lineitem WHERE l_quantity > 45 AND l_returnflag = 'A' AND l_discount > 0.09
+""")
+def preview_resample(spark, sf):
+    """A preview whose sampled rows became too few is taken from the result instead."""
+    grid = Grid.load(table(spark, sf, "lineitem")).filter("l_quantity", ">", 45).filter("l_returnflag", "=", "A").filter(
+        "l_discount", ">", 0.09)
+    right = (F.col("l_quantity") > 45) & (F.col("l_returnflag") == "A") & (F.col("l_discount") > 0.09)
+    return grid.sampled_preview().agg(F.coalesce(F.every(right), F.lit(True)).alias("all_match"), (F.count("*") >= 100).alias("enough"))
+
+
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY o_orderstatus ORDER BY n DESC LIMIT 1000")
 def sql_query(spark, sf):
     return Grid.load(table(spark, sf, "orders")).sql(
