@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_rules, sharding
+from . import decontamination, importance, language, line_rules, mixing, packing, sharding, simhash
 from .sql import LINE_RULES_SQL, DECONTAMINATION_SQL
 
 
@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select(
@@ -32,11 +37,31 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
         decontamination.is_contaminated(hits).alias("contaminated"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.quality_rules(table(spark, sf_dir, "documents"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_word_chars")
 
 
-QUERIES = {f.__name__: f for f in (op2_sharding, op4_benchmark_decontamination, op6_quality_rules)}
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken_words(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_tokens(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op2_sharding, op4_benchmark_decontamination, op5_quality_classifier, op6_quality_rules,
+    op8_mixing_sources, op9_language_id, op10_token_id_output)}
 SQL = {"op4_benchmark_decontamination": DECONTAMINATION_SQL, "op6_quality_rules": LINE_RULES_SQL}
