@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, importance, language, line_rules, mixing, packing, sharding, simhash
-from .sql import LINE_RULES_SQL, DECONTAMINATION_SQL
+from . import decontamination, importance, language, line_rules, mixing, packing, sharding, simhash, site_spread, suffixes
+from .sql import DECONTAMINATION_SQL, LINE_RULES_SQL, LINE_SPREAD_SQL, MIXING_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontamination.mark_contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -48,6 +52,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_word_chars")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = site_spread.remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return cleaned.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.taken_words(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
@@ -62,6 +72,8 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_simhash_near_dedup, op2_sharding, op4_benchmark_decontamination, op5_quality_classifier, op6_quality_rules,
+    op1_simhash_near_dedup, op2_sharding, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_quality_rules, op7_line_dedup,
     op8_mixing_sources, op9_language_id, op10_token_id_output)}
-SQL = {"op4_benchmark_decontamination": DECONTAMINATION_SQL, "op6_quality_rules": LINE_RULES_SQL}
+SQL = {
+    "op4_benchmark_decontamination": DECONTAMINATION_SQL, "op6_quality_rules": LINE_RULES_SQL,
+    "op7_line_dedup": LINE_SPREAD_SQL, "op8_mixing_sources": MIXING_SQL}

@@ -67,3 +67,60 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 2 * clean_word_chars >= word_chars AS kept
 FROM counted
 """
+
+LINE_SPREAD_SQL = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), line AS (
+    SELECT r, source, i, lines[i] AS x, length(regexp_replace(lines[i], '[\x20\x09-\x0D]+', '', 'g')) > 0 AS worded
+    FROM (SELECT r, source, lines, unnest(range(1, len(lines) + 1)) AS i FROM doc)
+), spread AS (
+    SELECT x FROM line WHERE worded GROUP BY x
+    HAVING count(DISTINCT source) + max(CASE WHEN source IS NULL THEN 1 ELSE 0 END) >= 10
+), judged AS (
+    SELECT r, i, x, worded, worded AND x IN (SELECT x FROM spread) AS gone FROM line
+)
+SELECT doc_id, count(*) FILTER (WHERE worded) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged JOIN doc USING (r) GROUP BY r, doc_id
+"""
+
+# Targets: sources in order of how soon their cap is reached; those before the first that is not are full.
+MIXING_SQL = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS k
+    FROM documents
+), src AS (
+    SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no,
+           CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+    FROM doc GROUP BY source
+), filling AS (
+    SELECT *, 1.5::DOUBLE * sum(n) OVER () - coalesce(sum(2 * n) OVER before, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS weight
+    FROM src WINDOW before AS (ORDER BY CAST(n AS DOUBLE) / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), open AS (
+    SELECT *, w * rest / weight > 2 * n AS full_ FROM filling
+), shared AS (
+    SELECT 1.5::DOUBLE * (SELECT sum(n) FROM src) - coalesce(sum(2 * n) FILTER (WHERE full_), 0) AS rest, sum(w) FILTER (WHERE NOT full_) AS weight FROM open
+), goal AS (
+    SELECT source, no, CAST(n AS BIGINT) AS n, CASE WHEN full_ THEN CAST(2 * n AS DOUBLE) ELSE w * shared.rest / shared.weight END AS target
+    FROM open, shared
+), cut AS (
+    SELECT no, floor(sum(target) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () * 2147483648) AS high,
+           max(no) OVER () = no AS last
+    FROM goal
+), slot AS (
+    SELECT ((t % 2147483648) * 1327217885) % 2147483648 AS point
+    FROM (SELECT unnest(range(CAST(floor((SELECT sum(target) FROM goal) / 128 + 0.5) AS BIGINT))) AS t)
+), slots AS (
+    SELECT no, 128 * count(*) AS words
+    FROM (SELECT (SELECT count(*) FROM cut WHERE NOT last AND high <= point) AS no FROM slot) GROUP BY no
+), placed AS (
+    SELECT doc_id, size, goal.n AS source_size, target, no,
+           coalesce(sum(size) OVER (PARTITION BY no ORDER BY k, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+    FROM doc JOIN goal ON doc.source IS NOT DISTINCT FROM goal.source
+)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(least(size, greatest(0, coalesce(words, 0) - a)) + least(size, greatest(0, coalesce(words, 0) - source_size - a)) AS BIGINT) AS taken
+FROM placed LEFT JOIN slots USING (no)
+"""
