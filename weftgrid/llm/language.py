@@ -36,8 +36,9 @@ def codewords(languages: int, seed: int = 5) -> np.ndarray:
     the best of some random codes of 8 bits per doubling of the languages, by least distance.
     """
     if languages <= 6:
-        bits = [[1 if i == 0 or (split >> (i - 1)) & 1 else -1 for split in range((1 << (languages - 1)) - 1)] for i in range(languages)]
-        return np.array(bits, np.int8).reshape(languages, -1)
+        splits = (1 << max(0, languages - 1)) - 1
+        bits = [[1 if i == 0 or (split >> (i - 1)) & 1 else -1 for split in range(splits)] for i in range(languages)]
+        return np.array(bits, np.int8).reshape(languages, splits)
     rng, best, width = np.random.default_rng(seed), None, 8 * int(np.ceil(np.log2(languages)))
     for _ in range(50):
         code = rng.choice(np.array([-1, 1], np.int8), (languages, width))

@@ -106,7 +106,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """Documents of ``mix_plan`` with ``taken``: how many of their words the mix takes, repeats counted."""
-    held, mixed = mix_plan(docs, **options)
+    held, mixed = mix_plan(docs.drop("taken"), **options)
     sums = mixed.groupBy("mix_row").agg(F.sum("n").alias("taken"))
     return held.join(sums, "mix_row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("mix_row")
 
@@ -118,9 +118,10 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """
     held, mixed = mix_plan(docs, **options)
     # A source's slots take its blocks from the first one without a gap, so a document's pieces are its first words.
-    sums = mixed.groupBy("mix_row", "epoch").agg(F.sum("n").alias("taken"))
-    part = F.array_join(F.slice(words_of(F.col("text")), 1, F.col("taken").cast("int")), " ")
+    taken = unused(held, "_taken")
+    sums = mixed.groupBy("mix_row", "epoch").agg(F.sum("n").alias(taken)).drop("epoch")
+    part = F.array_join(F.slice(words_of(F.col("text")), 1, F.col(taken).cast("int")), " ")
     return held.join(sums, "mix_row").withColumn(
-        "text", F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(part)).select(*docs.columns)
+        "text", F.when(F.col(taken) == F.col("size"), F.col("text")).otherwise(part)).select(*docs.columns)
 
 

@@ -108,6 +108,7 @@ def _tiles(size: int):
 
 def near(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``left`` and ``right`` of all pairs that differ in at most ``radius`` bits."""
+    left, right = left.view(np.uint64), right.view(np.uint64)  # bits are counted of the absolute value
     rows, columns, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], max(1, _PAIRS // max(1, len(left)))
     for at in range(0, len(right), step):
         i, j = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, at:at + step]) <= radius)

@@ -32,7 +32,7 @@ def site_lines(docs: DataFrame, site: str) -> DataFrame:
     keys = F.transform(F.filter(lines_of(F.col("text")), has_word), line_key)
     return docs.select(
         F.concat(F.lit("s"), F.col(site).cast("string")).alias("site"), F.explode_outer(keys).alias("key")
-    ).where("key IS NOT NULL").select("key.h1", "key.h2", F.coalesce("site", F.lit("")).alias("site"))
+    ).where("key IS NOT NULL").select("key.h1", "key.h2", F.coalesce("site", F.lit("none")).alias("site"))
 
 
 def boilerplate_keys(docs: DataFrame, site: str = "source", min_sites: int = 10) -> DataFrame:
