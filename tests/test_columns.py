@@ -70,10 +70,16 @@ def test_split_rejects_unknown_methods(texts):
         columns.split_column(texts, "t", 2, "middle", "char", ",")
 
 
-def test_absent_columns_are_left_alone(texts):
-    for made in (columns.rename(texts, "zz", "y"), columns.drop(texts, "zz"), columns.to_text(texts, "zz"),
-                 columns.sort(texts, "zz"), columns.filter_rows(texts, "zz", "=", 1), columns.expand_vector(texts, "zz", 2)):
+def test_absent_columns_are_errors_where_a_step_would_be_lost(texts):
+    for made in (columns.rename(texts, "zz", "y"), columns.drop(texts, "zz")):
         assert made.columns == texts.columns
+    for step in (columns.to_text, columns.sort, columns.expand_vector):
+        with pytest.raises(ValueError, match="no column zz"):
+            step(texts, "zz")
+    for lost in (lambda: columns.filter_rows(texts, "zz", "=", 1), lambda: columns.apply(texts, "zz", F.upper),
+                 lambda: columns.split_column(texts, "zz", 2, "begin", "char", " ")):
+        with pytest.raises(ValueError, match="no column zz"):
+            lost()
 
 
 def test_filters(spark, rows):

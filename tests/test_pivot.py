@@ -135,3 +135,22 @@ def test_sorted_grid(spark):
     ordered = pv.sort_keys(pv.pivot(df, ["side"], ["lot"]), ["side", "lot"], {"lot": ["y"]})
     assert [(r["side"], r["lot"]) for r in ordered.collect()] == [
         ("k9", "y"), ("k9", "x"), ("k9", None), ("k10", "x"), ("k10", None), (None, "y"), (None, "x"), (None, None)]
+
+
+def test_wide_keys_that_read_alike_stay_apart(spark, rows):
+    df = spark.createDataFrame([("r", "a-b", "c", 1.0), ("r", "a", "b-c", 5.0), ("Totals", "a", "b-c", 1.0), ("r", "Totals", "x", 2.0)],
+                               "r string, c string, d string, v double")
+    wide = pv.pivot_wide(df, ["r"], ["c", "d"], "Sum", ["v"])
+    assert sorted(wide.columns) == sorted(["r", "a-b-c", "a-b-c_2", "Totals-x", "Totals"])
+    found = rows(wide.select("r", "`a-b-c`", "`a-b-c_2`", "`Totals-x`", "Totals"))
+    assert sorted([sorted(r[1:3], key=repr) + list(r[3:]) for r in found if r[0] == "r"]) == [[1.0, 5.0, 2.0, 8.0]]
+    assert sorted(r[4] for r in found if r[0] == "Totals") == [1.0, 9.0]  # the row named so, and the totals
+    single = pv.pivot_wide(df, ["r"], ["c"], "Sum", ["v"])
+    assert "Totals" in single.columns and "Totals_2" in single.columns
+
+
+def test_keys_that_are_not_listed_are_errors(spark):
+    df = spark.createDataFrame([("r", "x", 1.0), ("r", "z", 7.0)], "r string, c string, v double")
+    assert pv.pivot_wide(df, ["r"], ["c"], "Sum", ["v"], column_values=["x", "z"]).first()["Totals"] == 8.0
+    with pytest.raises(Exception, match="not listed"):
+        pv.pivot_wide(df, ["r"], ["c"], "Sum", ["v"], column_values=["x"]).collect()

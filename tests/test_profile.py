@@ -74,3 +74,19 @@ def test_describe(spark):
 def test_boolean_has_no_histogram(spark):
     with pytest.raises(ValueError):
         histogram(spark.createDataFrame([(True,)], "b boolean"), "b")
+
+
+def test_histogram_of_all_bigints(spark):
+    df = spark.createDataFrame([(-(1 << 63),), ((1 << 63) - 1,), (0,), (None,)], "v bigint")
+    found = histogram(df, "v").collect()
+    assert sum(r["n"] for r in found) == 3
+    assert all(a["high"] == b["low"] for a, b in zip(found, found[1:])) or len(found) > 1
+
+
+def test_histogram_counts_infinity_and_nan(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (float("inf"),), (float("-inf"),), (float("nan"),), (None,)], "v double")
+    found = sorted(histogram(df, "v").collect(), key=lambda r: r["bucket"])
+    assert sum(r["n"] for r in found) == 6
+    assert [(r["label"], r["n"]) for r in found if r["low"] is None] == [("-Infinity", 1), ("Infinity", 1), ("NaN", 2)]
+    only = histogram(df.where("isnan(v)"), "v").collect()
+    assert [(r["bucket"], r["label"], r["n"]) for r in only] == [(0, "NaN", 2)]

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgrid.operators.ujoin import common_type, key_profile, match_count, schema_difference, schema_union, shared_columns, ujoin, ujoin_all
@@ -70,10 +71,12 @@ def test_many_frames_in_any_order(spark, rows):
 @pytest.mark.parametrize("a, b, expected", [
     (T.IntegerType(), T.StringType(), T.StringType()),
     (T.IntegerType(), T.LongType(), T.LongType()),
-    (T.LongType(), T.FloatType(), T.DoubleType()),
+    (T.LongType(), T.FloatType(), T.StringType()),
+    (T.IntegerType(), T.FloatType(), T.DoubleType()),
     (T.ShortType(), T.FloatType(), T.FloatType()),
     (T.DecimalType(10, 2), T.DecimalType(8, 4), T.DecimalType(12, 4)),
-    (T.DecimalType(10, 2), T.IntegerType(), T.DecimalType(22, 2)),
+    (T.DecimalType(10, 2), T.IntegerType(), T.DecimalType(12, 2)),
+    (T.DecimalType(38, 18), T.DecimalType(38, 0), T.StringType()),
     (T.DateType(), T.TimestampType(), T.TimestampType()),
     (T.BooleanType(), T.IntegerType(), T.StringType()),
     (T.NullType(), T.IntegerType(), T.IntegerType()),
@@ -118,9 +121,8 @@ def test_hot_keys_take_their_own_branch_with_the_same_result(spark, rows, seed):
               for side, n in ((left, "a"), (right, "b"))]
     expected = sorted([(r["k"], r["j"], r.get("a"), r.get("b")) for r in brute_force(left, right, ["k", "j"])], key=repr)
     assert rows(ujoin(*frames)) == rows(ujoin(*frames, profile=False)) == expected
-    hot, many_keyless = key_profile(*frames, ["k", "j"], 10)
-    assert hot and many_keyless
-    assert key_profile(*frames, ["k", "j"], 1000) == ([], False)
+    assert key_profile(*frames, ["k", "j"], 10)
+    assert key_profile(*frames, ["k", "j"], 1000) == []
     assert rows(ujoin(*frames, hot_min_rows=10)) == expected
     counted = match_count(*frames).first()
     assert counted["total"] == len(expected)
@@ -137,3 +139,47 @@ def test_skewed_inner_part_is_split(spark, forced_skew):
     kept = fused.where("b is not null or a is not null")
     kept.collect()
     assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_with_many_matches_or_a_small_share_take_the_branch(spark, rows, monkeypatch):
+    """A key counts by its rows or by rows times rows, whatever share of a side it is."""
+    from weftgrid.operators import ujoin as module
+
+    left = spark.range(0, 20000).selectExpr("if(id < 20, 7, id) AS k", "id AS a")
+    right = spark.range(0, 3000).selectExpr("if(id < 30, 7, id + 50000) AS k", "id AS b")
+    plain = rows(ujoin(left, right, profile=False))
+    assert key_profile(left, right, ["k"], 1000) == []
+    assert len(key_profile(left, right, ["k"], 20)) >= 1  # 0.1 % of a side
+    monkeypatch.setattr(module, "HOT_MIN_PAIRS", 600)
+    assert len(key_profile(left, right, ["k"], 1000)) == 1  # 20 x 30 matches
+    assert rows(ujoin(left, right, hot_min_rows=1000)) == plain and len(plain) == 600 + 19980 + 2970
+
+
+def test_rows_without_a_key_are_spread(spark):
+    left = spark.range(0, 5000, 1, 4).selectExpr("if(id % 2 = 0, NULL, id) AS k", "id AS a")
+    right = spark.range(0, 50).selectExpr("if(id % 2 = 0, NULL, id) AS k", "id AS b")
+    fused = ujoin(left, right)
+    assert fused.columns == ["k", "a", "b"]
+    assert fused.where("k IS NULL").count() == 2525 and fused.where("a IS NOT NULL AND b IS NOT NULL").count() == 25
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = fused.select("k", F.spark_partition_id().alias("p")).where("k IS NULL").groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in found) < 1500
+
+
+def test_numbers_are_compared_exactly(spark, rows):
+    big = spark.createDataFrame([(9007199254740993, 1), (5, 2), (7, 3)], "k bigint, a int")
+    real = spark.createDataFrame([(9007199254740992.0, 1), (5.0, 2), (7.5, 3)], "k double, b int")
+    assert rows(ujoin(big, real)) == [("5", 2, 2), ("7", 3, None), ("7.5", None, 3), ("9007199254740992", None, 1), ("9007199254740993", 1, None)]
+    fine = spark.sql("SELECT CAST('1.5' AS decimal(38,18)) AS k, 1 AS a")
+    wide = spark.sql("SELECT CAST(x AS decimal(38,0)) AS k, y AS b FROM VALUES ('99999999999999999999999999999999999999', 1), ('2', 2) t(x, y)")
+    assert rows(ujoin(fine, wide)) == [("1.5", 1, None), ("2", None, 2), ("99999999999999999999999999999999999999", None, 1)]
+
+
+def test_names_are_compared_as_the_session_does(spark, rows):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "ID int, x string")
+    right = spark.createDataFrame([(2, "c")], "id int, y string")
+    fused = ujoin(left, right)
+    assert fused.columns == ["ID", "x", "y"] and rows(fused) == [(1, "a", None), (2, "b", "c")]

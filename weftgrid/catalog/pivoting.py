@@ -173,6 +173,21 @@ def pivot_wide_many_rows(spark, sf):
     return wide.na.fill(0)
 
 
+_PAIRS = [(status, str(line)) for status in ("F", "O") for line in range(1, 8)]
+
+
+@query(f"""
+    SELECT coalesce(l_returnflag, 'Totals') AS l_returnflag,
+           {", ".join(f"nullif(count(*) FILTER (l_linestatus = '{a}' AND l_linenumber = {b}), 0) AS \"{a}-{b}\"" for a, b in _PAIRS)},
+           count(*) AS "Totals"
+    FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), ())
+""")
+def pivot_wide_two_columns(spark, sf):
+    """A wide grid with two column attributes; the keys are looked up."""
+    wide = pv.pivot_wide(table(spark, sf, "lineitem"), ROWS, ["l_linestatus", "l_linenumber"], "Count")
+    return wide.select("l_returnflag", *[f"`{a}-{b}`" for a, b in _PAIRS], "Totals")
+
+
 @query(_grid_sql("round(sum(value), 2)", "(SELECT event_type, strftime(ts, '%a') AS day, value FROM events)", "event_type", "day"))
 def pivot_derived(spark, sf):
     """A grid whose column key is derived from a time stamp."""

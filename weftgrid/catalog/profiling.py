@@ -122,3 +122,31 @@ def hist_string_lines(spark, sf):
     """Lines of text: empty values and letters beyond ASCII."""
     lines = explode_column(table(spark, sf, "documents"), [], F.split("text", "\n"), "line")
     return histogram(lines, "line")
+
+
+@query("""SELECT count(*) AS n, count(*) AS counted, 20 AS buckets, true AS closed FROM orders""")
+def hist_hash_column(spark, sf):
+    """Whole numbers over the whole range of a bigint: every value is in one of twenty joined buckets."""
+    orders = table(spark, sf, "orders").select(F.xxhash64("o_orderkey").alias("h"))
+    found = histogram(orders, "h").agg(
+        F.sum("n").alias("counted"), F.count(F.lit(1)).cast("int").alias("buckets"),
+        F.sort_array(F.collect_list(F.struct("bucket", "low", "high"))).alias("b"))
+    joined = F.forall(F.sequence(F.lit(1), F.size("b") - 1), lambda i: F.get("b", i)["low"] == F.get("b", i - 1)["high"])
+    return found.select(F.lit(orders.count()).alias("n"), "counted", "buckets", joined.alias("closed"))
+
+
+@query("""
+    SELECT label, n FROM (
+        SELECT 'NaN' AS label, count(*) AS n FROM events WHERE event_id % 10 = 0
+        UNION ALL SELECT 'Infinity', count(*) FROM events WHERE event_id % 10 = 1
+        UNION ALL SELECT '-Infinity', count(*) FROM events WHERE event_id % 10 = 2
+        UNION ALL SELECT 'finite', count(value) FROM events WHERE event_id % 10 > 2) WHERE n > 0
+""")
+def hist_special_values(spark, sf):
+    """Infinity and NaN are counted beside the finite buckets."""
+    tenth = F.col("event_id") % 10
+    value = (F.when(tenth == 0, float("nan")).when(tenth == 1, float("inf")).when(tenth == 2, float("-inf"))
+             .otherwise(F.col("value").cast("double")))
+    found = histogram(table(spark, sf, "events").select(value.alias("v")), "v")
+    label = F.when(F.col("low").isNull(), F.col("label")).otherwise("finite")
+    return found.groupBy(label.alias("label")).agg(F.sum("n").alias("n"))

@@ -226,12 +226,13 @@ def row_hash_id(spark, sf):
         F.count("*").alias("n_rows"), F.count_distinct("row_hash").alias("n_ids"))
 
 
-@query("""
-    SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS dim0, CAST(embedding[2] AS DOUBLE) AS dim1,
-           CAST(embedding[3] AS DOUBLE) AS dim2, CAST(embedding[4] AS DOUBLE) AS dim3 FROM embeddings
-""")
+_ALL_DIMS = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS dim{i}" for i in range(64))
+
+
+@query(f"SELECT vec_id, label, {_ALL_DIMS} FROM embeddings")
 def expand_vector(spark, sf):
-    return columns.expand_vector(table(spark, sf, "embeddings"), "embedding", 4)
+    """All 64 dimensions; their number is looked up."""
+    return columns.expand_vector(table(spark, sf, "embeddings"), "embedding")
 
 
 @query("""
@@ -551,12 +552,19 @@ def preview_resample(spark, sf):
     return grid.sampled_preview().agg(F.coalesce(F.every(right), F.lit(True)).alias("all_match"), (F.count("*") >= 100).alias("enough"))
 
 
-@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY o_orderstatus ORDER BY n DESC LIMIT 1000")
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY o_orderstatus")
 def sql_query(spark, sf):
     return Grid.load(table(spark, sf, "orders")).sql(
         "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM DataGrid GROUP BY o_orderstatus ORDER BY n DESC")
 
 
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY o_custkey")
+def sql_many_rows(spark, sf):
+    """An SQL result of any number of rows comes back whole."""
+    return Grid.load(table(spark, sf, "orders")).sql(
+        "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM DataGrid GROUP BY o_custkey")
+
+
 @query("""
     SELECT event_id, CAST(nullif(regexp_extract(props, '\\d+'), '') AS DOUBLE) AS k FROM events
 """)

@@ -19,6 +19,7 @@ COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     "!=": operator.ne, ">=": operator.ge, ">": operator.gt,
 }
 LONG_LIST = 500  # an exclusion list beyond this joins instead of becoming literals
+MOST_DIMENSIONS = 4096  # columns a vector may be spread over
 RUN = 10_000     # copies of a row that are sorted as one
 
 
@@ -41,15 +42,21 @@ def drop(df: DataFrame, *columns: str) -> DataFrame:
     return df.drop(*columns)
 
 
+def _known(df: DataFrame, column: str) -> str:
+    """The column's name; a name the frame lacks is an error, since leaving the step out would change the result."""
+    if column not in df.columns:
+        raise ValueError(f"no column {column} among {', '.join(df.columns)}")
+    return column
+
+
 def apply(df: DataFrame, column: str, function: Callable[[Column], Column]) -> DataFrame:
     """Replace a column by ``function(column)``: a native expression or a pandas UDF."""
-    return df.withColumn(column, function(F.col(column))) if column in df.columns else df
+    return df.withColumn(_known(df, column), function(F.col(column)))
 
 
 def to_text(df: DataFrame, column: str) -> DataFrame:
     """Convert a column to string; NULL becomes the empty string."""
-    if column not in df.columns:
-        return df
+    _known(df, column)
     value = F.col(column)
     if _is_vector(df, column):
         value = F.to_json(vector_to_array(value))
@@ -68,10 +75,18 @@ def vector_element(df: DataFrame, column: str, index: int) -> Column:
     return F.get(array, F.lit(index)).cast("double")
 
 
-def expand_vector(df: DataFrame, column: str, size: int, prefix: str = "dim") -> DataFrame:
-    """Spread the first ``size`` dimensions over columns ``dim0 … `` and drop the source."""
-    if column not in df.columns:
-        return df
+def expand_vector(df: DataFrame, column: str, size: int | None = None, prefix: str = "dim") -> DataFrame:
+    """Spread a vector over columns ``dim0 … `` and drop the source: all dimensions, or the first ``size``.
+
+    Without ``size`` the greatest dimension is looked up first (one pass over the column's sizes, at most
+    ``MOST_DIMENSIONS``); shorter vectors have NULL in the rest.
+    """
+    _known(df, column)
+    if size is None:
+        array = vector_to_array(F.col(column)) if _is_vector(df, column) else F.col(column)
+        size = df.agg(F.max(F.size(array))).first()[0] or 0
+        if size > MOST_DIMENSIONS:
+            raise ValueError(f"{size} dimensions: keep the vector, or expand the first ones by size")
     names = {f"{prefix}{i}": vector_element(df, column, i) for i in range(size)}
     return df.withColumns(names).drop(column)
 
@@ -106,8 +121,7 @@ def split_column(df: DataFrame, column: str, pieces: int, start: str, method: st
     (from the right).  A missing piece is NULL.  New columns take the source name
     and the next free numbers.
     """
-    if column not in df.columns:
-        return df
+    _known(df, column)
     cutters = {
         ("char", "begin"): _cut_left, ("char", "end"): _cut_right,
         ("length", "begin"): _chunk_left, ("length", "end"): _chunk_right,
@@ -170,8 +184,7 @@ def filter_rows(df: DataFrame, column: str, op: str, value: Any = None) -> DataF
     wildcards), ``is null`` or ``is not null``.  The value is a typed literal,
     never SQL text.
     """
-    if column not in df.columns:
-        return df
+    _known(df, column)
     subject, dtype = F.col(column), df.schema[column].dataType
     if op == "is null":
         return df.where(subject.isNull())
@@ -217,9 +230,15 @@ def exclude_values(df: DataFrame, column: str, values: Sequence[str] | DataFrame
     return df.join(listed, text == F.col("_listed"), "left_anti")
 
 
-def keep_values(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """The complement of ``exclude_values``."""
-    return df.where(F.coalesce(F.col(column).cast("string"), F.lit("null")).isin(list(values)))
+def keep_values(df: DataFrame, column: str, values: Sequence[str] | DataFrame) -> DataFrame:
+    """The complement of ``exclude_values``, by a semi join where that takes an anti join."""
+    text = F.coalesce(F.col(column).cast("string"), F.lit("null"))
+    if not isinstance(values, DataFrame):
+        if len(values) <= LONG_LIST:
+            return df.where(text.isin(list(values)))
+        values = df.sparkSession.createDataFrame([(v,) for v in values], "value string")
+    listed = values.toDF("_listed").select(F.coalesce("_listed", F.lit("null")).alias("_listed")).distinct()
+    return df.join(listed, text == F.col("_listed"), "left_semi")
 
 
 def non_empty(df: DataFrame, column: str = "value") -> DataFrame:
@@ -235,8 +254,7 @@ def sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
     a hash of the row breaks ties: a frequent value then spreads over several.
     Whole rows that repeat stay together; ``sort_copies`` is for frames of such rows.
     """
-    if column not in df.columns:
-        return df
+    _known(df, column)
     return df.orderBy(_direction(column, ascending), F.xxhash64(*_hashable(df)))
 
 
@@ -287,8 +305,15 @@ def to_cells(df: DataFrame, row: str, family: str = "f1", columns: Sequence[str]
 
 
 def from_cells(cells: DataFrame, qualifiers: Sequence[str]) -> DataFrame:
-    """Cells back to one wide row per ``row`` key; of several values of a cell the greatest stays."""
-    return cells.groupBy("row").pivot("qualifier", list(qualifiers)).agg(F.max("value"))
+    """Cells back to one wide row per ``row`` key; of several values of a cell the greatest stays.
+
+    A cell whose qualifier is not listed makes the job fail.
+    """
+    names, found = list(qualifiers), F.col("qualifier")
+    strange = F.raise_error(F.concat(F.lit("qualifier not listed: "), F.coalesce(found, F.lit("null"))))
+    return (
+        cells.withColumn("qualifier", F.when(found.isin(names), found).otherwise(strange))
+        .groupBy("row").pivot("qualifier", names).agg(F.max("value")))
 
 
 def explode_lines(df: DataFrame, key: str, value: str) -> DataFrame:

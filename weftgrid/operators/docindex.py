@@ -107,7 +107,7 @@ def word_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, words, signature)``: distinct folded words and a digest of the set."""
     words = F.sort_array(F.array_distinct(words_of(F.col(text))))
     return df.select(key, words.alias("words")).withColumn(
-        "signature", F.sha2(F.array_join("words", "\x00"), 256))
+        "signature", F.sha2(F.to_json("words"), 256))  # quoted, so that no word can look like two
 
 
 def copy_groups(df: DataFrame, key: str, text: str) -> DataFrame:

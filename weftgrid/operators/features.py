@@ -7,9 +7,10 @@ not with the schema.  Wide forms take a bounded number of columns.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, HashingTF, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +22,11 @@ from weftgrid.operators.text import preprocess
 from weftgrid.session import materialize
 from weftgrid.sources.names import clean_names
 
-VOCABULARY_LIMIT = 1 << 18   # CountVectorizer's own bound on the vocabulary
+VOCABULARY_LIMIT = 1 << 18   # most terms a whole vocabulary may have before a size must be chosen
+HASH_BUCKETS = 1 << 18
 WIDE_LIMIT = 1000            # most term columns of a wide form
 WORD2VEC_VOCABULARY = 10_000_000  # words whose vectors the driver is asked to hold
-WORD2VEC_TOKENS = 1_000_000  # tokens that make a training partition worth its merge
+WORD2VEC_PARTITIONS = 8      # training tasks, whatever the data and the cluster: the vectors depend on it
 
 
 # --- term counts ------------------------------------------------------------
@@ -102,66 +104,91 @@ def tfidf_wide(df: DataFrame, column: str, n: int) -> DataFrame:
     return counted.withColumns(columns).drop("_tokens", "_known")
 
 
-def _replace(df: DataFrame, column: str, made: str) -> DataFrame:
-    return df.drop(column).withColumnRenamed(made, column)
+def _in_place(df: DataFrame, column: str, estimator: Any, train: DataFrame | None = None) -> tuple[DataFrame, Any]:
+    """Fit an estimator on a column (of ``train``, else of ``df``) and put its output where the column stands.
+
+    Spark's feature transformers add a column; the added one gets a name no column has, so frames of any layout do.
+    """
+    made = f"{column}_made"
+    while made.lower() in {c.lower() for c in df.columns}:
+        made += "_"
+    stage = estimator(made)
+    model = stage.fit(df if train is None else train) if hasattr(stage, "fit") else stage
+    output = model.transform(df)
+    return output.select(*[F.col(made).alias(c) if c == column else F.col(c) for c in df.columns]), model
+
+
+def vocabulary_counts(df: DataFrame, column: str) -> DataFrame:
+    """``(w, n)``: the words of a token column and how often each occurs."""
+    return explode_column(df, [], F.col(column), "w").groupBy("w").agg(F.count("*").alias("n"))
 
 
-def count_vectors(df: DataFrame, column: str, vocabulary_size: int = VOCABULARY_LIMIT) -> tuple[DataFrame, list[str]]:
-    """Replace tokens by a count vector over the most frequent terms; also the vocabulary."""
-    model: CountVectorizerModel = CountVectorizer(
-        inputCol=column, outputCol=f"_{column}", vocabSize=vocabulary_size).fit(df)
-    return _replace(model.transform(df), column, f"_{column}"), model.vocabulary
+def _vocabulary_size(df: DataFrame, column: str, asked: int | None) -> int:
+    """The number asked for, or that of all words; too many for the driver is an error, not a cut."""
+    if asked is not None:
+        return asked
+    found = vocabulary_counts(df, column).count()
+    if found > VOCABULARY_LIMIT:
+        raise ValueError(f"{found} words: choose a vocabulary_size; the rarest words beyond it are left out")
+    return max(1, found)
+
+
+def count_vectors(df: DataFrame, column: str, vocabulary_size: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Replace tokens by a count vector; also the vocabulary.
+
+    All words are in the vocabulary, and more than ``VOCABULARY_LIMIT`` of them are an error, unless
+    ``vocabulary_size`` asks for that many of the most frequent ones (``vocabulary_counts`` tells which).
+    """
+    size = _vocabulary_size(df, column, vocabulary_size)
+    counted, model = _in_place(df, column, lambda made: CountVectorizer(inputCol=column, outputCol=made, vocabSize=size))
+    return counted, model.vocabulary
 
 
-def tfidf_vectors(df: DataFrame, column: str, vocabulary_size: int = VOCABULARY_LIMIT) -> tuple[DataFrame, list[str]]:
-    """Replace a text or token column by its TF-IDF vector; also the vocabulary."""
+def tfidf_vectors(df: DataFrame, column: str, vocabulary_size: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Replace a text or token column by its TF-IDF vector; also the vocabulary (see ``count_vectors``)."""
     counted, vocabulary = count_vectors(_prepared(df, column), column, vocabulary_size)
-    model = IDF(inputCol=column, outputCol=f"_{column}").fit(counted)
-    return _replace(model.transform(counted), column, f"_{column}"), vocabulary
+    weighted, _ = _in_place(counted, column, lambda made: IDF(inputCol=column, outputCol=made))
+    return weighted, vocabulary
 
 
-def hashing_tf(df: DataFrame, column: str, buckets: int = VOCABULARY_LIMIT) -> DataFrame:
+def hashing_tf(df: DataFrame, column: str, buckets: int = HASH_BUCKETS) -> DataFrame:
     """Replace tokens by a hashed term-frequency vector: no vocabulary, no fit."""
-    hashed = HashingTF(inputCol=column, outputCol=f"_{column}", numFeatures=buckets).transform(df)
-    return _replace(hashed, column, f"_{column}")
+    return _in_place(df, column, lambda made: HashingTF(inputCol=column, outputCol=made, numFeatures=buckets))[0]
 
 
 def word2vec(df: DataFrame, column: str, size: int = 2, min_count: int = 0, seed: int = 42,
-             partitions: int | None = None) -> DataFrame:
+             partitions: int = WORD2VEC_PARTITIONS) -> DataFrame:
     """Replace tokens by the mean of their word vectors.
 
     The fitted words and vectors live on the driver, so their number is counted
     first; raise ``min_count`` when a corpus has more than ``WORD2VEC_VOCABULARY``.
-    Training is spread over ``partitions``: by default one per ``WORD2VEC_TOKENS``
-    tokens, up to the number of cores.
+    Training is spread over ``partitions`` tasks; the vectors depend on that number,
+    so it is a fixed default and not taken from the data or the cluster.
     """
-    words = explode_column(df, [], F.col(column), "w").groupBy("w").agg(F.count("*").alias("n"))
-    found = words.where(F.col("n") >= min_count).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).first()
-    if found["words"] > WORD2VEC_VOCABULARY:
+    words = vocabulary_counts(df, column).where(F.col("n") >= min_count).count()
+    if words > WORD2VEC_VOCABULARY:
         raise ValueError(f"more than {WORD2VEC_VOCABULARY} words occur {min_count} times: raise min_count")
-    if partitions is None:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        partitions = max(1, min(cores, (found["tokens"] or 0) // WORD2VEC_TOKENS))
-    model = Word2Vec(vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions,
-                     inputCol=column, outputCol=f"_{column}").fit(df)
-    return _replace(model.transform(df), column, f"_{column}")
+    return _in_place(df, column, lambda made: Word2Vec(
+        vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, inputCol=column, outputCol=made))[0]
 
 
 # --- topics -----------------------------------------------------------------
 
 def lda(df: DataFrame, column: str, k: int = 5, iterations: int = 20, seed: int = 42,
-        vocabulary_size: int = VOCABULARY_LIMIT) -> tuple[DataFrame, DataFrame]:
+        vocabulary_size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Topic distribution of a text or token column and the topics' leading terms.
 
     Returns the frame with the column replaced by its distribution vector, and rows
     ``(topic, rank, term, weight)`` with three terms per topic.  The model holds ``k``
-    weights per vocabulary entry, which is bounded.  Every iteration reads the count
-    vectors again, so they are written out once.
+    weights per vocabulary entry, which is bounded (see ``count_vectors``).  Every iteration reads the count
+    vectors again and the result needs them once more, so the counted frame is written out once.
     """
     counted, vocabulary = count_vectors(_prepared(df, column), column, vocabulary_size)
-    model = LDA(featuresCol=column, topicDistributionCol=f"_{column}", k=k, maxIter=iterations, seed=seed).fit(
-        materialize(counted.select(column), "count-vectors"))
-    return _replace(model.transform(counted), column, f"_{column}"), _describe_topics(model, vocabulary)
+    held = materialize(counted, "count-vectors")
+    shares, model = _in_place(
+        held, column, lambda made: LDA(featuresCol=column, topicDistributionCol=made, k=k, maxIter=iterations, seed=seed),
+        held.select(column))
+    return shares, _describe_topics(model, vocabulary)
 
 
 def _describe_topics(model, vocabulary: Sequence[str], terms: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ grouping sets, never from the rows again.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -176,36 +177,67 @@ def _fraction(grid: DataFrame, rows: Sequence[str], cols: Sequence[str], scope:
     )
 
 
-def column_keys(df: DataFrame, cols: Sequence[str], limit: int = WIDE_LIMIT) -> list[str]:
-    """Distinct column keys (joined by ``-``) in natural order; an error beyond ``limit``."""
-    key = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
-    keys = df.select(key.alias("k")).distinct().limit(limit + 1)
-    found = [r["k"] for r in keys.orderBy(*natural_order(F.col("k"))).collect()]
+def _heading_key(cols: Sequence[str]) -> Column:
+    """The column key as one text that no other key has: a JSON array of its parts."""
+    return F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]))
+
+
+def _found_keys(df: DataFrame, cols: Sequence[str], limit: int) -> list[tuple[str, str]]:
+    """Key and heading (parts joined by ``-``, numbered if two keys would read alike) in natural order."""
+    heading = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
+    keys = df.select(_heading_key(cols).alias("k"), heading.alias("h")).distinct().limit(limit + 1)
+    found = [(r["k"], r["h"]) for r in keys.orderBy(*natural_order(F.col("h")), "k").collect()]
     if len(found) > limit:
         raise ValueError(f"more than {limit} column keys: use the long form")
     return found
 
 
+def _numbered(headings: Sequence[str], taken: Sequence[str]) -> list[str]:
+    seen, out = {t.lower() for t in taken}, []
+    for heading in headings:
+        name, n = heading, 1
+        while name.lower() in seen:
+            n += 1
+            name = f"{heading}_{n}"
+        seen.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column_keys(df: DataFrame, cols: Sequence[str], limit: int = WIDE_LIMIT) -> list[str]:
+    """Headings of the distinct column keys (joined by ``-``) in natural order; an error beyond ``limit``."""
+    return [heading for _, heading in _found_keys(df, cols, limit)]
+
+
 def pivot_wide(df: DataFrame, rows: Sequence[str], cols: Sequence[str], aggregator: str = "Count",
-               values: Sequence[str] = (), column_values: Sequence[str] | None = None,
+               values: Sequence[str] = (), column_values: Sequence[str | Sequence[str]] | None = None,
                totals: bool = True) -> DataFrame:
     """Wide pivot grid: one row per row key, one column per column key, optional totals.
 
-    Pass ``column_values`` when the keys are known; otherwise they are looked up first.
+    Pass ``column_values`` when the keys are known (the value of a single column attribute, or a sequence with one
+    value per attribute); a key that is not among them makes the job fail.  Otherwise they are looked up first.
+    Keys are told apart by all their parts and totals by their level, whatever the values look like; headings that
+    would read alike are numbered, and a data column ``Totals`` comes before the totals.
     """
+    shown = F.lit(True) if totals else F.col("level").isin("cell", *([] if cols else ["row"]))
+    grid = pivot(df, rows, cols, aggregator, values).where(shown)
+    total_row = F.col("level").isin("col", "total") if rows else F.lit(False)
+    row_keys = [F.when(total_row, "Totals").otherwise(F.col(r)).alias(r) for r in rows]
     if not cols:
-        return pivot(df, rows, cols, aggregator, values).where(_shown(totals)).select(
-            *[F.coalesce(F.col(r), F.lit("Totals")).alias(r) for r in rows], F.col("value").alias(aggregator))
-    names = list(column_values) if column_values is not None else column_keys(df, cols)
-    grid = pivot(df, rows, cols, aggregator, values).where(_shown(totals))
-    column_key = F.when(F.col("level").isin("cell", "col"), F.concat_ws("-", *cols)).otherwise("Totals")
-    row_keys = [F.coalesce(F.col(r), F.lit("Totals")).alias(r) for r in rows]
-    spread = grid.select(*row_keys, column_key.alias("_key"), "value")
-    return spread.groupBy(*rows).pivot("_key", names + (["Totals"] if totals else [])).agg(F.max("value"))
-
-
-def _shown(totals: bool) -> Column:
-    return F.lit(True) if totals else F.col("level") == "cell"
+        return grid.select(*row_keys, F.col("value").alias(aggregator))
+    if column_values is None:
+        found = _found_keys(df, cols, WIDE_LIMIT)
+    else:
+        listed = [(v,) if isinstance(v, str) else tuple(v) for v in column_values]
+        found = [(json.dumps(v, ensure_ascii=False, separators=(",", ":")), "-".join(v)) for v in listed]
+    known = [key for key, _ in found]
+    key = F.col("_key")
+    checked = F.when(key.isin([*known, ""]), key).otherwise(F.raise_error(F.concat(F.lit("column key not listed: "), key)))
+    column_key = F.when(F.col("level").isin("cell", "col"), _heading_key(cols)).otherwise("")
+    spread = grid.select(*row_keys, total_row.alias("_total"), column_key.alias("_key"), "value").withColumn("_key", checked)
+    wide = spread.groupBy(*rows, "_total").pivot("_key", known + ([""] if totals else [])).agg(F.max("value"))
+    headings = _numbered([h for _, h in found] + (["Totals"] if totals else []), rows)
+    return wide.drop("_total").toDF(*rows, *headings)
 
 
 def sort_keys(grid: DataFrame, keys: Sequence[str], listed: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

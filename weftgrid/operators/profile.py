@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_BUCKETS = 20
+_SPAN = "decimal(24,0)"
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
@@ -43,8 +44,10 @@ def describe_all(df: DataFrame, *columns: str) -> DataFrame:
 def histogram(df: DataFrame, column: str, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Rows ``bucket, low, high, label, n``; intervals are half open, the last one closed.
 
-    Whole numbers, decimals and text are bucketed by their own rule.  The counts
-    always sum to the number of non-null values.  An empty column has no buckets.
+    Whole numbers, decimals and text are bucketed by their own rule.  -Infinity, Infinity
+    and NaN, where they occur, have a bucket of their own after the finite ones, without
+    edges.  The counts always sum to the number of non-null values.  An empty column has
+    no buckets.
     """
     dtype = df.schema[column].dataType
     if isinstance(dtype, T.IntegralType):
@@ -61,12 +64,18 @@ def _whole_histogram(df: DataFrame, column: str, max_buckets: int) -> DataFrame:
     stats = (
         values.agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.count("*").alias("rows"))
         .where("rows > 0")
-        .withColumn("step", F.expr(f"greatest((mx - mn + 2) div least({max_buckets}, rows), 1)"))
-        .select(F.expr("mn - 1").alias("origin"), "step", F.col("mx").alias("top"))
+        # The span of two bigints needs a bit more than a bigint.
+        .withColumns({"mn": F.col("mn").cast(_SPAN), "mx": F.col("mx").cast(_SPAN)})
+        .withColumn("step", F.expr(f"greatest((mx - mn + 2) div least({max_buckets}, rows), 1)").cast(_SPAN))
+        .select(F.expr("mn - 1").cast(_SPAN).alias("origin"), "step", F.col("mx").alias("top"))
     )
     edges = _stepped_edges(stats)
-    label = F.format_string("%d, %d", "low", "high")
-    return _count_buckets(values, edges, _slot(F.col("v"), F.col("g.origin"), F.col("g.step")), label)
+    label = F.concat(F.col("low").cast("string"), F.lit(", "), F.col("high").cast("string"))
+    slot = F.expr("(cast(v as decimal(20,0)) - g.origin) div g.step")
+    counted = _count_buckets(values, edges, slot, label)
+    # Edges that a bigint cannot hold are those of the outermost buckets: they read as its limits.
+    within = lambda c: F.least(F.greatest(F.col(c), F.lit(-(1 << 63)).cast(_SPAN)), F.lit((1 << 63) - 1).cast(_SPAN)).cast("bigint")
+    return counted.withColumns({"low": within("low"), "high": within("high")})
 
 
 def _text_histogram(df: DataFrame, column: str, max_buckets: int) -> DataFrame:
@@ -114,7 +123,9 @@ def _slot(value: Column, origin: Column, step: Column) -> Column:
 
 
 def _decimal_histogram(df: DataFrame, column: str, max_buckets: int) -> DataFrame:
-    values = df.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    everything = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    special = F.when(F.isnan("v"), 2).when(F.col("v") == float("inf"), 1).when(F.col("v") == float("-inf"), 0)
+    values = everything.where(special.isNull())
     stats = (
         values.agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.count("*").alias("rows"))
         .where("rows > 0")
@@ -128,7 +139,15 @@ def _decimal_histogram(df: DataFrame, column: str, max_buckets: int) -> DataFram
     slot = F.expr("case when v < g.origin + s * g.step then s - 1 "
                   "when v >= g.origin + (s + 1) * g.step then s + 1 else s end")
     label = F.format_string("%.4f, %.4f", "low", "high")
-    return _count_buckets(values, stats, slot, label, guess)
+    finite = _count_buckets(values, stats, slot, label, guess)
+    after = F.coalesce(stats.select("g.buckets").scalar(), F.lit(0)).cast("bigint")
+    # At most three rows, numbered after the finite buckets.
+    others = everything.where(special.isNotNull()).groupBy(special.alias("kind")).agg(F.count("*").alias("n"))
+    names = F.element_at(F.array(F.lit("-Infinity"), F.lit("Infinity"), F.lit("NaN")), F.col("kind") + 1)
+    nothing = F.lit(None).cast("double")
+    return finite.unionByName(others.select(
+        (after + F.row_number().over(Window.orderBy("kind")) - 1).alias("bucket"), nothing.alias("low"), nothing.alias("high"),
+        names.alias("label"), "n"))
 
 
 def _count_buckets(values: DataFrame, geometry: DataFrame, slot: Column, label: Column,

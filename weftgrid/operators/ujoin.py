@@ -18,18 +18,23 @@ from pyspark.sql import types as T
 
 from weftgrid.session import materialize
 
-HOT_MIN_ROWS = 5_000_000  # rows a key needs before it is worth its own branch
-HOT_MIN_SHARE = 0.002   # ... and its share of the side
+HOT_MIN_ROWS = 5_000_000  # rows of a key on one side that are worth a branch of their own
+HOT_MIN_PAIRS = 50_000_000  # ... or matches of a key
 SKETCHES = 64           # heavy-hitter sketches per side, each for a range of key hashes
 SKETCH_KEYS = 64        # keys one sketch tracks
 SKETCH_TOP = 8          # most frequent keys read from one sketch
 
-_NUMERIC_RANK = ["tinyint", "smallint", "int", "bigint", "decimal", "float", "double"]
+
+def _folded(df: DataFrame) -> dict[str, str]:
+    """Column names by the form in which the session compares them."""
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    return {c if exact else c.lower(): c for c in df.columns}
 
 
 def shared_columns(left: DataFrame, right: DataFrame) -> list[str]:
-    """Names in both frames, in left order."""
-    return [c for c in left.columns if c in set(right.columns)]
+    """Names in both frames, in left order and spelling; case matters only if it does to the session."""
+    other = _folded(right)
+    return [c for name, c in _folded(left).items() if name in other]
 
 
 def schema_union(left: DataFrame, right: DataFrame) -> list[str]:
@@ -38,7 +43,8 @@ def schema_union(left: DataFrame, right: DataFrame) -> list[str]:
 
 def schema_difference(left: DataFrame, right: DataFrame) -> list[str]:
     """Names of ``left`` that ``right`` lacks, in left order."""
-    return [c for c in left.columns if c not in set(right.columns)]
+    other = _folded(right)
+    return [c for name, c in _folded(left).items() if name not in other]
 
 
 def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -47,41 +53,50 @@ def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
         return a
     if isinstance(a, T.NullType):
         return b
-    ranks = [_numeric_rank(t) for t in (a, b)]
-    if None not in ranks:
-        if isinstance(a, T.DecimalType) and isinstance(b, T.DecimalType):
-            scale = max(a.scale, b.scale)
-            whole = max(a.precision - a.scale, b.precision - b.scale)
-            return T.DecimalType(min(38, whole + scale), scale)
-        wide, narrow = (a, b) if ranks[0] >= ranks[1] else (b, a)
-        if isinstance(wide, T.DecimalType):
-            # 20 digits hold every bigint
-            return T.DecimalType(min(38, max(wide.precision - wide.scale, 20) + wide.scale), wide.scale)
-        if isinstance(wide, T.FloatType) and not isinstance(narrow, T.ByteType | T.ShortType):
-            return T.DoubleType()
-        return wide
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        digits = [_digits(t) for t in (a, b)]
+        if None not in digits:  # whole numbers and decimals
+            whole, scale = (max(pair) for pair in zip(*digits))
+            if not any(isinstance(t, T.DecimalType) for t in (a, b)):
+                return a if digits[0] >= digits[1] else b
+            return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.StringType()
+        if all(d is None or sum(d) <= 15 for d in digits):
+            # A double holds 15 digits, a float 7.
+            small = all(isinstance(t, T.FloatType) or (d is not None and sum(d) <= 5) for t, d in zip((a, b), digits))
+            return T.FloatType() if small else T.DoubleType()
+        return T.StringType()  # such numbers are compared as text, see _as_text
     if {type(a), type(b)} <= {T.DateType, T.TimestampType, T.TimestampNTZType}:
         return b if isinstance(a, T.DateType) else a
     return T.StringType()
 
 
-def _numeric_rank(dtype: T.DataType) -> int | None:
-    name = dtype.simpleString().split("(")[0]
-    return _NUMERIC_RANK.index(name) if name in _NUMERIC_RANK else None
+def _digits(dtype: T.DataType) -> tuple[int, int] | None:
+    """Digits before and after the point that a type may hold; None for floating point."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.precision - dtype.scale, dtype.scale
+    whole = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}.get(type(dtype))
+    return None if whole is None else (whole, 0)
+
+
+def _as_text(value: Column, dtype: T.DataType) -> Column:
+    """A number as text that is the same for the same number of any type: no zeros behind the last digit."""
+    if isinstance(dtype, T.DecimalType) and dtype.scale:
+        return F.regexp_replace(value.cast("string"), r"\.?0+$", "")
+    if isinstance(dtype, T.FloatType | T.DoubleType):
+        whole = (F.floor(value) == value) & (F.abs(value) < 1e18)
+        return F.when(whole, value.cast("bigint").cast("string")).otherwise(F.regexp_replace(value.cast("string"), r"\.0$", ""))
+    return value.cast("string")
 
 
 def ujoin(left: DataFrame, right: DataFrame, *, profile: bool = True, hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
     """u-join of two frames.
 
     One full outer join does it, unless keys are so uneven that a task would drown:
-    Spark cannot split a skewed partition of a full outer join.  One pass over the
-    key columns (left out by ``profile=False``) looks for that and then
-
-    * rows with a NULL in a shared column, which cannot match and would all hash to
-      one place, skip the join;
-    * rows of very frequent keys take a branch that can be split (``_join_hot``).
-
-    The result does not depend on what the pass finds.
+    Spark cannot split a skewed partition of a full outer join.  Rows with a NULL in
+    a shared column, which cannot match and would all hash to one place, are spread by
+    a hash of the row that joins the keys.  One pass over the key columns (left out by
+    ``profile=False``) looks for keys with very many rows or matches; their rows take a
+    branch that can be split (``_join_hot``).  The result does not depend on what the pass finds.
     """
     if not left.columns:
         return right
@@ -91,54 +106,70 @@ def ujoin(left: DataFrame, right: DataFrame, *, profile: bool = True, hot_min_ro
     if not keys:
         return left.unionByName(right, allowMissingColumns=True)
 
-    left, right = _widen(left, right, keys)
-    hot, many_keyless = key_profile(left, right, keys, hot_min_rows) if profile else ([], True)
+    spelled = {_folded(right)[name]: c for name, c in _folded(left).items() if name in _folded(right)}
+    left, right = _widen(left, right.withColumnsRenamed(spelled), keys)
+    hot = key_profile(left, right, keys, hot_min_rows) if profile else []
     names = schema_union(left, right)
     parts = []
-    if many_keyless and any(side.schema[k].nullable for side in (left, right) for k in keys):
-        has_keys = _has_keys(keys)
-        parts += [side.where(~has_keys) for side in (left, right)]
-        left, right = left.where(has_keys), right.where(has_keys)
     if hot:
-        is_hot = F.xxhash64(*keys).isin(hot)
+        is_hot = F.coalesce(F.xxhash64(*keys).isin(hot) & _has_keys(keys), F.lit(False))
         parts += _join_hot(left.where(is_hot), right.where(is_hot), keys)
         left, right = left.where(~is_hot), right.where(~is_hot)
-    parts.insert(0, left.join(right, keys, "full"))
+    parts.insert(0, _full_join(left, right, keys))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).select(*names)
 
 
+def _full_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Full outer join on the keys; rows without a key are spread by one more join column."""
+    if not any(side.schema[k].nullable for side in (left, right) for k in keys):
+        return left.join(right, list(keys), "full")
+    spread = "_spread"
+    while spread in left.columns or spread in right.columns:
+        spread += "_"
+    salted = [
+        side.withColumn(spread, F.when(_has_keys(keys), F.lit(0).cast("bigint")).otherwise(F.xxhash64(*_hashable(side))))
+        for side in (left, right)]
+    return salted[0].join(salted[1], [*keys, spread], "full").drop(spread)
+
+
+def _hashable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+
+
 def _has_keys(keys: Sequence[str]) -> Column:
     return reduce(Column.__and__, [F.col(k).isNotNull() for k in keys])
 
 
-def key_profile(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int) -> tuple[list[int], bool]:
-    """Hashes of the very frequent keys, and whether rows without a key are as many.
+def key_profile(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows: int) -> list[int]:
+    """Hashes of the keys whose work is worth a branch of its own.
 
-    A key counts when it holds at least ``min_rows`` rows and a visible share of a
-    side.  Each task sends a few sketches of fixed size, which different tasks merge,
-    and at most ``SKETCHES * SKETCH_TOP`` keys per side come back.  A collision or a
-    miss only changes which branch does the work.
+    That is a key with at least ``min_rows`` rows on a side, or whose rows on both
+    sides make ``HOT_MIN_PAIRS`` matches.  Each task sends a few sketches of fixed
+    size, which different tasks merge, and at most ``SKETCHES * SKETCH_TOP`` keys per
+    side come back.  A collision or a miss only changes which branch does the work.
     """
     key_hash = F.when(_has_keys(keys), F.xxhash64(*keys))
-    sides = [side.select(F.lit(i).alias("side"), key_hash.alias("h")) for i, side in enumerate((left, right))]
+    sides = [side.select(F.lit(i).alias("side"), key_hash.alias("h")).where("h is not null") for i, side in enumerate((left, right))]
     found = sides[0].unionByName(sides[1]).groupBy("side", F.pmod("h", F.lit(SKETCHES)).alias("sketch")).agg(
-        F.count("*").alias("n"),
-        F.expr(f"approx_top_k(h, {SKETCH_TOP}, {SKETCH_KEYS}) FILTER (WHERE h IS NOT NULL)").alias("top"),
-    ).collect()
-    size = {i: sum(row["n"] for row in found if row["side"] == i) for i in (0, 1)}
-    hot = {
-        item["item"] for row in found for item in row["top"] or []
-        if item["count"] >= max(min_rows, HOT_MIN_SHARE * size[row["side"]])
-    }
-    return sorted(hot), any(row["sketch"] is None and row["n"] >= min_rows for row in found)
+        F.expr(f"approx_top_k(h, {SKETCH_TOP}, {SKETCH_KEYS})").alias("top")).collect()
+    counts: list[dict[int, int]] = [{}, {}]
+    for row in found:
+        counts[row["side"]].update({item["item"]: item["count"] for item in row["top"] or []})
+    return sorted(
+        h for h in counts[0].keys() | counts[1].keys()
+        if max(counts[0].get(h, 0), counts[1].get(h, 0)) >= min_rows
+        or counts[0].get(h, 0) * counts[1].get(h, 0) >= HOT_MIN_PAIRS)
 
 
 def _widen(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     targets = {k: common_type(left.schema[k].dataType, right.schema[k].dataType) for k in keys}
+    def widened(side: DataFrame, k: str, target: T.DataType) -> Column:
+        dtype = side.schema[k].dataType
+        as_text = isinstance(target, T.StringType) and isinstance(dtype, T.NumericType)
+        return _as_text(F.col(k), dtype) if as_text else F.col(k).cast(target)
+
     return tuple(
-        side.withColumns({
-            k: F.col(k).cast(t) for k, t in targets.items() if side.schema[k].dataType != t
-        })
+        side.withColumns({k: widened(side, k, t) for k, t in targets.items() if side.schema[k].dataType != t})
         for side in (left, right)
     )
 

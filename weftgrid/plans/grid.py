@@ -1,7 +1,9 @@
 """The data grid: a base frame and a recipe of named steps, with linear undo and redo.
 
-A grid is immutable and lazy: the history is a list of lazy frames, so it costs
-nothing but their plans, and no step ever replaces the data by a sample.
+A grid is immutable: the history is a list of frames, and no step ever replaces the
+data by a sample.  Most steps only extend a plan.  Four need to look at the data when
+they are added and run jobs then: ``join`` (frequent keys), ``label`` (value counts),
+``tf_idf`` (the chosen terms) and the models ``word2vec`` and ``lda``; a replay runs them again.
 """
 
 from __future__ import annotations
@@ -189,8 +191,8 @@ class Grid:
     def search(self, key: str, column: str, terms: list[str]) -> DataFrame:
         return docindex.term_search(self.df, key, column, terms)
 
-    def sql(self, query: str = f"SELECT * FROM {VIEW}", n: int | None = 1000, **args: Any) -> DataFrame:
-        """Run Spark SQL over the view ``DataGrid``; ``n`` caps the rows shown, ``None`` returns all.
+    def sql(self, query: str = f"SELECT * FROM {VIEW}", n: int | None = None, **args: Any) -> DataFrame:
+        """Run Spark SQL over the view ``DataGrid``; all rows come back unless ``n`` caps what is shown.
 
         Values go in as ``:name`` parameters.
         """

@@ -43,14 +43,12 @@ def write_pivot_tsv(df: DataFrame, path: str, rows: Sequence[str], cols: Sequenc
     Without column attributes the value column is named after the aggregator.  A
     missing cell is empty.
     """
-    wide = pivot_wide(df, rows, cols, aggregator, values, totals=not cols)
-    if not cols:
-        wide = wide.where(F.col(rows[0]) != "Totals") if rows else wide
+    wide = pivot_wide(df, rows, cols, aggregator, values, totals=not (rows or cols))
     sort_keys(wide, rows).write.mode("overwrite").csv(path, sep="\t", header=True, emptyValue="", nullValue="")
     return path
 
 
-def json_records(df: DataFrame, n: int | None = 1000) -> DataFrame:
-    """One JSON text per row, ``n`` rows at most; ``None`` exports all."""
+def json_records(df: DataFrame, n: int | None = None) -> DataFrame:
+    """One JSON text per row: all rows, or ``n`` at most where a viewer asks for that."""
     rows = df if n is None else df.limit(n)
     return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
