@@ -112,3 +112,11 @@ def test_a_cluster_without_shared_folder_is_an_error(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_folder(Cluster(), "x")
+
+
+def test_tables_are_cut_by_their_key():
+    assert readers.key_ranges("id", 1, 100, 4) == {
+        "partitionColumn": "id", "lowerBound": "1", "upperBound": "101", "numPartitions": "4"}
+    assert readers.key_ranges("id", 7, 8.5, 32)["numPartitions"] == "3"
+    assert readers.key_ranges("id", None, None, 4) == {}
+    assert readers.key_range_query("s.t", "id") == "(SELECT min(id) AS low, max(id) AS high FROM s.t) key_range"

@@ -31,6 +31,26 @@ def csv_roundtrip(spark, sf):
     return readers.read_csv(spark, path, orders.schema)
 
 
+@query("SELECT event_id, epoch_us(ts) AS us, event_type FROM events")
+def csv_timestamps(spark, sf):
+    """Time stamps through CSV, to the microsecond."""
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    path = sinks.save(events, shared_folder(spark, "csv"), "csv", header="true", **exact)
+    found = spark.read.options(header="true", **exact).schema(events.schema).csv(path)
+    return found.select("event_id", F.unix_micros("ts").alias("us"), "event_type")
+
+
+@query("SELECT event_id, epoch_us(ts) AS us, value FROM events")
+def json_timestamps(spark, sf):
+    """Time stamps through JSON, to the microsecond."""
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    path = sinks.save(events, shared_folder(spark, "json"), "json", **exact)
+    found = spark.read.options(**exact).schema(events.schema).json(path)
+    return found.select("event_id", F.unix_micros("ts").alias("us"), "value")
+
+
 @query("SELECT sum(o_orderkey)::BIGINT AS keys, round(sum(o_totalprice), 2) AS price, count(*) AS n, 'int,int,string,double,string' AS types FROM orders")
 def csv_inferred(spark, sf):
     """CSV with inferred types, through a source descriptor."""
@@ -61,10 +81,9 @@ def xml_roundtrip(spark, sf):
     return readers.load_source(spark, {"format": "xml", "source": path}, part.schema)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+@query("SELECT * FROM lineitem")
 def parquet_roundtrip(spark, sf):
-    items = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    path = sinks.write_parquet(items, shared_folder(spark, "parquet"))
+    path = sinks.write_parquet(table(spark, sf, "lineitem"), shared_folder(spark, "parquet"))
     return readers.load_source(spark, {"format": "parquet", "source": path})
 
 

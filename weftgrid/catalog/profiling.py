@@ -124,15 +124,15 @@ def hist_string_lines(spark, sf):
     return histogram(lines, "line")
 
 
-@query("""SELECT count(*) AS n, count(*) AS counted, 20 AS buckets, true AS closed FROM orders""")
+@query("""SELECT count(*) AS n, count(*) AS counted, true AS few, true AS closed FROM orders""")
 def hist_hash_column(spark, sf):
-    """Whole numbers over the whole range of a bigint: every value is in one of twenty joined buckets."""
+    """Whole numbers over the whole range of a bigint: every value is in one of a few joined buckets."""
     orders = table(spark, sf, "orders").select(F.xxhash64("o_orderkey").alias("h"))
     found = histogram(orders, "h").agg(
-        F.sum("n").alias("counted"), F.count(F.lit(1)).cast("int").alias("buckets"),
+        F.sum("n").alias("counted"), F.count(F.lit(1)).between(20, 21).alias("few"),
         F.sort_array(F.collect_list(F.struct("bucket", "low", "high"))).alias("b"))
     joined = F.forall(F.sequence(F.lit(1), F.size("b") - 1), lambda i: F.get("b", i)["low"] == F.get("b", i - 1)["high"])
-    return found.select(F.lit(orders.count()).alias("n"), "counted", "buckets", joined.alias("closed"))
+    return found.select(F.lit(orders.count()).alias("n"), "counted", "few", joined.alias("closed"))
 
 
 @query("""

@@ -11,7 +11,8 @@ from weftgrid.functions.rows import explode_column
 from weftgrid.functions.stemming import stem
 from weftgrid.functions.stopwords import ENGLISH
 from weftgrid.operators import columns, docindex, features, text
-from weftgrid.session import spread
+from weftgrid.session import shared_folder, spread
+from weftgrid.sources.readers import read_html
 
 
 def _docs(spark, sf):
@@ -175,23 +176,41 @@ def count_vectors(spark, sf):
         F.size(F.filter("v", lambda x: x > 0)).cast("bigint").alias("terms"))
 
 
-@query()
+@query("SELECT doc_id, TRUE AS finite FROM documents")
 def word2vec(spark, sf):
-    made = features.word2vec(_filtered(spark, sf), "text")
-    return columns.expand_vector(made, "text", 2)
+    """Every document gets a vector of two finite numbers."""
+    made = columns.expand_vector(features.word2vec(_filtered(spark, sf), "text"), "text")
+    numbers = [c for c in made.columns if c.startswith("dim")]
+    finite = F.lit(len(numbers) == 2)
+    for c in numbers:
+        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return made.select("doc_id", finite.alias("finite"))
 
 
-@query()
+@query(f"""
+    WITH {_KEPT}, k AS (SELECT DISTINCT doc_id FROM kept)
+    SELECT documents.doc_id, 5 AS topics, TRUE AS valid, CASE WHEN k.doc_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total
+    FROM documents LEFT JOIN k USING (doc_id)
+""")
 def lda_topics(spark, sf):
+    """A distribution over five topics for every document that has a term left; zeros for the others."""
     modelled, _ = features.lda(_docs(spark, sf), "text")
-    shares = modelled.select("doc_id", F.posexplode(vector_to_array("text")).alias("topic", "share"))
-    return shares.withColumn("share", F.round("share", 6))
+    shares = vector_to_array(F.col("text"))
+    return modelled.select(
+        "doc_id", F.size(shares).alias("topics"), F.forall(shares, lambda x: x.between(0, 1)).alias("valid"),
+        F.round(F.aggregate(shares, F.lit(0.0), lambda total, x: total + x), 6).alias("total"))
 
 
-@query()
+@query("SELECT unnest(range(5))::INTEGER AS topic, 3 AS terms, TRUE AS descending, TRUE AS known")
 def lda_terms(spark, sf):
-    _, topics = features.lda(_docs(spark, sf), "text")
-    return topics.withColumn("weight", F.round("weight", 6))
+    """Three terms of the vocabulary per topic, the weightiest first."""
+    docs = _docs(spark, sf)
+    _, topics = features.lda(docs, "text")
+    words = features.vocabulary_counts(text.preprocess(docs, "text"), "text").select(F.col("w").alias("term"), F.lit(True).alias("known"))
+    ranked = topics.join(words, "term", "left").groupBy("topic").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "weight"))).alias("r"), F.every(F.coalesce("known", F.lit(False))).alias("known"))
+    falling = F.forall(F.sequence(F.lit(1), F.size("r") - 1), lambda i: F.get("r", i)["weight"] <= F.get("r", i - 1)["weight"])
+    return ranked.select("topic", F.size("r").alias("terms"), falling.alias("descending"), "known")
 
 
 @query(f"""
@@ -365,3 +384,14 @@ def base_names(spark, sf):
 """)
 def html_to_text(spark, sf):
     return text.html_to_text(table(spark, sf, "pages").select("page_id", "html"), "html")
+
+
+@query("""
+    SELECT page_id, regexp_replace(regexp_replace(html || chr(10), '(<!--.*?-->|<[^>]*>)', '', 'g'), '&([^;]+);', '', 'g') AS text FROM pages
+""")
+def html_files(spark, sf):
+    """Whole HTML files, one per page, read as text."""
+    path = shared_folder(spark, "pages")
+    table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("page"), F.col("html").alias("value")).write.partitionBy("page").text(path)
+    pages = read_html(spark, f"{path}/*")
+    return pages.select(F.regexp_extract("file", r"page=page-(\d+)/", 1).cast("bigint").alias("page_id"), "text")
