@@ -276,12 +276,12 @@ _POSTINGS = """
 
 @query(_POSTINGS)
 def inverted_index(spark, sf):
-    return docindex.inverted_index(_docs(spark, sf), "doc_id", "text")
+    return docindex.inverted_index(_docs(spark, sf), "doc_id", "text", unique_key=True)
 
 
 @query(f"SELECT doc_id, word, 1 AS present FROM ({_POSTINGS})")
 def binary_vectors(spark, sf):
-    return docindex.binary_vectors(_docs(spark, sf), "doc_id", "text")
+    return docindex.binary_vectors(_docs(spark, sf), "doc_id", "text", unique_key=True)
 
 
 @query(f"""

@@ -48,9 +48,9 @@ def inverted_index(df: DataFrame, key: str, text: str, unique_key: bool = False)
     return pairs if unique_key else pairs.distinct()
 
 
-def binary_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, word, present)``: document vectors over the vocabulary, the ones only."""
-    return inverted_index(df, key, text).withColumn("present", F.lit(1)).select(key, "word", "present")
+def binary_vectors(df: DataFrame, key: str, text: str, unique_key: bool = False) -> DataFrame:
+    """``(key, word, present)``: document vectors over the vocabulary, the ones only; ``unique_key`` as for the index."""
+    return inverted_index(df, key, text, unique_key).withColumn("present", F.lit(1)).select(key, "word", "present")
 
 
 def posting_blocks(index: DataFrame, key: str, block_size: int = BLOCK_SIZE) -> DataFrame:

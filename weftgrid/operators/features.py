@@ -73,11 +73,13 @@ def top_terms(df: DataFrame, column: str, n: int) -> dict[str, int]:
     """The ``n`` most frequent terms (at most ``WIDE_LIMIT``) with their document frequency."""
     if n > WIDE_LIMIT:
         raise ValueError(f"at most {WIDE_LIMIT} term columns: use the long form")
-    totals = explode_column(df, [], F.col(column), "term").groupBy("term").agg(F.count("*").alias("tf"))
-    best = [r["term"] for r in totals.orderBy(F.desc("tf"), F.asc("term")).limit(n).collect()]
-    held = explode_column(df, [], F.array_distinct(column), "term").where(F.col("term").isin(best))
-    frequency = {r["term"]: r["df"] for r in held.groupBy("term").agg(F.count("*").alias("df")).collect()}
-    return {term: frequency[term] for term in best}
+    # Every token once, and every distinct token of a row once more: one pass counts both.
+    told = F.concat(
+        F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
+        F.transform(F.array_distinct(column), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))))
+    totals = explode_column(df, [], told, "t").groupBy("t.term").agg(
+        F.count_if(F.col("t.first") == 0).alias("tf"), F.count_if(F.col("t.first") == 1).alias("df"))
+    return {r["term"]: r["df"] for r in totals.orderBy(F.desc("tf"), F.asc("term")).limit(n).collect()}
 
 
 def _prepared(df: DataFrame, column: str) -> DataFrame:
