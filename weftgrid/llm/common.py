@@ -35,11 +35,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def hashable(df: DataFrame) -> list[str]:
-    """Columns whose values Spark can hash."""
-    return [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
-
-
 def amount_before(df: DataFrame, group: str, cell: str, order: list[str | Column], amount: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` over the rows of the same group that come earlier by ``(cell, *order)``.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -148,8 +147,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, least_sha
 
 
 def digest(names: Column) -> Column:
+    """SHA-256 of sorted item names, joined by commas."""
     return F.sha2(F.array_join(names, ","), 256)
-
-
-def digest_of(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()

@@ -309,4 +309,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: bool = False, chunk
     flags = ranks.unionByName(ties)
     out = by_chunk.cogroup(flags.groupBy("chunk")).applyInArrow(
         _remove(length, buckets, keep), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    spark.sql(f"DROP TABLE {name}")  # the plan keeps reading the files
     return out if keep else out.drop("kept")
