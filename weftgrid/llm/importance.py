@@ -21,6 +21,8 @@ BUCKETS = 1 << 17
 SMOOTHING = 2.0
 #: Log ratios closer to 0 than this say nothing, and so do those within that many standard deviations of chance.
 DEAD_ZONE, CHANCE = 0.3, 4.0
+#: A text with more n-grams weighs as much as this many of its average n-grams do: small errors add up over long texts.
+SPAN = 2000
 #: Losing one share of the good documents is as bad as keeping this many shares of the bad ones.
 LOSS = 5.0
 #: A word, or a run of other characters.
@@ -90,7 +92,7 @@ def usual_share(raw: np.ndarray, target: np.ndarray) -> float:
 
 
 def log_weight(spark, raw: np.ndarray, target: np.ndarray, text: Column, good: Column) -> Column:
-    """Log of target probability over raw probability of a text, its own counts left out of both models.
+    """Log of target probability over raw probability of a text of SPAN n-grams at most, its own counts left out of both models.
 
     Without that, words that only one document has would count for or against it by whether it is labelled.
     """
@@ -106,7 +108,7 @@ def log_weight(spark, raw: np.ndarray, target: np.ndarray, text: Column, good: C
             one, two = log_ratios(everything[buckets] - 1, wanted[buckets] - bool(own), scale)
             # A feature that shares a bucket with a telling one seldom does so in both tables.
             ratios = np.where(np.abs(one) < np.abs(two), one, two) * (one * two > 0)
-            out.append(float(ratios.sum()) if scale else 0.0)
+            out.append(float(ratios.sum()) * min(1.0, SPAN / max(1, len(ratios))) if scale else 0.0)
         return pa.array(out, pa.float64())
 
     return weigh(text, good)
