@@ -122,3 +122,22 @@ def test_persist_and_save(people, tmp_path, spark):
     with pytest.raises(Exception):
         grid.save(path)
     grid.save(path, overwrite=True)
+
+
+def test_token_and_value_steps(spark, rows):
+    df = spark.createDataFrame([(1, "The running 42 dogs", "a"), (2, "of it", "b"), (3, None, "c")], "i int, t string, k string")
+    grid = Grid.load(df).tokenize("t").keep_alphabetic("t").keep_long("t").remove_stop_words("t").stem("t").exclude("k", ["b"]).keep("k", ["a", "b"])
+    assert rows(grid.df) == [(1, ["run", "dog"], "a")]
+    assert grid.history()[-2:] == ["exclude", "keep"]
+
+
+def test_long_lists_are_kept_by_a_join(spark):
+    df = spark.range(0, 3000).selectExpr("cast(id AS string) AS k")
+    listed = [str(i) for i in range(1000, 4000)]
+    assert Grid.load(df).keep("k", listed).df.count() == 2000
+    assert Grid.load(df).keep("k", spark.createDataFrame([(x,) for x in listed], "v string")).df.count() == 2000
+
+
+def test_results_come_back_whole(spark):
+    grid = Grid.load(spark.range(0, 2500).toDF("i"))
+    assert grid.sql("SELECT * FROM DataGrid").count() == 2500 and grid.sql(n=10).count() == 10

@@ -96,35 +96,37 @@ def transfer_to_parquet(spark, sf):
     return readers.load_source(spark, moved)
 
 
-@query("SELECT count(*) AS n, sum(length(line))::BIGINT AS chars FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)")
+@query("SELECT md5(line) AS line, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1")
 def text_lines_roundtrip(spark, sf):
     """Line-text sink and scan."""
     lines = columns.explode_lines(table(spark, sf, "documents"), "doc_id", "text").select("text")
     path = sinks.save(lines, shared_folder(spark, "lines"), "text")
     read = readers.read_lines(spark, path)
-    return read.agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+    return read.groupBy(F.md5("value").alias("line")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang, sum(length(text) + 1)::BIGINT AS chars FROM documents GROUP BY lang")
+@query("SELECT lang, md5(line) AS line, count(*) AS n FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY 1, 2")
 def whole_text_roundtrip(spark, sf):
     """One folder per language; each file of it comes back as one row of file and text."""
     path = shared_folder(spark, "texts")
     table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(path)
     files = readers.read_texts(spark, f"{path}/*")
     lang = F.regexp_extract("file", "lang=([a-z]+)", 1)
-    return files.groupBy(lang.alias("lang")).agg(F.sum(F.length("text")).alias("chars"))
+    # Every file ends in a line feed.
+    lines = files.select(lang.alias("lang"), F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"))
+    return lines.groupBy("lang", F.md5("line").alias("line")).agg(F.count("*").alias("n"))
 
 
 @query("""
-    SELECT sum(length(regexp_replace(regexp_replace(html, '(<!--.*?-->|<[^>]*>)', '', 'g'), '&([^;]+);', '', 'g')))::BIGINT AS chars,
-           count(*) AS n FROM (SELECT replace(replace(html, chr(13), ''), chr(10), ' ') AS html FROM pages)
+    SELECT md5(regexp_replace(regexp_replace(html, '(<!--.*?-->|<[^>]*>)', '', 'g'), '&([^;]+);', '', 'g')) AS page, count(*) AS n
+    FROM (SELECT replace(replace(html, chr(13), ''), chr(10), ' ') AS html FROM pages) GROUP BY 1
 """)
 def html_lines(spark, sf):
     """Pages written as lines of HTML and stripped after the scan."""
     pages = table(spark, sf, "pages").select(F.translate("html", "\n\r", " ").alias("html"))
     path = sinks.save(pages, shared_folder(spark, "html"), "text")
     stripped = text.html_to_text(readers.read_lines(spark, path), "value")
-    return stripped.agg(F.sum(F.length("value")).alias("chars"), F.count("*").alias("n"))
+    return stripped.groupBy(F.md5("value").alias("page")).agg(F.count("*").alias("n"))
 
 
 @query("""

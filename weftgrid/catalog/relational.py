@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from weftgrid.catalog import query, table
@@ -369,18 +370,31 @@ def non_empty_lines(spark, sf):
 
 # --- sort, limit, group -----------------------------------------------------------
 
-@query("SELECT o_orderkey, o_totalprice FROM orders")
+def _stretches(ordered, column):
+    """Where each value of a sorted frame stands: its place among the values, its rows, and whether no other value is between them."""
+    held = ordered.withColumn("_at", F.monotonically_increasing_id())
+    runs = held.groupBy(column).agg(F.min("_at").alias("first"), F.max("_at").alias("last"), F.count("*").alias("n"))
+    # One row per value of a column with few values.
+    order = Window.orderBy("first")
+    return runs.select(
+        column, F.row_number().over(order).alias("place"), "n",
+        F.coalesce(F.col("last") < F.lead("first").over(order), F.lit(True)).alias("apart"))
+
+
+@query("SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) AS place, count(*) AS n, TRUE AS apart FROM orders GROUP BY o_orderpriority")
 def sort_column(spark, sf):
     """The whole table in order of a column that has a few frequent values."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
-    return columns.sort(orders, "o_orderpriority").drop("o_orderpriority")
+    return _stretches(columns.sort(orders, "o_orderpriority"), "o_orderpriority")
 
 
-@query("SELECT l_returnflag, l_linestatus, l_linenumber FROM lineitem")
+@query("""
+    SELECT l_returnflag, row_number() OVER (ORDER BY l_returnflag DESC) AS place, count(*) AS n, TRUE AS apart FROM lineitem GROUP BY l_returnflag
+""")
 def sort_copies(spark, sf):
     """The whole table in order, once its rows are reduced to a few that repeat."""
     flags = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
-    return columns.sort_copies(flags, "l_returnflag", ascending=False)
+    return _stretches(columns.sort_copies(flags, "l_returnflag", ascending=False), "l_returnflag")
 
 
 @query("""

@@ -162,18 +162,13 @@ def hashing_tf(spark, sf):
     return hashed.select("doc_id", total.alias("tokens"))
 
 
-@query(f"""
-    WITH {_KEPT}, c AS (SELECT doc_id, token, count(*) AS tf FROM kept GROUP BY 1, 2)
-    SELECT documents.doc_id, coalesce(sum(c.tf), 0)::DOUBLE AS tokens, count(c.tf) AS terms
-    FROM documents LEFT JOIN c USING (doc_id) GROUP BY documents.doc_id
-""")
+@query(f"WITH {_KEPT} SELECT doc_id, token AS term, count(*)::DOUBLE AS tf FROM kept GROUP BY 1, 2")
 def count_vectors(spark, sf):
-    """Count vectors over the corpus vocabulary: their total and their number of terms."""
-    counted, _ = features.count_vectors(_filtered(spark, sf), "text")
-    array = vector_to_array("text")
-    return counted.select("doc_id", array.alias("v")).select(
-        "doc_id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("tokens"),
-        F.size(F.filter("v", lambda x: x > 0)).cast("bigint").alias("terms"))
+    """Count vectors over the whole vocabulary, read back term by term."""
+    counted, vocabulary = features.count_vectors(_filtered(spark, sf), "text")
+    names = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
+    entries = counted.select("doc_id", F.posexplode(vector_to_array("text")).alias("place", "tf")).where("tf > 0")
+    return entries.join(names, "place").select("doc_id", "term", "tf")
 
 
 @query("SELECT doc_id, TRUE AS finite FROM documents")

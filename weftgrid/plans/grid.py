@@ -118,7 +118,7 @@ class Grid:
     def convert(self, column: str) -> Grid:
         return self.step("convert", lambda df: columns.to_text(df, column))
 
-    def expand(self, column: str, size: int) -> Grid:
+    def expand(self, column: str, size: int | None = None) -> Grid:
         return self.step("expand", lambda df: columns.expand_vector(df, column, size))
 
     def split(self, column: str, pieces: int, start: str, method: str, info: str | int) -> Grid:
@@ -127,6 +127,12 @@ class Grid:
     def filter(self, column: str, op: str, value: Any = None) -> Grid:
         return self.step("filter", lambda df: columns.filter_rows(df, column, op, value))
 
+    def exclude(self, column: str, values: list[str] | DataFrame) -> Grid:
+        return self.step("exclude", lambda df: columns.exclude_values(df, column, values))
+
+    def keep(self, column: str, values: list[str] | DataFrame) -> Grid:
+        return self.step("keep", lambda df: columns.keep_values(df, column, values))
+
     def where(self, condition: str | Column) -> Grid:
         return self.step("where", lambda df: df.where(condition))
 
@@ -144,6 +150,18 @@ class Grid:
     def preprocess(self, column: str) -> Grid:
         return self.step("preprocess", lambda df: text.preprocess(df, column))
 
+    def keep_alphabetic(self, column: str) -> Grid:
+        return self.step("keep_alphabetic", lambda df: text.keep_alphabetic(df, column))
+
+    def keep_long(self, column: str, length: int = 3) -> Grid:
+        return self.step("keep_long", lambda df: text.keep_long(df, column, length))
+
+    def remove_stop_words(self, column: str, **options: Any) -> Grid:
+        return self.step("remove_stop_words", lambda df: text.remove_stop_words(df, column, **options))
+
+    def stem(self, column: str) -> Grid:
+        return self.step("stem", lambda df: text.stem_words(df, column))
+
     def sentences(self, column: str) -> Grid:
         return self.step("sentences", lambda df: text.segment_sentences(df, column))
 
