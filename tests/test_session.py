@@ -1,4 +1,6 @@
-from weftgrid.session import shared_folder, spread
+import os
+
+from weftgrid.session import delete_written, materialize, shared_folder, spread, written_folders
 
 
 def test_shared_folder_is_the_named_one(spark):
@@ -14,3 +16,12 @@ def test_spread_leaves_wide_scans_alone(spark, tmp_path):
     assert spread(narrow, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     wide = spark.range(0, 100, 1, spark.sparkContext.defaultParallelism + 1)
     assert spread(wide, "id") is wide
+
+
+def test_intermediate_tables_are_listed_and_deleted(spark):
+    before = written_folders(spark)
+    copy = materialize(spark.range(5), "copy")
+    new = [f for f in written_folders(spark) if f not in before]
+    assert copy.count() == 5 and len(new) == 1 and os.path.isdir(new[0])
+    assert delete_written(spark, new) == 1 and not os.path.exists(new[0])
+    assert written_folders(spark) == before and delete_written(spark, new) == 0

@@ -8,6 +8,7 @@ settings a data-grid job wants.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,25 +39,49 @@ def build_session(app: str = "weftgrid", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Folders handed out, by application.
+_FOLDERS: dict[str, list[str]] = {}
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder name below the folder that every executor can reach.
 
     The cluster names that folder in ``spark.checkpoint.dir``.  Only a local
-    session may fall back to a folder of this machine.
+    session may fall back to a folder of this machine.  ``written_folders`` lists
+    the names given out, ``delete_written`` removes what was written there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         root = tempfile.mkdtemp(prefix="weftgrid-")
-    return f"{root.rstrip('/')}/{label}-{uuid4().hex}"
+    folder = f"{root.rstrip('/')}/{label}-{uuid4().hex}"
+    _FOLDERS.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def written_folders(spark: SparkSession) -> list[str]:
+    """Folders that operators of this application were given for intermediate tables, oldest first."""
+    return list(_FOLDERS.get(spark.sparkContext.applicationId, []))
+
+
+def delete_written(spark: SparkSession, folders: Sequence[str] | None = None) -> int:
+    """Delete intermediate tables (all, or the given ones) once no frame that reads them is needed; how many were there."""
+    known, gone = _FOLDERS.get(spark.sparkContext.applicationId, []), 0
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in written_folders(spark) if folders is None else folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        gone += bool(path.getFileSystem(settings).delete(path, True))
+        if folder in known:
+            known.remove(folder)
+    return gone
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     The copy cuts the lineage, stays readable when executors are lost and lets every
-    later use read only the columns it needs.  It is the caller's to delete.
+    later use read only the columns it needs.  ``delete_written`` removes it.
     """
     path = shared_folder(df.sparkSession, label)
     # A column without a type has no values and no place in a file.
