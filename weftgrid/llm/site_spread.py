@@ -43,7 +43,9 @@ def boilerplate_keys(docs: DataFrame, site: str = "source", min_sites: int = 10)
     factor of BAND of the threshold is replaced by the exact number of different sites.
     """
     rows = site_lines(docs, site)
-    frequent = rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
+    # Written, so that the join below has a plain shuffle on either side and a very common line's partition can be split.
+    frequent = materialize(
+        rows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h1", "h2"), "frequent")
     candidates = materialize(rows.join(frequent, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.count(F.lit(1)).alias("n")), "spread")
     sketched = candidates.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LOG_REGISTERS)).alias("estimate"))
     sure = sketched.where(F.col("estimate") > BAND * min_sites).select("h1", "h2")
