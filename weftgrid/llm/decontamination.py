@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import materialize
 from .automaton import SuffixAutomaton
-from .common import unused
+from .common import small_batches, unused
 
 #: Words of lower-cased text, as bytes: digits, letters a to z and everything beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -88,6 +88,7 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text", wi
     texts have no words; an empty benchmark hits nothing.  A column named ``out`` is replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     weighed = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text",
         F.octet_length("text").cast("long").alias("bytes")).where("bytes > 0")

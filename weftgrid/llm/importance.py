@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import unused
+from .common import small_batches, unused
 
 #: Buckets of one hash table; every feature has a bucket in each of two tables.
 BUCKETS = 1 << 17
@@ -168,6 +168,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 23, temperature: fl
     replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     plain = docs.drop("log_weight", "kept")
     row, good, known, number = (unused(plain, n) for n in ("_row", "_good", "_known", "_number"))
     sample = (

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .common import small_batches
+
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -144,6 +146,8 @@ def _pack(vocabulary: Callable[[], bytes], length: int, end_id: int | None, pad_
                         held = 0
         if pieces:
             yield flush()
+        encode.known.clear()
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return packed
 
@@ -163,6 +167,7 @@ def pack_tokens(docs: DataFrame, length: int = 2048, tokenizer: str = TOKENIZER,
     """
     if not 0 < length <= 65536:
         raise ValueError("length must be 1 to 65536: positions have two bytes")
+    small_batches(docs.sparkSession)
     vocabulary = _vocabulary(docs.sparkSession, tokenizer)
     largest = max(vocabulary.value.count(b"\n") + 1, pad_id, end_id or 0)
     pack = _pack(lambda: vocabulary.value, length, end_id, pad_id, window, "<u2" if largest < 65536 else "<u4")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
-from .common import unused
+from .common import small_batches, unused
 from .components import components
 
 #: Shingles hashed at once, and fingerprint pairs compared at once.
@@ -189,6 +189,7 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42
     texts are one fingerprint before any comparison, so groups of copies cost nothing more.  NULL and empty texts have fingerprint 0, which links like any
     other; a component without a doc_id has NULL.  An empty frame gives no rows.  Columns of these names are replaced.
     """
+    small_batches(docs.sparkSession)
     plain = docs.drop("fingerprint", "component_id", "first")
     row = unused(plain, "_row")
     held = materialize(plain.select(
