@@ -33,7 +33,7 @@ from ..session import materialize, shared_folder
 #: A perfect difference set; every number modulo 91 but 0 is a difference of exactly one pair.
 PERIOD = 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
-#: Text in a chunk and hashes in a bucket.
+#: Text in a chunk and hashes in a bucket; a rank and its surroundings are two hashes.
 CHUNK_BYTES, BUCKET_HASHES = 8 << 20, 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
@@ -51,6 +51,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of hashes, in the order of the hashes."""
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     powers = np.full(n, base & (2**64 - 1), np.uint64)
     powers[:1] = 1
@@ -91,16 +96,14 @@ class Chunk:
         chosen = in_cover[inside % PERIOD]
         return (inside + self.starts[text])[chosen], text[chosen]
 
-    def ranked(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per place of the cover: the place, its text, its bucket, and rank and surroundings in 32 bits each."""
+    def ranked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per place of the cover: the place, its text, and its key: rank and surroundings, 64 bits each."""
         place, text = self.cover()
         first = np.maximum(self.starts[text], place - (PERIOD - 1)) if len(place) else place
         last = np.minimum(self.ends[text], place + self.length) if len(place) else place
         rank = _mixed(self.hash(place, place + self.rank_length))
         around = _mixed(self.hash(first, last) ^ _mixed(((place - first) * 1024 + (last - place)).astype(np.uint64)))
-        bucket = (rank >> np.uint64(32)) % np.uint64(buckets)
-        key = rank << np.uint64(32) | around >> np.uint64(32)
-        return place, text, bucket.astype(np.int64), key
+        return place, text, np.stack([rank, around])
 
     def windows_before(self, place: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Marks of all places up to ``PERIOD - 1`` bytes before, where ``length`` bytes fit in the text."""
@@ -114,42 +117,47 @@ class Chunk:
         return np.cumsum(marks[:-1]) > 0
 
 
-def _send(chunk: int, bucket: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row per bucket: the distinct keys in order, and a bit for each that the chunk has more than once."""
-    order = np.lexsort((key, bucket))
-    bucket, key = bucket[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys (a column each) by their first hash, then the next, and marks in that order where a new one begins."""
+    order = np.lexsort(key[::-1])
+    ranked = key[:, order]
+    new = np.ones(len(order), bool)
+    new[1:] = (ranked[:, 1:] != ranked[:, :-1]).any(axis=0)
+    return order, new
+
+
+def _send(chunk: int, buckets: int, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per bucket: the distinct keys in order, hash after hash, and a bit for each that the chunk has more than once."""
+    order, new = _sorted(key)
     at = np.flatnonzero(new)
-    many = np.diff(np.append(at, len(key))) > 1
-    bucket, key = bucket[at], key[at]
+    many = np.diff(np.append(at, len(order))) > 1
+    key = key[:, order[at]]
+    bucket = _bucket(key[0], buckets)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
-    rows = [(int(bucket[a]), chunk, key[a:b].tobytes(), np.packbits(many[a:b]).tobytes())
-            for a, b in zip([0, *cuts], [*cuts, len(key)]) if a < b]
+    rows = [(int(bucket[a]), chunk, key[:, a:b].tobytes(), np.packbits(many[a:b]).tobytes())
+            for a, b in zip([0, *cuts], [*cuts, len(bucket)]) if a < b]
     if rows:
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "body", "many"])
 
 
-def _answers(flags: pa.Table, kind: int, bucket: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _answers(flags: pa.Table, kind: int, buckets: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two bits that came back for each key, in the order of ``key``."""
-    one, two = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    order = np.lexsort((key, bucket))
-    sorted_bucket, sorted_key = bucket[order], key[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_bucket[1:] != sorted_bucket[:-1])
+    n = key.shape[1]
+    one, two = np.zeros(n, bool), np.zeros(n, bool)
+    order, new = _sorted(key)
     index = np.cumsum(new) - 1  # of the distinct keys
-    heads = sorted_bucket[new]
+    heads = _bucket(key[0, order[new]], buckets)
     a, b = np.zeros(len(heads), bool), np.zeros(len(heads), bool)
     for row in flags.to_pylist():
         if row["kind"] == kind:
             low, high = np.searchsorted(heads, [row["bucket"], row["bucket"] + 1])
             a[low:high] = np.unpackbits(np.frombuffer(row["one"], np.uint8), count=high - low)
             b[low:high] = np.unpackbits(np.frombuffer(row["two"], np.uint8), count=high - low)
-    if len(key):
+    if n:
         one[order], two[order] = a[index], b[index]
         # Of equal keys only the first place stands for the others.
-        first = np.zeros(len(key), bool)
+        first = np.zeros(n, bool)
         first[order[new]] = True
         two &= first
     return one, two
@@ -159,24 +167,21 @@ def _sort_bucket(kind: int):
     def sort(table: pa.Table) -> pa.Table:
         """Sorts one bucket of suffixes and tells each chunk about its own.
 
-        Kind 0, ranks: bit one says that rank and surroundings occur twice; bit two that the rank has several
-        surroundings and that this is the suffix which stands for its own.  Kind 1, whole suffixes: bit one says that
-        the suffix occurs twice.
+        Kind 0, ranks (two hashes each): bit one says that rank and surroundings both occur twice; bit two that the rank has several
+        surroundings and that this is the suffix which stands for its own.  Kind 1, whole suffixes (one hash): bit one
+        says that the suffix occurs twice.
         """
-        bodies = [np.frombuffer(b.as_buffer(), np.uint64) for b in table["body"]]
-        sizes = np.array([len(b) for b in bodies])
+        bodies = [np.frombuffer(b.as_buffer(), np.uint64).reshape(2 - kind, -1) for b in table["body"]]
+        sizes = np.array([b.shape[1] for b in bodies])
         many = np.concatenate([np.unpackbits(np.frombuffer(m.as_buffer(), np.uint8), count=n) for m, n in zip(table["many"], sizes)]).astype(bool)
-        key = np.concatenate(bodies)
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        new = np.ones(len(key), bool)
-        new[1:] = ranked[1:] != ranked[:-1]
+        key = np.concatenate(bodies, axis=1)
+        order, new = _sorted(key)
         group = np.cumsum(new) - 1
         twice = (np.bincount(group) + np.bincount(group, many[order])) > 1
-        one, two = np.zeros(len(key), bool), np.zeros(len(key), bool)
+        one, two = np.zeros(len(order), bool), np.zeros(len(order), bool)
         one[order] = twice[group]
         if kind == 0:
-            heads = ranked[new] >> np.uint64(32)
+            heads = key[0, order[new]]
             tied = np.zeros(len(heads), bool)
             tied[1:] = heads[1:] == heads[:-1]
             tied[:-1] |= tied[1:].copy()
@@ -222,8 +227,7 @@ def _sent(batches: list[pa.RecordBatch]) -> pa.Table:
 def _emit_ranks(length: int, buckets: int):
     def emit(texts: pa.Table) -> pa.Table:
         chunk = Chunk(texts, length)
-        _, _, bucket, key = chunk.ranked(buckets)
-        return _sent(list(_send(chunk.number, bucket, key)))
+        return _sent(list(_send(chunk.number, buckets, chunk.ranked()[2])))
 
     return emit
 
@@ -233,11 +237,11 @@ def _emit_windows(length: int, buckets: int):
         rows: list[pa.RecordBatch] = []
         if texts.num_rows and flags.num_rows:
             chunk = Chunk(texts, length)
-            place, text, bucket, key = chunk.ranked(buckets)
-            _, stands = _answers(flags, 0, bucket, key)
+            place, text, key = chunk.ranked()
+            _, stands = _answers(flags, 0, buckets, key)
             at = np.flatnonzero(chunk.windows_before(place[stands], text[stands]))
             whole = _mixed(chunk.hash(at, at + length))
-            rows = list(_send(chunk.number, (whole % np.uint64(buckets)).astype(np.int64), whole))
+            rows = list(_send(chunk.number, buckets, whole[None]))
         return _sent(rows)
 
     return emit
@@ -252,12 +256,12 @@ def _remove(length: int, buckets: int, keep: bool):
         chunk = Chunk(texts, length)
         covered = np.zeros(len(chunk.bytes) + 1, bool)
         if flags.num_rows:
-            place, text, bucket, key = chunk.ranked(buckets)
-            settled, stands = _answers(flags, 0, bucket, key)
+            place, text, key = chunk.ranked()
+            settled, stands = _answers(flags, 0, buckets, key)
             repeated = chunk.windows_before(place[settled], text[settled])
             at = np.flatnonzero(chunk.windows_before(place[stands], text[stands]))
             whole = _mixed(chunk.hash(at, at + length))
-            repeated[at] |= _answers(flags, 1, (whole % np.uint64(buckets)).astype(np.int64), whole)[0]
+            repeated[at] |= _answers(flags, 1, buckets, whole[None])[0]
             begins = np.zeros(len(covered), np.int32)
             hit = np.flatnonzero(repeated)
             np.add.at(begins, hit, 1)
@@ -286,15 +290,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep: bool = False, chunk
 
     Memory: a task holds one chunk (``chunk_bytes`` of text, or one longer text) or one bucket (about ``bucket_hashes``
     hashes).  The number of buckets follows the amount of text.  A hash repeated in a chunk is sent once, so copies of
-    one text, however many, put at most one entry per chunk into a bucket.  Ties are judged by 64 bits of hash within a
-    bucket.  Intermediate tables lie in the shared folder; the text is written there once.
+    one text, however many, put at most one entry per chunk into a bucket.  Ranks tie by 64 bits of hash, surroundings
+    of equal rank by another 64, whole suffixes by 64 of their own.  Intermediate tables lie in the shared folder; the text is written there once.
     """
     if length <= PERIOD + 16:
         raise ValueError(f"length must be over {PERIOD + 16}")
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(16, -(-size * len(COVER) // (PERIOD * bucket_hashes)))
+    buckets = max(16, -(-2 * size * len(COVER) // (PERIOD * bucket_hashes)))
     scan = plain.mapInArrow(_gather(chunk_bytes), _TEXTS)
     name = f"texts_{uuid4().hex}"
     parts = max(8, min(4096, -(-size // (2 * chunk_bytes))))
