@@ -38,8 +38,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources: documents as often as it takes them, up to twice."""
-    return _measured(mixing.mix_documents(docs), docs.columns)
+    """The mixture of sources, each to its target: documents as often as it takes them, up to twice."""
+    return _measured(mixing.mix_documents(docs, fill=True), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,25 @@ def test_empty_frame_and_one_source(documents):
     assert sum(r["taken"] for r in only) == 18
     with pytest.raises(ValueError):
         mixing.taken_words(documents([(1, "a", "x"), (2, "b", "y")]), max_sources=1)
+
+
+def test_filled_sources_reach_their_targets_and_small_ones_stay(documents, rows):
+    found = [(2, "x " * 9000, "big"), (3, "y " * 5000, "wide")] + [(10 + i, "w " * (1 + 5 * i), f"site{i}") for i in range(40)]
+    docs = documents(found)
+    out = mixing.taken_words(docs, fill=True)
+    assert out.where("taken > 2 * size").count() == 0
+    sums = out.groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert len(sums) == 42 and all(0 <= r["n"] - r["t"] < 1 for r in sums)
+    mix = mixing.mix_documents(docs, fill=True)
+    count = F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
+    assert mix.select("source").distinct().count() == 42
+    assert {r[0]: r[1] for r in mix.groupBy("source").agg(count).collect()} == {r["source"]: r["n"] for r in sums}
+    held, mixed = mixing.mix_plan(docs, fill=True)
+    assert mixed.groupBy("slot").agg(F.sum("n").alias("n")).where("n > 128").count() == 0
+
+
+def test_the_pipeline_loses_no_small_source(spark, documents):
+    import corpus_pipeline
+
+    docs = documents([(2, "x " * 9000, "big")] + [(10 + i, "w " * 20, f"site{i}") for i in range(40)])
+    assert corpus_pipeline.mix(spark, docs, "").select("source").distinct().count() == 41

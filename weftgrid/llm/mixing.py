@@ -34,7 +34,7 @@ def share_targets(sizes: list[int], weights: list[int], share: float = 1.5, cap:
 
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, block_words: int = 128,
-             seed: int = 11, max_sources: int = 10_000, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+             seed: int = 11, max_sources: int = 10_000, keep: list[str] | None = None, fill: bool = False) -> tuple[DataFrame, DataFrame]:
     """Documents and the pieces of them that a mix takes.
 
     The first frame is ``docs`` (all columns, or those in ``keep``) with ``size`` (words), ``source_no``, ``source_size``,
@@ -45,7 +45,13 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     hash of id and text, form a stream of up to ``cap`` epochs that is cut into blocks of ``block_words`` words.  Slot t of
     the schedule belongs to the source whose stretch of the ring holds the t-th golden-ratio point; the r-th slot of
     a source takes its block r.  So every prefix of the mix is close to the target weights, and a document is never
-    taken more than ``cap`` times.  Streams and ranks are sums over cells of bounded size, not one order per source.
+    taken more than ``cap`` times.
+
+    Whole slots leave a source up to a few blocks off its target, and one of a few blocks or less may get none.  With ``fill`` each
+    source gets its target, rounded up to a word: blocks it is short of come after the schedule, those above are not
+    taken, and the last one is cut.
+
+    Streams and ranks are sums over cells of bounded size, not one order per source.
 
     NULL and empty texts have no words and are not taken; repeated rows are documents of their own; an empty frame
     gives empty frames.  The driver sees one row per source, ``max_sources`` at most (else ValueError); the broadcast
@@ -92,15 +98,22 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     placed = amount_before(stream, "source_no", "cell", ["key", "mix_row"], F.col("size"), "start")
     epochs = placed.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(cap)]))).withColumn(
         "start", F.col("start") + F.col("epoch") * F.col("source_size"))
-    # Blocks far beyond the target have no slot: golden-ratio points stay much closer to it than this.
-    near = epochs.where(F.col("start") <= F.col("target") * 1.05 + 64 * block_words)
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
+    end = F.col("start") + F.col("size")
+    if fill:
+        goal = F.ceil("target")
+        near = epochs.where(F.col("start") < goal)
+        end = F.least(end, goal)
+    else:  # blocks far beyond the target have no slot: golden-ratio points stay much closer to it than this
+        near = epochs.where(F.col("start") <= F.col("target") * 1.05 + 64 * block_words)
+    first, last = F.floor(F.col("start") / block_words), F.floor((end - 1) / block_words)
     blocks = near.withColumn("block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
     begin = F.greatest(F.col("start"), F.col("block") * block_words)
     pieces = blocks.select(
         "source_no", "block", "mix_row", "epoch", (begin - F.col("start")).alias("first_word"),
-        (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words) - begin).alias("n"))
-    mixed = pieces.join(ranked, ["source_no", "block"]).select("slot", "mix_row", "epoch", "first_word", "n")
+        (F.least(end, (F.col("block") + 1) * block_words) - begin).alias("n"))
+    mixed = pieces.join(ranked, ["source_no", "block"], "left" if fill else "inner")
+    late = F.lit(slots).cast("long") + F.col("block") * len(found) + F.col("source_no")  # one number per block, the first blocks first
+    mixed = mixed.select(F.coalesce("slot", late).alias("slot"), "mix_row", "epoch", "first_word", "n")
     return held.drop(key, cell), mixed
 
 
