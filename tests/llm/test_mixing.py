@@ -84,3 +84,25 @@ def test_the_pipeline_loses_no_small_source(spark, documents):
 
     docs = documents([(2, "x " * 9000, "big")] + [(10 + i, "w " * 20, f"site{i}") for i in range(40)])
     assert corpus_pipeline.mix(spark, docs, "").select("source").distinct().count() == 41
+
+
+def test_sources_in_a_table_have_the_same_plan(documents, rows):
+    docs = documents(corpus())
+    for fill in (False, True):
+        plans = [mixing.taken_words(docs, block_words=32, fill=fill, driver_sources=n) for n in (10_000, 1)]
+        one, two = (rows(p.select("doc_id", "source", "size", "source_no", "source_size", F.round("target", 6))) for p in plans)
+        assert one == two
+        one, two = (rows(p.groupBy("source").agg(F.sum("taken"))) for p in plans)
+        assert one == two
+    schedules = [rows(mixing.mix_plan(docs, block_words=32, driver_sources=n)[1].select("slot", "n")) for n in (10_000, 1)]
+    assert schedules[0] == schedules[1]
+
+
+def test_more_sources_than_the_driver_shares(spark):
+    docs = spark.range(10_050).selectExpr(
+        "id AS doc_id", "repeat('w ', cast(1 + id % 40 AS int)) AS text", "concat('site', id) AS source")
+    out = mixing.taken_words(docs, fill=True)
+    assert out.count() == 10_050
+    assert out.where("taken NOT BETWEEN target - 0.001 AND target + 1").count() == 0
+    n, all_ = out.agg(F.sum("target"), F.sum("size")).first()
+    assert n == pytest.approx(1.5 * all_)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import global_rank
 from ..session import materialize
 from .common import amount_before, count_words, unused, words_of
 
 #: Golden-ratio points on a ring of 2**31: the odd multiplier next to 2**31 / golden ratio visits every point once.
 RING, STEP = 1 << 31, 1327217885
+#: Sources whose targets are shared on the driver; more are shared by sums over a table with one row per source.
+DRIVER_SOURCES = 10_000
 
 
 def share_targets(sizes: list[int], weights: list[int], share: float = 1.5, cap: float = 2.0) -> list[float]:
@@ -33,8 +36,60 @@ def share_targets(sizes: list[int], weights: list[int], share: float = 1.5, cap:
     return targets
 
 
+def _point(slot: Column) -> Column:
+    return F.pmod(slot, F.lit(RING)) * F.lit(STEP).cast("long") % F.lit(RING)
+
+
+def _shared_table(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> tuple[DataFrame, float]:
+    """``sizes`` (source, n) with ``source_no``, ``target`` and the stretch [``low``, ``high``) of the ring; the sum of targets.
+
+    The targets are those of ``share_targets``.  Stretches are whole-number sums of targets in steps of 1/1024 word, so they
+    don't depend on the order in which they are added up.
+    """
+    ranked = global_rank(sizes, [F.col("source").isNull(), F.col("source")], "source_no")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    table = materialize(
+        ranked.withColumn("source_no", F.col("source_no") - 1).withColumn("weight", weight), "sources")
+    limit = F.col("n") * cap
+    words, weighed = table.agg(F.sum("n"), F.sum("weight")).first()
+    left, known = share * words, 0
+    while True:  # the level rises from round to round, and with it the set of sources at their cap
+        wanted = F.col("weight") * F.lit(float(left)) / F.lit(float(weighed or 1))
+        full = F.lit(weighed == 0) | (wanted > limit)
+        count, at_cap, open_ = table.agg(F.count_if(full), F.sum(F.when(full, F.col("n"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if count == known:
+            break
+        left, weighed, known = share * words - cap * (at_cap or 0), open_ or 0, count
+    table = table.withColumn("target", F.when(full, limit.cast("double")).otherwise(wanted))
+    fine = F.round(F.col("target") * 1024).cast("long")
+    total, fine_total = table.agg(F.sum("target"), F.sum(fine)).first()
+    # Tasks of 65,536 sources each add up what lies before.
+    placed = amount_before(
+        table.withColumns({"_one": F.lit(0), "_cells": F.shiftright("source_no", 16)}), "_one", "_cells", ["source_no"], fine, "_before")
+    on_ring = lambda c: F.floor(c / F.lit(float(fine_total or 1)) * RING)
+    return materialize(placed.select(
+        "source", "source_no", "n", "target", on_ring(F.col("_before")).alias("low"),
+        on_ring(F.col("_before") + fine).alias("high")), "sources"), total
+
+
+def _slots_of(spark, table: DataFrame, slots: int) -> DataFrame:
+    """``slot`` and ``source_no`` for all slots, by the stretches of ``table``.
+
+    Both sides meet in equal cells of the ring.  A stretch is in one cell more than it has borders in it, and a cell has
+    about 64 slots, so the work is in proportion to slots and sources.
+    """
+    bits = 31 - max(0, min(31, (slots // 64).bit_length()))
+    cells = table.where("low < high").select(
+        F.col("source_no").cast("int").alias("source_no"), "low", "high",
+        F.explode(F.sequence(F.shiftright("low", bits), F.shiftright(F.col("high") - 1, bits))).alias("_ring"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), _point(F.col("id")).alias("_at"))
+    points = points.withColumn("_ring", F.shiftright("_at", bits))
+    return points.join(cells, "_ring").where("low <= _at AND _at < high").select("slot", "source_no")
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: int = 2, block_words: int = 128,
-             seed: int = 11, max_sources: int = 10_000, keep: list[str] | None = None, fill: bool = False) -> tuple[DataFrame, DataFrame]:
+             seed: int = 11, max_sources: int | None = None, keep: list[str] | None = None, fill: bool = False,
+             driver_sources: int = DRIVER_SOURCES) -> tuple[DataFrame, DataFrame]:
     """Documents and the pieces of them that a mix takes.
 
     The first frame is ``docs`` (all columns, or those in ``keep``) with ``size`` (words), ``source_no``, ``source_size``,
@@ -54,8 +109,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     Streams and ranks are sums over cells of bounded size, not one order per source.
 
     NULL and empty texts have no words and are not taken; repeated rows are documents of their own; an empty frame
-    gives empty frames.  The driver sees one row per source, ``max_sources`` at most (else ValueError); the broadcast
-    table has the same bound.  Columns with the names above are replaced.
+    gives empty frames.  Any number of sources will do, unless ``max_sources`` asks for a ValueError beyond it.  The driver
+    and a broadcast table hold one row per source for up to ``driver_sources``; more sources stay in a table.  Columns with the names above are replaced.
     """
     spark = docs.sparkSession
     added = ("size", "source_no", "source_size", "target", "mix_row")
@@ -68,29 +123,39 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         "source", *carried, count_words(F.col("text")).alias("size"), name().alias(key),
         F.monotonically_increasing_id().alias("mix_row")), "mix")
 
-    found = held.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
+    counted = held.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"))
+    bound = driver_sources if max_sources is None else max(driver_sources, max_sources)
+    found = counted.limit(bound + 1).collect()
+    if max_sources is not None and len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
-    found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["n"] or 0 for r in found]
-    targets = share_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, cap)
-    total = sum(targets)
-    slots = int(total / block_words + 0.5)
-    cuts, reached = [], 0.0
-    for t in targets[:-1]:
-        reached += t
-        cuts.append(int(reached / total * RING) if total else 0)
-    known = spark.createDataFrame(
-        [(r["source"], i, sizes[i], targets[i]) for i, r in enumerate(found)],
-        "known string, source_no int, source_size bigint, target double")
-    held = held.join(F.broadcast(known), held["source"].eqNullSafe(F.col("known"))).drop("known")
-
-    ends = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    point = F.pmod(F.col("slot"), F.lit(RING)) * F.lit(STEP).cast("long") % F.lit(RING)
-    schedule = (
-        spark.range(slots).withColumnRenamed("id", "slot")
-        .select("slot", F.size(F.filter(ends, lambda c: c <= point)).cast("int").alias("source_no"),
-                F.shiftright("slot", 16).alias("cell")))
+    if len(found) > driver_sources:
+        sized = materialize(counted, "sizes")
+        n_sources = sized.count()
+        table, total = _shared_table(sized, weights, share, cap)
+        slots = int(total / block_words + 0.5)
+        known = table.select(
+            F.col("source").alias("known"), F.col("source_no").cast("int").alias("source_no"), F.col("n").alias("source_size"), "target")
+        by_slot = _slots_of(spark, table, slots)
+    else:
+        n_sources = len(found)
+        found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
+        sizes = [r["n"] for r in found]
+        targets = share_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, cap)
+        total = sum(targets)
+        slots = int(total / block_words + 0.5)
+        cuts, reached = [], 0.0
+        for t in targets[:-1]:
+            reached += t
+            cuts.append(int(reached / total * RING) if total else 0)
+        known = F.broadcast(spark.createDataFrame(
+            [(r["source"], i, sizes[i], targets[i]) for i, r in enumerate(found)],
+            "known string, source_no int, source_size bigint, target double"))
+        ends = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
+        point = _point(F.col("slot"))
+        by_slot = spark.range(slots).select(
+            F.col("id").alias("slot"), F.size(F.filter(ends, lambda c: c <= point)).cast("int").alias("source_no"))
+    held = held.join(known, held["source"].eqNullSafe(F.col("known"))).drop("known")
+    schedule = by_slot.withColumn("cell", F.shiftright("slot", 16))
     ranked = amount_before(schedule, "source_no", "cell", ["slot"], F.lit(1), "block").drop("cell")
 
     stream = held.where("size > 0").select("source_no", "mix_row", "size", "source_size", "target", F.col(key).alias("key"),
@@ -112,7 +177,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         "source_no", "block", "mix_row", "epoch", (begin - F.col("start")).alias("first_word"),
         (F.least(end, (F.col("block") + 1) * block_words) - begin).alias("n"))
     mixed = pieces.join(ranked, ["source_no", "block"], "left" if fill else "inner")
-    late = F.lit(slots).cast("long") + F.col("block") * len(found) + F.col("source_no")  # one number per block, the first blocks first
+    late = F.lit(slots).cast("long") + F.col("block") * n_sources + F.col("source_no")  # one number per block, the first blocks first
     mixed = mixed.select(F.coalesce("slot", late).alias("slot"), "mix_row", "epoch", "first_word", "n")
     return held.drop(key, cell), mixed
 
