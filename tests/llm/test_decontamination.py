@@ -91,3 +91,15 @@ def test_automaton_knows_every_run_and_no_other():
                         found.add(number)
         assert {p for a, b in spans for p in range(a, b + 1)} == want and hit == found
         assert all(b + 1 < c for (_, b), (c, _) in zip(spans, spans[1:]))
+
+
+def test_repeated_benchmark_rows_count_once(spark, monkeypatch):
+    found = []
+    scanner = decontamination._scanner
+    monkeypatch.setattr(decontamination, "_scanner", lambda s, items, window: found.append(items) or scanner(s, items, window))
+    texts = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    items = spark.createDataFrame([("a", texts[0])] * 500 + [("b", texts[1]), (None, texts[1])], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"so {texts[0]} so"), (2, texts[1]), (3, "none")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["hits"]["items"] for r in decontamination.mark_contamination(docs, items, window=5, block_bytes=100).collect()}
+    assert got == {1: ["a"], 2: ["", "b"], 3: []}
+    assert sorted(i for block in found for i in block) == [("", texts[1]), ("a", texts[0]), ("b", texts[1])]

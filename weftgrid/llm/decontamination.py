@@ -82,7 +82,8 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text", wi
     """``docs`` with ``out``: the number of words, the merged spans of words inside an occurrence, and the items hit.
 
     An occurrence is any ``window`` consecutive words of an item, or a whole item of fewer words.  ``items`` has
-    ``item_id`` and ``text``; items without words match nothing, and a NULL id is named by the empty text.  The
+    ``item_id`` and ``text``; items without words match nothing, a NULL id is named by the empty text, and repeated
+    rows count once.  The
     benchmark is cut into blocks of at most ``block_bytes`` of text (one item may exceed it); each block is one
     broadcast automaton and one pass over the documents, so memory is bounded whatever the benchmark's size.  NULL
     texts have no words; an empty benchmark hits nothing.  A column named ``out`` is replaced.
@@ -91,9 +92,11 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text", wi
     small_batches(spark)
     weighed = items.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text",
-        F.octet_length("text").cast("long").alias("bytes")).where("bytes > 0")
+        F.octet_length("text").cast("long").alias("bytes")).where("bytes > 0").distinct()
     total = weighed.agg(F.sum("bytes"), F.max("bytes")).first()
     blocks = -(-(total[0] or 0) // block_bytes) or 1
+    if blocks > 1:
+        weighed = materialize(weighed, "items")
     frame, passes = docs.drop(out), []
     for block in range(blocks):
         dealt = weighed if blocks == 1 else weighed.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)
