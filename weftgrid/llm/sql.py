@@ -124,3 +124,44 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(least(size, greatest(0, coalesce(words, 0) - a)) + least(size, greatest(0, coalesce(words, 0) - source_size - a)) AS BIGINT) AS taken
 FROM placed LEFT JOIN slots USING (no)
 """
+
+AUDIT_SQL = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+    FROM documents
+), failed AS (
+    SELECT part, doc_id, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+           + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+           + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+           + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS f
+    FROM doc
+), label AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), mask AS (
+    SELECT part, f, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+    FROM failed LEFT JOIN label USING (doc_id) GROUP BY part, f
+), letter AS (
+    SELECT chr(CAST(65 + i AS INTEGER)) AS c, CAST(1 << i AS BIGINT) AS bit FROM (SELECT unnest(range(5)) AS i)
+), perm AS (
+    SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letter a JOIN letter b ON b.c <> a.c JOIN letter c ON c.c NOT IN (a.c, b.c) JOIN letter d ON d.c NOT IN (a.c, b.c, c.c)
+         JOIN letter e ON e.c NOT IN (a.c, b.c, c.c, d.c)
+), step AS (
+    SELECT filter_order, CAST(i AS INTEGER) AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0) AS before
+    FROM (SELECT *, unnest(range(1, 6)) AS i FROM perm)
+), counted AS (
+    SELECT part, filter_order, step, bit,
+           coalesce(sum(n) FILTER (WHERE f & CAST(before + bit AS BIGINT) = 0), 0) AS kept,
+           coalesce(sum(n) FILTER (WHERE f & CAST(before AS BIGINT) = 0 AND f & bit <> 0), 0) AS removed,
+           coalesce(sum(n) FILTER (WHERE f & CAST(before AS BIGINT) <> 0 AND f & bit <> 0), 0) AS redundant,
+           coalesce(sum(n) FILTER (WHERE f = bit), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (WHERE f & CAST(before AS BIGINT) = 0 AND f & bit <> 0), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (WHERE f & CAST(before AS BIGINT) = 0 AND f & bit <> 0), 0) AS toxic_lost
+    FROM mask CROSS JOIN step GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
