@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, filter_audit, importance, language, line_rules, mixing, packing, sharding, simhash, site_spread, suffixes
-from .sql import AUDIT_SQL, DECONTAMINATION_SQL, LINE_RULES_SQL, LINE_SPREAD_SQL, MIXING_SQL
+from . import bpe, collocations, decontamination, filter_audit, importance, language, line_rules, mixing, packing, sharding, simhash, site_spread, suffixes
+from .sql import AUDIT_SQL, COLLOCATIONS_SQL, DECONTAMINATION_SQL, LINE_RULES_SQL, LINE_SPREAD_SQL, MIXING_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op10_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,7 +85,7 @@ def op13_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_sharding, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_quality_classifier, op6_quality_rules, op7_line_dedup,
-    op8_mixing_sources, op9_language_id, op10_token_id_output, op12_filter_interaction_audit, op13_bpe_encoding)}
+    op8_mixing_sources, op9_language_id, op10_token_id_output, op11_phrase_collocations, op12_filter_interaction_audit, op13_bpe_encoding)}
 SQL = {
     "op4_benchmark_decontamination": DECONTAMINATION_SQL, "op6_quality_rules": LINE_RULES_SQL,
-    "op7_line_dedup": LINE_SPREAD_SQL, "op8_mixing_sources": MIXING_SQL, "op12_filter_interaction_audit": AUDIT_SQL}
+    "op7_line_dedup": LINE_SPREAD_SQL, "op8_mixing_sources": MIXING_SQL, "op11_phrase_collocations": COLLOCATIONS_SQL, "op12_filter_interaction_audit": AUDIT_SQL}

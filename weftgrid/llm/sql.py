@@ -165,3 +165,36 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
 FROM counted
 """
+
+COLLOCATIONS_SQL = r"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+), piece AS (
+    SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS p FROM doc)
+), total AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM piece GROUP BY lang
+), gram AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (SELECT unnest(range(1, 5)) AS k) WHERE len(w) >= k)
+), f AS (
+    SELECT lang, k, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM gram GROUP BY lang, k, phrase HAVING count(*) >= 30
+), cut AS (
+    SELECT lang, k, phrase, a, c, array_to_string(w[1:c], ' ') AS first_part, array_to_string(w[c + 1:k], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)
+), scored AS (
+    SELECT cut.lang, cut.k, cut.phrase, cut.a, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * cut.a // (x.a + y.a) AS BIGINT) AS score, c
+    FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = cut.first_part JOIN f y ON y.lang = cut.lang AND y.phrase = cut.rest
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1
+), inside AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longest
+    FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2)) GROUP BY ALL
+), kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
