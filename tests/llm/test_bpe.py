@@ -52,6 +52,16 @@ def test_ids_of_odd_texts_are_those_of_the_library(library, encoder, decoder, pa
     same("".join(parts), library, encoder, decoder)
 
 
+def test_latin_1_needs_no_library(library, content, encoder, decoder):
+    assert encoder.latin
+    odd = [chr(c) for c in range(256)]
+    for a in odd:
+        for b in ("", "a", "é", "'s", "7", "¼", "\xa0"):
+            same(a + b + a, library, encoder, decoder)
+    content = content.replace("Lowercase", "NFKC")
+    assert bpe.Encoder(content).latin is None
+
+
 def test_long_runs(library, encoder, decoder):
     rng = random.Random(3)
     for text in ["a" * 5000, "ab" * 4000, "".join(rng.choice("etaoins") for _ in range(20_000)), "!?" * 3000, "日" * 3000, "é" * 2000, "ha " * 3000]:
@@ -69,11 +79,11 @@ def plain_merges(merger, word):
     """Scans all pairs for the lowest rank again and again."""
     symbols = [merger.inner[b] for b in word[:-1]] + [merger.last[word[-1]]]
     while True:
-        found = [(merger.ranks[a << 32 | b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a << 32 | b in merger.ranks]
+        found = [(merger.right_of[a][b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if b in merger.right_of[a]]
         if not found:
             return symbols
-        (_, new), at = min(found, key=lambda f: (f[0][0], f[1]))
-        symbols[at:at + 2] = [new]
+        pair, at = min(found)
+        symbols[at:at + 2] = [pair & (1 << 32) - 1]
 
 
 def test_queue_against_a_plain_scan(encoder):

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ from .common import small_batches
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 #: White space ends every piece of these vocabularies, so what stands between is encoded by itself.
 _PART = re.compile(r"[^ \t-\r]+")
-#: Remembered parts of texts per task, and their greatest length.
-_REMEMBERED, _SHORT = 200_000, 64
+#: Remembered parts and words in each of two generations, and their greatest length.
+_REMEMBERED, _SHORT = 150_000, 64
+#: Fixed value: the word pattern of the vocabulary, for texts of Latin-1 characters only.
+_LATIN = r"""'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"""
 
 
 def byte_characters() -> list[str]:
@@ -36,11 +40,11 @@ class Merger:
         characters = byte_characters()
         self.inner = [vocabulary.get(c) for c in characters]
         self.last = [vocabulary.get(c + suffix) for c in characters]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        #: Rank and new symbol by the pair, as one number.
-        self.ranks: dict[int, tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(pairs):
-            self.ranks[vocabulary[a] << 32 | vocabulary[b]] = rank, vocabulary[a + b]
+        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        #: By the left symbol, then the right one: rank (from 1) and new symbol as one number, the rank in the upper bits.
+        self.right_of: list[dict[int, int]] = [{} for _ in range(max(vocabulary.values()) + 1)]
+        for rank, (a, b) in enumerate(merges, 1):
+            self.right_of[vocabulary[a]][vocabulary[b]] = rank << 32 | vocabulary[a + b]
 
     def __call__(self, word: bytes) -> list[int]:
         """Symbols of a word after all merges, the lowest rank first and from the left among equals.
@@ -48,45 +52,68 @@ class Merger:
         The symbols are a doubly linked list.  The queue holds rank and place of pairs; an entry whose pair has changed
         since is skipped when it comes up.
         """
-        symbols = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        symbols = [s for s in symbols if s is not None]
-        n, ranks = len(symbols), self.ranks
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = []
-        for at in range(n - 1):
-            found = ranks.get(symbols[at] << 32 | symbols[at + 1])
-            if found:
-                queue.append(found[0] << 40 | at)
-        heapq.heapify(queue)
+        inner, right_of = self.inner, self.right_of
+        symbols = [inner[b] for b in word]
+        symbols[-1] = self.last[word[-1]]
+        if None in symbols:
+            symbols = [s for s in symbols if s is not None]
+        n = len(symbols)
+        # What can be merged at each place now, 0 for nothing.
+        pairs = [right_of[a].get(b, 0) for a, b in zip(symbols, symbols[1:])]
+        queue = [(pair >> 32) << 32 | at for at, pair in enumerate(pairs) if pair]
+        if not queue:
+            return symbols
+        heapify(queue)
+        pairs.append(0)
+        after, before = [*range(1, n + 1)], [*range(-1, n)]
         while queue:
-            entry = heapq.heappop(queue)
-            at = entry & (1 << 40) - 1
+            entry = heappop(queue)
+            at = entry & 0xFFFFFFFF
+            pair = pairs[at]
+            if not pair or pair ^ entry > 0xFFFFFFFF:
+                continue  # stale: another pair stands here by now, or none
+            symbols[at] = new = pair & 0xFFFFFFFF
             right = after[at]
-            if symbols[at] < 0 or right == n:
-                continue  # stale: merged into its left neighbour, or the last symbol by now
-            found = ranks.get(symbols[at] << 32 | symbols[right])
-            if not found or found[0] != entry >> 40:
-                continue  # stale: another pair stands here now
-            symbols[at], symbols[right] = found[1], -1
+            symbols[right], pairs[right] = -1, 0
             after[at] = following = after[right]
-            if following < n:
-                before[following] = at
-                pair = ranks.get(symbols[at] << 32 | symbols[following])
-                if pair:
-                    heapq.heappush(queue, pair[0] << 40 | at)
+            before[following] = at
+            pairs[at] = pair = right_of[new].get(symbols[following], 0) if following < n else 0
+            if pair:
+                heappush(queue, (pair >> 32) << 32 | at)
             earlier = before[at]
             if earlier >= 0:
-                pair = ranks.get(symbols[earlier] << 32 | symbols[at])
+                pairs[earlier] = pair = right_of[symbols[earlier]].get(new, 0)
                 if pair:
-                    heapq.heappush(queue, pair[0] << 40 | earlier)
+                    heappush(queue, (pair >> 32) << 32 | earlier)
         return [s for s in symbols if s >= 0]
 
 
+class Memory:
+    """Values by key in two generations: when the younger is full it becomes the older one, which is forgotten."""
+
+    def __init__(self) -> None:
+        self.young, self.old = {}, {}
+
+    def get(self, key):
+        value = self.young.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(key) < _SHORT:
+            if len(self.young) >= _REMEMBERED:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 class Encoder:
     """Texts to ids: special tokens, normal form and words as the vocabulary file says, then merges.
 
-    The Unicode tables are those of the tokenizers library, whose normaliser and word pattern are used as they are; the
-    merges are our own.  Parts between white space are remembered.
+    Beyond Latin-1 the Unicode tables are those of the tokenizers library, whose normaliser and word pattern are used as they
+    are; the merges are our own.  Parts between white space are remembered.
     """
 
     def __init__(self, content: str) -> None:
@@ -100,38 +127,49 @@ class Encoder:
         names = sorted(map(re.escape, self.special), key=len, reverse=True)
         self.specials = re.compile(f"({'|'.join(names)})") if names else None
         self.byte_of = {ord(c): b for b, c in enumerate(byte_characters())}
-        self.words: dict[str, list[int]] = {}
-        self.parts: dict[str, bytes] = {}
+        # Latin-1 characters are in normal form, and their classes are the same in all versions of Unicode.
+        simple = [n.get("pattern", n).get("Regex") if n["type"] == "Replace" else n["type"] for n in described["normalizer"]["normalizers"]]
+        split, to_bytes = described["pre_tokenizer"]["pretokenizers"]
+        known = simple == ["NFC", r"\s+", "Lowercase"] and split["pattern"]["Regex"] == _LATIN and to_bytes["type"] == "ByteLevel"
+        self.latin = regex.compile(_LATIN).findall if known else None
+        self.words, self.parts = Memory(), Memory()
+
+    def _words(self, segment: str) -> list[bytes]:
+        """Words of a text without white space, as bytes."""
+        if self.latin:
+            try:
+                segment.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return [w.encode() for w in self.latin(segment.lower())]
+        pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(segment))
+        return [piece.translate(self.byte_of).encode("latin-1") for piece, _ in pieces]
 
     def _part(self, part: str) -> bytes:
         ids = []
         for k, segment in enumerate(self.specials.split(part) if self.specials else [part]):
             if k % 2:
-                ids.append(self.special[segment])
+                ids.append(array("I", [self.special[segment]]).tobytes())
             elif segment:
-                for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(segment)):
-                    known = self.words.get(piece)
+                for word in self._words(segment):
+                    known = self.words.get(word)
                     if known is None:
-                        known = self.merge(piece.translate(self.byte_of).encode("latin-1"))
-                        if len(piece) < _SHORT:
-                            if len(self.words) >= _REMEMBERED:
-                                self.words.clear()
-                            self.words[piece] = known
-                    ids += known
-        return np.array(ids, "<u4").tobytes()
+                        known = array("I", self.merge(word)).tobytes()
+                        self.words.put(word, known)
+                    ids.append(known)
+        return ids[0] if len(ids) == 1 else b"".join(ids)
 
     def __call__(self, text: str) -> bytes:
         """Ids of a text, four bytes each, the lowest first."""
-        found, known = [], self.parts
-        for match in _PART.finditer(text):
-            part = match.group()
-            ids = known.get(part)
+        found, parts = [], self.parts
+        for part in _PART.findall(text):
+            ids = parts.young.get(part)
             if ids is None:
-                ids = self._part(part)
-                if len(part) < _SHORT:
-                    if len(known) >= _REMEMBERED:
-                        known.clear()
-                    known[part] = ids
+                ids = parts.get(part)
+                if ids is None:
+                    ids = self._part(part)
+                    parts.put(part, ids)
             found.append(ids)
         return b"".join(found)
 
@@ -152,9 +190,19 @@ class Decoder:
 
 
 def _content(docs: DataFrame, path: str):
-    """The vocabulary file, read once by the driver; its size does not depend on the data."""
+    """The vocabulary file, read once by the driver; its size does not depend on the data.
+
+    A worker process keeps its copy of a broadcast from task to task, and in it the coder with what it remembers.
+    """
     with open(path, encoding="utf-8") as file:
-        return docs.sparkSession.sparkContext.broadcast(file.read())
+        return docs.sparkSession.sparkContext.broadcast({"content": file.read()})
+
+
+def _kept(held: dict, coder: type):
+    name = coder.__name__
+    if name not in held:
+        held[name] = coder(held["content"])
+    return held[name]
 
 
 def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -170,7 +218,7 @@ def encode_texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     @F.arrow_udf("binary")
     def encoded(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = Encoder(content.value)
+        encode = _kept(content.value, Encoder)
         for batch in texts:
             yield pa.array([encode(t.as_py() or "") for t in batch], pa.binary())
 
@@ -188,7 +236,7 @@ def decode_ids(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     @F.arrow_udf("string")
     def decoded(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        decode = Decoder(content.value)
+        decode = _kept(content.value, Decoder)
         for batch in ids:
             yield pa.array([decode(i.as_py() or b"") for i in batch], pa.string())
 
