@@ -2,7 +2,8 @@
 
 A phrase with ``support`` occurrences has, in at least one shard, ``support`` times that shard's share of the words.  So
 each shard, a fixed share of the input's partitions, is mined completely for phrases of that local support, from words to longer phrases;
-the union of what is found holds every frequent phrase, and its members are then counted exactly over all documents.
+the union of what is found holds every frequent phrase.  A member whose counts, with the most that the shards without it can
+hold, stay below ``support`` is dropped; the others are then counted exactly over all documents.
 
 Mining works on 64-bit hashes of phrases.  Two phrases of one hash can only add a candidate, never lose one; the last count
 is of the phrases themselves.
@@ -23,14 +24,16 @@ from .common import small_batches
 
 #: Longest phrase in words.
 LONGEST = 4
-#: Shards that are mined at lowered support; a parameter of the method, not of the size of the data.
-SHARDS = 8
+#: Shards that are mined at lowered support; each grows with the data, so that a local support stays well above 1.
+SHARDS = 3
 #: Words counted together in a task, and bytes of a text split at once.
-CHUNK_WORDS, SLICE_BYTES = 1 << 21, 1 << 20
+CHUNK_WORDS, SLICE_BYTES = 1 << 19, 1 << 20
 #: A filter has 16 bits per member, and at most so many bits (64 MB); beyond, more words pass it and are counted for nothing.
 FILTER_BITS, BITS_EACH = 1 << 29, 16
 #: Bits in one row of a filter's table.
 _ROW_BITS = 1 << 15
+#: Rows of a batch that goes to the JVM, and parts of a language that are ranked apart first.
+_BATCH, _RANKED_APART = 1 << 16, 64
 
 _MARK = b"\xff"  # in no UTF-8 text: stands for the end of a piece
 
@@ -62,19 +65,24 @@ def split_words(text: bytes, size: int = SLICE_BYTES) -> Iterator[list[bytes]]:
         at = end
 
 
+class Numbers(dict):
+    """A number for each different word, in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class Chunk:
     """Words of one language as numbers, 0 at the end of a piece; ``old`` words at the start were counted before."""
 
     def __init__(self, lang: str, start: list[bytes] = ()) -> None:
-        self.lang, self.number, self.parts, self.size = lang, {_MARK: 0}, [], 0
+        self.lang, self.number, self.parts, self.size = lang, Numbers({_MARK: 0}), [], 0
         self.add(list(start))
         self.old = self.size
 
     def add(self, words: list[bytes]) -> None:
-        number = self.number
-        for word in set(words).difference(number):
-            number[word] = len(number)
-        self.parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
+        self.parts.append(np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)))
         self.size += len(words)
 
     def ids(self) -> np.ndarray:
@@ -152,6 +160,13 @@ def build_filter(members: DataFrame, most: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
+def _batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
+    """One batch as several of bounded size."""
+    whole = pa.RecordBatch.from_pydict(columns)
+    for at in range(0, whole.num_rows, _BATCH):
+        yield whole.slice(at, _BATCH)
+
+
 def _sums(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys, return_counts=True)
 
@@ -164,9 +179,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, counts = list(chunk.number)[1:], counts[1:]
         held = [w for w, n in zip(words, counts) if n]
         n = np.append(counts[counts > 0], counts.sum())
-        yield pa.RecordBatch.from_arrays([
-            pa.array([None] * len(held) + [shard], pa.int32()), pa.array([chunk.lang] * len(n), pa.string()),
-            pa.array([w.decode() for w in held] + [None], pa.string()), pa.array(n, pa.int64())], ["shard", "lang", "word", "n"])
+        yield from _batches({
+            "shard": pa.array([None] * len(held) + [shard], pa.int32()), "lang": pa.array([chunk.lang] * len(n), pa.string()),
+            "word": pa.array([w.decode() for w in held] + [None], pa.string()), "n": pa.array(n, pa.int64())})
 
 
 def _shard(shards: int = SHARDS) -> int:
@@ -216,9 +231,9 @@ def _mine(words: Callable[[], Filter], pairs: Callable[[], Filter] | None, lengt
             if not kept or not sum(map(len, kept)):
                 continue
             hashes, n = _sums(np.concatenate(kept))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([chunk.lang] * len(n), pa.string()), pa.array(np.full(len(n), shard, np.int32)),
-                pa.array(hashes.view(np.int64)), pa.array(n, pa.int64())], ["lang", "shard", "hash", "n"])
+            yield from _batches({
+                "lang": pa.array([chunk.lang] * len(n), pa.string()), "shard": pa.array(np.full(len(n), shard, np.int32)),
+                "hash": pa.array(hashes.view(np.int64)), "n": pa.array(n, pa.int64())})
 
     return mined
 
@@ -244,9 +259,9 @@ def _exact(words: Callable[[], Filter], candidates: Callable[[], Filter]):
                 phrases = names[ids[first]]
                 for j in range(1, k):
                     phrases = phrases + " " + names[ids[first + j]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([chunk.lang] * len(n), pa.string()), pa.array(phrases, pa.string()),
-                    pa.array(np.full(len(n), k, np.int32)), pa.array(n, pa.int64())], ["lang", "phrase", "k", "n"])
+                yield from _batches({
+                    "lang": pa.array([chunk.lang] * len(n), pa.string()), "phrase": pa.array(phrases, pa.string()),
+                    "k": pa.array(np.full(len(n), k, np.int32)), "n": pa.array(n, pa.int64())})
 
     return counted
 
@@ -268,8 +283,11 @@ def frequent_phrases(docs: DataFrame, support: int = 30) -> tuple[DataFrame, Dat
     sizes = counts.where("word IS NULL AND n > 0").select("lang", "shard", "n")
     totals = sizes.groupBy("lang").agg(F.sum("n").alias("n"))
     # A shard's share of the support, rounded up: those less one add up to less than the support.
-    local = materialize(sizes.withColumnRenamed("n", "held").join(totals, "lang").select(
-        "lang", "shard", F.ceil(F.col("held").cast("decimal(20,0)") * support / F.col("n")).cast("long").alias("least")), "supports")
+    least = F.ceil(F.col("held").cast("decimal(20,0)") * support / F.col("n")).cast("long")
+    local = sizes.withColumnRenamed("n", "held").join(totals, "lang").select("lang", "shard", least.alias("least"))
+    local = materialize(local, "supports")
+    # At most so many occurrences are in the shards that don't report a phrase, if none does.
+    unseen = materialize(local.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("unseen")), "unseen")
 
     def share(members: DataFrame) -> Callable[[], Filter]:
         sent = spark.sparkContext.broadcast(build_filter(members))
@@ -281,7 +299,11 @@ def frequent_phrases(docs: DataFrame, support: int = 30) -> tuple[DataFrame, Dat
         sums = texts.mapInArrow(_mine(frequent, pairs, lengths), "lang string, shard int, hash bigint, n bigint").groupBy(
             "lang", "shard", "hash").agg(F.sum("n").alias("n"))
         # A shard that no word was counted in has no local support: all is kept.
-        return materialize(sums.join(local, ["lang", "shard"], "left").where(F.col("n") >= F.coalesce("least", F.lit(1))).select("hash"), "mined")
+        found = sums.join(local, ["lang", "shard"], "left").withColumn("least", F.coalesce("least", F.lit(1))).where(F.col("n") >= F.col("least"))
+        # What was counted, and the most that the other shards can hold, must reach the support.
+        seen = found.groupBy("lang", "hash").agg(F.sum("n").alias("n"), F.sum(F.col("least") - 1).alias("seen"))
+        kept = seen.join(unseen, "lang", "left").where(F.col("n") + F.coalesce(F.col("unseen") - F.col("seen"), F.lit(0)) >= support)
+        return materialize(kept.select("hash"), "mined")
 
     pairs = mine(None, (2,))
     longer = mine(share(pairs), tuple(range(3, LONGEST + 1)))
@@ -331,6 +353,9 @@ def collocations(docs: DataFrame, support: int = 30, covered_percent: int = 80,
     hundred = F.lit(100).cast("decimal(3,0)")
     kept = scored.join(inside, ["lang", "phrase"], "left").where(
         F.col("longest").isNull() | (F.col("longest").cast("decimal(20,0)") * hundred < F.col("a").cast("decimal(20,0)") * F.lit(covered_percent).cast("decimal(3,0)")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first)
+    order = F.desc("score"), F.desc("a"), F.col("phrase")
+    # The first of each part of a language hold the first of the language: a bounded number of rows meets in the last task.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(_RANKED_APART))
+    best = kept.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= first)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= first)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
