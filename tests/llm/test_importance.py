@@ -85,3 +85,11 @@ def test_features_count_once_and_fit_the_tables():
     one, many = importance.features("ab cd"), importance.features("ab cd " * 50)
     assert one.shape[1] < many.shape[1] < one.shape[1] + 15
     assert many[0].max() < importance.BUCKETS <= many[1].min() and many[1].max() < 2 * importance.BUCKETS
+
+
+def test_the_draw_depends_on_id_and_text_only(spark, documents, rows):
+    docs = documents([(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(20 + i % 30)) + (" spam spam" if i % 3 else " fine prose"), "s") for i in range(300)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(0, 300, 2)], "doc_id bigint, quality int, toxic int")
+    one = rows(importance.resample(docs.repartition(7, "text"), labels).select("doc_id", "kept"))
+    assert one == rows(importance.resample(docs.orderBy("text").coalesce(1), labels).select("doc_id", "kept"))
+    assert {k for _, k in one} == {True, False}

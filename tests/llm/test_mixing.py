@@ -106,3 +106,20 @@ def test_more_sources_than_the_driver_shares(spark):
     assert out.where("taken NOT BETWEEN target - 0.001 AND target + 1").count() == 0
     n, all_ = out.agg(F.sum("target"), F.sum("size")).first()
     assert n == pytest.approx(1.5 * all_)
+
+
+def test_a_tiny_source_beside_a_large_one(documents):
+    docs = documents([(1, "x " * 10_000, "a"), (2, "y " * 50, "b"), (3, "z " * 20, "c")])
+    got = {r["source"]: (r["target"], r["taken"]) for r in mixing.taken_words(docs, fill=True).collect()}
+    assert got == {"a": (14965, 14965), "b": (100, 100), "c": (40, 40)}
+
+
+def test_own_columns_of_documents_stay(documents, rows):
+    names = ("known", "size", "source_no", "source_size", "target", "mix_row", "_known", "_key", "_taken", "slot", "block", "epoch", "cell", "n", "taken", "text_aside", "size_aside")
+    docs = documents([(i, "a b c " * (1 + i % 7), f"s{i % 4}") for i in range(60)], extra=names)
+    docs = docs.withColumns({name: F.lit(100 + i) for i, name in enumerate(names)})
+    mix = mixing.mix_documents(docs, fill=True, block_words=8)
+    assert mix.columns == docs.columns
+    assert rows(mix.select(*names).distinct()) == [tuple(range(100, 100 + len(names)))]
+    plain = mixing.mix_documents(docs.drop(*names), fill=True, block_words=8)
+    assert rows(mix.drop(*names)) == rows(plain)

@@ -107,3 +107,12 @@ def test_long_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1000)], "a bigint, b bigint")
     found = {r["node"]: r["root"] for r in components.components(links).collect()}
     assert found == {i: 0 for i in range(1, 301)}
+
+
+def test_own_columns_of_documents_stay(documents, rows):
+    names = ("head", "_head", "root", "best", "node", "_row", "cell", "tile", "known")
+    docs = documents([(i, f"some words of text {i // 2}", "s") for i in range(12)], extra=names)
+    docs = docs.withColumns({name: F.lit(100 + i) for i, name in enumerate(names)})
+    got = simhash.near_groups(docs)
+    assert rows(got.select(*names).distinct()) == [tuple(range(100, 100 + len(names)))]
+    assert rows(got.select("doc_id", "component_id")) == rows(simhash.near_groups(docs.drop(*names)).select("doc_id", "component_id"))

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import random
 
 import pytest
@@ -44,3 +45,12 @@ def test_many_sites_are_sketched(spark):
 def test_empty_frame_and_no_python(documents):
     out = site_spread.remove_boilerplate(documents([]))
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().toString()
+
+
+def test_own_columns_of_documents_stay(documents, rows):
+    names = ("t1", "t2", "_t1", "_text", "_hits", "_line", "h1", "key", "site")
+    docs = documents([(i, f"All rights reserved\nown line {i}", f"s{i}") for i in range(12)], extra=names)
+    docs = docs.withColumns({name: F.lit(100 + i) for i, name in enumerate(names)})
+    got = site_spread.remove_boilerplate(docs)
+    assert rows(got.select(*names).distinct()) == [tuple(range(100, 100 + len(names)))]
+    assert rows(got.select("doc_id", "clean_text", "n_removed")) == sorted(((i, f"own line {i}", 1) for i in range(12)), key=repr)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +45,19 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with its columns of the given names renamed, and a function that gives a result of it the columns of ``df`` again.
+
+    An operator that adds columns of these names then leaves those of the caller alone.
+    """
+    given, taken, renamed = df.columns, {n.lower() for n in names}, {}
+    for c in given:
+        if c.lower() in taken:
+            renamed[c] = new = unused(df, f"{c}_aside")
+            df = df.withColumnRenamed(c, new)
+    return df, lambda out: out.select(*[F.col(f"`{renamed.get(c, c)}`").alias(c) for c in given])
+
+
 def amount_before(df: DataFrame, group: str, cell: str, order: list[str | Column], amount: Column, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` over the rows of the same group that come earlier by ``(cell, *order)``.
 

@@ -164,13 +164,14 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 23, temperature: fl
     At most ``max_labelled`` labelled ids are used, those with the lowest hashes, so the broadcast table of ids and
     the driver's list of labelled weights are bounded; counts, weights and the draw cover all documents.  An id with
     several labels is good only if all of them are.  NULL and empty texts weigh 0.  Without good and bad labels all
-    documents are kept.  Repeated rows are drawn one by one.  Empty frames give no rows.  Columns of these names are
+    documents are kept.  The draw depends on id and text only; repeated rows have one number and are told apart where k ends
+    among them.  Empty frames give no rows.  Columns of these names are
     replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.drop("log_weight", "kept")
-    row, good, known, number = (unused(plain, n) for n in ("_row", "_good", "_known", "_number"))
+    row, good, known, number, name = (unused(plain, n) for n in ("_row", "_good", "_known", "_number", "_name"))
     sample = (
         labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
         .agg((F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0))).alias(good))
@@ -185,15 +186,16 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 23, temperature: fl
 
     weight = log_weight(spark, raw, target, F.col("text"), F.coalesce(good, F.lit(False)))
     held = materialize(marked.select(
-        *(keep or plain.columns), good, weight.alias("log_weight"), F.monotonically_increasing_id().alias(row)), "weighed")
+        *(keep or plain.columns), good, weight.alias("log_weight"), F.xxhash64(F.lit(seed), "doc_id", "text").alias(name),
+        F.monotonically_increasing_id().alias(row)), "weighed")
     seen = held.where(F.col(good).isNotNull()).orderBy(F.xxhash64("doc_id"), row).limit(max_labelled).select("log_weight", good).collect()
     cut = best_cut(np.array([r[0] for r in seen]), np.array([r[1] for r in seen], bool))
-    # A uniform number strictly between 0 and 1 from the row number, and from it a Gumbel number.
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), row), 11).cast("double") + 0.5) / float(1 << 53)
+    # A uniform number strictly between 0 and 1 from id and text, whatever files they lie in, and from it a Gumbel number.
+    uniform = (F.shiftrightunsigned(name, 11).cast("double") + 0.5) / float(1 << 53)
     drawn = held.withColumn(number, F.col("log_weight") - temperature * F.log(-F.log(uniform)))
     everything, k = held.agg(F.count(F.lit(1)), F.count_if(F.col("log_weight") >= cut)).first()
     if k in (0, everything):
-        return held.withColumn("kept", F.lit(k == everything)).drop(good, row)
+        return held.withColumn("kept", F.lit(k == everything)).drop(good, row, name)
     key, last = kth_largest(drawn.select(number, row), number, row, k)
     taken = (F.col(number) > key) | ((F.col(number) == key) & (F.col(row) <= last))
-    return drawn.withColumn("kept", taken).drop(good, row, number)
+    return drawn.withColumn("kept", taken).drop(good, row, number, name)

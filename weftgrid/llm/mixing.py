@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import global_rank
 from ..session import materialize
-from .common import amount_before, count_words, unused, words_of
+from .common import amount_before, count_words, set_aside, unused, words_of
 
 #: Golden-ratio points on a ring of 2**31: the odd multiplier next to 2**31 / golden ratio visits every point once.
 RING, STEP = 1 << 31, 1327217885
@@ -61,7 +61,7 @@ def _shared_table(sizes: DataFrame, weights: tuple[int, ...], share: float, cap:
             break
         left, weighed, known = share * words - cap * (at_cap or 0), open_ or 0, count
     table = table.withColumn("target", F.when(full, limit.cast("double")).otherwise(wanted))
-    fine = F.round(F.col("target") * 1024).cast("long")
+    fine = F.floor(F.col("target") * 1024 + 0.5)
     total, fine_total = table.agg(F.sum("target"), F.sum(fine)).first()
     # Tasks of 65,536 sources each add up what lies before.
     placed = amount_before(
@@ -115,7 +115,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     spark = docs.sparkSession
     added = ("size", "source_no", "source_size", "target", "mix_row")
     plain = docs.drop(*[a for a in added if a in docs.columns])
-    key, cell = unused(plain, "_key"), unused(plain, "_cell")
+    key, known_as = unused(plain, "_key"), unused(plain, "_known")
     name = lambda: F.md5(F.concat_ws(
         "|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
     carried = [c for c in (keep or plain.columns) if c != "source"]
@@ -123,43 +123,47 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         "source", *carried, count_words(F.col("text")).alias("size"), name().alias(key),
         F.monotonically_increasing_id().alias("mix_row")), "mix")
 
-    counted = held.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"))
+    counted = held.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("rows"))
     bound = driver_sources if max_sources is None else max(driver_sources, max_sources)
     found = counted.limit(bound + 1).collect()
     if max_sources is not None and len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     if len(found) > driver_sources:
         sized = materialize(counted, "sizes")
-        n_sources = sized.count()
+        n_sources, n_rows = sized.agg(F.count(F.lit(1)), F.sum("rows")).first()
         table, total = _shared_table(sized, weights, share, cap)
         slots = int(total / block_words + 0.5)
         known = table.select(
-            F.col("source").alias("known"), F.col("source_no").cast("int").alias("source_no"), F.col("n").alias("source_size"), "target")
+            F.col("source").alias(known_as), F.col("source_no").cast("int").alias("source_no"), F.col("n").alias("source_size"), "target")
         by_slot = _slots_of(spark, table, slots)
     else:
-        n_sources = len(found)
+        n_sources, n_rows = len(found), sum(r["rows"] for r in found)
         found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["n"] for r in found]
         targets = share_targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share, cap)
         total = sum(targets)
         slots = int(total / block_words + 0.5)
-        cuts, reached = [], 0.0
-        for t in targets[:-1]:
-            reached += t
-            cuts.append(int(reached / total * RING) if total else 0)
+        # As in _shared_table: sums of whole steps.
+        fine = [int(t * 1024 + 0.5) for t in targets]
+        cuts, reached = [], 0
+        for f in fine[:-1]:
+            reached += f
+            cuts.append(int(reached / float(sum(fine) or 1) * RING))
         known = F.broadcast(spark.createDataFrame(
             [(r["source"], i, sizes[i], targets[i]) for i, r in enumerate(found)],
-            "known string, source_no int, source_size bigint, target double"))
+            f"{known_as} string, source_no int, source_size bigint, target double"))
         ends = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
         point = _point(F.col("slot"))
         by_slot = spark.range(slots).select(
             F.col("id").alias("slot"), F.size(F.filter(ends, lambda c: c <= point)).cast("int").alias("source_no"))
-    held = held.join(known, held["source"].eqNullSafe(F.col("known"))).drop("known")
-    schedule = by_slot.withColumn("cell", F.shiftright("slot", 16))
+    held = held.join(known, held["source"].eqNullSafe(F.col(known_as))).drop(known_as)
+    # About as many cells as rows in a cell, in the schedule and in the streams.
+    schedule = by_slot.withColumn("cell", F.shiftright("slot", max(6, slots.bit_length() // 2)))
+    stream_bits = min(20, max(4, (n_rows or 0).bit_length() // 2))
     ranked = amount_before(schedule, "source_no", "cell", ["slot"], F.lit(1), "block").drop("cell")
 
     stream = held.where("size > 0").select("source_no", "mix_row", "size", "source_size", "target", F.col(key).alias("key"),
-                                           F.conv(F.substring(key, 1, 3), 16, 10).cast("int").alias("cell"))
+                                           F.shiftright(F.conv(F.substring(key, 1, 5), 16, 10).cast("int"), 20 - stream_bits).alias("cell"))
     placed = amount_before(stream, "source_no", "cell", ["key", "mix_row"], F.col("size"), "start")
     epochs = placed.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(cap)]))).withColumn(
         "start", F.col("start") + F.col("epoch") * F.col("source_size"))
@@ -179,7 +183,7 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     mixed = pieces.join(ranked, ["source_no", "block"], "left" if fill else "inner")
     late = F.lit(slots).cast("long") + F.col("block") * n_sources + F.col("source_no")  # one number per block, the first blocks first
     mixed = mixed.select(F.coalesce("slot", late).alias("slot"), "mix_row", "epoch", "first_word", "n")
-    return held.drop(key, cell), mixed
+    return held.drop(key), mixed
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
@@ -194,12 +198,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document that the last block of its source cuts through keeps its first words, joined by spaces.
     """
+    docs, back = set_aside(docs, ("size", "source_no", "source_size", "target", "mix_row"))
     held, mixed = mix_plan(docs, **options)
     # A source's slots take its blocks from the first one without a gap, so a document's pieces are its first words.
     taken = unused(held, "_taken")
     sums = mixed.groupBy("mix_row", "epoch").agg(F.sum("n").alias(taken)).drop("epoch")
     part = F.array_join(F.slice(words_of(F.col("text")), 1, F.col(taken).cast("int")), " ")
-    return held.join(sums, "mix_row").withColumn(
-        "text", F.when(F.col(taken) == F.col("size"), F.col("text")).otherwise(part)).select(*docs.columns)
+    return back(held.join(sums, "mix_row").withColumn(
+        "text", F.when(F.col(taken) == F.col("size"), F.col("text")).otherwise(part)))
 
 

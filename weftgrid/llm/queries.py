@@ -60,7 +60,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.taken_words(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.taken_words(docs, keep=["doc_id"], fill=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,12 +201,13 @@ def near_groups(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42
 def group_prints(held: DataFrame, row: str, radius: int = 3) -> DataFrame:
     """``held`` (``doc_id``, ``fingerprint``, a unique row number) with ``component_id`` and ``first``; drops the number."""
     # A doc_id comes before NULL, and the row number settles the rest.
+    head = unused(held, "_head")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), F.col("doc_id").alias("doc_id"), F.col(row).alias("row"))).alias("best")
     classes = materialize(held.groupBy("fingerprint").agg(best), "classes")
     stars = components(near_links(classes.select("fingerprint"), radius))
     rooted = classes.join(stars, classes["fingerprint"] == stars["node"], "left").select(
         "fingerprint", "best", F.coalesce("root", "fingerprint").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("best").alias("head"))
-    known = rooted.select("fingerprint", "root").join(heads, "root").select("fingerprint", "head")
+    heads = rooted.groupBy("root").agg(F.min("best").alias(head))
+    known = rooted.select("fingerprint", "root").join(heads, "root").select("fingerprint", head)
     return held.join(known, "fingerprint").withColumns({
-        "component_id": F.col("head")["doc_id"], "first": F.col(row) == F.col("head")["row"]}).drop("head", row)
+        "component_id": F.col(head)["doc_id"], "first": F.col(row) == F.col(head)["row"]}).drop(head, row)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import SPACE
+from .common import SPACE, unused
 
 #: Logarithm of the number of HyperLogLog registers: a standard error of about 6.5 %.
 LOG_REGISTERS = 8
@@ -69,16 +69,17 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 1
     """
     plain = docs.drop("clean_text", "n_lines", "n_removed")
     found = materialize(boilerplate_keys(plain, site, min_sites), "boilerplate")
+    key, first, second, hit = (unused(plain, n) for n in ("_text", "_t1", "_t2", "_hits"))
     text_key = line_key(F.coalesce("text", F.lit("")))
     keys = F.transform(F.filter(lines_of(F.col("text")), has_word), line_key)
     held = plain.select(text_key.alias("_text"), F.explode_outer(F.array_distinct(keys)).alias("_line")).where("_line IS NOT NULL")
     hits = materialize(
-        held.select(F.col("_text.h1").alias("t1"), F.col("_text.h2").alias("t2"), "_line.h1", "_line.h2")
-        .join(found, ["h1", "h2"], "left_semi").groupBy("t1", "t2").agg(F.collect_set(F.struct("h1", "h2")).alias("_hits")), "hits")
-    joined = plain.withColumn("_text", text_key).join(
-        hits, (F.col("_text.h1") == hits["t1"]) & (F.col("_text.h2") == hits["t2"]), "left")
-    keep = F.filter(lines_of(F.col("text")), lambda x: ~(F.array_contains(F.col("_hits"), line_key(x)) & has_word(x)))
-    clean = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+        held.select(F.col("_text.h1").alias(first), F.col("_text.h2").alias(second), "_line.h1", "_line.h2")
+        .join(found, ["h1", "h2"], "left_semi").groupBy(first, second).agg(F.collect_set(F.struct("h1", "h2")).alias(hit)), "hits")
+    joined = plain.withColumn(key, text_key)
+    joined = joined.join(hits, (F.col(key)["h1"] == F.col(first)) & (F.col(key)["h2"] == F.col(second)), "left")
+    keep = F.filter(lines_of(F.col("text")), lambda x: ~(F.array_contains(F.col(hit), line_key(x)) & has_word(x)))
+    clean = F.when(F.col(hit).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
     counted = lambda text: F.size(F.filter(lines_of(text), has_word)).cast("long")
     return joined.withColumn("clean_text", clean).withColumn("n_lines", counted(F.col("text"))).withColumn(
-        "n_removed", F.col("n_lines") - counted(F.col("clean_text"))).drop("_text", "t1", "t2", "_hits")
+        "n_removed", F.col("n_lines") - counted(F.col("clean_text"))).drop(key, first, second, hit)

@@ -86,6 +86,7 @@ FROM judged JOIN doc USING (r) GROUP BY r, doc_id
 """
 
 # Targets: sources in order of how soon their cap is reached; those before the first that is not are full.
+# Each source's documents, in the order of a hash, are taken up to its target, and once more from the start where it is above the size.
 MIXING_SQL = r"""
 WITH doc AS (
     SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -105,24 +106,14 @@ WITH doc AS (
 ), goal AS (
     SELECT source, no, CAST(n AS BIGINT) AS n, CASE WHEN full_ THEN CAST(2 * n AS DOUBLE) ELSE w * shared.rest / shared.weight END AS target
     FROM open, shared
-), cut AS (
-    SELECT no, floor(sum(target) OVER (ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(target) OVER () * 2147483648) AS high,
-           max(no) OVER () = no AS last
-    FROM goal
-), slot AS (
-    SELECT ((t % 2147483648) * 1327217885) % 2147483648 AS point
-    FROM (SELECT unnest(range(CAST(floor((SELECT sum(target) FROM goal) / 128 + 0.5) AS BIGINT))) AS t)
-), slots AS (
-    SELECT no, 128 * count(*) AS words
-    FROM (SELECT (SELECT count(*) FROM cut WHERE NOT last AND high <= point) AS no FROM slot) GROUP BY no
 ), placed AS (
     SELECT doc_id, size, goal.n AS source_size, target, no,
            coalesce(sum(size) OVER (PARTITION BY no ORDER BY k, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
     FROM doc JOIN goal ON doc.source IS NOT DISTINCT FROM goal.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(least(size, greatest(0, coalesce(words, 0) - a)) + least(size, greatest(0, coalesce(words, 0) - source_size - a)) AS BIGINT) AS taken
-FROM placed LEFT JOIN slots USING (no)
+       CAST(least(size, greatest(0, ceil(target) - a)) + least(size, greatest(0, ceil(target) - source_size - a)) AS BIGINT) AS taken
+FROM placed
 """
 
 AUDIT_SQL = r"""
