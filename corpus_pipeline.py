@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgrid.llm import decontamination, importance, mixing, packing, simhash
+from weftgrid.llm.common import set_aside
 from weftgrid.session import materialize
 
 
@@ -23,12 +24,14 @@ def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance draw keeps."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return importance.resample(docs, labels).where("kept").select(*docs.columns)
+    docs, back = set_aside(docs, ("log_weight", "kept"))
+    return back(importance.resample(docs, labels).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose SimHash fingerprints link."""
-    return simhash.near_groups(docs).where("first").select(*docs.columns)
+    docs, back = set_aside(docs, ("fingerprint", "component_id", "first"))
+    return back(simhash.near_groups(docs).where("first"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
