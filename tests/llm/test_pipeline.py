@@ -73,3 +73,16 @@ def test_all_documents_of_the_mix_are_packed(stages):
 
 def test_run_is_the_chain_of_stages(spark, stages):
     assert corpus_pipeline.run(spark, SF_DIR).columns == stages[5].columns
+
+
+def test_own_columns_of_documents_stay(spark):
+    """Names that the stages use inside are names like others in documents."""
+    from pyspark.sql import functions as F
+
+    names = ("head", "known", "kept", "first", "fingerprint", "component_id", "log_weight", "size", "target", "taken", "hits", "_row", "_hits", "_good", "cell", "n", "label", "best", "root")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").withColumns({n: F.lit(100 + i) for i, n in enumerate(names)})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns
+        assert [tuple(r) for r in out.select(*names).distinct().collect()] == [tuple(range(100, 100 + len(names)))]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF_DIR).count() > 0
