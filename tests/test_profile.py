@@ -90,3 +90,14 @@ def test_histogram_counts_infinity_and_nan(spark):
     assert [(r["label"], r["n"]) for r in found if r["low"] is None] == [("-Infinity", 1), ("Infinity", 1), ("NaN", 2)]
     only = histogram(df.where("isnan(v)"), "v").collect()
     assert [(r["bucket"], r["label"], r["n"]) for r in only] == [(0, "NaN", 2)]
+
+
+def test_decimal_buckets_hold_numbers_of_any_size(spark):
+    for values in ([1e17], [1e17, 1e17 + 16], [-1e300, 1e17, 3.0], [1.7e308, -1.7e308, 0.0], [1.7976931348623157e308] * 3, [5e-324, 1e300, -2.0], [-4e15, -4e15 + 1]):
+        for most in (1, 3, 20):
+            found = histogram(spark.createDataFrame([(v,) for v in values + [None]], "v double"), "v", most).orderBy("bucket").collect()
+            assert sum(r["n"] for r in found) == len(values)
+            assert len(found) == min(most, len(values))
+            largest = 1.7976931348623157e308
+            assert all((r["low"] < r["high"] or r["low"] == largest) and abs(r["low"]) <= largest >= abs(r["high"]) for r in found)
+            assert found[0]["low"] <= min(values) and max(values) <= found[-1]["high"]

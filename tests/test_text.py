@@ -197,3 +197,13 @@ def test_word_count_output(spark, tmp_path):
     assert [tuple(r) for r in text.top_words(lines, k=2).collect()] == [("ah", 3), ("alors", 2)]
     path = sinks.write_word_counts(text.word_count(lines), str(tmp_path / "counts"))
     assert "(ah, 3)" in [r[0] for r in spark.read.text(path).collect()]
+
+
+def test_wide_tfidf_and_topics_keep_own_columns(spark):
+    from weftgrid.operators.features import tfidf_wide, topic_columns
+
+    rows = [(f"apple pear number{i} plum", 1, 2, 3) for i in range(8)]
+    df = spark.createDataFrame(rows, "text string, _tokens int, _known int, _topics int")
+    for out in (tfidf_wide(df, "text", 3), topic_columns(df, "text", 2)):
+        assert out.columns[:4] == df.columns
+        assert {tuple(r) for r in out.select("_tokens", "_known", "_topics").collect()} == {(1, 2, 3)}

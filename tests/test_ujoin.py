@@ -183,3 +183,17 @@ def test_names_are_compared_as_the_session_does(spark, rows):
     right = spark.createDataFrame([(2, "c")], "id int, y string")
     fused = ujoin(left, right)
     assert fused.columns == ["ID", "x", "y"] and rows(fused) == [(1, "a", None), (2, "b", "c")]
+
+
+def test_equal_numbers_of_any_type_meet(spark, rows):
+    for text, small in (("0.000015", "decimal(20,6)"), ("100000000000000000000", "decimal(38,0)"), ("-0.5", "decimal(30,20)"), ("0", "decimal(30,20)"),
+                        ("123456789012.25", "decimal(38,10)"), ("1E-18", "decimal(38,18)"), ("1200", "bigint"), ("-1200", "decimal(38,5)")):
+        left = spark.sql(f"SELECT cast('{text}' AS {small}) AS k, 1 AS a")
+        right = spark.sql(f"SELECT cast('{text}' AS double) AS k, 2 AS b")
+        for pair in ((left, right), (right, left)):
+            assert rows(ujoin(*pair).select("a", "b")) == [(1, 2)], text
+    left = spark.sql("SELECT cast(k AS decimal(38,20)) AS k, k AS a FROM VALUES ('1.5'), ('15'), ('0.15'), ('150') AS t(k)")
+    right = spark.sql("SELECT cast(k AS double) AS k, k AS b FROM VALUES ('1.5'), ('15'), ('0.15'), ('150'), ('NaN'), ('-Infinity') AS t(k)")
+    got = ujoin(left, right)
+    assert got.where("a = b").count() == 4 and got.count() == 6
+    assert {r["k"] for r in got.collect()} == {"1.5", "15", "0.15", "150", "NaN", "-Infinity"}

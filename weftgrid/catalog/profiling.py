@@ -106,6 +106,36 @@ def hist_decimal(spark, sf):
     return found.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
+@query("""
+    WITH v AS (SELECT l_extendedprice * 1e13::DOUBLE AS v FROM lineitem),
+         s AS (SELECT min(v) AS mn, max(v) AS mx, least(20, count(v)) AS nb, greatest(abs(min(v)), abs(max(v))) AS big FROM v),
+         p AS (SELECT *, greatest(1.0::DOUBLE, big * nb / 4503599627370496.0::DOUBLE) AS pad FROM s),
+         g AS (SELECT mn - pad AS origin, ((mx + pad) - (mn - pad)) / nb AS step, nb FROM p),
+         b AS (SELECT bucket, origin + bucket * step AS low, origin + (bucket + 1) * step AS high, nb
+               FROM (SELECT unnest(range(0, nb)) AS bucket, origin, step, nb FROM g)),
+         c AS (SELECT bucket, count(*) AS n FROM v JOIN b ON v >= low AND (v < high OR bucket = nb - 1) GROUP BY 1)
+    SELECT b.bucket, low, high, coalesce(c.n, 0) AS n FROM b LEFT JOIN c ON b.bucket = c.bucket
+""")
+def hist_decimal_huge(spark, sf):
+    """Numbers so large that one more is the same number."""
+    items = table(spark, sf, "lineitem").select((F.col("l_extendedprice") * 1e13).alias("v"))
+    return histogram(items, "v").select("bucket", "low", "high", "n")
+
+
+@query("""
+    WITH v AS (SELECT CASE WHEN l_linenumber = 7 THEN 1.7e308::DOUBLE WHEN l_linenumber = 6 THEN -1.7e308::DOUBLE ELSE l_extendedprice END AS v FROM lineitem)
+    SELECT count(*) FILTER (WHERE v < 0) AS first, count(*) FILTER (WHERE v > 1e300) AS last, count(*) AS rows, 20::BIGINT AS buckets, true AS ordered FROM v
+""")
+def hist_decimal_range(spark, sf):
+    """The whole range of numbers: every value is in a bucket and all edges are numbers."""
+    price = F.when(F.col("l_linenumber") == 7, 1.7e308).when(F.col("l_linenumber") == 6, -1.7e308).otherwise(F.col("l_extendedprice"))
+    found = histogram(table(spark, sf, "lineitem").select(price.alias("v")), "v")
+    at = lambda b: F.sum(F.when(F.col("bucket") == b, F.col("n")).otherwise(0))
+    return found.agg(
+        at(0).alias("first"), at(19).alias("last"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("buckets"),
+        F.every((F.col("low") < F.col("high")) & (F.col("high") <= 1.7976931348623157e308)).alias("ordered"))
+
+
 @query(_text_sql("o_orderpriority", "orders"))
 def hist_string(spark, sf):
     return histogram(table(spark, sf, "orders"), "o_orderpriority")

@@ -12,6 +12,7 @@ from weftgrid.operators import columns
 from weftgrid.operators.features import label as label_column_op
 from weftgrid.operators.profile import describe_all
 from weftgrid.operators.ranking import global_rank
+from weftgrid.operators.disjunction import full_disjunction, subset_sizes
 from weftgrid.operators.ujoin import match_count, ujoin, ujoin_all
 from weftgrid.plans.grid import Grid, sample, sample_exact
 
@@ -150,6 +151,104 @@ def ujoin_nary_reversed(spark, sf):
     return ujoin_all(dict(reversed(_nary_frames(spark, sf).items())))
 
 
+#: A chain of frames, each with the column it shares with the next; some keys are missing.
+_CHAIN = (
+    ("o", "(SELECT o_orderkey AS orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS custkey FROM orders)", "custkey"),
+    ("c", "(SELECT c_custkey AS custkey, c_name, CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey END AS nationkey FROM customer)", "nationkey"),
+    ("n", "(SELECT n_nationkey AS nationkey, n_name, CASE WHEN n_nationkey > 4 THEN n_regionkey END AS regionkey FROM nation)", "regionkey"),
+    ("r", "(SELECT r_regionkey AS regionkey, r_name FROM region)", None),
+)
+_CHAIN_COLUMNS = {"orderkey": "o", "custkey": "oc", "c_name": "c", "nationkey": "cn", "n_name": "n", "regionkey": "nr", "r_name": "r"}
+
+
+def _disjunction_sql() -> str:
+    """Every stretch of the chain, without the rows that its neighbours on either side could join."""
+    parts = []
+    for i in range(len(_CHAIN)):
+        for j in range(i, len(_CHAIN)):
+            names = [name for name, _, _ in _CHAIN[i:j + 1]]
+            joins = _CHAIN[i][1] + " " + names[0] + "".join(
+                f" JOIN {_CHAIN[k][1]} {_CHAIN[k][0]} ON {_CHAIN[k - 1][0]}.{_CHAIN[k - 1][2]} = {_CHAIN[k][0]}.{_CHAIN[k - 1][2]}" for k in range(i + 1, j + 1))
+            open_ends = []
+            if i:
+                key = _CHAIN[i - 1][2]
+                open_ends.append(f"NOT EXISTS (SELECT 1 FROM {_CHAIN[i - 1][1]} z WHERE z.{key} = {names[0]}.{key})")
+            if j + 1 < len(_CHAIN):
+                key = _CHAIN[j][2]
+                open_ends.append(f"NOT EXISTS (SELECT 1 FROM {_CHAIN[j + 1][1]} z WHERE z.{key} = {names[-1]}.{key})")
+            columns = ", ".join(
+                f"{next((f'{n}.{c}' for n in names if n in holders), 'NULL')} AS {c}" for c, holders in _CHAIN_COLUMNS.items())
+            parts.append(f"SELECT {columns} FROM {joins}" + (" WHERE " + " AND ".join(open_ends) if open_ends else ""))
+    return " UNION ALL ".join(parts)
+
+
+def _chain_frames(spark, sf):
+    when = lambda condition, key: F.when(F.expr(condition), F.col(key))
+    return {
+        "orders": table(spark, sf, "orders").select(F.col("o_orderkey").alias("orderkey"), when("o_orderstatus <> 'P'", "o_custkey").alias("custkey")),
+        "customer": table(spark, sf, "customer").select(
+            F.col("c_custkey").alias("custkey"), "c_name", when("c_mktsegment <> 'BUILDING'", "c_nationkey").alias("nationkey")),
+        "nation": table(spark, sf, "nation").select(
+            F.col("n_nationkey").alias("nationkey"), "n_name", when("n_nationkey > 4", "n_regionkey").alias("regionkey")),
+        "region": table(spark, sf, "region").select(F.col("r_regionkey").alias("regionkey"), "r_name"),
+    }
+
+
+@query(_disjunction_sql())
+def disjunction_chain(spark, sf):
+    """What orders, customers, nations and regions say together, with keys missing in all of them."""
+    return full_disjunction(_chain_frames(spark, sf))
+
+
+@query(_disjunction_sql())
+def disjunction_chain_other_order(spark, sf):
+    """The same frames in an order in which neighbours share no column, under other names."""
+    frames = _chain_frames(spark, sf)
+    return full_disjunction({"1": frames["nation"], "2": frames["orders"], "3": frames["region"], "4": frames["customer"]})
+
+
+@query("""
+    WITH s AS (SELECT s_suppkey AS suppkey, CASE WHEN s_acctbal > 0 THEN s_nationkey END AS nationkey FROM supplier),
+         g AS (SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_nationkey END AS nationkey, c_mktsegment AS segment, count(*) AS customers FROM customer GROUP BY 1, 2),
+         x AS (SELECT coalesce(n_nationkey, s.nationkey) AS nationkey, n_name, suppkey FROM nation FULL JOIN s ON n_nationkey = s.nationkey),
+         y AS (SELECT n_name, suppkey, segment FROM x FULL JOIN g ON x.nationkey = g.nationkey)
+    SELECT concat_ws(',', CASE WHEN segment IS NOT NULL THEN 'customers' END, CASE WHEN n_name IS NOT NULL THEN 'nation' END,
+                     CASE WHEN suppkey IS NOT NULL THEN 'supplier' END) AS sources, count(*) AS n
+    FROM y GROUP BY 1
+""")
+def disjunction_sources(spark, sf):
+    """Three frames on one key, and which of them each fused row comes from."""
+    customers = table(spark, sf, "customer").groupBy(
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey")).alias("nationkey"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers"))
+    frames = {
+        "customers": customers,
+        "nation": table(spark, sf, "nation").select(F.col("n_nationkey").alias("nationkey"), "n_name"),
+        "supplier": table(spark, sf, "supplier").select(
+            F.col("s_suppkey").alias("suppkey"), F.when(F.col("s_acctbal") > 0, F.col("s_nationkey")).alias("nationkey")),
+    }
+    return subset_sizes(frames, full_disjunction(frames))
+
+
+@query("""
+    WITH p AS (SELECT o_orderkey AS k, CAST(o_totalprice AS DECIMAL(18, 2)) AS price FROM orders),
+         q AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / 100000000, 10) AS small FROM lineitem)
+    SELECT (SELECT count(*) FROM p) AS prices, (SELECT count(*) FROM q) AS smalls, (SELECT count(*) FROM p) AS prices_met, (SELECT count(*) FROM q) AS smalls_met
+""")
+def ujoin_numbers_of_any_type(spark, sf):
+    """Decimals meet the doubles that are the same number, however small or large: each finds itself."""
+    prices = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+    large = [prices.select("k", (F.col("price") * F.expr("cast(10000000000 AS decimal(11,0))")).alias("v"), F.lit(1).alias("a")),
+             prices.select("k", F.concat("price", F.lit("E10")).cast("double").alias("v"), F.lit(1).alias("b"))]
+    tiny = table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("k"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("units"))
+    small = [tiny.select("k", (F.col("units").cast("decimal(18,0)") * F.expr("cast(0.0000000001 AS decimal(11,10))")).alias("v"), F.lit(1).alias("a")),
+             tiny.select("k", F.concat("units", F.lit("E-10")).cast("double").alias("v"), F.lit(1).alias("b"))]
+    sides = [ujoin(*pair).agg(F.count(F.lit(1)).alias("rows"), F.count(F.col("a") + F.col("b")).alias("met")) for pair in (large, small)]
+    return sides[0].withColumn("side", F.lit(0)).unionByName(sides[1].withColumn("side", F.lit(1))).agg(*[
+        F.sum(F.when(F.col("side") == i, F.col(c)).otherwise(0)).alias(f"{name}{end}")
+        for i, name in enumerate(("prices", "smalls")) for c, end in (("rows", ""), ("met", "_met"))])
+
+
 @query("""
     SELECT count(*) FILTER (o_orderkey IS NOT NULL AND l_orderkey IS NOT NULL)::BIGINT AS matched,
            count(*) FILTER (l_orderkey IS NULL)::BIGINT AS left_only,

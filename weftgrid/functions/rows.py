@@ -1,7 +1,9 @@
-"""Turning array columns into rows."""
+"""Turning array columns into rows, binding values, names that are free."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,16 @@ def explode_column(df: DataFrame, keep: list[str], array: Column, name: str, pos
     """
     generated = F.posexplode_outer(array).alias(position, name) if position else F.explode_outer(array).alias(name)
     return df.select(*keep, generated).where(F.col(name).isNotNull())
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of the frame has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

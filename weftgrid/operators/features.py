@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgrid.functions.rows import explode_column
+from weftgrid.functions.rows import explode_column, free_name
 from weftgrid.operators.ranking import global_rank
 from weftgrid.operators.text import preprocess
 from weftgrid.session import materialize
@@ -93,17 +93,18 @@ def tfidf_wide(df: DataFrame, column: str, n: int) -> DataFrame:
     The column, text or tokens, is kept.  The dictionary is small, so the weights are
     computed inside the row.  An existing column of that name is only filled where NULL.
     """
-    prepared = _prepared(df.withColumn("_tokens", F.col(column)), "_tokens")
-    chosen = top_terms(prepared, "_tokens", n)
+    tokens, known = free_name(df, "_tokens"), free_name(df, "_known")
+    prepared = _prepared(df.withColumn(tokens, F.col(column)), tokens)
+    chosen = top_terms(prepared, tokens, n)
     documents = prepared.count()
-    counted = prepared.withColumn("_known", F.filter("_tokens", lambda t: t.isin(list(chosen))))
+    counted = prepared.withColumn(known, F.filter(tokens, lambda t: t.isin(list(chosen))))
     columns = {}
     for term, frequency in chosen.items():
         name = f"term_{term}"
-        tf = F.size("_known") - F.size(F.array_remove("_known", term))
+        tf = F.size(known) - F.size(F.array_remove(known, term))
         weight = tf * idf_weight(F.lit(float(frequency)), F.lit(documents))
         columns[name] = F.coalesce(F.col(name), weight) if name in df.columns else weight
-    return counted.withColumns(columns).drop("_tokens", "_known")
+    return counted.withColumns(columns).drop(tokens, known)
 
 
 def _in_place(df: DataFrame, column: str, estimator: Any, train: DataFrame | None = None) -> tuple[DataFrame, Any]:
@@ -206,12 +207,13 @@ def _describe_topics(model, vocabulary: Sequence[str], terms: int = 3) -> DataFr
 
 def topic_columns(df: DataFrame, column: str, k: int = 5, **options) -> DataFrame:
     """Add one ``topic__w1_w2_w3`` column per topic, numbered if topics share their words; the text is kept."""
-    modelled, topics = lda(df.withColumn("_topics", F.col(column)), "_topics", k, **options)
+    held = free_name(df, "_topics")
+    modelled, topics = lda(df.withColumn(held, F.col(column)), held, k, **options)
     named = topics.groupBy("topic").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("terms"))
     rows = sorted(named.collect(), key=lambda r: r["topic"])
     names = clean_names(["topic__" + "_".join(t["term"] for t in r["terms"]) for r in rows])
-    shares = vector_to_array(F.col("_topics"))
-    return modelled.withColumns({name: shares[r["topic"]] for r, name in zip(rows, names, strict=True)}).drop("_topics")
+    shares = vector_to_array(F.col(held))
+    return modelled.withColumns({name: shares[r["topic"]] for r, name in zip(rows, names, strict=True)}).drop(held)
 
 
 # --- labels -----------------------------------------------------------------

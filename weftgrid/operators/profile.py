@@ -130,16 +130,21 @@ def _decimal_histogram(df: DataFrame, column: str, max_buckets: int) -> DataFram
         values.agg(F.min("v").alias("mn"), F.max("v").alias("mx"), F.count("*").alias("rows"))
         .where("rows > 0")
         .withColumn("buckets", F.expr(f"least({max_buckets}, rows)"))
-        .withColumn("origin", F.expr("mn - 1"))
-        .withColumn("step", F.expr("((mx + 1) - origin) / buckets"))
-        .select(F.struct("origin", "step", "buckets").alias("g"))
+        # Near the largest numbers the range is measured in units of 2^64, in which it can't overflow.
+        .withColumn("unit", F.expr("CASE WHEN greatest(abs(mn), abs(mx)) > 1e300D THEN 18446744073709551616D ELSE 1D END"))
+        .withColumns({"mn": F.expr("mn / unit"), "mx": F.expr("mx / unit")})
+        # One beyond the values, or as much as it takes for edges that differ: a double has 52 bits after the first.
+        .withColumn("pad", F.expr("greatest(1D, greatest(abs(mn), abs(mx)) * buckets / 4503599627370496D)"))
+        .withColumn("origin", F.expr("mn - pad"))
+        .withColumn("step", F.expr("((mx + pad) - origin) / buckets"))
+        .select(F.struct("origin", "step", "buckets", "unit").alias("g"))
     )
     # Division may land next to an edge it should be on; compare with the edge itself.
     guess = _slot(F.col("v"), F.col("g.origin"), F.col("g.step"))
     slot = F.expr("case when v < g.origin + s * g.step then s - 1 "
                   "when v >= g.origin + (s + 1) * g.step then s + 1 else s end")
     label = F.format_string("%.4f, %.4f", "low", "high")
-    finite = _count_buckets(values, stats, slot, label, guess)
+    finite = _count_buckets(values, stats, slot, label, guess, "g.unit")
     after = F.coalesce(stats.select("g.buckets").scalar(), F.lit(0)).cast("bigint")
     # At most three rows, numbered after the finite buckets.
     others = everything.where(special.isNotNull()).groupBy(special.alias("kind")).agg(F.count("*").alias("n"))
@@ -151,13 +156,17 @@ def _decimal_histogram(df: DataFrame, column: str, max_buckets: int) -> DataFram
 
 
 def _count_buckets(values: DataFrame, geometry: DataFrame, slot: Column, label: Column,
-                   guess: Column | None = None) -> DataFrame:
+                   guess: Column | None = None, unit: str | None = None) -> DataFrame:
     """Count values per bucket and list every bucket, empty ones included.
 
+    Edges are given in units of ``unit``, where one is named; an edge beyond the largest number is that number.
+
     The geometry is one row, used by the scan as a scalar subquery, so values are
     bucketed and partially counted where they are read.
     """
     placed = values.withColumn("g", geometry.scalar())
+    if unit is not None:
+        placed = placed.withColumn("v", F.col("v") / F.col(unit))
     if guess is not None:
         placed = placed.withColumn("s", guess)
     counts = (
@@ -166,8 +175,10 @@ def _count_buckets(values: DataFrame, geometry: DataFrame, slot: Column, label:
     )
     buckets = geometry.select("g", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("g.buckets - 1"))).alias("bucket"))
     closed = F.when(F.expr("bucket = g.buckets - 1"), "]").otherwise(")")
+    largest = "1.7976931348623157E308D"
+    bounded = lambda edge: F.expr(f"greatest(least(({edge}) * {unit}, {largest}), -{largest})" if unit else edge)
     return (
-        buckets.withColumns({"low": F.expr("g.origin + bucket * g.step"), "high": F.expr("g.origin + (bucket + 1) * g.step")})
+        buckets.withColumns({"low": bounded("g.origin + bucket * g.step"), "high": bounded("g.origin + (bucket + 1) * g.step")})
         .withColumn("label", F.concat(F.lit("["), label, closed))
         .join(counts, "bucket", "left")
         .select("bucket", "low", "high", "label", F.coalesce("n", F.lit(0)).alias("n"))

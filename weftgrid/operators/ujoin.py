@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftgrid.functions.rows import bound
 from weftgrid.session import materialize
 
 HOT_MIN_ROWS = 5_000_000  # rows of a key on one side that are worth a branch of their own
@@ -79,13 +80,31 @@ def _digits(dtype: T.DataType) -> tuple[int, int] | None:
 
 
 def _as_text(value: Column, dtype: T.DataType) -> Column:
-    """A number as text that is the same for the same number of any type: no zeros behind the last digit."""
-    if isinstance(dtype, T.DecimalType) and dtype.scale:
-        return F.regexp_replace(value.cast("string"), r"\.?0+$", "")
-    if isinstance(dtype, T.FloatType | T.DoubleType):
-        whole = (F.floor(value) == value) & (F.abs(value) < 1e18)
-        return F.when(whole, value.cast("bigint").cast("string")).otherwise(F.regexp_replace(value.cast("string"), r"\.0$", ""))
-    return value.cast("string")
+    """A number as plain decimal text that is the same for the same number of any type: no exponent, no zeros behind the last digit."""
+    text = value.cast("string")
+    if not (isinstance(dtype, T.FloatType | T.DoubleType) or (isinstance(dtype, T.DecimalType) and dtype.scale)):
+        return text
+    form = r"^(-?)(\d*)\.?(\d*)(?:E([+-]?\d+))?$"
+
+    def parts(whole: Column, fraction: Column, exponent: Column) -> Column:
+        """Digits without zeros at either end, and how many stand before the point: negative for zeros after it."""
+        written = F.concat(whole, fraction)
+        first = F.ltrim(written, F.lit("0"))
+        moved = F.when(exponent == "", 0).otherwise(exponent.cast("int"))
+        return F.struct(F.rtrim(first, F.lit("0")).alias("digits"),
+                        (F.length(whole) + moved - (F.length(written) - F.length(first))).alias("point"))
+
+    def written(sign: Column, digits: Column, point: Column) -> Column:
+        n = F.length(digits)
+        return (
+            F.when(digits == "", "0")
+            .when(point <= 0, F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= n, F.concat(sign, digits, F.repeat(F.lit("0"), point - n)))
+            .otherwise(F.concat(sign, digits.substr(F.lit(1), point), F.lit("."), digits.substr(point + 1, n))))
+
+    plain = bound(text, lambda t: bound(
+        parts(*[F.regexp_extract(t, form, i) for i in (2, 3, 4)]), lambda p: written(F.regexp_extract(t, form, 1), p["digits"], p["point"])))
+    return F.when(text.rlike(form), plain).otherwise(text)  # NaN and the infinities stay
 
 
 def ujoin(left: DataFrame, right: DataFrame, *, profile: bool = True, hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:
@@ -163,15 +182,17 @@ def key_profile(left: DataFrame, right: DataFrame, keys: Sequence[str], min_rows
 
 def _widen(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     targets = {k: common_type(left.schema[k].dataType, right.schema[k].dataType) for k in keys}
-    def widened(side: DataFrame, k: str, target: T.DataType) -> Column:
+    return _retyped(left, targets), _retyped(right, targets)
+
+
+def _retyped(side: DataFrame, targets: Mapping[str, T.DataType]) -> DataFrame:
+    """``side`` with its columns among ``targets`` in these types."""
+    def widened(k: str, target: T.DataType) -> Column:
         dtype = side.schema[k].dataType
         as_text = isinstance(target, T.StringType) and isinstance(dtype, T.NumericType)
         return _as_text(F.col(k), dtype) if as_text else F.col(k).cast(target)
 
-    return tuple(
-        side.withColumns({k: widened(side, k, t) for k, t in targets.items() if side.schema[k].dataType != t})
-        for side in (left, right)
-    )
+    return side.withColumns({k: widened(k, t) for k, t in targets.items() if k in side.columns and side.schema[k].dataType != t})
 
 
 def _join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
