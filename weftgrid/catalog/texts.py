@@ -10,8 +10,8 @@ from weftgrid.catalog.stems import stem_ctes
 from weftgrid.functions.rows import explode_column
 from weftgrid.functions.stemming import stem
 from weftgrid.functions.stopwords import ENGLISH
-from weftgrid.operators import columns, docindex, features, text
-from weftgrid.session import shared_folder, spread
+from weftgrid.operators import columns, docindex, features, search, text
+from weftgrid.session import materialize, shared_folder, spread
 from weftgrid.sources.readers import read_html
 
 
@@ -303,6 +303,42 @@ def term_search(spark, sf):
     return found.withColumn("score", F.round("score", 9))
 
 
+def _positions(spark, sf, block_size=search.BLOCK_DOCUMENTS):
+    """Positional index of the documents, written once and read by the search."""
+    docs = text.tokenize(_docs(spark, sf), "text")
+    return materialize(search.position_index(docs, "doc_id", "text", block_size).sortWithinPartitions("term", "block"), "positions")
+
+
+@query(f"""
+    WITH {_TOKENS}
+    SELECT doc_id AS doc, count(*) AS n
+    FROM (SELECT doc_id, token, lead(token) OVER w AS second, lead(token, 2) OVER w AS third FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
+    WHERE token = 'of' AND second = 'the' AND third = 'the' GROUP BY doc_id
+""")
+def phrase_search(spark, sf):
+    """Documents with three words in a row, one of them twice, from delta-coded positions."""
+    return search.phrase_search(_positions(spark, sf), ["of", "the", "the"])
+
+
+@query(f"""
+    WITH {_TOKENS},
+         c AS (SELECT doc_id, token, count(*) AS tf FROM tok WHERE token IN ('tion', 'the', 'und', 'les') GROUP BY 1, 2),
+         d AS (SELECT token, count(*) AS df FROM c GROUP BY 1),
+         s AS (SELECT doc_id AS doc, sum(tf * ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1))) AS score FROM c JOIN d USING (token) GROUP BY doc_id),
+         t AS (SELECT doc_id // 64 AS block, token, max(tf) AS top FROM c GROUP BY 1, 2),
+         b AS (SELECT block, sum(top * ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (df + 1))) AS bound FROM t JOIN d USING (token) GROUP BY block),
+         head AS (SELECT block FROM b ORDER BY bound DESC, block LIMIT 8),
+         best AS (SELECT score FROM s WHERE doc // 64 IN (SELECT block FROM head) ORDER BY score DESC LIMIT 10)
+    SELECT doc, round(score, 6) AS score, (SELECT count(*) FROM b) AS blocks, (SELECT count(*) FROM b WHERE bound >= (SELECT min(score) FROM best)) AS blocks_read
+    FROM s ORDER BY s.score DESC, doc LIMIT 10
+""")
+def ranked_search(spark, sf):
+    """The ten best documents; blocks whose bound is below the tenth best score found so far are not read."""
+    documents = table(spark, sf, "documents").count()
+    found = search.ranked_search(_positions(spark, sf, 64), ["the", "tion", "und", "les"], documents, 10, 64)
+    return found.withColumn("score", F.round("score", 6))
+
+
 _SETS = """
     ws AS (SELECT doc_id, list_sort(list_distinct(list_transform(string_split(text, ' '),
                   lambda w: lower(regexp_replace(w, '^\\s+|\\s+$', '', 'g'))))) AS words FROM documents)"""
