@@ -98,3 +98,25 @@ def test_term_search(spark):
     assert found[2] == (1, math.log(5 / 3))
     assert found[1][0] == 2 and math.isclose(found[1][1], 2 * math.log(5 / 2) + math.log(5 / 3))
     assert set(found) == {1, 2}
+
+
+def test_similarity_tiles_equal_brute_force(spark):
+    import math
+    import random
+    rng = random.Random(2)
+    docs = {f"d{i}": [rng.choice("abcdefghijklmno") * rng.randint(1, 2) for _ in range(rng.randint(0, 9))] for i in range(23)}
+    rows = [(k, " ".join(w)) for k, w in docs.items()] + [("d3", "extra words"), ("nul", None), (None, "a b")]
+    sets = {k: set(w) or {""} for k, w in docs.items()} | {"nul": {""}}
+    sets["d3"] |= {"extra", "words"}
+    frame = spark.createDataFrame(rows, "k string, t string").repartition(3)
+    expected = {}
+    for a in sets:
+        for b in sets:
+            s = math.floor(len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b])) * 100) / 100
+            if s > 0:
+                expected[a, b] = s
+    for tile, words in ((5, 7), (256, 500_000)):
+        tiles = docindex.similarity_tiles(frame, "k", "t", tile, words)
+        assert {(r["doc1"], r["doc2"]): r["similarity"] for r in docindex.tile_cells(tiles).collect()} == expected
+        assert all(len(r["cells"]) == len(r["docs1"]) * len(r["docs2"]) for r in tiles.collect())
+    assert docindex.similarity_tiles(frame.limit(0), "k", "t").count() == 0

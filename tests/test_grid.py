@@ -141,3 +141,17 @@ def test_long_lists_are_kept_by_a_join(spark):
 def test_results_come_back_whole(spark):
     grid = Grid.load(spark.range(0, 2500).toDF("i"))
     assert grid.sql("SELECT * FROM DataGrid").count() == 2500 and grid.sql(n=10).count() == 10
+
+
+def test_stratified_sample(spark):
+    from weftgrid.plans.grid import sample_strata
+    df = spark.range(5000).selectExpr("id", "CASE WHEN id % 50 = 0 THEN NULL WHEN id < 4000 THEN 'big' WHEN id < 4990 THEN 'mid' ELSE 'tiny' END AS s", "id AS _rank")
+    one = sample_strata(df.coalesce(1), ["s"], ["id"], 30)
+    rows = sorted(map(tuple, one.collect()), key=str)
+    assert rows == sorted(map(tuple, sample_strata(df.repartition(9), ["s"], ["id"], 30).collect()), key=str)
+    assert one.columns == ["id", "s", "_rank"]
+    sizes = {r["s"]: r["count"] for r in one.groupBy("s").count().collect()}
+    assert sizes == {None: 30, "big": 30, "mid": 30, "tiny": 10}
+    plan = sample_strata(df, ["s"], ["id"], 30)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Partial" in plan
+    assert sample_strata(df.limit(0), ["s"], ["id"], 30).count() == 0

@@ -68,14 +68,6 @@ def test_unique_values(sales):
     assert grid(sales, "List Unique Values", ["side"])[(None, None)] == ", e, w"
 
 
-def test_long_lists_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(pv, "LIST_LIMIT", 10)
-    df = spark.range(20).selectExpr("id % 2 AS side", "id % 3 AS lot", "id")
-    with pytest.raises(ValueError):
-        pv.pivot(df, ["side"], ["lot"], "List Unique Values", ["id"])
-    assert pv.unique_values(df, ["side"], ["lot"], "id").where("level = 'total'").count() == 20
-
-
 def test_without_rows_or_columns(sales):
     assert {(r["side"], r["value"]) for r in pv.pivot(sales, ["side"], []).collect()} == {("e", 2), ("w", 2), ("null", 1), (None, 5)}
     assert [r["value"] for r in pv.pivot(sales, [], []).collect()] == [5]
@@ -154,3 +146,20 @@ def test_keys_that_are_not_listed_are_errors(spark):
     assert pv.pivot_wide(df, ["r"], ["c"], "Sum", ["v"], column_values=["x", "z"]).first()["Totals"] == 8.0
     with pytest.raises(Exception, match="not listed"):
         pv.pivot_wide(df, ["r"], ["c"], "Sum", ["v"], column_values=["x"]).collect()
+
+
+def test_lists_of_any_length(spark, monkeypatch):
+    from weftgrid.operators import pivot as pv
+    data = [("a", str(i % 7), str(i % 40)) for i in range(300)] + [("b", "1", None), ("b", "1", ""), (None, "2", "x")]
+    df = spark.createDataFrame(data, "r string, c string, v string").repartition(4)
+    blocks = {}
+    for x in pv.unique_blocks(df, ["r"], ["c"], "v", 9).collect():
+        blocks.setdefault((x["r"], x["c"], x["level"]), {})[x["block"]] = x["values"]
+    whole = blocks[None, None, "total"]
+    assert sorted(whole) == list(range(len(whole))) and all(len(v) == 9 for b, v in whole.items() if b < len(whole) - 1)
+    assert sum((whole[b] for b in sorted(whole)), []) == sorted([str(i) for i in range(40)] + ["", "", "x"])
+    assert blocks["b", "1", "cell"] == {0: ["", ""]}
+    short = {tuple(x[:3]): x["value"] for x in pv.pivot(df, ["r"], ["c"], "List Unique Values", ["v"]).collect()}
+    monkeypatch.setattr(pv, "LIST_LIMIT", 5)
+    monkeypatch.setattr(pv, "LIST_BLOCK", 4)
+    assert {tuple(x[:3]): x["value"] for x in pv.pivot(df, ["r"], ["c"], "List Unique Values", ["v"]).collect()} == short

@@ -162,11 +162,11 @@ def pivot_tsv(spark, sf):
 
 
 @query("""
-    SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_mktsegment":"' || c_mktsegment || '"}' AS value
+    SELECT '{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '","c_nationkey":' || c_nationkey || ',"c_acctbal":' || c_acctbal || ',"c_mktsegment":"' || c_mktsegment || '"}' AS value
     FROM customer
 """)
 def json_records(spark, sf):
-    return sinks.json_records(table(spark, sf, "customer").drop("c_acctbal"), None)
+    return sinks.json_records(table(spark, sf, "customer"), None)
 
 
 @query("SELECT s_suppkey::VARCHAR AS \"row\", s_acctbal::VARCHAR AS s_acctbal, s_name, s_nationkey::VARCHAR AS s_nationkey FROM supplier")

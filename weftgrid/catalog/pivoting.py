@@ -71,6 +71,32 @@ def pivot_unique_values(spark, sf):
     return pv.unique_values(table(spark, sf, "lineitem"), ROWS, COLS, "l_partkey")
 
 
+_LISTED = """
+    v AS (SELECT DISTINCT o_orderstatus, o_orderpriority, level, o_orderkey::VARCHAR AS value FROM (
+        SELECT o_orderstatus, o_orderpriority, 'cell' AS level, o_orderkey FROM orders
+        UNION ALL SELECT o_orderstatus, NULL, 'row', o_orderkey FROM orders
+        UNION ALL SELECT NULL, o_orderpriority, 'col', o_orderkey FROM orders
+        UNION ALL SELECT NULL, NULL, 'total', o_orderkey FROM orders)),
+    b AS (SELECT *, (row_number() OVER (PARTITION BY o_orderstatus, o_orderpriority, level ORDER BY value) - 1) // 1000 AS block FROM v)"""
+
+
+@query(f"""
+    WITH {_LISTED} SELECT o_orderstatus, o_orderpriority, level, block, count(*) AS n, string_agg(value, ',' ORDER BY value) AS values FROM b
+    GROUP BY ALL
+""")
+def pivot_list_blocks(spark, sf):
+    """The orders of each cell and total, in sorted blocks of a thousand."""
+    blocks = pv.unique_blocks(table(spark, sf, "orders"), ["o_orderstatus"], ["o_orderpriority"], "o_orderkey")
+    return blocks.select("o_orderstatus", "o_orderpriority", "level", "block", F.size("values").cast("bigint").alias("n"),
+                         F.array_join("values", ",").alias("values"))
+
+
+@query(f"WITH {_LISTED} SELECT o_orderstatus, o_orderpriority, level, string_agg(value, ', ' ORDER BY value) AS value FROM b GROUP BY ALL")
+def pivot_list_long(spark, sf):
+    """Lists of more values than the small path takes."""
+    return pv.pivot(table(spark, sf, "orders"), ["o_orderstatus"], ["o_orderpriority"], "List Unique Values", ["o_orderkey"])
+
+
 @query(_grid_sql("round(coalesce(sum(l_quantity), 0), 2)"))
 def pivot_sum(spark, sf):
     return _rounded(_pivot(spark, sf, "Sum", ["l_quantity"]), 2)

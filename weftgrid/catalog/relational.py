@@ -14,7 +14,7 @@ from weftgrid.operators.profile import describe_all
 from weftgrid.operators.ranking import global_rank
 from weftgrid.operators.disjunction import full_disjunction, subset_sizes
 from weftgrid.operators.ujoin import match_count, ujoin, ujoin_all
-from weftgrid.plans.grid import Grid, sample, sample_exact
+from weftgrid.plans.grid import Grid, sample, sample_exact, sample_strata
 
 
 def _orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -671,6 +671,15 @@ def preview_resample(spark, sf):
     return grid.sampled_preview().agg(F.coalesce(F.every(right), F.lit(True)).alias("all_match"), (F.count("*") >= 100).alias("enough"))
 
 
+@query("""
+    SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42|' || o_orderkey), o_orderkey) <= 200
+""")
+def stratified_sample(spark, sf):
+    """Two hundred orders of every status, the same for any partitioning."""
+    return sample_strata(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderstatus"], ["o_orderkey"], 200)
+
+
 @query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders GROUP BY o_orderstatus")
 def sql_query(spark, sf):
     return Grid.load(table(spark, sf, "orders")).sql(

@@ -381,6 +381,21 @@ def similarity_matrix(spark, sf):
     return docindex.similarity_matrix(table(spark, sf, "documents").select("lang", "text"), "lang", "text")
 
 
+@query(f"""
+    WITH {_SETS},
+         h AS (SELECT doc_id::VARCHAR AS doc, (row_number() OVER (ORDER BY doc_id::VARCHAR) - 1) // 256 AS tile, len(words) AS n, words FROM ws),
+         w AS (SELECT doc, tile, n, unnest(words) AS word FROM h),
+         o AS (SELECT a.doc, a.tile AS t1, b.tile AS t2, b.doc AS doc2, floor(count(*) / sqrt((any_value(a.n) * any_value(b.n))::DOUBLE) * 100) / 100 AS s
+               FROM w a JOIN w b USING (word) GROUP BY a.doc, a.tile, b.tile, b.doc)
+    SELECT doc, t1::INTEGER AS tile1, t2::INTEGER AS tile2, count(*) AS filled, round(sum(s), 2) AS total FROM o WHERE s > 0 GROUP BY doc, t1, t2
+""")
+def similarity_tiles(spark, sf):
+    """The matrix of all documents in tiles, summed by document and tile."""
+    cells = docindex.tile_cells(docindex.similarity_tiles(_docs(spark, sf), "doc_id", "text"))
+    return cells.groupBy(F.col("doc1").alias("doc"), "tile1", "tile2").agg(
+        F.count("*").alias("filled"), F.round(F.sum("similarity"), 2).alias("total"))
+
+
 def _cosine_sql(a: str, b: str) -> str:
     dot = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::DOUBLE * {1}[i]::DOUBLE))"
     return f"{dot.format(a, b)} / sqrt({dot.format(a, a)} * {dot.format(b, b)})"

@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftgrid.functions.rows import explode_column
 from weftgrid.operators.features import document_frequency, idf_weight
+from weftgrid.operators.ranking import global_rank
 from weftgrid.session import materialize
 
+# The functions of this module travel with the query; executors need not have the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_SIZE = 1000     # documents per posting block
 MATRIX_LIMIT = 200    # most documents of a similarity matrix
 WORD_EDGE = r"(?<=^| )[\s&&[^ ]]+|[\s&&[^ ]]+(?= |\z)"
+TILE = 256            # documents on a side of a matrix tile
+TILE_WORDS = 500_000  # words of a tile's documents multiplied in one task
+_STRIP = 4096         # words of a dense strip inside such a task
 _SLACK = 1e-9         # widens the filters against rounding; the similarity itself is exact
 
 
@@ -204,3 +216,89 @@ def similarity_matrix(df: DataFrame, key: str, text: str, limit: int = MATRIX_LI
         shared.select(F.col("doc1").alias("doc"), "doc2", similarity.alias("s"))
         .groupBy("doc").pivot("doc2", sorted(names)).agg(F.max("s")).na.fill(0.0)
     )
+
+
+def _shared_words(left: pd.DataFrame, right: pd.DataFrame, tile: int) -> np.ndarray:
+    """Words that each document of one tile shares with each of the other: products of 0/1 strips."""
+    out = np.zeros((tile, tile), dtype=np.int64)
+    if left.empty or right.empty:
+        return out
+    sizes = [side["words"].map(len) for side in (left, right)]
+    codes, found = pd.factorize(np.concatenate([*left["words"], *right["words"]]))
+    cut = int(sizes[0].sum())
+    places = [(np.repeat(side["row"].to_numpy(), n), c) for side, n, c in zip((left, right), sizes, (codes[:cut], codes[cut:]))]
+    for first in range(0, len(found), _STRIP):
+        strips = []
+        for row, code in places:
+            inside = (code >= first) & (code < first + _STRIP)
+            strip = np.zeros((tile, _STRIP), dtype=np.float32)
+            strip[row[inside], code[inside] - first] = 1
+            strips.append(strip)
+        out += (strips[0] @ strips[1].T).astype(np.int64)
+    return out
+
+
+def similarity_tiles(df: DataFrame, key: str, text: str, tile: int = TILE, tile_words: int = TILE_WORDS) -> DataFrame:
+    """The whole matrix of cosines between documents, as tiles: any number of documents.
+
+    One row ``(tile1, tile2, docs1, docs2, cells)`` per tile, ``cells`` row by row.  Rows of
+    the same key form one document, rows without a key are left out.  Documents are
+    numbered in key order without sorting them in one task; each tile of documents
+    meets each other one once, by parts of the vocabulary whose number follows from the
+    longest tile, and the partial counts of a pair of tiles are added up.  The work and
+    the result are quadratic in the documents by their nature: ``similar_documents`` lists the
+    pairs above a threshold only.
+    """
+    named = df.select(F.col(key).cast("string").alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL")
+    pairs = materialize(inverted_index(named, "doc", "text"), "tile-words")
+    ranked = global_rank(pairs.groupBy("doc").agg(F.count("*").alias("n")), [F.col("doc")], "rank")
+    places = materialize(ranked.select(
+        "doc", "n", F.expr(f"CAST((rank - 1) DIV {tile} AS INT)").alias("tile"), ((F.col("rank") - 1) % tile).cast("int").alias("row")), "tile-places")
+    most, tiles = places.groupBy("tile").agg(F.sum("n").alias("n")).agg(F.max("n"), F.count("*")).first()
+    chunks = max(1, math.ceil((most or 0) / tile_words))
+
+    chunk = F.pmod(F.xxhash64("word"), F.lit(chunks)).cast("int")
+    words = pairs.join(places, "doc").groupBy("tile", "row", chunk.alias("chunk")).agg(F.collect_list("word").alias("words"))
+    meeting = explode_column(words, ["tile", "row", "chunk", "words"], F.sequence(F.lit(0), F.lit(max(tiles - 1, 0))), "other")
+    meeting = meeting.withColumns({"lo": F.least("tile", "other"), "hi": F.greatest("tile", "other")})
+
+    def multiply(at: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        lo, hi, _ = at
+        counts = _shared_words(part[part["tile"] == lo], part[part["tile"] == hi], tile)
+        return pd.DataFrame({"lo": [lo], "hi": [hi], "counts": [counts.ravel()]})
+
+    partial = meeting.select("lo", "hi", "chunk", "tile", "row", "words").groupBy("lo", "hi", "chunk").applyInPandas(
+        multiply, "lo int, hi int, counts array<bigint>")
+    summed = partial.groupBy("lo", "hi").agg(F.collect_list("counts").alias("c")).select(
+        "lo", "hi", F.aggregate(F.slice("c", F.lit(2), F.size("c")), F.get("c", F.lit(0)),
+                                lambda a, b: F.zip_with(a, b, lambda x, y: x + y)).alias("counts"))
+    heads = places.groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("row", "doc", "n"))).alias("head"))
+    whole = summed.join(heads.toDF("lo", "head1"), "lo").join(heads.toDF("hi", "head2"), "hi")
+
+    def laid_out(first: str, second: str, turned: bool) -> Column:
+        height, width = F.size(first), F.size(second)
+
+        def cell(i: Column) -> Column:
+            r, c = F.floor(i / width).cast("int"), i % width
+            n1, n2 = F.get(first, r)["n"], F.get(second, c)["n"]
+            shared = F.get("counts", c * tile + r if turned else r * tile + c)
+            return truncate2(shared / F.sqrt((n1 * n2).cast("double")))
+        return F.transform(F.sequence(F.lit(0), height * width - 1), cell)
+
+    def tiles_of(frame: DataFrame, lo: str, hi: str, first: str, second: str, turned: bool) -> DataFrame:
+        return frame.select(
+            F.col(lo).alias("tile1"), F.col(hi).alias("tile2"), F.col(f"{first}.doc").alias("docs1"),
+            F.col(f"{second}.doc").alias("docs2"), laid_out(first, second, turned).alias("cells"))
+
+    upper = materialize(whole, "tiles")
+    return tiles_of(upper, "lo", "hi", "head1", "head2", False).unionByName(
+        tiles_of(upper.where("lo < hi"), "hi", "lo", "head2", "head1", True))
+
+
+def tile_cells(tiles: DataFrame) -> DataFrame:
+    """The entries of a matrix in tiles that are not 0: ``(tile1, tile2, doc1, doc2, similarity)``."""
+    cells = explode_column(tiles, ["tile1", "tile2", "docs1", "docs2"], F.col("cells"), "similarity", "i").where("similarity > 0")
+    width = F.size("docs2")
+    return cells.select(
+        "tile1", "tile2", F.get("docs1", F.floor(F.col("i") / width).cast("int")).alias("doc1"),
+        F.get("docs2", F.col("i") % width).alias("doc2"), "similarity")

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from weftgrid.functions.numbers import num
 from weftgrid.functions.ordering import listed_order, natural_order
+from weftgrid.operators.ranking import global_rank
 
 WIDE_LIMIT = 200        # most column keys of a wide layout
-LIST_LIMIT = 10_000     # most distinct values a listed cell may hold
+LIST_LIMIT = 10_000     # most distinct values listed without blocks
+LIST_BLOCK = 1_000      # values of a block
 
 # 80% two-sided bound of a ratio.
 Z80 = 1.2815515655446004
@@ -142,14 +144,34 @@ def _count_unique(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value
     return found.groupBy(*rows, *cols, "level").agg(F.count("*").alias("value"))
 
 
+def unique_blocks(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value: str, size: int = LIST_BLOCK) -> DataFrame:
+    """The sorted distinct values of every cell and total as numbered blocks of ``size`` texts, whatever their number.
+
+    All values are put in one order by keys and text, spread over range partitions; a
+    cell's blocks count from its first place, so no task sorts a whole cell.
+    """
+    keys = [*rows, *cols, "level"]
+    text = F.coalesce(F.col("value").cast("string"), F.lit(""))
+    found = unique_values(df, rows, cols, value).select(*keys, F.struct("value").alias("_box"), text.alias("_text"))
+    ranked = global_rank(found, [*[F.col(k).asc_nulls_first() for k in keys], F.col("_text"), F.col("_box")], "_rank")
+    ranked = ranked.drop("_box")
+    first = ranked.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.min("_rank").alias("_first"))
+    placed = ranked.join(first, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    block = F.floor((F.col("_rank") - F.col("_first")) / size)
+    return placed.groupBy(*keys, block.alias("block")).agg(F.sort_array(F.collect_list("_text")).alias("values"))
+
+
 def _list_unique(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value: str, separator: str = ", ") -> DataFrame:
     """Sorted distinct values of a cell as one text.
 
-    Every cell's list is part of the column's distinct values, which are counted
-    first: beyond ``LIST_LIMIT`` the list has no place in one row.
+    The column's distinct values are counted first: beyond ``LIST_LIMIT`` the texts are put
+    together from sorted blocks.  ``unique_blocks`` keeps them apart, for cells that
+    outgrow a row.
     """
     if df.select(value).distinct().limit(LIST_LIMIT + 1).count() > LIST_LIMIT:
-        raise ValueError(f"{value} has more than {LIST_LIMIT} distinct values: use unique_values")
+        blocks = unique_blocks(df, rows, cols, value).withColumn("_part", F.struct("block", F.array_join("values", separator).alias("t")))
+        lists = blocks.groupBy(*rows, *cols, "level").agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
+        return lists.select(*rows, *cols, "level", F.array_join(F.col("_parts.t"), separator).alias("value"))
     found = unique_values(df, rows, cols, value)
     text = F.coalesce(F.col("value").cast("string"), F.lit(""))
     return found.groupBy(*rows, *cols, "level").agg(

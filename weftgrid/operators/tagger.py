@@ -8,11 +8,13 @@ after every round (McDonald, Hall and Mann, 2010).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ from weftgrid.functions.rows import explode_column
 from weftgrid.operators.text import entity_mentions, sentences_of
 from weftgrid.session import materialize
 
+# The functions of this module travel with the query; executors need not have the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOKEN = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N}\s]"
 BUCKETS = 1 << 16        # hashed features
 TRAIN_SENTENCES = 20_000  # most sentences to learn from
@@ -223,13 +228,13 @@ def tag_entities(df: DataFrame, key: str, column: str, tagger: Tagger) -> DataFr
     Sentences become rows before Python sees them, so a long text is not one value there.
     NULL and empty texts have no mentions.
     """
-    model = df.sparkSession.sparkContext.broadcast(tagger)
+    model = df.sparkSession.sparkContext.broadcast((tagger.labels, tagger.weights, tagger.moves))
     sentences = explode_column(df, [key], sentences_of(F.col(column)), "_text", "sentence")
     tokens = sentences.select(F.col(key).alias("key"), "sentence", F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0)).alias("tokens"))
 
     def tag(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = model.value
-        moves = known.moves + _allowed_moves(len(known.moves))
+        labels, weights, moves = model.value
+        moves = moves + _allowed_moves(len(moves))
         for batch in batches:
             order = batch["tokens"].map(len).sort_values(kind="stable").index
             found, at = [], 0
@@ -244,10 +249,10 @@ def tag_entities(df: DataFrame, key: str, column: str, tagger: Tagger) -> DataFr
                     continue
                 texts = [list(batch["tokens"][i]) for i in part]
                 lengths = np.array([len(t) for t in texts])
-                scores = _padded(known.weights[_features(texts)].sum(axis=1), lengths)
+                scores = _padded(weights[_features(texts)].sum(axis=1), lengths)
                 paths = _viterbi(scores, lengths, moves)
                 for i, words, path in zip(part, texts, paths):
-                    found += [(batch["key"][i], batch["sentence"][i], *m) for m in _mentions(words, path, known.labels)]
+                    found += [(batch["key"][i], batch["sentence"][i], *m) for m in _mentions(words, path, labels)]
             yield pd.DataFrame(found, columns=["key", "sentence", "token", "mention", "label"])
 
     kind = tokens.schema["key"].dataType.simpleString()

@@ -14,9 +14,10 @@ from functools import reduce
 from typing import Any
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftgrid.functions.rows import free_name
 from weftgrid.operators import columns, docindex, features, pivot, profile, text
 from weftgrid.operators.ujoin import ujoin
 from weftgrid.session import materialize
@@ -242,5 +243,19 @@ def sample_exact(df: DataFrame, key: list[str], rows: int = SAMPLE_ROWS, seed: i
     return df.orderBy(digest, *key).limit(rows)
 
 
+def sample_strata(df: DataFrame, strata: list[str], key: list[str], rows: int, seed: int = 42) -> DataFrame:
+    """Of every stratum the ``rows`` rows whose key digests come first (all rows of a smaller one), in one scan.
+
+    The same rows however the data is partitioned.  Up to 1,000 rows (Spark's
+    ``windowGroupLimitThreshold``) each partition keeps only its first ``rows`` of a stratum before
+    the shuffle, so a stratum of a third of all rows costs no more than others.  Rows with
+    equal keys are drawn together; NULL is a stratum.
+    """
+    rank = free_name(df, "_rank")
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+    first = Window.partitionBy(*strata).orderBy(digest, *key)
+    return df.withColumn(rank, F.row_number().over(first)).where(F.col(rank) <= rows).drop(rank)
+
+
 def list_views(spark: SparkSession) -> list[str]:
     return sorted(t.name for t in spark.catalog.listTables())
