@@ -11,6 +11,7 @@ from weftgrid.catalog import query, table
 from weftgrid.operators import columns, text
 from weftgrid.operators.ranking import global_rank
 from weftgrid.session import shared_folder
+from weftgrid.sources.cellstore import read_cells, write_cells
 from weftgrid.sources import inventory, readers, sinks
 from weftgrid.sources.names import clean_columns
 
@@ -274,3 +275,15 @@ def source_inventory(spark, sf):
     found = inventory.source_inventory(spark, path)
     files = found.groupBy("format", "type").agg((F.count("*") > 0).alias("some_files"))
     return files.withColumn("n_rows", readers.read_json(spark, path, customers.schema).agg(F.count("*")).scalar())
+
+
+@query("""
+    SELECT o_orderkey::VARCHAR AS "row", 'f1' AS family, qualifier, value FROM (
+        SELECT o_orderkey, 'o_orderstatus' AS qualifier, o_orderstatus AS value FROM orders
+        UNION ALL SELECT o_orderkey, 'o_custkey', o_custkey::VARCHAR FROM orders
+        UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority FROM orders)
+""")
+def cell_store(spark, sf):
+    """Orders written as cells through the data source, and read back in byte ranges."""
+    cells = columns.to_cells(table(spark, sf, "orders"), "o_orderkey", columns=["o_orderstatus", "o_custkey", "o_orderpriority"])
+    return read_cells(spark, write_cells(cells, shared_folder(spark, "cells")), 1 << 20)
