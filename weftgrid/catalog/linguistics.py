@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgrid.catalog import query, table
 from weftgrid.functions.rows import explode_column
-from weftgrid.operators import sentences as sent, tagger, text
+from weftgrid.operators import sentences as sent, tagger, text, vectors
 from weftgrid.session import materialize, spread
 
 
@@ -74,3 +74,28 @@ def entity_tags(spark, sf):
     names = language_names(documents).where("NOT held_out").select("name", "label")
     model = tagger.train_tagger(documents, "doc_id", "text", names)
     return tagger.tag_entities(documents, "doc_id", "text", model)
+
+
+def _tokens(spark, sf):
+    return text.tokenize(_docs(spark, sf), "text")
+
+
+@query("""
+    WITH k AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '\\w+') AS t FROM documents)),
+         h AS (SELECT a.w AS a, b.w AS b FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.i IN (a.i + 1, a.i + 2)),
+         p AS (SELECT term, context, count(*) AS n FROM (SELECT a AS term, b AS context FROM h UNION ALL SELECT b, a FROM h) GROUP BY 1, 2),
+         m AS (SELECT term FROM p GROUP BY 1 HAVING sum(n) >= 20),
+         q AS (SELECT * FROM p WHERE term IN (FROM m) AND context IN (FROM m)),
+         s AS (SELECT term, sum(n)::DOUBLE AS c FROM q GROUP BY 1),
+         w AS (SELECT q.term, context, n, ln(n * (SELECT sum(c) FROM s) / (x.c * y.c)) AS weight FROM q JOIN s x ON x.term = q.term JOIN s y ON y.term = context)
+    SELECT term, context, n, round(weight, 6) AS weight FROM w WHERE weight > 0
+""")
+def word_associations(spark, sf):
+    """Words that stand within two words of each other more often than by chance."""
+    return vectors.word_associations(_tokens(spark, sf), "text", 2, 20).withColumn("weight", F.round("weight", 6))
+
+
+@query()
+def word_vectors(spark, sf):
+    """Vectors of sixteen numbers for all words with enough company."""
+    return vectors.word_vectors(_tokens(spark, sf), "text")
