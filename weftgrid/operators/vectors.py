@@ -7,13 +7,21 @@ dimension times dimension (Halko, Martinsson and Tropp, 2011).
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgrid.functions.rows import explode_column
 from weftgrid.session import materialize
 
+# The functions of this module travel with the query; executors need not have the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WINDOW = 5        # words to each side that count as context
 MIN_COUNT = 5     # least number of contexts of a word
 EXTRA = 8         # dimensions carried beyond those asked for
@@ -66,14 +74,30 @@ def _times(cells: DataFrame, thin: DataFrame, width: int) -> DataFrame:
 
 
 def _inner(left: list[str], right: list[str], thin: DataFrame) -> np.ndarray:
-    """Matrix of the sums of products of the columns: dimension times dimension numbers."""
-    return np.array(thin.agg(*[F.coalesce(F.sum(F.col(a) * F.col(b)), F.lit(0.0)) for a in left for b in right]).first()).reshape(len(left), len(right))
+    """Matrix of the sums of products of the columns: one part per partition, added up by place."""
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(left), len(right)))
+        for batch in batches:
+            total += batch[left].to_numpy().T @ batch[right].to_numpy()
+        yield pd.DataFrame({"place": np.arange(total.size), "x": total.ravel()})
+
+    sums = thin.select(*left, *[c for c in right if c not in left]).mapInPandas(products, "place int, x double")
+    out = np.zeros(len(left) * len(right))
+    for place, x in sums.groupBy("place").agg(F.sum("x")).collect():  # dimension times dimension rows
+        out[place] = x
+    return out.reshape(len(left), len(right))
 
 
 def _turned(thin: DataFrame, by: np.ndarray) -> DataFrame:
-    names = _names(by.shape[0])
-    columns = [sum((F.col(y) * float(by[i, k]) for i, y in enumerate(names)), F.lit(0.0)).alias(f"y{k}") for k in range(by.shape[1])]
-    return thin.select("term", *columns)
+    names, made = _names(by.shape[0]), _names(by.shape[1])
+
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = pd.DataFrame(batch[names].to_numpy() @ by, columns=made)
+            out.insert(0, "term", batch["term"].to_numpy())
+            yield out
+
+    return thin.mapInPandas(turn, ", ".join(["term string", *[f"{y} double" for y in made]]))
 
 
 def _orthogonal(thin: DataFrame, width: int) -> tuple[DataFrame, int]:
