@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgrid.catalog import query, table
+from weftgrid.catalog.texts import KEPT, filtered
 from weftgrid.functions.rows import explode_column
-from weftgrid.operators import sentences as sent, tagger, text, vectors
+from weftgrid.operators import sentences as sent, tagger, text, topics, vectors
 from weftgrid.session import materialize, spread
 
 
@@ -99,3 +100,31 @@ def word_associations(spark, sf):
 def word_vectors(spark, sf):
     """Vectors of sixteen numbers for all words with enough company."""
     return vectors.word_vectors(_tokens(spark, sf), "text")
+
+
+def _topics(spark, sf, **options):
+    return topics.fit_topics(filtered(spark, sf), "doc_id", "text", rounds=6, **options)
+
+
+@query("SELECT (range + 1)::INTEGER AS round, TRUE AS rises FROM range(5)")
+def topic_bounds(spark, sf):
+    """Each round brings the topics closer to the documents: the bound of the log likelihood rises."""
+    bounds = _topics(spark, sf).bounds
+    return spark.createDataFrame([(i, bounds[i] > bounds[i - 1]) for i in range(1, len(bounds))], "round int, rises boolean")
+
+
+@query(f"WITH {KEPT} SELECT token AS term, count(*)::DOUBLE AS n, TRUE AS valid FROM kept GROUP BY 1")
+def topics_by_term(spark, sf):
+    """Every occurrence of every word is dealt to the five topics, no part of it lost."""
+    dealt = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
+    valid = F.forall("counts", lambda x: x >= 0) & F.forall("weights", lambda x: x.between(0, 1))
+    return _topics(spark, sf).terms.select("term", F.round(dealt, 4).alias("n"), valid.alias("valid"))
+
+
+@query(f"WITH {KEPT} SELECT doc_id, count(*)::DOUBLE AS n, 1.0::DOUBLE AS total FROM kept GROUP BY 1")
+def topics_by_document(spark, sf):
+    """The same by document, learned in four batches; the shares of a document add up to one."""
+    def total(name):
+        return F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
+    return _topics(spark, sf, batches=4).documents.select(
+        "doc_id", F.round(total("counts"), 4).alias("n"), F.round(total("shares"), 6).alias("total"))

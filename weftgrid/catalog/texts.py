@@ -23,7 +23,7 @@ def _lines(spark, sf):
     return columns.explode_lines(_docs(spark, sf), "doc_id", "text").select(F.col("text").alias("value"))
 
 
-def _filtered(spark, sf):
+def filtered(spark, sf):
     """Documents as tokens: alphabetic, three letters or more, no stop words."""
     docs = text.tokenize(_docs(spark, sf), "text")
     for step in (text.keep_alphabetic, text.keep_long, text.remove_stop_words):
@@ -35,7 +35,7 @@ _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH)
 _TOKENS = """
     toks AS (SELECT doc_id, regexp_extract_all(lower(text), '\\w+') AS toks FROM documents),
     tok AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) AS idx FROM toks)"""
-_KEPT = f"""{_TOKENS},
+KEPT = f"""{_TOKENS},
     kept AS (SELECT doc_id, token, idx FROM tok
              WHERE regexp_full_match(token, '\\p{{L}}+') AND length(token) >= 3 AND token NOT IN ({_STOP}))"""
 
@@ -84,11 +84,11 @@ def tokens_filtered(spark, sf):
 
 
 @query(f"""
-    WITH {_KEPT}
+    WITH {KEPT}
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INTEGER) AS pos, token FROM kept
 """)
 def stopwords_removed(spark, sf):
-    return text.explode_tokens(_filtered(spark, sf), "doc_id", "text")
+    return text.explode_tokens(filtered(spark, sf), "doc_id", "text")
 
 
 @query(f"WITH {_TOKENS}, {stem_ctes('tok')} SELECT token, stem FROM stems")
@@ -98,7 +98,7 @@ def stem_vocab(spark, sf):
 
 
 @query(f"""
-    WITH {_KEPT}, {stem_ctes('kept')}
+    WITH {KEPT}, {stem_ctes('kept')}
     SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1 AS INTEGER) AS pos, stem AS token
     FROM kept JOIN stems USING (token)
 """)
@@ -115,14 +115,14 @@ _WEIGHTED = """
           FROM c JOIN d USING (term))"""
 
 
-@query(f"WITH {_KEPT} SELECT doc_id, token AS term, count(*) AS tf FROM kept GROUP BY 1, 2")
+@query(f"WITH {KEPT} SELECT doc_id, token AS term, count(*) AS tf FROM kept GROUP BY 1, 2")
 def tf(spark, sf):
-    return features.term_counts(_filtered(spark, sf), "doc_id", "text")
+    return features.term_counts(filtered(spark, sf), "doc_id", "text")
 
 
-@query(f"WITH {_KEPT}, {_WEIGHTED} SELECT doc_id, term, tf, df, round(weight, 9) AS weight FROM w")
+@query(f"WITH {KEPT}, {_WEIGHTED} SELECT doc_id, term, tf, df, round(weight, 9) AS weight FROM w")
 def tfidf_long(spark, sf):
-    return features.tfidf(_filtered(spark, sf), "doc_id", "text").withColumn("weight", F.round("weight", 9))
+    return features.tfidf(filtered(spark, sf), "doc_id", "text").withColumn("weight", F.round("weight", 9))
 
 
 @query(f"""
@@ -139,33 +139,33 @@ def tfidf_stemmed(spark, sf):
 
 
 @query(f"""
-    WITH {_KEPT}, {_WEIGHTED},
+    WITH {KEPT}, {_WEIGHTED},
          top AS (SELECT term FROM c GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 20)
     SELECT documents.doc_id, 'term_' || top.term AS term, round(coalesce(weight, 0), 9) AS weight
     FROM documents CROSS JOIN top LEFT JOIN w ON w.doc_id = documents.doc_id AND w.term = top.term
 """)
 def tfidf_wide_topn(spark, sf):
     """One column per frequent term, listed as rows so that the schema does not depend on the data."""
-    wide = features.tfidf_wide(_filtered(spark, sf), "text", 20)
+    wide = features.tfidf_wide(filtered(spark, sf), "text", 20)
     terms = [c for c in wide.columns if c.startswith("term_")]
     return wide.unpivot("doc_id", terms, "term", "weight").withColumn("weight", F.round("weight", 9))
 
 
 @query(f"""
-    WITH {_KEPT}, c AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY 1)
+    WITH {KEPT}, c AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY 1)
     SELECT documents.doc_id, coalesce(c.n, 0)::DOUBLE AS tokens FROM documents LEFT JOIN c USING (doc_id)
 """)
 def hashing_tf(spark, sf):
     """Hashed counts; hashing may merge terms but keeps every document's total."""
-    hashed = features.hashing_tf(_filtered(spark, sf), "text", 4096)
+    hashed = features.hashing_tf(filtered(spark, sf), "text", 4096)
     total = F.aggregate(vector_to_array("text"), F.lit(0.0), lambda a, x: a + x)
     return hashed.select("doc_id", total.alias("tokens"))
 
 
-@query(f"WITH {_KEPT} SELECT doc_id, token AS term, count(*)::DOUBLE AS tf FROM kept GROUP BY 1, 2")
+@query(f"WITH {KEPT} SELECT doc_id, token AS term, count(*)::DOUBLE AS tf FROM kept GROUP BY 1, 2")
 def count_vectors(spark, sf):
     """Count vectors over the whole vocabulary, read back term by term."""
-    counted, vocabulary = features.count_vectors(_filtered(spark, sf), "text")
+    counted, vocabulary = features.count_vectors(filtered(spark, sf), "text")
     names = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
     entries = counted.select("doc_id", F.posexplode(vector_to_array("text")).alias("place", "tf")).where("tf > 0")
     return entries.join(names, "place").select("doc_id", "term", "tf")
@@ -174,7 +174,7 @@ def count_vectors(spark, sf):
 @query("SELECT doc_id, TRUE AS finite FROM documents")
 def word2vec(spark, sf):
     """Every document gets a vector of two finite numbers."""
-    made = columns.expand_vector(features.word2vec(_filtered(spark, sf), "text"), "text")
+    made = columns.expand_vector(features.word2vec(filtered(spark, sf), "text"), "text")
     numbers = [c for c in made.columns if c.startswith("dim")]
     finite = F.lit(len(numbers) == 2)
     for c in numbers:
@@ -183,7 +183,7 @@ def word2vec(spark, sf):
 
 
 @query(f"""
-    WITH {_KEPT}, k AS (SELECT DISTINCT doc_id FROM kept)
+    WITH {KEPT}, k AS (SELECT DISTINCT doc_id FROM kept)
     SELECT documents.doc_id, 5 AS topics, TRUE AS valid, CASE WHEN k.doc_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total
     FROM documents LEFT JOIN k USING (doc_id)
 """)
@@ -209,7 +209,7 @@ def lda_terms(spark, sf):
 
 
 @query(f"""
-    WITH {_KEPT}, k AS (SELECT DISTINCT doc_id FROM kept)
+    WITH {KEPT}, k AS (SELECT DISTINCT doc_id FROM kept)
     SELECT documents.doc_id, 5 AS topics, CASE WHEN k.doc_id IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS total
     FROM documents LEFT JOIN k USING (doc_id)
 """)
