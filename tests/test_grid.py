@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,6 +46,15 @@ def test_sql_over_the_grid(people, spark):
     assert "datagrid" in [v.lower() for v in list_views(spark)]
 
 
+def test_sql_of_many_grids_at_once(spark):
+    def ask(i):
+        return Grid.load(spark.range(i + 1).toDF("id")).sql("SELECT count(*) AS n FROM DataGrid")
+
+    with ThreadPoolExecutor(8) as pool:
+        frames = list(pool.map(ask, range(24)))
+    assert [f.first()["n"] for f in frames] == list(range(1, 25))
+
+
 def test_errors_surface(people):
     with pytest.raises(Exception):
         Grid.load(people).sql("SELECT nothing FROM DataGrid").collect()

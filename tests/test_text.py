@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 from pyspark.ml.feature import IDF, CountVectorizer, RegexTokenizer, StopWordsRemover, StringIndexer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from weftgrid.functions.stemming import stem, stem_tokens, stem_word
@@ -207,3 +208,34 @@ def test_wide_tfidf_and_topics_keep_own_columns(spark):
     for out in (tfidf_wide(df, "text", 3), topic_columns(df, "text", 2)):
         assert out.columns[:4] == df.columns
         assert {tuple(r) for r in out.select("_tokens", "_known", "_topics").collect()} == {(1, 2, 3)}
+
+
+def murmur3(data, seed=42):
+    """MurmurHash3 (x86, 32 bits) of bytes, by its published definition."""
+    mask = (1 << 32) - 1
+    turn = lambda x, r: (x << r | x >> (32 - r)) & mask
+    mix = lambda k: turn(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    h, whole = seed, len(data) // 4 * 4
+    for i in range(0, whole, 4):
+        h = (turn(h ^ mix(int.from_bytes(data[i:i + 4], "little")), 13) * 5 + 0xE6546B64) & mask
+    if data[whole:]:
+        h ^= mix(int.from_bytes(data[whole:], "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def test_hashed_counts_fall_into_the_buckets_of_the_hash(spark):
+    tokens = [["grid", "of", "weft", "grid", "größe"], ["a", "bb", "ccc", "dddd", "eeeee"] * 3, []]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "id int, t array<string>")
+    hashed = features.hashing_tf(df, "t", 16).select("id", features.vector_entries("t").alias("e"))
+    got = {r["id"]: {e["place"]: e["value"] for e in r["e"]} for r in hashed.collect()}
+    assert got == {i: dict(Counter(murmur3(w.encode()) % 16 for w in t)) for i, t in enumerate(tokens)}
+
+
+def test_entries_of_sparse_and_dense_vectors(spark):
+    df = spark.createDataFrame([(1, Vectors.sparse(5, [1, 4], [2.0, 0.0])), (2, Vectors.dense(0.0, 3.0, -1.0)), (3, None)], ["id", "v"])
+    got = {r["id"]: r["e"] and [tuple(e) for e in r["e"]] for r in df.select("id", features.vector_entries("v").alias("e")).collect()}
+    assert got == {1: [(1, 2.0)], 2: [(1, 3.0), (2, -1.0)], 3: None}

@@ -51,9 +51,9 @@ def test_equals_dense_updates_for_any_partitioning(spark):
     start = {r["term"]: [r[a] for a in model.names] for r in model.start(topics._cells(df, "id", "t", 7, 1), 7).collect()}
     start.pop("none", None)
     lam = np.array([start[w] for w in words]).T
-    gam, lam, bounds = by_hand(n, lam, 0.5, 0.25, 4)
+    gam, lam, bounds = by_hand(n, lam, 0.5, 0.25, 3)
     for parts in (1, 5):
-        made = topics.fit_topics(df.repartition(parts), "id", "t", 3, 4, alpha=0.5, eta=0.25, seed=7)
+        made = topics.fit_topics(df.repartition(parts), "id", "t", 3, 3, alpha=0.5, eta=0.25, seed=7)
         got = {r["term"]: r["counts"] for r in made.terms.collect()}
         assert sorted(got) == words
         assert np.allclose(np.array([got[w] for w in words]).T + 0.25, lam, rtol=1e-5)
@@ -66,8 +66,8 @@ def test_equals_dense_updates_for_any_partitioning(spark):
 def test_bound_rises_and_topics_are_those_of_the_library(spark):
     docs = texts()
     df = frame(spark, docs)
-    made = topics.fit_topics(df, "id", "t", 3, 25)
-    assert len(made.bounds) == 25 and all(b >= a - 1e-6 * abs(a) for a, b in zip(made.bounds, made.bounds[1:]))
+    made = topics.fit_topics(df, "id", "t", 3, 15)
+    assert len(made.bounds) == 15 and all(b >= a - 1e-6 * abs(a) for a, b in zip(made.bounds, made.bounds[1:]))
 
     def groups(rows):
         found = {}
@@ -78,7 +78,7 @@ def test_bound_rises_and_topics_are_those_of_the_library(spark):
     leading = topics.leading_terms(made.terms, 5).collect()
     assert groups(leading) == sorted(sorted(w) for w in WORDS)
     counted, vocabulary = features.count_vectors(df.where("id >= 0"), "t")
-    described = LDA(featuresCol="t", k=3, maxIter=60, optimizer="em", seed=1).fit(counted).describeTopics(5).collect()
+    described = LDA(featuresCol="t", k=3, maxIter=40, optimizer="em", seed=1).fit(counted).describeTopics(5).collect()
     assert sorted(sorted(vocabulary[i] for i in r["termIndices"]) for r in described) == groups(leading)
     best = {r["id"]: r["shares"].index(max(r["shares"])) for r in made.documents.collect()}
     assert len({best[i] for i in range(3)}) == 3 and sum(best[i] == best[i % 3] for i in best) > 0.95 * len(best)

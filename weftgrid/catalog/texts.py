@@ -158,7 +158,7 @@ def tfidf_wide_topn(spark, sf):
 def hashing_tf(spark, sf):
     """Hashed counts; hashing may merge terms but keeps every document's total."""
     hashed = features.hashing_tf(filtered(spark, sf), "text", 4096)
-    total = F.aggregate(vector_to_array("text"), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(features.vector_entries("text"), F.lit(0.0), lambda a, e: a + e["value"])
     return hashed.select("doc_id", total.alias("tokens"))
 
 
@@ -167,8 +167,8 @@ def count_vectors(spark, sf):
     """Count vectors over the whole vocabulary, read back term by term."""
     counted, vocabulary = features.count_vectors(filtered(spark, sf), "text")
     names = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
-    entries = counted.select("doc_id", F.posexplode(vector_to_array("text")).alias("place", "tf")).where("tf > 0")
-    return entries.join(names, "place").select("doc_id", "term", "tf")
+    entries = explode_column(counted, ["doc_id"], features.vector_entries("text"), "e").select("doc_id", "e.place", "e.value")
+    return entries.join(names, "place").select("doc_id", "term", F.col("value").alias("tf"))
 
 
 @query("SELECT doc_id, TRUE AS finite FROM documents")

@@ -154,6 +154,17 @@ def tfidf_vectors(df: DataFrame, column: str, vocabulary_size: int | None = None
     return weighted, vocabulary
 
 
+def vector_entries(column: str) -> Column:
+    """The numbers other than zero of a vector column, as an array of ``(place, value)``.
+
+    A sparse vector is read as it is stored, so that a text costs its own words and not the whole vocabulary.
+    """
+    vector = F.unwrap_udt(F.col(column))
+    sparse = F.zip_with(vector["indices"], vector["values"], lambda i, x: F.struct(i.alias("place"), x.alias("value")))
+    dense = F.transform(vector["values"], lambda x, i: F.struct(i.alias("place"), x.alias("value")))
+    return F.filter(F.when(vector["type"] == 0, sparse).otherwise(dense), lambda e: e["value"] != 0)
+
+
 def hashing_tf(df: DataFrame, column: str, buckets: int = HASH_BUCKETS) -> DataFrame:
     """Replace tokens by a hashed term-frequency vector: no vocabulary, no fit."""
     return _in_place(df, column, lambda made: HashingTF(inputCol=column, outputCol=made, numFeatures=buckets))[0]

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
+from threading import Lock
 from typing import Any
 
 from pyspark import StorageLevel
@@ -28,6 +29,7 @@ Step = tuple[str, Callable[[DataFrame], DataFrame]]
 SAMPLE_ROWS = 1000
 PREVIEW_MIN = 100
 VIEW = "DataGrid"
+_BINDING = Lock()  # held while a query is read, since the session has one view of that name
 
 
 @dataclass(frozen=True)
@@ -213,10 +215,12 @@ class Grid:
     def sql(self, query: str = f"SELECT * FROM {VIEW}", n: int | None = None, **args: Any) -> DataFrame:
         """Run Spark SQL over the view ``DataGrid``; all rows come back unless ``n`` caps what is shown.
 
-        Values go in as ``:name`` parameters.
+        Values go in as ``:name`` parameters.  The name is bound while the query is read, so grids of
+        one session can be asked from many threads, and a frame keeps reading its own grid.
         """
-        self.df.createOrReplaceTempView(VIEW)
-        result = self.spark.sql(query, args=args or None)
+        with _BINDING:
+            self.df.createOrReplaceTempView(VIEW)
+            result = self.spark.sql(query, args=args or None)
         return result if n is None else result.limit(n)
 
     def persist(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> DataFrame:
