@@ -67,3 +67,11 @@ def test_vectors_equal_dense_factorisation(spark):
 def test_nothing_to_learn_from(spark):
     assert vectors.word_vectors(frame(spark, []), "t").count() == 0
     assert vectors.word_vectors(frame(spark, [["one"], ["two"]]), "t").count() == 0
+
+
+def test_pairs_are_counted_in_one_direction_before_the_shuffle(spark):
+    docs = [["b", "a", "a", "b"], ["a", None, "c"]]
+    pairs = vectors.word_pairs(spark.createDataFrame([(d,) for d in docs], "t array<string>"), "t", 1)
+    got = {(r["term"], r["context"]): r["n"] for r in pairs.where("term IS NOT NULL AND context IS NOT NULL").collect()}
+    assert got == {("a", "b"): 2, ("b", "a"): 2, ("a", "a"): 2}
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -29,8 +29,8 @@ ROUNDS = 3        # power iterations
 _TINY = 1e-10     # directions with a smaller share of the greatest one are nothing but rounding
 
 
-def word_pairs(df: DataFrame, column: str, window: int = WINDOW) -> DataFrame:
-    """``(term, context, n)``: how often two tokens stand at most ``window`` apart, in both directions.
+def _half_pairs(df: DataFrame, column: str, window: int) -> DataFrame:
+    """``(a, b, n)``, the lesser word first: how often two tokens stand at most ``window`` apart; a word beside itself counts twice.
 
     Pairs are made inside the row and counted before the shuffle.
     """
@@ -38,29 +38,45 @@ def word_pairs(df: DataFrame, column: str, window: int = WINDOW) -> DataFrame:
 
     def apart(step: Column) -> Column:
         n = F.greatest(F.size(t) - step, F.lit(0))
-        return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, step + 1, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.zip_with(F.slice(t, F.lit(1), n), F.slice(t, step + 1, n), lambda a, b: F.struct(
+            F.when(a <= b, a).otherwise(b).alias("a"), F.when(a <= b, b).otherwise(a).alias("b")))
 
     pairs = explode_column(df, [], F.flatten(F.transform(F.sequence(F.lit(1), F.lit(window)), apart)), "p")
-    counted = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
-    both = explode_column(counted, ["n"], F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))), "p")
-    return both.groupBy(F.col("p.a").alias("term"), F.col("p.b").alias("context")).agg(F.sum("n").alias("n"))
+    times = F.when(F.col("a") == F.col("b"), 2).otherwise(1)
+    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).withColumn("n", F.col("n") * times)
+
+
+def _both_ways(half: DataFrame) -> DataFrame:
+    """``(term, context, ...)`` of ``(a, b, ...)``: no shuffle, since no pair is there twice."""
+    rest = [c for c in half.columns if c not in ("a", "b")]
+    turned = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = explode_column(half, rest, F.when(F.col("a") == F.col("b"), F.slice(turned, 1, 1)).otherwise(turned), "p")
+    return both.select(F.col("p.a").alias("term"), F.col("p.b").alias("context"), *rest)
+
+
+def word_pairs(df: DataFrame, column: str, window: int = WINDOW) -> DataFrame:
+    """``(term, context, n)``: how often two tokens stand at most ``window`` apart, in both directions."""
+    return _both_ways(_half_pairs(df, column, window))
 
 
 def word_associations(df: DataFrame, column: str, window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:
     """``(term, context, n, weight)`` with a positive weight: the log of how much more often than by chance.
 
-    Words with fewer than ``min_count`` contexts are left out, of the totals too.  A frequent
-    word has one row per context, and only the pairs can be skewed in the joins.
+    Words with fewer than ``min_count`` contexts are left out, of the totals too; a token's contexts follow from its place
+    in the row, before any pair is made.  A frequent word has one row per context, and only the pairs, shuffled in
+    one direction, can be skewed in the joins.
     """
-    pairs = materialize(word_pairs(df, column, window), "word-pairs")
-    kept = pairs.groupBy("term").agg(F.sum("n").alias("c")).where(F.col("c") >= min_count).select("term")
-    pairs = pairs.join(kept, "term").join(kept.withColumnRenamed("term", "context"), "context")
-    pairs = materialize(pairs.select("term", "context", "n"), "word-pairs-kept")
-    sums = pairs.groupBy("term").agg(F.sum("n").cast("double").alias("c1"))
-    total = sums.agg(F.sum("c1")).scalar()
-    met = pairs.join(sums, "term").join(sums.toDF("context", "c2"), "context")
-    return met.withColumn("weight", F.ln(F.col("n") * total / (F.col("c1") * F.col("c2")))).where("weight > 0").select(
-        "term", "context", "n", "weight")
+    own = F.transform(F.col(column), lambda w, i: F.struct(
+        w.alias("term"), (F.least(i, F.lit(window)) + F.least(F.size(column) - 1 - i, F.lit(window))).cast("long").alias("c")))
+    contexts = explode_column(df, [], own, "w").groupBy("w.term").agg(F.sum("w.c").alias("c"))
+    kept = materialize(contexts.where(F.col("c") >= min_count).select("term"), "words-kept")
+    half = _half_pairs(df, column, window).join(kept.toDF("a"), "a").join(kept.toDF("b"), "b")
+    half = materialize(half.select("a", "b", "n"), "word-pairs")
+    sums = materialize(_both_ways(half).groupBy("term").agg(F.sum("n").cast("double").alias("c")), "word-sums")
+    total = sums.agg(F.sum("c")).scalar()
+    met = half.join(sums.toDF("a", "c1"), "a").join(sums.toDF("b", "c2"), "b")
+    weighted = met.withColumn("weight", F.ln(F.col("n") * total / (F.col("c1") * F.col("c2")))).where("weight > 0")
+    return _both_ways(weighted.select("a", "b", "n", "weight"))
 
 
 def _names(width: int) -> list[str]:
