@@ -102,6 +102,42 @@ def test_counts_add_up_under_skew(spark, forced_skew):
     assert all(abs(sum(r["counts"]) - 51) < 1e-9 for r in made.documents.collect())
 
 
+def test_blocks_and_chunks_do_not_change_the_result(spark, monkeypatch):
+    df = frame(spark, texts(60))
+
+    def fitted():
+        made = topics.fit_topics(df, "id", "t", 3, 4, seed=7)
+        return {r["term"]: r["counts"] for r in made.terms.collect()}, {r["id"]: r["shares"] for r in made.documents.collect()}, made.bounds
+
+    whole = fitted()
+    monkeypatch.setattr(topics, "BLOCK_CELLS", 40)
+    monkeypatch.setattr(topics, "_CHUNK", 60)
+    parts = fitted()
+    for a, b in zip(whole[:2], parts[:2]):
+        assert a.keys() == b.keys() and all(np.allclose(a[x], b[x], rtol=1e-8) for x in a)
+    assert np.allclose(whole[2], parts[2], rtol=1e-10)
+
+
+def test_count_vectors_and_topics_of_any_vocabulary(spark, monkeypatch):
+    docs = texts(60)
+    df = frame(spark, docs)
+    monkeypatch.setattr(features, "VOCABULARY_LIMIT", 3)
+    counted, vocabulary = features.count_vector_tables(df, "t")
+    words = {r["place"]: r["term"] for r in vocabulary.collect()}
+    every = [w for d in docs for w in d] + ["apple"]
+    assert [words[i] for i in range(len(words))] == sorted(set(every), key=lambda w: (-every.count(w), w))
+    found = {r["id"]: r["t"] for r in counted.collect()}
+    assert found.keys() == {*range(60), -1, -2, None} and counted.columns == ["id", "t"]
+    for i, d in enumerate(docs):
+        assert {words[j]: n for j, n in zip(found[i].indices, found[i].values)} == {w: d.count(w) for w in d}
+    assert found[-1].numNonzeros() == found[-2].numNonzeros() == 0 and found[-1].size == len(words)
+
+    modelled, leading = features.lda(df, "t", 3, 12)
+    shares = {r["id"]: r["t"].toArray() for r in modelled.collect()}
+    assert shares.keys() == found.keys() and all(abs(shares[i].sum() - (1 if found[i].numNonzeros() else 0)) < 1e-9 for i in shares)
+    assert sorted((r["topic"], r["rank"]) for r in leading.collect()) == [(t, r) for t in range(3) for r in range(3)]
+
+
 def test_nothing_to_learn_from_and_clashing_names(spark):
     empty = topics.fit_topics(frame(spark, []), "id", "t")
     assert empty.bounds == [] and empty.terms.count() == 0 and empty.documents.count() == 0

@@ -165,8 +165,7 @@ def hashing_tf(spark, sf):
 @query(f"WITH {KEPT} SELECT doc_id, token AS term, count(*)::DOUBLE AS tf FROM kept GROUP BY 1, 2")
 def count_vectors(spark, sf):
     """Count vectors over the whole vocabulary, read back term by term."""
-    counted, vocabulary = features.count_vectors(filtered(spark, sf), "text")
-    names = spark.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
+    counted, names = features.count_vector_tables(filtered(spark, sf), "text")
     entries = explode_column(counted, ["doc_id"], features.vector_entries("text"), "e").select("doc_id", "e.place", "e.value")
     return entries.join(names, "place").select("doc_id", "term", F.col("value").alias("tf"))
 

@@ -11,7 +11,8 @@ from typing import Any
 
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,10 +23,11 @@ from weftgrid.operators.text import preprocess
 from weftgrid.session import materialize
 from weftgrid.sources.names import clean_names
 
-VOCABULARY_LIMIT = 1 << 18   # most terms a whole vocabulary may have before a size must be chosen
+VOCABULARY_LIMIT = 1 << 18   # most terms of a vocabulary that the driver is asked to hold
 HASH_BUCKETS = 1 << 18
 WIDE_LIMIT = 1000            # most term columns of a wide form
 WORD2VEC_VOCABULARY = 10_000_000  # words whose vectors the driver is asked to hold
+LDA_STEPS = 20               # updates of a document's topics at a visit
 WORD2VEC_PARTITIONS = 8      # training tasks, whatever the data and the cluster: the vectors depend on it
 
 
@@ -132,15 +134,41 @@ def _vocabulary_size(df: DataFrame, column: str, asked: int | None) -> int:
         return asked
     found = vocabulary_counts(df, column).count()
     if found > VOCABULARY_LIMIT:
-        raise ValueError(f"{found} words: choose a vocabulary_size; the rarest words beyond it are left out")
+        raise ValueError(f"{found} words: use count_vector_tables, or choose a vocabulary_size; the rarest words beyond it are left out")
     return max(1, found)
 
 
+def count_vector_tables(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """Replace tokens by a count vector over all words; also the vocabulary as a table ``(place, term)``, of any size.
+
+    Words are numbered from the most frequent to the rarest, ties in word order.  A word has one row in the
+    vocabulary, so only the counts can be skewed in the join; a vector holds the words of its own row.
+    """
+    row, held = free_name(df, "_row"), free_name(df, "_counts")
+    # The numbers of the rows must stay as they are.
+    kept = materialize(df.withColumn(row, F.monotonically_increasing_id()), "tokens")
+    counts = term_counts(kept, row, column)
+    ranked = global_rank(
+        materialize(vocabulary_counts(kept, column), "vocabulary-counts"), [F.desc("n"), F.asc("w")], "rank")
+    vocabulary = materialize(ranked.select((F.col("rank") - 1).cast("int").alias("place"), F.col("w").alias("term")), "vocabulary")
+    size = vocabulary.count()
+
+    @F.udf(VectorUDT())
+    def vector(entries):
+        return Vectors.sparse(size, [e[0] for e in entries or ()], [e[1] for e in entries or ()])
+
+    found = counts.join(vocabulary, "term").groupBy(row).agg(
+        F.sort_array(F.collect_list(F.struct("place", F.col("tf").cast("double").alias("tf")))).alias(held))
+    counted = kept.join(found, row, "left").withColumn(held, vector(held))
+    return counted.select(*[F.col(held).alias(c) if c == column else F.col(c) for c in df.columns]), vocabulary
+
+
 def count_vectors(df: DataFrame, column: str, vocabulary_size: int | None = None) -> tuple[DataFrame, list[str]]:
-    """Replace tokens by a count vector; also the vocabulary.
+    """Replace tokens by a count vector; also the vocabulary, as a list.
 
     All words are in the vocabulary, and more than ``VOCABULARY_LIMIT`` of them are an error, unless
-    ``vocabulary_size`` asks for that many of the most frequent ones (``vocabulary_counts`` tells which).
+    ``vocabulary_size`` asks for that many of the most frequent ones (``vocabulary_counts`` tells which);
+    ``count_vector_tables`` has no such limit.
     """
     size = _vocabulary_size(df, column, vocabulary_size)
     counted, model = _in_place(df, column, lambda made: CountVectorizer(inputCol=column, outputCol=made, vocabSize=size))
@@ -193,11 +221,15 @@ def lda(df: DataFrame, column: str, k: int = 5, iterations: int = 20, seed: int
     """Topic distribution of a text or token column and the topics' leading terms.
 
     Returns the frame with the column replaced by its distribution vector, and rows
-    ``(topic, rank, term, weight)`` with three terms per topic.  The model holds ``k``
-    weights per vocabulary entry, which is bounded (see ``count_vectors``).  Every iteration reads the count
+    ``(topic, rank, term, weight)`` with three terms per topic.  The driver holds Spark's model, ``k``
+    weights per vocabulary entry, up to ``VOCABULARY_LIMIT`` words or for a size asked for; beyond, all words are modelled
+    over tables (``topics.fit_topics``).  Every iteration reads the count
     vectors again and the result needs them once more, so the counted frame is written out once.
     """
-    counted, vocabulary = count_vectors(_prepared(df, column), column, vocabulary_size)
+    prepared = materialize(_prepared(df, column), "prepared")
+    if vocabulary_size is None and vocabulary_counts(prepared, column).count() > VOCABULARY_LIMIT:
+        return _lda_tables(prepared, column, k, iterations, seed)
+    counted, vocabulary = count_vectors(prepared, column, vocabulary_size)
     held = materialize(counted, "count-vectors")
     shares, model = _in_place(
         held, column, lambda made: LDA(featuresCol=column, topicDistributionCol=made, k=k, maxIter=iterations, seed=seed),
@@ -205,6 +237,22 @@ def lda(df: DataFrame, column: str, k: int = 5, iterations: int = 20, seed: int
     return shares, _describe_topics(model, vocabulary)
 
 
+def _lda_tables(df: DataFrame, column: str, k: int, iterations: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``lda`` of a token column with any number of words: as many batches as iterations, so that each document is learned from once."""
+    from weftgrid.operators import topics  # it uses this module
+
+    row, shares = free_name(df, "_row"), free_name(df, "_shares")
+    # The numbers of the rows must stay as they are.
+    kept = materialize(df.withColumn(row, F.monotonically_increasing_id()), "tokens")
+    model = topics.fit_topics(kept, row, column, k, iterations, iterations, seed=seed, steps=LDA_STEPS, settle=LDA_STEPS)
+    made = model.documents.select(row, F.col("shares").alias(shares))
+    none = F.array_repeat(F.lit(0.0), k)
+    modelled = kept.join(made, row, "left").withColumn(shares, array_to_vector(F.coalesce(shares, none)))
+    # k topics of three terms each.
+    leading = df.sparkSession.createDataFrame(topics.leading_terms(model.terms).collect(), "topic int, rank int, term string, weight double")
+    return modelled.select(*[F.col(shares).alias(c) if c == column else F.col(c) for c in df.columns]), leading
+
+
 def _describe_topics(model, vocabulary: Sequence[str], terms: int = 3) -> DataFrame:
     described = model.describeTopics(terms)
     # k topics of three terms each: the described topics are a handful of rows.
