@@ -163,3 +163,22 @@ def test_lists_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(pv, "LIST_LIMIT", 5)
     monkeypatch.setattr(pv, "LIST_BLOCK", 4)
     assert {tuple(x[:3]): x["value"] for x in pv.pivot(df, ["r"], ["c"], "List Unique Values", ["v"]).collect()} == short
+
+
+@pytest.mark.parametrize("rows, cols", [(["r"], ["c"]), (["r"], []), ([], ["c"]), ([], []), (["r", "c"], [])])
+def test_unique_values_are_counted_once_in_totals(spark, rows, cols):
+    import random
+    rng = random.Random(5)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1, 2, 3]), rng.choice([None, *range(12)])) for _ in range(150)]
+    df = spark.createDataFrame(data, "r string, c int, v int").repartition(3)
+    made = pv.pivot(df, rows, cols, "Count Unique Values", ["v"])
+    names, expected = [*rows, *cols], {}
+    for r, c, v in data:
+        own = {"r": "null" if r is None else r, "c": str(c)}
+        for level in {"cell" if rows and cols else "row" if rows else "col" if cols else "total", *(["row"] if rows else []), *(["col"] if cols else []), "total"}:
+            shown = {"cell": names, "row": rows, "col": cols, "total": []}[level]
+            expected.setdefault((*[own[k] if k in shown else None for k in names], level), set()).add(v)
+    assert {tuple(x[:-1]): x["value"] for x in made.collect()} == {k: len(v) for k, v in expected.items()}
+    assert pv.pivot(df.limit(0), rows, cols, "Count Unique Values", ["v"]).count() == 0
+    plan = pv.pivot(df, ["r"], ["c"], "Count Unique Values", ["v"])._jdf.queryExecution().executedPlan().toString()
+    assert "_box" not in plan and "Window" in plan

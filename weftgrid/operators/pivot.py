@@ -11,7 +11,7 @@ import json
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgrid.functions.numbers import num
@@ -139,9 +139,26 @@ def unique_values(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value
 
 
 def _count_unique(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value: str) -> DataFrame:
-    """NULL counts as one value."""
-    found = unique_values(df, rows, cols, value)
-    return found.groupBy(*rows, *cols, "level").agg(F.count("*").alias("value"))
+    """NULL counts as one value.
+
+    The distinct values of the cells are dealt by value; there a value counts for a total in its first cell only, so the
+    totals follow from one row per cell.
+    """
+    keys = [*rows, *cols]
+    cells = _keyed(df, keys, {"_value": F.col(value)}).distinct()
+
+    def first(within: Sequence[str]) -> Column:
+        rest = [k for k in keys if k not in within]
+        order = Window.partitionBy("_value", *within).orderBy(*(rest or ["_value"]))
+        return (F.row_number().over(order) == 1).cast("long")
+
+    told = cells.withColumns({"_row": first(rows), "_col": first(cols), "_total": first([])})
+    # One row per cell.
+    counts = told.groupBy(*keys).agg(F.count("*").alias("_cell"), *[F.sum(c).alias(c) for c in ("_row", "_col", "_total")])
+    sums = [F.sum(c).alias(c) for c in ("_cell", "_row", "_col", "_total")]
+    value_of = F.when(F.col("level") == "cell", F.col("_cell")).when(F.col("level") == "row", F.col("_row")).when(
+        F.col("level") == "col", F.col("_col")).otherwise(F.col("_total"))
+    return _levels(counts, rows, cols, sums).where("_cell > 0").select(*keys, "level", value_of.alias("value"))
 
 
 def unique_blocks(df: DataFrame, rows: Sequence[str], cols: Sequence[str], value: str, size: int = LIST_BLOCK) -> DataFrame:
