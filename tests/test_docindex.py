@@ -120,3 +120,13 @@ def test_similarity_tiles_equal_brute_force(spark):
         assert {(r["doc1"], r["doc2"]): r["similarity"] for r in docindex.tile_cells(tiles).collect()} == expected
         assert all(len(r["cells"]) == len(r["docs1"]) * len(r["docs2"]) for r in tiles.collect())
     assert docindex.similarity_tiles(frame.limit(0), "k", "t").count() == 0
+
+
+def test_posting_blocks_are_gathered_after_one_shuffle_by_block(spark):
+    df = spark.range(50).selectExpr("id AS doc", "concat('hot w', id % 5) AS t")
+    index = docindex.inverted_index(df, "doc", "t", unique_key=True)
+    blocks = docindex.posting_blocks(index.unionByName(index), "doc", 10)
+    assert {(r["word"], r["block"]): r["docs"] for r in blocks.collect() if r["word"] == "hot"} == {
+        ("hot", b): list(range(10 * b, 10 * b + 10)) for b in range(5)}
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(word" not in plan

@@ -70,7 +70,8 @@ def posting_blocks(index: DataFrame, key: str, block_size: int = BLOCK_SIZE) ->
 
     A word in a third of all documents has many blocks instead of one huge row.
     Whole-number keys are blocked by range, ``block_size`` keys each; other keys by
-    hash into as many blocks as the document count asks for.
+    hash into as many blocks as the document count asks for.  The pairs are shuffled once, by block,
+    and gathered there: few pairs of a word and a block meet before the shuffle.
     """
     if isinstance(index.schema[key].dataType, T.IntegralType):
         block = F.floor(F.col(key) / block_size)
@@ -78,8 +79,8 @@ def posting_blocks(index: DataFrame, key: str, block_size: int = BLOCK_SIZE) ->
         documents = index.agg(F.approx_count_distinct(key).alias("n"))
         blocks = documents.select(F.ceil(F.col("n") / block_size).cast("bigint")).scalar()
         block = F.pmod(F.xxhash64(key), F.greatest(blocks, F.lit(1)))
-    grouped = index.groupBy("word", block.cast("bigint").alias("block"))
-    return grouped.agg(F.sort_array(F.collect_set(key)).alias("docs")).select(
+    dealt = index.withColumn("block", block.cast("bigint")).repartition("block")
+    return dealt.groupBy("word", "block").agg(F.sort_array(F.collect_set(key)).alias("docs")).select(
         "word", "block", F.size("docs").cast("bigint").alias("size"), "docs")
 
 
