@@ -69,3 +69,13 @@ def test_empty(spark):
     assert none.count() == 0 and search.phrase_search(none, ["a"]).count() == 0 and search.ranked_search(none, ["a"], 0).count() == 0
     with pytest.raises(ValueError):
         search.phrase_search(none, [])
+
+
+def test_documents_are_shuffled_before_their_tokens_become_rows(spark):
+    df = spark.createDataFrame([(i, ["a", "b", "a"]) for i in range(6)] + [(None, ["a"]), (7, None)], "k int, t array<string>")
+    index = search.position_index(df, "k", "t", 4)
+    assert sorted((r["term"], r["block"], r["docs"], r["tfs"]) for r in index.collect()) == [
+        ("a", 0, [0, 1, 2, 3], [2] * 4), ("a", 1, [0, 1], [2] * 2), ("b", 0, [0, 1, 2, 3], [1] * 4), ("b", 1, [0, 1], [1] * 2)]
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(block" in plan and "hashpartitioning(term" not in plan
+    assert plan.index("Generate posexplode") < plan.index("hashpartitioning(block")

@@ -29,12 +29,13 @@ _POSITION_BITS = 32
 def position_index(df: DataFrame, key: str, column: str, block_size: int = BLOCK_DOCUMENTS) -> DataFrame:
     """``(term, block, docs, tfs, top, places)`` of a column of tokens; ``key`` is a whole number, unique and not negative.
 
-    Occurrences are shuffled once, by term and block.
+    Documents are shuffled once, by block and before their tokens become rows: a block is a bounded number of documents.
     """
-    pairs = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.posexplode(column).alias("position", "term"))
-    dealt = pairs.select(
-        "term", F.floor(F.col("doc") / block_size).cast("bigint").alias("block"), F.pmod("doc", F.lit(block_size)).cast("int").alias("doc"), "position"
-    ).repartition("term", "block")
+    doc = F.col(key).cast("bigint")
+    blocks = df.where(F.col(key).isNotNull()).select(
+        F.floor(doc / block_size).cast("bigint").alias("block"), F.pmod(doc, F.lit(block_size)).cast("int").alias("doc"), F.col(column).alias("tokens")
+    ).repartition("block")
+    dealt = blocks.select("block", "doc", F.posexplode("tokens").alias("position", "term"))
     inside = dealt.groupBy("term", "block", "doc").agg(F.sort_array(F.collect_list("position")).alias("positions"))
     lists = inside.groupBy("term", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "positions"))).alias("found"))
     place = lambda d, p: F.shiftleft(d.cast("bigint"), _POSITION_BITS) + p
