@@ -42,3 +42,14 @@ def test_all_words_with_stops_and_empty_frames(spark):
     assert set(scores) == {"a", "b"} and all(s == 0 for s in scores.values())
     assert sent.learned_sentences(frame(spark, []), "k", "t").count() == 0
     assert sent.learned_sentences(frame(spark, [None]), "k", "t").count() == 0
+
+
+def test_only_words_that_follow_an_abbreviation_are_joined(spark):
+    from weftgrid.session import written_folders
+    texts = ["He met dr. Smith and dr. Jones today."] * 30 + ["It ends with dr. The cat sat. The dog sat with the cat.", "One more. Cats and cats."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    made = sorted((r["id"], r["pos"], r["sentence"]) for r in sent.learned_sentences(df, "id", "t").collect() if r["id"] >= 30)
+    assert made == [(30, 0, "It ends with dr."), (30, 1, "The cat sat."), (30, 2, "The dog sat with the cat."),
+                    (31, 0, "One more."), (31, 1, "Cats and cats.")]
+    folder = [f for f in written_folders(spark) if "/starters-" in f][-1]
+    assert [r["next"] for r in spark.read.parquet(folder).collect()] == ["the"]

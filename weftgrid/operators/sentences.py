@@ -77,7 +77,8 @@ def learned_sentences(df: DataFrame, key: str, column: str, threshold: float = T
     Every gap after ``.``, ``!`` or ``?`` ends a sentence, except after the full stop of an
     abbreviation; that one ends a sentence only before a capitalised word which the corpus
     also has in lower case and never capitalised inside a sentence.  The white space
-    inside a sentence stays.  Frequent words can only skew the text side of the joins.
+    inside a sentence stays.  Frequent words can only skew the text side of the joins.  Only starts that follow an abbreviation
+    somewhere matter, so the words that texts are joined with are few.
     """
     evidence = materialize(word_evidence(df, column), "words")
     short = abbreviation_scores(evidence).where(F.col("score") >= threshold).select(F.col("word").alias("last"), F.lit(True).alias("short"))
@@ -90,8 +91,12 @@ def learned_sentences(df: DataFrame, key: str, column: str, threshold: float = T
         "key", "place", F.col("n.p").alias("piece"), F.col("n.g").alias("gap"),
         F.lower(F.regexp_extract("n.p", LAST_WORD, 1)).alias("last"), F.regexp_extract("n.f", FIRST_WORD, 1).alias("first")
     ).where(F.length("piece") > 0)
+    short = materialize(short, "abbreviations")
+    capital = F.col("first").rlike(r"^\p{Lu}")
+    asked = pieces.where(capital).select("last", F.lower("first").alias("next")).join(short, "last", "left_semi").select("next").distinct()
+    starters = materialize(starters.join(asked, "next", "left_semi"), "starters")
     judged = pieces.withColumn("next", F.lower("first")).join(short, "last", "left").join(starters, "next", "left")
-    starts = F.coalesce("starter", F.lit(False)) & F.col("first").rlike(r"^\p{Lu}")
+    starts = F.coalesce("starter", F.lit(False)) & capital
     ends = ~F.coalesce("short", F.lit(False)) | starts
     before = Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     numbered = judged.withColumn("pos", F.coalesce(F.sum(F.coalesce(ends, F.lit(True)).cast("int")).over(before), F.lit(0)).cast("int"))
