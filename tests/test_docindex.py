@@ -122,6 +122,24 @@ def test_similarity_tiles_equal_brute_force(spark):
     assert docindex.similarity_tiles(frame.limit(0), "k", "t").count() == 0
 
 
+def test_similarity_tiles_of_many_strips_write_no_counts(spark, monkeypatch):
+    import random
+    from weftgrid.session import written_folders
+    monkeypatch.setattr(docindex, "STRIP", 6)
+    monkeypatch.setattr(docindex, "_DENSE", 3)
+    monkeypatch.setattr(docindex, "_COLUMNS", 2)
+    monkeypatch.setattr(docindex, "_PAIRS", 5)
+    rng = random.Random(4)
+    sets = {f"d{i:02d}": {"the"} | {rng.choice("abcdefghijkl") * rng.randint(1, 2) for _ in range(rng.randint(1, 9))} for i in range(32)}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in sets.items()], "k string, t string").repartition(3)
+    expected = {(a, b): math.floor(len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b])) * 100) / 100 for a in sets for b in sets}
+    before = len(written_folders(spark))
+    tiles = docindex.similarity_tiles(frame, "k", "t", 3, 11)
+    assert {(r["doc1"], r["doc2"]): r["similarity"] for r in docindex.tile_cells(tiles).collect()} == expected
+    assert tiles.count() == 11 * 11
+    assert not [f for f in written_folders(spark)[before:] if "/tiles-" in f]
+
+
 def test_posting_blocks_are_gathered_after_one_shuffle_by_block(spark):
     df = spark.range(50).selectExpr("id AS doc", "concat('hot w', id % 5) AS t")
     index = docindex.inverted_index(df, "doc", "t", unique_key=True)
