@@ -140,6 +140,29 @@ def test_similarity_tiles_of_many_strips_write_no_counts(spark, monkeypatch):
     assert not [f for f in written_folders(spark)[before:] if "/tiles-" in f]
 
 
+def test_similar_documents_of_many_strips_shuffle_no_shared_words(spark, monkeypatch):
+    import random
+    import re
+    monkeypatch.setattr(docindex, "STRIP", 5)
+    monkeypatch.setattr(docindex, "TILE_WORDS", 20)
+    rng = random.Random(6)
+    sets = [frozenset(rng.sample([f"w{j}" for j in range(25)], rng.randint(1, 20))) for _ in range(60)]
+    sets += [s | {"more"} for s in sets[:30]]
+    frame = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)], "k long, t string").repartition(3)
+    heads = {s: i for i, s in reversed(list(enumerate(sets)))}
+    for least in (0.6, 0.8, 1.0):
+        expected = {}
+        for a, i in heads.items():
+            for b, j in heads.items():
+                x = len(a & b) / math.sqrt(len(a) * len(b))
+                if i < j and x >= least:
+                    expected[i, j] = math.floor(x * 100) / 100
+        found = docindex.similar_documents(frame, "k", "t", least)
+        assert {(r["doc1"], r["doc2"]): r["similarity"] for r in found.collect()} == expected
+        assert not re.search(r"hashpartitioning\(doc1#\d+L?, doc2#", found._jdf.queryExecution().executedPlan().toString())
+    assert docindex.similar_documents(frame.limit(0), "k", "t", 0.8).count() == 0
+
+
 def test_posting_blocks_are_gathered_after_one_shuffle_by_block(spark):
     df = spark.range(50).selectExpr("id AS doc", "concat('hot w', id % 5) AS t")
     index = docindex.inverted_index(df, "doc", "t", unique_key=True)

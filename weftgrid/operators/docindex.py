@@ -235,6 +235,47 @@ def _heads(names: pa.Table) -> pa.Table:
     return names.take(np.unique(rows, return_index=True)[1])
 
 
+def _prefix_candidates(sets: DataFrame, min_similarity: float) -> DataFrame:
+    """``(doc1, doc2)`` of ``(doc, n, words)`` that may be similar; words are numbers, rarest first."""
+    least, strip_rows = min_similarity * min_similarity, STRIP
+    kept = (F.col("n") - F.ceil(F.lit(least) * F.col("n") - _SLACK) + 1).cast("int")
+    ranked = global_rank(sets.select("doc", "n"), [F.col("n"), F.col("doc")], "rank")
+    ranked = materialize(ranked.select(
+        "doc", "n", kept.alias("kept"), F.expr(f"CAST((rank - 1) DIV {strip_rows} AS INT)").alias("strip"),
+        ((F.col("rank") - 1) % strip_rows).cast("int").alias("row")), "size-strips")
+    # One row per strip, some thousandth part of the documents.
+    strips = ranked.groupBy("strip").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.sum("kept").alias("kept")).orderBy("strip").collect()
+    reach = [max([o for o in range(i, len(strips)) if least * strips[o]["low"] - _SLACK <= s["high"]]) for i, s in enumerate(strips)]
+    first = [next(o for o in range(i + 1) if reach[o] >= i) for i in range(len(strips))]
+    bounds = sets.sparkSession.createDataFrame([(i, f, r) for i, (f, r) in enumerate(zip(first, reach))], "strip int, first int, last int")
+    blocks = max(1, sum(r - i + 1 for i, r in enumerate(reach)))
+    chunks = max(1, math.ceil(max([s["kept"] for s in strips], default=0) / TILE_WORDS))
+
+    prefix = F.slice("words", F.lit(1), F.col("kept"))
+    docs = sets.select("doc", "words").join(ranked, "doc").join(F.broadcast(bounds), "strip").select(
+        "strip", "row", "doc", "n", (F.col("n") - F.col("kept")).alias("rest"), F.element_at(prefix, -1).alias("end"), prefix.alias("prefix"), "first", "last")
+    chunk = F.sequence(F.lit(0), F.lit(chunks - 1))
+    parts = explode_column(docs, docs.columns, chunk, "chunk").withColumn(
+        "words", F.filter("prefix", lambda w: w % chunks == F.col("chunk")) if chunks > 1 else F.col("prefix")).drop("prefix")
+
+    def possible(lo: int, hi: int, left: pa.Table, right: pa.Table, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one, two = _heads(left), _heads(right)
+        (n1, rest1, end1), (n2, rest2, end2) = ([t.column(c).to_numpy() for c in ("n", "rest", "end")] for t in (one, two))
+        for at in range(0, len(one), 256):
+            a, b = np.nonzero(counts[at:at + 256])
+            shared, a = counts[at:at + 256][a, b], a + at
+            # A shared word outside both prefixes lies behind the prefix that ends first.
+            at_most = shared + np.where(end1[a] <= end2[b], rest1[a], rest2[b])
+            fits = at_most >= min_similarity * np.sqrt((n1[a] * n2[b]).astype(np.float64)) - _SLACK
+            fits &= (n1[a] >= least * n2[b] - _SLACK) & ((lo < hi) | (a < b))
+            docs1, docs2 = one.column("doc").take(a[fits]), two.column("doc").take(b[fits])
+            yield from pa.table({"a": docs1, "b": docs2}).to_batches()
+
+    kind = sets.schema["doc"].dataType.simpleString()
+    found = _count_blocks(parts, F.col("first"), F.col("last"), blocks, strip_rows, ["doc", "n", "rest", "end"], possible, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("doc1"), F.greatest("a", "b").alias("doc2"))
+
+
 def similar_documents(df: DataFrame, key: str, text: str, min_similarity: float) -> DataFrame:
     """All pairs of distinct word sets whose cosine is at least ``min_similarity``; ``key`` must be unique.
 
@@ -248,45 +289,25 @@ def similar_documents(df: DataFrame, key: str, text: str, min_similarity: float)
       among the first ``n - ceil(t^2 n) + 1`` of each, so only those words are joined
       and frequent words hardly ever are;
     * pairs whose sizes, or whose count of shared rare words, rule the similarity out
-      are dropped before their word sets are compared.
+      are dropped before their word sets are compared: the documents lie in strips by size,
+      and the pairs of two strips are counted inside one task, so they are never shuffled.
     """
     if not 0 < min_similarity <= 1:
         raise ValueError("min_similarity must be in (0, 1]")
-    least = min_similarity * min_similarity
-    # Read four times below, by different columns.
+    # Read several times below, by different columns.
     sets = materialize(
         word_sets(df, key, text).groupBy("signature")
         .agg(F.min(key).alias("doc"), F.count("*").alias("copies"), F.any_value("words").alias("words"))
         .select("doc", "copies", "words", F.size("words").cast("bigint").alias("n")),
         "word-sets",
     )
-    words = explode_column(sets, ["doc", "n"], F.col("words"), "word")
-    frequency = words.groupBy("word").agg(F.count("*").alias("df"))
-    # The window's partitions are single documents.
-    rarest_first = Window.partitionBy("doc").orderBy("df", "word")
-    kept = F.col("n") - F.ceil(F.lit(least) * F.col("n") - _SLACK) + 1
-    prefix = (
-        words.join(frequency, "word")
-        .withColumns({"place": F.row_number().over(rarest_first), "kept": kept})
-        .where("place <= kept")
-        .withColumn("last", F.max(F.struct("df", "word")).over(Window.partitionBy("doc")))
-        .select("doc", "n", "word", (F.col("n") - F.col("kept")).alias("rest"), F.struct("last.df", "last.word").alias("last"))
-    )
-    one, two = (
-        prefix.select("word", *[F.col(c).alias(f"{c}{i}") for c in ("doc", "n", "rest", "last")]) for i in (1, 2)
-    )
-    sized = (F.col("n1") >= F.lit(least) * F.col("n2") - _SLACK) & (F.col("n2") >= F.lit(least) * F.col("n1") - _SLACK)
-    shared = (
-        one.join(two, "word").where((F.col("doc1") < F.col("doc2")) & sized)
-        .groupBy("doc1", "doc2", "n1", "n2", "rest1", "rest2", "last1", "last2").agg(F.count("*").alias("in_prefix"))
-    )
-    # A shared word outside both prefixes lies behind the prefix that ends first.
-    at_most = F.col("in_prefix") + F.when(F.col("last1") <= F.col("last2"), F.col("rest1")).otherwise(F.col("rest2"))
-    needed = F.lit(min_similarity) * F.sqrt((F.col("n1") * F.col("n2")).cast("double")) - _SLACK
-    candidates = shared.where(at_most >= needed).select("doc1", "doc2")
+    held = explode_column(sets, ["doc"], F.col("words"), "word")
+    numbered = held.join(_word_numbers(held), "word").groupBy("doc").agg(F.sort_array(F.collect_list("number")).alias("words"))
+    numbered = materialize(numbered.join(sets.select("doc", "copies", "n"), "doc"), "word-numbers")
+    candidates = _prefix_candidates(numbered, min_similarity)
 
     first, second = (
-        sets.select(F.col("doc").alias(f"doc{i}"), F.col("copies").alias(f"copies{i}"), F.col("words").alias(f"words{i}"))
+        numbered.select(F.col("doc").alias(f"doc{i}"), F.col("copies").alias(f"copies{i}"), F.col("words").alias(f"words{i}"))
         for i in (1, 2)
     )
     overlap = F.size(F.array_intersect("words1", "words2"))
