@@ -73,3 +73,16 @@ def test_empty_frames_and_long_sentences(spark, world):
     assert tagger.tag_entities(long, "id", "t", model).where("mention = 'Abcde'").count() == 3000
     with pytest.raises(ValueError):
         tagger.train_tagger(docs, "k", "t", spark.range(60).selectExpr("'a' AS name", "CAST(id AS string) AS label"))
+
+
+def test_training_sentences_are_drawn_by_hash_without_shuffling_texts(spark, world):
+    docs, gazetteer, _ = world
+    docs = docs.unionByName(docs).repartition(4)
+    rows = tagger.training_sentences(docs, "k", "t", gazetteer, 100)
+    found = rows.collect()
+    names = {r["name"].lower(): r["label"] for r in gazetteer.where("label IS NOT NULL AND name IS NOT NULL").collect()}
+    drawn = sorted((r["h"], r["t"]) for r in docs.where("t != ''").selectExpr("xxhash64(t) AS h", "t").distinct().collect()
+                   if any(n in r["t"].lower() for n in names))[:100]
+    assert sorted((r["draw"], r["sentence"]) for r in found) == drawn
+    assert all({(n["name"], n["label"]) for n in r["names"]} == {(n, v) for n, v in names.items() if n in r["sentence"].lower()} for r in found)
+    assert "hashpartitioning(k#" not in rows._jdf.queryExecution().executedPlan().toString()
