@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,6 +33,30 @@ def test_xml(spark, tmp_path):
     assert {r["title"]: r["links"] and list(r["links"]["l"]) for r in df.collect()} == {"A": [1, 2], "B": None}
 
 
+def test_a_file_per_name_in_a_folder_per_task(spark, tmp_path):
+    from weftgrid.sources.textfiles import write_text_files
+    rows = [(i, f"<b>{i}</b> ä\n") for i in range(40)] + [(40, None), (41, "a"), (41, "b"), ("x/y", "")]
+    df = spark.createDataFrame([(str(k), t) for k, t in rows], "k string, t string").coalesce(2)
+    path = write_text_files(df, F.col("k"), F.col("t"), f"{tmp_path}/pages", ".html")
+    read = {r["file"].rpartition("/")[2]: r["text"] for r in readers.read_texts(spark, f"{path}/*").collect()}
+    expected = {f"{i}.html": f"<b>{i}</b> ä\n\n" for i in range(40)} | {"40.html": "\n", "41.html": "a\nb\n"}
+    assert {k: v for k, v in read.items() if "y" not in k} == expected and len(read) == 43
+    assert all(f.startswith("part-") for f in os.listdir(path)) and len(os.listdir(path)) <= 2
+    with pytest.raises(Exception, match="a file needs a name"):
+        write_text_files(spark.createDataFrame([(None, "a")], "k string, t string"), F.col("k"), F.col("t"), f"{tmp_path}/none")
+    assert not os.path.exists(tmp_path / "none") or not os.listdir(tmp_path / "none")
+
+
+def test_page_files_lie_in_a_folder_per_task(spark, tmp_path):
+    from weftgrid.catalog import texts
+    from weftgrid.session import written_folders
+    spark.range(300).selectExpr("id AS page_id", "concat('<p>', id, '</p>&amp;') AS html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in texts.html_files(spark, str(tmp_path)).collect()}
+    assert found == {i: f"{i}\n" for i in range(300)}
+    folder = [f for f in written_folders(spark) if "/pages-" in f][-1]
+    assert len(os.listdir(folder.removeprefix("file://"))) == 1
+
+
 def test_html_and_text_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>x &lt; y</p>\n<i>z</i>")
     page = readers.load_source(spark, {"format": "html", "source": str(tmp_path / "a.html")}).first()

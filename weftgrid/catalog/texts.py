@@ -11,8 +11,9 @@ from weftgrid.functions.rows import explode_column
 from weftgrid.functions.stemming import stem
 from weftgrid.functions.stopwords import ENGLISH
 from weftgrid.operators import columns, docindex, features, search, text
-from weftgrid.session import materialize, shared_folder, spread
+from weftgrid.session import materialize, packed, shared_folder, spread
 from weftgrid.sources.readers import read_html
+from weftgrid.sources.textfiles import write_text_files
 
 
 def _docs(spark, sf):
@@ -437,6 +438,6 @@ def html_to_text(spark, sf):
 def html_files(spark, sf):
     """Whole HTML files, one per page, read as text."""
     path = shared_folder(spark, "pages")
-    table(spark, sf, "pages").select(F.concat(F.lit("page-"), "page_id").alias("page"), F.col("html").alias("value")).write.partitionBy("page").text(path)
-    pages = read_html(spark, f"{path}/*")
-    return pages.select(F.regexp_extract("file", r"page=page-(\d+)/", 1).cast("bigint").alias("page_id"), "text")
+    write_text_files(table(spark, sf, "pages"), F.concat(F.lit("page-"), "page_id"), F.col("html"), path, ".html")
+    pages = packed(read_html(spark, f"{path}/*"))
+    return pages.select(F.regexp_extract("file", r"/page-(\d+)\.html$", 1).cast("bigint").alias("page_id"), "text")
