@@ -164,6 +164,35 @@ def test_word_vectors_check_the_vocabulary(docs, monkeypatch):
         features.word2vec(text.preprocess(docs, "text"), "text")
 
 
+def test_word_vectors_of_many_words_leave_the_driver(spark, monkeypatch):
+    """Beyond the driver's limit nothing is fitted there; words that keep the same company have near vectors."""
+    import random
+
+    import numpy as np
+    from weftgrid.operators import skipgram
+
+    def fitted_on_the_driver(**_):
+        raise AssertionError("fitted on the driver")
+    monkeypatch.setattr(features, "VOCABULARY_LIMIT", 3)
+    monkeypatch.setattr(features, "Word2Vec", fitted_on_the_driver)
+    monkeypatch.setattr(skipgram, "SHARD_TOKENS", 25_000)
+    rng = random.Random(3)
+    texts = [[rng.choice("abcdefgh" if i % 2 else "stuvwxyz") for _ in range(30)] for i in range(3000)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3000 + i, [w]) for i, w in enumerate("abcdefghstuvwxyz")] + [(4000, []), (4001, None), (4002, ["once"])]
+    df = spark.createDataFrame(rows, "k int, t array<string>").repartition(5)
+    made = features.word2vec(df, "t", size=4, min_count=2)
+    assert made.columns == ["k", "t"] and made.count() == len(rows)
+    found = {r["k"]: np.array(r["t"]) for r in made.collect()}
+    assert all(len(v) == 4 and np.isfinite(v).all() for v in found.values())
+    assert not found[4000].any() and not found[4001].any() and not found[4002].any()
+    words = np.stack([found[3000 + i] for i in range(16)])
+    words = words / np.linalg.norm(words, axis=1)[:, None]
+    near = words @ words.T
+    assert near[:8, :8].min() > near[:8, 8:].max() and near[8:, 8:].min() > near[:8, 8:].max()
+    texts_mean = np.mean([found[3000 + "abcdefghstuvwxyz".index(w)] for w in texts[0]], axis=0)
+    assert np.allclose(found[0], texts_mean)
+
+
 def test_topics(spark, docs):
     columns = features.topic_columns(docs, "text", k=2, iterations=3)
     topics = [c for c in columns.columns if c.startswith("topic__")]

@@ -26,7 +26,7 @@ from weftgrid.sources.names import clean_names
 VOCABULARY_LIMIT = 1 << 18   # most terms of a vocabulary that the driver is asked to hold
 HASH_BUCKETS = 1 << 18
 WIDE_LIMIT = 1000            # most term columns of a wide form
-WORD2VEC_VOCABULARY = 10_000_000  # words whose vectors the driver is asked to hold
+WORD2VEC_VOCABULARY = 1_000_000_000  # most words that get a vector
 LDA_STEPS = 20               # updates of a document's topics at a visit
 WORD2VEC_PARTITIONS = 8      # training tasks, whatever the data and the cluster: the vectors depend on it
 
@@ -202,18 +202,34 @@ def word2vec(df: DataFrame, column: str, size: int = 2, min_count: int = 0, seed
              partitions: int = WORD2VEC_PARTITIONS) -> DataFrame:
     """Replace tokens by the mean of their word vectors.
 
-    The fitted words and vectors live on the driver, so their number is counted
-    first; raise ``min_count`` when a corpus has more than ``WORD2VEC_VOCABULARY``.
-    Training is spread over ``partitions`` tasks; the vectors depend on that number,
-    so it is a fixed default and not taken from the data or the cluster.
+    Up to ``VOCABULARY_LIMIT`` words Spark's model, which lives on the driver, is fitted by ``partitions``
+    tasks; the vectors depend on that number, so it is a fixed default and not taken from the
+    data or the cluster.  Beyond, all words are trained over tables (``skipgram``), by at least so many shards.
     """
     words = vocabulary_counts(df, column).where(F.col("n") >= min_count).count()
     if words > WORD2VEC_VOCABULARY:
         raise ValueError(f"more than {WORD2VEC_VOCABULARY} words occur {min_count} times: raise min_count")
+    if words > VOCABULARY_LIMIT:
+        return _word2vec_tables(df, column, size, min_count, seed, partitions)
     return _in_place(df, column, lambda made: Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, inputCol=column, outputCol=made))[0]
 
 
+def _word2vec_tables(df: DataFrame, column: str, size: int, min_count: int, seed: int, partitions: int) -> DataFrame:
+    """``word2vec`` with any number of words."""
+    from weftgrid.operators import skipgram
+
+    row, held = free_name(df, "_row"), free_name(df, "_vector")
+    # The numbers of the rows must stay as they are.
+    kept = materialize(df.withColumn(row, F.monotonically_increasing_id()), "tokens")
+    words = vocabulary_counts(kept, column).where(F.col("n") >= min_count)
+    means = skipgram.skip_gram_means(kept, row, column, words, size, seed, partitions)
+    made = means.select(F.col("row").alias(row), F.array(*[f"v{i}" for i in range(size)]).alias(held))
+    none = F.array_repeat(F.lit(0.0), size)
+    modelled = kept.join(made, row, "left").withColumn(held, array_to_vector(F.coalesce(held, none)))
+    return modelled.select(*[F.col(held).alias(c) if c == column else F.col(c) for c in df.columns])
+
+
 # --- topics -----------------------------------------------------------------
 
 def lda(df: DataFrame, column: str, k: int = 5, iterations: int = 20, seed: int = 42,
