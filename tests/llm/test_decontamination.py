@@ -68,6 +68,22 @@ def test_spans_are_cut_and_contaminated_documents_go(spark, documents):
     assert got == {0: None, 1: clean, 2: f"{clean} [] {clean}", 4: ""}
 
 
+def test_one_worker_of_a_task_scans_and_cuts(spark, documents):
+    frame = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id int, text string")
+    plan = decontamination.decontaminate(documents(["a b"]), frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_text_is_cut_by_the_spans_of_all_passes(spark, documents, block):
+    items = [" ".join(f"{c}{i}" for i in range(20)) for c in "vw"]
+    frame = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    texts = [None, "", f"a [{items[0]}] b {items[1]}, c", f"a {' '.join(items)} b", "no, hit"]
+    marked = decontamination.mark_contamination(documents(texts), frame, block_bytes=block, cut=True)
+    got = {r["doc_id"]: (r["hits"]["cut"], r["hits"]["items"]) for r in marked.select("doc_id", "hits").collect()}
+    assert got == {0: (None, []), 1: (None, []), 2: ("a [] b , c", ["0", "1"]), 3: ("a  b", ["0", "1"]), 4: (None, [])}
+
+
 def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id int, text string")
     assert decontamination.decontaminate(documents(["a b"]), none).count() == 1

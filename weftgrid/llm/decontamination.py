@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,60 +25,86 @@ HITS = T.StructType([
     T.StructField("ends", T.ArrayType(T.IntegerType())),
     T.StructField("items", T.ArrayType(T.StringType())),
 ])
+#: With the text without the spans; NULL where there are none.
+CUT = T.StructType([*HITS, T.StructField("cut", T.StringType())])
+_ARROW_HITS = pa.struct([("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
 
 
 def tokens(text: str) -> list[bytes]:
     return _WORD.findall(text.encode().lower())
 
 
-def _scanner(spark, items: list[tuple[str, str]], window: int):
-    """Arrow UDF from texts to HITS for items that fit one automaton."""
+def _reader(spark: SparkSession, items: list[tuple[str, str]], window: int) -> Callable[[str | None], dict]:
+    """From a text to a row of HITS, for items that fit one automaton; a task builds it once."""
     shared = spark.sparkContext.broadcast(items)
-    built: list[SuffixAutomaton] = []
+    built: list[tuple[list[str], SuffixAutomaton]] = []
 
-    @F.arrow_udf(HITS)
-    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = [name for name, _ in shared.value]
+    def read(text: str | None) -> dict:
         if not built:
-            built.append(SuffixAutomaton([tokens(text) for _, text in shared.value], window))
-        for texts in batches:
-            rows = []
-            for text in texts:
-                words = tokens(text.as_py() or "")
-                spans, hit = built[0].spans(words)
-                rows.append({"n_words": len(words), "starts": [a for a, _ in spans], "ends": [b for _, b in spans],
-                             "items": sorted({names[i] for i in hit})})
-            yield pa.array(rows, pa.struct([
-                ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32())),
-                ("items", pa.list_(pa.string()))]))
+            built.append(([name for name, _ in shared.value], SuffixAutomaton([tokens(t) for _, t in shared.value], window)))
+        names, automaton = built[0]
+        words = tokens(text or "")
+        spans, hit = automaton.spans(words)
+        return {"n_words": len(words), "starts": [a for a, _ in spans], "ends": [b for _, b in spans],
+                "items": sorted({names[i] for i in hit})}
+
+    return read
+
+
+def _scanner(spark: SparkSession, items: list[tuple[str, str]], window: int):
+    """Arrow UDF from texts to HITS for items that fit one automaton."""
+    read = _reader(spark, items, window)
+
+    @F.arrow_udf(HITS)
+    def scan(texts: pa.Array) -> pa.Array:
+        return pa.array([read(t.as_py()) for t in texts], _ARROW_HITS)
 
     return scan
 
 
+def _cutter(spark: SparkSession, items: list[tuple[str, str]], window: int):
+    """Arrow UDF from texts and HITS of earlier passes to CUT: one worker of a task scans, unites and cuts."""
+    read = _reader(spark, items, window)
+
+    @F.arrow_udf(CUT)
+    def cut(texts: pa.Array, *earlier: pa.Array) -> pa.Array:
+        rows = []
+        for text, *parts in zip((t.as_py() for t in texts), *[e.to_pylist() for e in earlier]):
+            hits = united([*parts, read(text)])
+            rows.append(hits | {"cut": without_spans(text, hits["starts"], hits["ends"]) if hits["starts"] else None})
+        return pa.array(rows, pa.struct([*_ARROW_HITS, ("cut", pa.string())]))
+
+    return cut.asNondeterministic()  # else a filter on the result scans all texts once more
+
+
+def united(parts: list[dict]) -> dict:
+    """Rows of HITS of one text as one: spans united, items united."""
+    if len(parts) == 1:
+        return parts[0]
+    merged: list[list[int]] = []
+    for a, b in sorted(s for p in parts for s in zip(p["starts"], p["ends"])):
+        if merged and a <= merged[-1][1] + 1:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    return {"n_words": parts[0]["n_words"], "starts": [a for a, _ in merged], "ends": [b for _, b in merged],
+            "items": sorted({i for p in parts for i in p["items"]})}
+
+
 def _merge(passes: list[Column]) -> Column:
-    """HITS of several passes as one: spans united, items united."""
+    """HITS of several passes as one."""
     if len(passes) == 1:
         return passes[0]
 
     @F.arrow_udf(HITS)
     def union(*batches: pa.Array) -> pa.Array:
-        rows = []
-        for parts in zip(*[b.to_pylist() for b in batches]):
-            merged: list[list[int]] = []
-            for a, b in sorted(s for p in parts for s in zip(p["starts"], p["ends"])):
-                if merged and a <= merged[-1][1] + 1:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            rows.append({"n_words": parts[0]["n_words"], "starts": [a for a, _ in merged], "ends": [b for _, b in merged],
-                         "items": sorted({i for p in parts for i in p["items"]})})
-        return pa.array(rows, batches[0].type)
+        return pa.array([united(list(parts)) for parts in zip(*[b.to_pylist() for b in batches])], _ARROW_HITS)
 
     return union(*passes)
 
 
 def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text", window: int = 13,
-                       block_bytes: int = BLOCK_BYTES, out: str = "hits") -> DataFrame:
+                       block_bytes: int = BLOCK_BYTES, out: str = "hits", cut: bool = False) -> DataFrame:
     """``docs`` with ``out``: the number of words, the merged spans of words inside an occurrence, and the items hit.
 
     An occurrence is any ``window`` consecutive words of an item, or a whole item of fewer words.  ``items`` has
@@ -86,7 +112,8 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text", wi
     rows count once.  The
     benchmark is cut into blocks of at most ``block_bytes`` of text (one item may exceed it); each block is one
     broadcast automaton and one pass over the documents, so memory is bounded whatever the benchmark's size.  NULL
-    texts have no words; an empty benchmark hits nothing.  A column named ``out`` is replaced.
+    texts have no words; an empty benchmark hits nothing.  A column named ``out`` is replaced.  With ``cut`` it also
+    has the text without the spans (NULL where there are none), made by the worker that scans the text last.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -101,6 +128,8 @@ def mark_contamination(docs: DataFrame, items: DataFrame, text: str = "text", wi
     for block in range(blocks):
         dealt = weighed if blocks == 1 else weighed.where(F.pmod(F.xxhash64("name", "text"), F.lit(blocks)) == block)
         found = [(r["name"], r["text"]) for r in dealt.select("name", "text").collect()]
+        if cut and block == blocks - 1:
+            return frame.withColumn(out, _cutter(spark, found, window)(F.col(text), *map(F.col, passes))).drop(*passes)
         passes.append(unused(frame, f"_pass{block}"))
         frame = frame.withColumn(passes[-1], _scanner(spark, found, window)(F.col(text)))
         if blocks > 1:
@@ -120,22 +149,15 @@ def is_contaminated(hits: Column, least_share: int = 20) -> Column:
     return (n > 0) & (least_share * n >= hits["n_words"])
 
 
-@F.arrow_udf(T.StringType())
-def cut_spans(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
-    """Texts without the words of the spans and what stands between those words."""
-    out = []
-    for text, first, last in zip(texts.to_pylist(), starts.to_pylist(), ends.to_pylist()):
-        if text is None or not first:
-            out.append(text)
-            continue
-        whole = text.encode()
-        places = [m.span() for m in _WORD.finditer(whole.lower())]
-        pieces, at = [], 0
-        for a, b in zip(first, last):
-            pieces.append(whole[at:places[a][0]])
-            at = places[b][1]
-        out.append(b"".join([*pieces, whole[at:]]).decode())
-    return pa.array(out, pa.string())
+def without_spans(text: str, starts: list[int], ends: list[int]) -> str:
+    """A text without the words of the spans and what stands between those words."""
+    whole = text.encode()
+    places = [m.span() for m in _WORD.finditer(whole.lower())]
+    pieces, at = [], 0
+    for a, b in zip(starts, ends):
+        pieces.append(whole[at:places[a][0]])
+        at = places[b][1]
+    return b"".join([*pieces, whole[at:]]).decode()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, least_share: int = 20) -> DataFrame:
@@ -145,9 +167,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 13, least_sha
     ``window`` words or whole short items are cut from the rest (length limit).  NULL texts stay.
     """
     hits = unused(docs, "_hits")
-    marked = mark_contamination(docs, items, window=window, out=hits)
-    cut = F.when(F.size(F.col(hits)["starts"]) > 0, cut_spans("text", F.col(hits)["starts"], F.col(hits)["ends"]))
-    return marked.where(~is_contaminated(F.col(hits), least_share)).withColumn("text", F.coalesce(cut, "text")).drop(hits)
+    marked = mark_contamination(docs, items, window=window, out=hits, cut=True)
+    return marked.where(~is_contaminated(F.col(hits), least_share)).withColumn("text", F.coalesce(F.col(hits)["cut"], "text")).drop(hits)
 
 
 def digest(names: Column) -> Column:
