@@ -123,3 +123,8 @@ def test_own_columns_of_documents_stay(documents, rows):
     assert rows(mix.select(*names).distinct()) == [tuple(range(100, 100 + len(names)))]
     plain = mixing.mix_documents(docs.drop(*names), fill=True, block_words=8)
     assert rows(mix.drop(*names)) == rows(plain)
+
+
+def test_no_python_worker_brings_the_sources(documents):
+    held, _ = mixing.mix_plan(documents(corpus()))
+    assert "ExistingRDD" not in held._jdf.queryExecution().executedPlan().toString()

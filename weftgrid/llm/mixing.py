@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,9 +150,10 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
         for f in fine[:-1]:
             reached += f
             cuts.append(int(reached / float(sum(fine) or 1) * RING))
-        known = F.broadcast(spark.createDataFrame(
-            [(r["source"], i, sizes[i], targets[i]) for i, r in enumerate(found)],
-            f"{known_as} string, source_no int, source_size bigint, target double"))
+        # As an Arrow table: rows of Python objects would start Python workers on the executors, which stay for a while.
+        known = F.broadcast(spark.createDataFrame(pa.table(
+            [pa.array([r["source"] for r in found], pa.string()), pa.array(range(len(found)), pa.int32()),
+             pa.array(sizes, pa.int64()), pa.array(targets, pa.float64())], [known_as, "source_no", "source_size", "target"])))
         ends = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
         point = _point(F.col("slot"))
         by_slot = spark.range(slots).select(
