@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,26 @@ def test_similar_documents_of_many_strips_shuffle_no_shared_words(spark, monkeyp
     assert docindex.similar_documents(frame.limit(0), "k", "t", 0.8).count() == 0
 
 
+def test_strips_that_meet_are_read_and_not_copied(spark, monkeypatch):
+    """Documents are written once as strips: what follows shuffles nothing, however many strips meet."""
+    monkeypatch.setattr(docindex, "STRIP", 4)
+    frame = spark.createDataFrame([(i, f"the w{i % 7} v{i % 3}") for i in range(30)], "k long, t string").repartition(3)
+    for found in (docindex.similar_documents(frame, "k", "t", 0.5), docindex.similarity_tiles(frame, "k", "t", 2, 11)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "Exchange" not in plan
+
+
+def test_copies_are_counted_over_tasks_and_strips(spark, monkeypatch):
+    """Copies in many tasks are one set of its least key; sets without a key are left out; words that hash alike are told apart."""
+    monkeypatch.setattr(docindex, "STRIP", 3)
+    monkeypatch.setattr(docindex, "_word_hashes", lambda words: np.array([ord(w[:1] or " ") % 2 for w in words.to_pylist()], dtype=np.uint64))
+    texts = [f"a b c x{i}" for i in range(6)]
+    rows = [(6 * j + i, texts[i]) for j in range(9) for i in range(6)] + [(None, "a b c x9"), (90, "d e f g"), (91, None)]
+    frame = spark.createDataFrame(rows, "k long, t string").repartition(5)
+    found = sorted(tuple(r) for r in docindex.similar_documents(frame, "k", "t", 0.7).collect())
+    assert found == [(i, j, 9, 9, 0.75) for i in range(6) for j in range(i + 1, 6)]
+
+
 def test_posting_blocks_are_gathered_after_one_shuffle_by_block(spark):
     df = spark.range(50).selectExpr("id AS doc", "concat('hot w', id % 5) AS t")
     index = docindex.inverted_index(df, "doc", "t", unique_key=True)
