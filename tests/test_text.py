@@ -193,6 +193,38 @@ def test_word_vectors_of_many_words_leave_the_driver(spark, monkeypatch):
     assert np.allclose(found[0], texts_mean)
 
 
+def test_word_vectors_of_many_words_make_the_tokens_once(spark, monkeypatch):
+    monkeypatch.setattr(features, "VOCABULARY_LIMIT", 3)
+    made = spark.sparkContext.accumulator(0)
+
+    def tokens(t):
+        made.add(1)
+        return t.split(" ")
+    rows = [(i, f"a{i % 5} b{i % 3} c") for i in range(40)]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(3).withColumn("t", F.udf(tokens, "array<string>")("t"))
+    found = features.word2vec(df, "t", size=3)
+    assert all(len(r["t"]) == 3 for r in found.collect()) and found.count() == 40
+    assert made.value == 40
+
+
+def test_a_training_step_calms_frequent_words():
+    import numpy as np
+    from weftgrid.operators import skipgram
+    rng = np.random.default_rng(5)
+    vectors, outer, met = rng.random((9, 3)) - 0.5, rng.random((9, 3)) - 0.5, np.zeros(9, dtype=np.int64)
+    words, targets = rng.integers(0, 9, 200), rng.integers(0, 9, (200, 4))
+    moves = np.zeros((2, 9, 3))
+    for w, ts in zip(words, targets):
+        for k, t in enumerate(ts):
+            g = -0.1 * (1 / (1 + np.exp(-vectors[w] @ outer[t])) - (k == 0))
+            moves[0, w] += g * outer[t]
+            moves[1, t] += g * vectors[w]
+    calm = [np.minimum(1, skipgram.CALM / np.maximum(np.bincount(x.ravel(), minlength=9), 1))[:, None] for x in (words, targets)]
+    expected = vectors + moves[0] * calm[0], outer + moves[1] * calm[1]
+    skipgram._descend(vectors, outer, words, targets, 0.1, met)
+    assert np.allclose(vectors, expected[0]) and np.allclose(outer, expected[1]) and not met.any()
+
+
 def test_topics(spark, docs):
     columns = features.topic_columns(docs, "text", k=2, iterations=3)
     topics = [c for c in columns.columns if c.startswith("topic__")]

@@ -206,28 +206,30 @@ def word2vec(df: DataFrame, column: str, size: int = 2, min_count: int = 0, seed
     tasks; the vectors depend on that number, so it is a fixed default and not taken from the
     data or the cluster.  Beyond, all words are trained over tables (``skipgram``), by at least so many shards.
     """
-    words = vocabulary_counts(df, column).where(F.col("n") >= min_count).count()
+    row = free_name(df, "_row")
+    # The tokens are made once for counting and training; the numbers of the rows must stay as they are.
+    kept = materialize(df.withColumn(row, F.monotonically_increasing_id()), "tokens")
+    counts = materialize(vocabulary_counts(kept, column).where(F.col("n") >= min_count), "words")
+    words = counts.count()
     if words > WORD2VEC_VOCABULARY:
         raise ValueError(f"more than {WORD2VEC_VOCABULARY} words occur {min_count} times: raise min_count")
     if words > VOCABULARY_LIMIT:
-        return _word2vec_tables(df, column, size, min_count, seed, partitions)
+        return _word2vec_tables(kept, row, column, counts, size, seed, partitions).select(*df.columns)
     return _in_place(df, column, lambda made: Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions, inputCol=column, outputCol=made))[0]
 
 
-def _word2vec_tables(df: DataFrame, column: str, size: int, min_count: int, seed: int, partitions: int) -> DataFrame:
-    """``word2vec`` with any number of words."""
+def _word2vec_tables(kept: DataFrame, row: str, column: str, words: DataFrame, size: int, seed: int, partitions: int) -> DataFrame:
+    """``word2vec`` with any number of ``words``; ``row`` numbers the rows."""
     from weftgrid.operators import skipgram
 
-    row, held = free_name(df, "_row"), free_name(df, "_vector")
-    # The numbers of the rows must stay as they are.
-    kept = materialize(df.withColumn(row, F.monotonically_increasing_id()), "tokens")
-    words = vocabulary_counts(kept, column).where(F.col("n") >= min_count)
-    means = skipgram.skip_gram_means(kept, row, column, words, size, seed, partitions)
+    held = free_name(kept, "_vector")
+    # Read again by whoever asks for the size of the vectors.
+    means = materialize(skipgram.skip_gram_means(kept, row, column, words, size, seed, partitions), "row-vectors")
     made = means.select(F.col("row").alias(row), F.array(*[f"v{i}" for i in range(size)]).alias(held))
     none = F.array_repeat(F.lit(0.0), size)
     modelled = kept.join(made, row, "left").withColumn(held, array_to_vector(F.coalesce(held, none)))
-    return modelled.select(*[F.col(held).alias(c) if c == column else F.col(c) for c in df.columns])
+    return modelled.select(*[F.col(held).alias(c) if c == column else F.col(c) for c in kept.columns])
 
 
 # --- topics -----------------------------------------------------------------
