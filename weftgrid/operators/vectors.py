@@ -1,23 +1,25 @@
 """Word vectors without a vocabulary on the driver: association of words, then a randomised factorisation.
 
-The matrix of positive pointwise mutual information stays a table ``(term, context, weight)``; it
+The matrix of positive pointwise mutual information lies in blocks of bounded size, written once; it
 is multiplied with thin tables of one row per word.  The driver only sees matrices of
 dimension times dimension (Halko, Martinsson and Tropp, 2011).
 """
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgrid.functions.rows import explode_column
-from weftgrid.session import materialize
+from weftgrid.session import delete_written, materialize, written_folders
 
 # The functions of this module travel with the query; executors need not have the library.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,6 +28,7 @@ WINDOW = 5        # words to each side that count as context
 MIN_COUNT = 5     # least number of contexts of a word
 EXTRA = 8         # dimensions carried beyond those asked for
 ROUNDS = 3        # power iterations
+BLOCK_CELLS = 1 << 21  # cells of a block of the matrix, about
 _TINY = 1e-10     # directions with a smaller share of the greatest one are nothing but rounding
 
 
@@ -66,6 +69,11 @@ def word_associations(df: DataFrame, column: str, window: int = WINDOW, min_coun
     in the row, before any pair is made.  A frequent word has one row per context, and only the pairs, shuffled in
     one direction, can be skewed in the joins.
     """
+    return _both_ways(_half_associations(df, column, window, min_count)[0].select("a", "b", "n", "weight"))
+
+
+def _half_associations(df: DataFrame, column: str, window: int, min_count: int) -> tuple[DataFrame, int]:
+    """``(a, b, n, c1, c2, weight)``, the lesser word first, with the contexts of either word; and how many pairs there are with any weight."""
     own = F.transform(F.col(column), lambda w, i: F.struct(
         w.alias("term"), (F.least(i, F.lit(window)) + F.least(F.size(column) - 1 - i, F.lit(window))).cast("long").alias("c")))
     contexts = explode_column(df, [], own, "w").groupBy("w.term").agg(F.sum("w.c").alias("c"))
@@ -75,18 +83,53 @@ def word_associations(df: DataFrame, column: str, window: int = WINDOW, min_coun
     sums = materialize(_both_ways(half).groupBy("term").agg(F.sum("n").cast("double").alias("c")), "word-sums")
     total = sums.agg(F.sum("c")).scalar()
     met = half.join(sums.toDF("a", "c1"), "a").join(sums.toDF("b", "c2"), "b")
-    weighted = met.withColumn("weight", F.ln(F.col("n") * total / (F.col("c1") * F.col("c2")))).where("weight > 0")
-    return _both_ways(weighted.select("a", "b", "n", "weight"))
+    return met.withColumn("weight", F.ln(F.col("n") * total / (F.col("c1") * F.col("c2")))).where("weight > 0"), half.count()
 
 
 def _names(width: int) -> list[str]:
     return [f"y{i}" for i in range(width)]
 
 
-def _times(cells: DataFrame, thin: DataFrame, width: int) -> DataFrame:
-    """The association matrix times a thin table."""
-    met = cells.join(thin.withColumnRenamed("term", "context"), "context")
-    return met.groupBy("term").agg(*[F.sum(F.col("weight") * F.col(y)).alias(y) for y in _names(width)])
+def _blocks(half: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
+    """``(block, left, right, weight)``, one row per block with its cells as numbers, and ``(block, place, term)`` of the words they number.
+
+    A cell lies in the block of its rarer word, so that the many rare words are each in few blocks and only frequent ones in most.
+    """
+    rare = F.when(F.col("c1") <= F.col("c2"), F.col("a")).otherwise(F.col("b"))
+    dealt = half.select(F.pmod(F.xxhash64(rare), F.lit(number)).cast("int").alias("block"), "a", "b", "weight")
+
+    def pack(cells: pa.Table) -> pa.Table:
+        words = pa.chunked_array([*cells.column("a").chunks, *cells.column("b").chunks]).combine_chunks().dictionary_encode()
+        codes = words.indices.to_numpy().astype(np.int32)
+        weight = cells.column("weight").to_numpy()
+        return pa.table({
+            "block": pa.array([cells.column("block")[0].as_py()], pa.int32()), "terms": pa.array([words.dictionary.to_pylist()], pa.list_(pa.string())),
+            **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("left", codes[:len(weight)]), ("right", codes[len(weight):]), ("weight", weight))}})
+
+    packed = materialize(dealt.groupBy("block").applyInArrow(
+        pack, "block int, terms array<string>, left binary, right binary, weight binary"), "association-blocks")
+    words = explode_column(packed, ["block"], F.col("terms"), "term", "place")
+    return packed.drop("terms"), materialize(words.select("block", "place", "term"), "block-words")
+
+
+def _times(blocks: DataFrame, held: DataFrame, width: int) -> DataFrame:
+    """The association matrix times a thin table, given by block and place: each block is multiplied in one task, its sums are added by word."""
+    names = _names(width)
+
+    def multiply(thin: pa.Table, cells: pa.Table) -> pa.Table:
+        place = thin.column("place").to_numpy()
+        left, right, weight = (np.frombuffer(cells.column(c)[0].as_buffer(), kind) for c, kind in (("left", np.int32), ("right", np.int32), ("weight", np.float64)))
+        turned = np.where(left == right, 0.0, weight)  # a word beside itself is one cell
+        out, x = {}, np.empty(len(place))
+        for name in names:
+            x[place] = thin.column(name).to_numpy()
+            y = np.bincount(left, weight * x[right], len(x)) + np.bincount(right, turned * x[left], len(x))
+            out[name] = y[place]
+        return pa.table({"term": thin.column("term"), **out})
+
+    kinds = ", ".join(["term string", *[f"{y} double" for y in names]])
+    met = held.select("block", "place", "term", *names).groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(multiply, kinds)
+    return met.groupBy("term").agg(*[F.sum(y).alias(y) for y in names])
 
 
 def _inner(left: list[str], right: list[str], thin: DataFrame) -> np.ndarray:
@@ -122,7 +165,7 @@ def _orthogonal(thin: DataFrame, width: int) -> tuple[DataFrame, int]:
     values, vectors = np.linalg.eigh(_inner(names, names, thin))
     real = values > _TINY * max(values.max(), 0)
     by = vectors[:, real] / np.sqrt(values[real])
-    return materialize(_turned(thin, by), "thin"), by.shape[1]
+    return _turned(thin, by), by.shape[1]
 
 
 def word_vectors(df: DataFrame, column: str, size: int = 16, window: int = WINDOW, min_count: int = MIN_COUNT,
@@ -133,17 +176,20 @@ def word_vectors(df: DataFrame, column: str, size: int = 16, window: int = WINDO
     depend on the partitioning.  A corpus without associations has no vectors; where there
     are fewer positive directions than ``size``, zeros follow.
     """
-    cells = materialize(word_associations(df, column, window, min_count), "associations")
+    half, pairs = _half_associations(df, column, window, min_count)
+    blocks, words = _blocks(half, max(1, math.ceil(pairs / BLOCK_CELLS)))
     width = size + EXTRA
-    signs = [F.when(F.xxhash64("context", F.lit(seed + i)) % 2 == 0, F.col("weight")).otherwise(-F.col("weight")) for i in range(width)]
-    thin = materialize(cells.groupBy("term").agg(*[F.sum(s).alias(y) for s, y in zip(signs, _names(width))]), "thin")
+    signs = [F.when(F.xxhash64("term", F.lit(seed + i)) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) for i in range(width)]
+    thin = materialize(_times(blocks, words.withColumns(dict(zip(_names(width), signs))), width), "thin")
     if thin.isEmpty():
         return thin.select("term", F.array().cast("array<double>").alias("vector"))
     for _ in range(rounds):
-        thin, width = _orthogonal(thin, width)
-        thin = materialize(_times(cells, thin, width), "thin")
+        last = written_folders(df.sparkSession)[-1]
+        basis, width = _orthogonal(thin, width)
+        thin = materialize(_times(blocks, words.join(basis, "term"), width), "thin")
+        delete_written(df.sparkSession, [last])  # the table that this one was made from is not read again
     basis, width = _orthogonal(thin, width)
-    image = _times(cells, basis, width).toDF("term", *[f"z{i}" for i in range(width)])
+    image = _times(blocks, words.join(basis, "term"), width).toDF("term", *[f"z{i}" for i in range(width)])
     core = _inner(_names(width), [f"z{i}" for i in range(width)], basis.join(image, "term"))
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     best = [i for i in np.argsort(-values)[:size] if values[i] > _TINY * abs(values).max()]
