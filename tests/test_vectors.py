@@ -64,6 +64,23 @@ def test_vectors_equal_dense_factorisation(spark):
     assert min(near("a", x) for x in "bcdefgh") > max(near("a", x) for x in "stuvwxyz")
 
 
+def test_vectors_of_many_blocks(spark, monkeypatch):
+    """The matrix in many blocks of pairs counted in many pieces gives the same vectors; of the thin tables only the last one stays."""
+    from weftgrid.session import written_folders
+    docs = [*texts(), ["a", None, "b"], None, [], ["rare"]]
+    df = spark.createDataFrame([(d,) for d in docs], "t array<string>").repartition(4)
+    whole = {r["term"]: r["vector"] for r in vectors.word_vectors(df, "t", 4, 3, 10).collect()}
+    monkeypatch.setattr(vectors, "BLOCK_CELLS", 200)
+    monkeypatch.setattr(vectors, "CHUNK", 50)
+    before = len(written_folders(spark))
+    cut = vectors.word_vectors(df, "t", 4, 3, 10)
+    made = written_folders(spark)[before:]
+    assert len([f for f in made if "/thin-" in f]) == 1 and not [f for f in made if "/associations-" in f]
+    assert spark.read.parquet(*[f for f in made if "/pair-blocks-" in f]).count() > 5
+    cut = {r["term"]: r["vector"] for r in cut.collect()}
+    assert cut.keys() == whole.keys() and all(np.allclose(cut[w], whole[w], atol=1e-8) for w in whole)
+
+
 def test_nothing_to_learn_from(spark):
     assert vectors.word_vectors(frame(spark, []), "t").count() == 0
     assert vectors.word_vectors(frame(spark, [["one"], ["two"]]), "t").count() == 0

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgrid.functions.rows import explode_column
+from weftgrid.operators.ranking import global_rank
 from weftgrid.session import delete_written, materialize, written_folders
 
 # The functions of this module travel with the query; executors need not have the library.
@@ -29,6 +30,7 @@ MIN_COUNT = 5     # least number of contexts of a word
 EXTRA = 8         # dimensions carried beyond those asked for
 ROUNDS = 3        # power iterations
 BLOCK_CELLS = 1 << 21  # cells of a block of the matrix, about
+CHUNK = 1 << 20   # tokens whose pairs are counted at once
 _TINY = 1e-10     # directions with a smaller share of the greatest one are nothing but rounding
 
 
@@ -62,6 +64,13 @@ def word_pairs(df: DataFrame, column: str, window: int = WINDOW) -> DataFrame:
     return _both_ways(_half_pairs(df, column, window))
 
 
+def _contexts(df: DataFrame, column: str, window: int) -> DataFrame:
+    """``(term, c)``: how many tokens stand at most ``window`` apart from one of the word, by the places of its tokens."""
+    own = F.transform(F.col(column), lambda w, i: F.struct(
+        w.alias("term"), (F.least(i, F.lit(window)) + F.least(F.size(column) - 1 - i, F.lit(window))).cast("long").alias("c")))
+    return explode_column(df, [], own, "w").groupBy("w.term").agg(F.sum("w.c").alias("c"))
+
+
 def word_associations(df: DataFrame, column: str, window: int = WINDOW, min_count: int = MIN_COUNT) -> DataFrame:
     """``(term, context, n, weight)`` with a positive weight: the log of how much more often than by chance.
 
@@ -69,67 +78,120 @@ def word_associations(df: DataFrame, column: str, window: int = WINDOW, min_coun
     in the row, before any pair is made.  A frequent word has one row per context, and only the pairs, shuffled in
     one direction, can be skewed in the joins.
     """
-    return _both_ways(_half_associations(df, column, window, min_count)[0].select("a", "b", "n", "weight"))
-
-
-def _half_associations(df: DataFrame, column: str, window: int, min_count: int) -> tuple[DataFrame, int]:
-    """``(a, b, n, c1, c2, weight)``, the lesser word first, with the contexts of either word; and how many pairs there are with any weight."""
-    own = F.transform(F.col(column), lambda w, i: F.struct(
-        w.alias("term"), (F.least(i, F.lit(window)) + F.least(F.size(column) - 1 - i, F.lit(window))).cast("long").alias("c")))
-    contexts = explode_column(df, [], own, "w").groupBy("w.term").agg(F.sum("w.c").alias("c"))
+    contexts = _contexts(df, column, window)
     kept = materialize(contexts.where(F.col("c") >= min_count).select("term"), "words-kept")
     half = _half_pairs(df, column, window).join(kept.toDF("a"), "a").join(kept.toDF("b"), "b")
     half = materialize(half.select("a", "b", "n"), "word-pairs")
     sums = materialize(_both_ways(half).groupBy("term").agg(F.sum("n").cast("double").alias("c")), "word-sums")
     total = sums.agg(F.sum("c")).scalar()
     met = half.join(sums.toDF("a", "c1"), "a").join(sums.toDF("b", "c2"), "b")
-    return met.withColumn("weight", F.ln(F.col("n") * total / (F.col("c1") * F.col("c2")))).where("weight > 0"), half.count()
+    weighted = met.withColumn("weight", F.ln(F.col("n") * total / (F.col("c1") * F.col("c2")))).where("weight > 0")
+    return _both_ways(weighted.select("a", "b", "n", "weight"))
 
 
 def _names(width: int) -> list[str]:
     return [f"y{i}" for i in range(width)]
 
 
-def _blocks(half: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
-    """``(block, left, right, weight)``, one row per block with its cells as numbers, and ``(block, place, term)`` of the words they number.
+def _numbered(df: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """``(row, pos, id)`` of every token, the rows in one piece; ``id`` is -1 for a token that ``words`` does not have."""
+    tokens = explode_column(
+        df.withColumn("_row", F.monotonically_increasing_id()), ["_row"], F.transform(F.col(column), lambda w: F.struct(w.alias("term"))), "w", "pos")
+    met = tokens.select(F.col("_row").alias("row"), "pos", "w.term").join(words.select("term", "id"), "term", "left")
+    return met.select("row", "pos", F.coalesce("id", F.lit(-1)).alias("id")).repartition("row").sortWithinPartitions("row", "pos")
 
-    A cell lies in the block of its rarer word, so that the many rare words are each in few blocks and only frequent ones in most.
-    """
-    rare = F.when(F.col("c1") <= F.col("c2"), F.col("a")).otherwise(F.col("b"))
-    dealt = half.select(F.pmod(F.xxhash64(rare), F.lit(number)).cast("int").alias("block"), "a", "b", "weight")
 
-    def pack(cells: pa.Table) -> pa.Table:
-        words = pa.chunked_array([*cells.column("a").chunks, *cells.column("b").chunks]).combine_chunks().dictionary_encode()
-        codes = words.indices.to_numpy().astype(np.int32)
-        weight = cells.column("weight").to_numpy()
+def _pair_blocks(tokens: DataFrame, window: int, number: int) -> DataFrame:
+    """``(block, ids, c, left, right, n)``, one row per block: how often its pairs of words stand at most ``window`` apart, as for
+    ``word_pairs`` but once for both directions; the words of a block are its places in ``ids``, ``c`` are their contexts in it.
+
+    A pair lies in the block of its rarer word, the one of the greater id, so that the many rare words are each in few
+    blocks and only frequent ones in most.  Pairs are counted over many rows before the shuffle.
+    """
+    chunk = CHUNK
+
+    def counted(row: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+        found = []
+        for step in range(1, min(window, len(row) - 1) + 1):
+            a, b = word[:-step], word[step:]
+            met = (row[:-step] == row[step:]) & (a >= 0) & (b >= 0)
+            a, b = a[met], b[met]
+            found.append((np.maximum(a, b) << 32) | np.minimum(a, b))
+        pairs, n = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *found]), return_counts=True)
+        n[pairs >> 32 == pairs & 0xFFFFFFFF] *= 2
+        block = ((pairs >> 32) * 2654435761 & 0xFFFFFFFF) * number >> 32
+        order = np.argsort(block.astype(np.uint16) if number <= 1 << 16 else block, kind="stable")
+        found, starts = np.unique(block[order], return_index=True)
+        # Whole runs of pairs are a row each: they cost far less than rows of their own.
+        parts = [order[i:j] for i, j in zip(starts, [*starts[1:], len(order)])]
+        return pa.RecordBatch.from_arrays([
+            pa.array(found.astype(np.int32)), pa.array([pairs[x].tobytes() for x in parts], pa.binary()),
+            pa.array([n[x].astype(np.int32).tobytes() for x in parts], pa.binary())], ["block", "pairs", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, words, held = [], [], 0
+        for batch in batches:
+            rows.append(batch.column("row").to_numpy())
+            words.append(batch.column("id").to_numpy().astype(np.int64))
+            held += len(rows[-1])
+            if held >= chunk:
+                row, word = np.concatenate(rows), np.concatenate(words)
+                cut = int(np.searchsorted(row, row[-1]))  # the last row may go on in the next batch
+                if cut:
+                    yield counted(row[:cut], word[:cut])
+                rows, words, held = [row[cut:]], [word[cut:]], len(row) - cut
+        if held:
+            yield counted(np.concatenate(rows), np.concatenate(words))
+
+    def pack(pairs: pa.Table) -> pa.Table:
+        held, times = (np.concatenate([np.frombuffer(x, kind) for x in pairs.column(c).to_pylist()]) for c, kind in (("pairs", np.int64), ("n", np.int32)))
+        order = np.argsort(held, kind="stable")  # merges the sorted runs
+        held = held[order]
+        starts = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+        keys, n = held[starts], np.add.reduceat(times[order].astype(np.float64), starts)  # whole numbers, exact up to 2^53
+        high, low = keys >> 32, keys & 0xFFFFFFFF
+        ids = np.unique(np.concatenate([high, low]))
+        left, right = (np.searchsorted(ids, x).astype(np.int32) for x in (high, low))
+        contexts = np.bincount(left, n, len(ids)) + np.bincount(right, np.where(left == right, 0, n), len(ids))
         return pa.table({
-            "block": pa.array([cells.column("block")[0].as_py()], pa.int32()), "terms": pa.array([words.dictionary.to_pylist()], pa.list_(pa.string())),
-            **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("left", codes[:len(weight)]), ("right", codes[len(weight):]), ("weight", weight))}})
+            "block": pa.array([pairs.column("block")[0].as_py()], pa.int32()), "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32())),
+            "c": pa.array([contexts], pa.list_(pa.float64())),
+            **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("left", left), ("right", right), ("n", n))}})
 
-    packed = materialize(dealt.groupBy("block").applyInArrow(
-        pack, "block int, terms array<string>, left binary, right binary, weight binary"), "association-blocks")
-    words = explode_column(packed, ["block"], F.col("terms"), "term", "place")
-    return packed.drop("terms"), materialize(words.select("block", "place", "term"), "block-words")
+    pairs = tokens.mapInArrow(count, "block int, pairs binary, n binary")
+    return materialize(pairs.groupBy("block").applyInArrow(
+        pack, "block int, ids array<int>, c array<double>, left binary, right binary, n binary"), "pair-blocks")
 
 
-def _times(blocks: DataFrame, held: DataFrame, width: int) -> DataFrame:
-    """The association matrix times a thin table, given by block and place: each block is multiplied in one task, its sums are added by word."""
+def _times(blocks: DataFrame, held: DataFrame, width: int, total: float) -> DataFrame:
+    """The association matrix times a thin table, given by block and place: each block is multiplied in one task, its sums are added by word.
+
+    Words without an association have no row.
+    """
     names = _names(width)
 
     def multiply(thin: pa.Table, cells: pa.Table) -> pa.Table:
         place = thin.column("place").to_numpy()
-        left, right, weight = (np.frombuffer(cells.column(c)[0].as_buffer(), kind) for c, kind in (("left", np.int32), ("right", np.int32), ("weight", np.float64)))
+        left, right, n = (np.frombuffer(cells.column(c)[0].as_buffer(), kind) for c, kind in (("left", np.int32), ("right", np.int32), ("n", np.float64)))
+        x = np.full(max(left.max(), right.max()) + 1, np.inf)  # words that are not held have no association
+        x[place] = thin.column("c").to_numpy()
+        ratio = n * total / (x[left] * x[right])
+        left, right, weight = left[ratio > 1], right[ratio > 1], np.log(ratio[ratio > 1])
         turned = np.where(left == right, 0.0, weight)  # a word beside itself is one cell
-        out, x = {}, np.empty(len(place))
+        met = np.zeros(len(x), dtype=bool)
+        met[left] = met[right] = True
+        met, out = met[place], {}
         for name in names:
+            x[:] = 0
             x[place] = thin.column(name).to_numpy()
             y = np.bincount(left, weight * x[right], len(x)) + np.bincount(right, turned * x[left], len(x))
-            out[name] = y[place]
-        return pa.table({"term": thin.column("term"), **out})
+            out[name] = y[place][met]
+        return pa.table({"id": thin.column("id").filter(pa.array(met)), **out})
 
-    kinds = ", ".join(["term string", *[f"{y} double" for y in names]])
-    met = held.select("block", "place", "term", *names).groupBy("block").cogroup(blocks.groupBy("block")).applyInArrow(multiply, kinds)
-    return met.groupBy("term").agg(*[F.sum(y).alias(y) for y in names])
+    kinds = ", ".join(["id int", *[f"{y} double" for y in names]])
+    cells, met = blocks.select("block", "left", "right", "n"), held.select("block", "place", "id", "c", *names)
+    sums = met.groupBy("block").cogroup(cells.groupBy("block")).applyInArrow(multiply, kinds)
+    return sums.groupBy("id").agg(*[F.sum(y).alias(y) for y in names])
 
 
 def _inner(left: list[str], right: list[str], thin: DataFrame) -> np.ndarray:
@@ -153,10 +215,10 @@ def _turned(thin: DataFrame, by: np.ndarray) -> DataFrame:
     def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = pd.DataFrame(batch[names].to_numpy() @ by, columns=made)
-            out.insert(0, "term", batch["term"].to_numpy())
+            out.insert(0, "id", batch["id"].to_numpy())
             yield out
 
-    return thin.mapInPandas(turn, ", ".join(["term string", *[f"{y} double" for y in made]]))
+    return thin.mapInPandas(turn, ", ".join(["id int", *[f"{y} double" for y in made]]))
 
 
 def _orthogonal(thin: DataFrame, width: int) -> tuple[DataFrame, int]:
@@ -176,24 +238,33 @@ def word_vectors(df: DataFrame, column: str, size: int = 16, window: int = WINDO
     depend on the partitioning.  A corpus without associations has no vectors; where there
     are fewer positive directions than ``size``, zeros follow.
     """
-    half, pairs = _half_associations(df, column, window, min_count)
-    blocks, words = _blocks(half, max(1, math.ceil(pairs / BLOCK_CELLS)))
+    contexts = materialize(_contexts(df, column, window).where((F.col("c") >= min_count) & F.col("term").isNotNull()), "words-kept")
+    ranked = global_rank(contexts, [F.desc("c"), F.asc("term")], "rank")
+    names = materialize(ranked.select("term", (F.col("rank") - 1).cast("int").alias("id")), "word-numbers")
+    # Every pair is counted with either word, and some half of them are repeats.
+    pairs = (contexts.agg(F.sum("c")).first()[0] or 0) / 2
+    blocks = _pair_blocks(_numbered(df, column, names), window, max(1, math.ceil(pairs / (2 * BLOCK_CELLS))))
+    words = explode_column(blocks, ["block"], F.arrays_zip("ids", "c"), "w", "place").select("block", "place", "w.ids", "w.c").toDF("block", "place", "id", "part")
+    sums = materialize(words.groupBy("id").agg(F.sum("part").alias("c")), "word-sums")
+    total = sums.agg(F.sum("c")).first()[0] or 0.0
+    words = materialize(words.drop("part").join(sums, "id"), "block-words")
+
     width = size + EXTRA
-    signs = [F.when(F.xxhash64("term", F.lit(seed + i)) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)) for i in range(width)]
-    thin = materialize(_times(blocks, words.withColumns(dict(zip(_names(width), signs))), width), "thin")
+    signs = [F.when(F.xxhash64("term", F.lit(seed + i)) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias(y) for i, y in enumerate(_names(width))]
+    thin = materialize(_times(blocks, words.join(names.select("id", *signs), "id"), width, total), "thin")
     if thin.isEmpty():
-        return thin.select("term", F.array().cast("array<double>").alias("vector"))
+        return names.limit(0).select("term", F.array().cast("array<double>").alias("vector"))
     for _ in range(rounds):
         last = written_folders(df.sparkSession)[-1]
         basis, width = _orthogonal(thin, width)
-        thin = materialize(_times(blocks, words.join(basis, "term"), width), "thin")
+        thin = materialize(_times(blocks, words.join(basis, "id"), width, total), "thin")
         delete_written(df.sparkSession, [last])  # the table that this one was made from is not read again
     basis, width = _orthogonal(thin, width)
-    image = _times(blocks, words.join(basis, "term"), width).toDF("term", *[f"z{i}" for i in range(width)])
-    core = _inner(_names(width), [f"z{i}" for i in range(width)], basis.join(image, "term"))
+    image = _times(blocks, words.join(basis, "id"), width, total).toDF("id", *[f"z{i}" for i in range(width)])
+    core = _inner(_names(width), [f"z{i}" for i in range(width)], basis.join(image, "id"))
     values, vectors = np.linalg.eigh((core + core.T) / 2)
     best = [i for i in np.argsort(-values)[:size] if values[i] > _TINY * abs(values).max()]
     vectors = vectors[:, best] * np.sign(vectors[np.abs(vectors[:, best]).argmax(axis=0), best])
     made = _turned(basis, vectors * np.sqrt(values[best]))
     rest = [F.lit(0.0)] * (size - len(best))
-    return made.select("term", F.array(*[F.col(f"y{i}") for i in range(len(best))], *rest).alias("vector"))
+    return made.join(names, "id").select("term", F.array(*[F.col(f"y{i}") for i in range(len(best))], *rest).alias("vector"))
