@@ -168,9 +168,18 @@ def test_strips_that_meet_are_read_and_not_copied(spark, monkeypatch):
     """Documents are written once as strips: what follows shuffles nothing, however many strips meet."""
     monkeypatch.setattr(docindex, "STRIP", 4)
     frame = spark.createDataFrame([(i, f"the w{i % 7} v{i % 3}") for i in range(30)], "k long, t string").repartition(3)
-    for found in (docindex.similar_documents(frame, "k", "t", 0.5), docindex.similarity_tiles(frame, "k", "t", 2, 11)):
-        plan = found._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" in plan and "Exchange" not in plan
+    plans = []
+    count = docindex._count_strips
+
+    def planned(met, *rest):
+        plans.append(met._jdf.queryExecution().executedPlan().toString())
+        return count(met, *rest)
+    monkeypatch.setattr(docindex, "_count_strips", planned)
+    assert docindex.similar_documents(frame, "k", "t", 0.5).count() > 0 and len(plans) > 0
+    assert docindex.similarity_tiles(frame, "k", "t", 2, 11).count() == 15 * 15
+    for plan in plans:
+        assert "Exchange" not in plan.replace("BroadcastExchange", "")
+    assert not any("CartesianProduct" in plan for plan in plans[:-1])
 
 
 def test_copies_are_counted_over_tasks_and_strips(spark, monkeypatch):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -30,7 +31,7 @@ WORD_EDGE = r"(?<=^| )[\s&&[^ ]]+|[\s&&[^ ]]+(?= |\z)"
 TILE = 256            # documents on a side of a matrix tile
 TILE_WORDS = 500_000  # half the words of a strip of documents, about
 STRIP = 4096          # documents on a side of the blocks that tasks count
-_TOGETHER = 8         # strips that a task reads of either side, about
+_TOGETHER = 8         # strips that a task reads of either side, about, or that are broadcast at once
 _COLUMNS = 1024       # words multiplied as dense columns at once
 _PAIRS = 1 << 22      # pairs of documents that share rarer words, counted at once
 _DENSE = 400          # a word is a dense column when one pair of its documents in so many cells has it
@@ -208,19 +209,33 @@ def _strip_row(strip: int, last: int, rows: np.ndarray, words: np.ndarray, heads
                      "entries": pa.array([_packed(entries)], pa.binary()), "heads": pa.array([_packed(heads)], pa.binary())})
 
 
-def _count_strips(strips: DataFrame, number: int, result: Callable[[int, int, pa.Table, pa.Table, np.ndarray], Iterator[pa.RecordBatch]],
-                  schema: str) -> DataFrame:
-    """``result(lo, hi, heads, heads, counts)`` of every two strips of documents that meet: shared words by row of both.
-
-    ``strips`` (``number`` of ``_strip_row``) has to be written out; a strip meets itself and those behind it up to ``last``.  Each task reads
-    its strips where they were written, so nothing is copied once per pair of strips, neither shuffled nor to disk; it
-    holds the counts of two strips at a time.
-    """
+def _every_two(strips: DataFrame, number: int) -> DataFrame:
+    """Every two strips that meet, read by each task where they were written."""
     cores = strips.sparkSession.sparkContext.defaultParallelism
     strips = strips.coalesce(max(-(-number // _TOGETHER), math.ceil(2 * math.sqrt(cores))))
     others = strips.select(*[F.col(c).alias(f"{c}2") for c in strips.columns])
     met = strips.hint("shuffle_replicate_nl").join(others, F.expr("strip <= strip2 AND strip2 <= last"))
+    return met.drop("last", "last2")
+
+
+def _some_at_a_time(strips: DataFrame, number: int) -> Iterator[DataFrame]:
+    """The same in parts, for results that can be written: ``_TOGETHER`` strips are broadcast to those that meet them."""
+    for low in range(0, number, _TOGETHER):
+        high = low + _TOGETHER - 1
+        some = strips.where(F.col("strip").between(low, high)).select(*[F.col(c).alias(f"{c}2") for c in strips.columns if c != "last"])
+        others = strips.where((F.col("strip") <= high) & (F.col("last") >= low))
+        reach = F.sequence(F.greatest("strip", F.lit(low)), F.least("last", F.lit(high)))
+        met = explode_column(others, ["strip", "entries", "heads"], reach, "other")
+        yield met.join(F.broadcast(some), F.col("other") == F.col("strip2")).drop("other")
 
+
+def _count_strips(met: DataFrame, result: Callable[[int, int, pa.Table, pa.Table, np.ndarray], Iterator[pa.RecordBatch]],
+                  schema: str) -> DataFrame:
+    """``result(lo, hi, heads, heads, counts)`` of every two strips of documents that meet: shared words by row of both.
+
+    Strips (``_strip_row``) have to be written out; one meets itself and those behind it up to ``last``.  Nothing is copied once
+    per pair of strips, neither shuffled nor to disk; a task holds the counts of two strips at a time.
+    """
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, known = np.zeros(0, dtype=np.int32), {}
 
@@ -241,7 +256,7 @@ def _count_strips(strips: DataFrame, number: int, result: Callable[[int, int, pa
                 _count_shared(runs1, runs2, counts)
                 yield from result(lo, hi, left, right, counts)
 
-    return met.drop("last", "last2").mapInArrow(count, schema)
+    return met.mapInArrow(count, schema)
 
 
 def _word_hashes(words: pa.Array) -> np.ndarray:
@@ -393,7 +408,10 @@ def _similar_pairs(sets: DataFrame, min_similarity: float) -> DataFrame:
         columns = [sides[i].column(c) for c in ("doc", "copies", "n") for i in (0, 1)]
         yield from pa.table([*columns, pa.array(overlap)], ["a", "b", "copies_a", "copies_b", "n_a", "n_b", "overlap"]).to_batches()
 
-    return _count_strips(strips, max([last for *_, last in dealing], default=0) + 1, similar, f"a {kind}, b {kind}, copies_a bigint, copies_b bigint, n_a bigint, n_b bigint, overlap bigint")
+    schema = f"a {kind}, b {kind}, copies_a bigint, copies_b bigint, n_a bigint, n_b bigint, overlap bigint"
+    parts = _some_at_a_time(strips, max([last for *_, last in dealing], default=-1) + 1)
+    found = [materialize(_count_strips(met, similar, schema), "similar-sets") for met in parts]
+    return reduce(DataFrame.unionByName, found) if found else sets.sparkSession.createDataFrame([], schema)
 
 
 def similar_documents(df: DataFrame, key: str, text: str, min_similarity: float) -> DataFrame:
@@ -410,7 +428,7 @@ def similar_documents(df: DataFrame, key: str, text: str, min_similarity: float)
       and frequent words hardly ever are; any order would do, and this one comes from counts by hash;
     * pairs whose sizes, or whose count of shared rare words, rule the similarity out
       are dropped before their word sets are compared: the documents lie in strips by size, each
-      written once and read by the tasks that need it, so neither words nor pairs are shuffled
+      written once and some of them broadcast at a time, so neither words nor pairs are shuffled
       for the strips that meet.
     """
     if not 0 < min_similarity <= 1:
@@ -503,7 +521,7 @@ def similarity_tiles(df: DataFrame, key: str, text: str, tile: int = TILE, tile_
                 *[pa.array([t[i] for t in tiles], pa.list_(pa.string())) for i in (2, 3)],
                 pa.ListArray.from_arrays(ends, np.concatenate([t[4] for t in tiles]))], ["tile1", "tile2", "docs1", "docs2", "cells"])
 
-    return _count_strips(strips, -(-(tiles or 1) // wide), cut, "tile1 int, tile2 int, docs1 array<string>, docs2 array<string>, cells array<double>")
+    return _count_strips(_every_two(strips, -(-(tiles or 1) // wide)), cut, "tile1 int, tile2 int, docs1 array<string>, docs2 array<string>, cells array<double>")
 
 
 def tile_cells(tiles: DataFrame) -> DataFrame:
